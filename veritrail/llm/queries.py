@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .packing import op2
+from .quality_rules import op7
+from .secrets import op8
 from .sharding import op3
 
-QUERIES = {"op2_best_fit_packing": op2, "op3_sharding": op3}
+QUERIES = {"op2_best_fit_packing": op2, "op3_sharding": op3, "op7_quality_rules": op7, "op8_secret_scans": op8}
 ORACLES: dict[str, str] = {}
