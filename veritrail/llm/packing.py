@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from ._common import materialize
 
 CAPACITY = 2048
-#: Distinct words whose ids a worker keeps; beyond it, it starts afresh.
-CACHE_WORDS = 300_000
+#: Distinct words whose ids a worker keeps; beyond it, only those just seen stay.
+CACHE_WORDS = 600_000
 
 
 def public_tokenizer() -> str:
@@ -46,23 +46,36 @@ class WordEncoder:
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, tuple[int, ...]] = {}
+        # For lower-case letters below U+0180 alone, normalizing and splitting change nothing.
+        self.plain.normalizer, self.plain.pre_tokenizer = None, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.cache: dict[str, bytes] = {}
         self.cache_words = cache_words
 
-    def batch(self, texts: list[str]) -> Iterator[array]:
+    def learn(self, words: set[str]) -> None:
+        plain = [w for w in words if w.isalpha() and w.islower() and max(w) < "\u0180"]
+        for coder, some in ((self.plain, plain), (self.tokenizer, list(words.difference(plain)))):
+            self.cache.update((w, array("I", e.ids).tobytes()) for w, e in zip(some, coder.encode_batch_fast(some, add_special_tokens=False), strict=True))
+
+    def batch(self, texts: list[str]) -> Iterator[bytes]:
+        """Each text's ids as 32-bit numbers. ASCII letters are lower-cased first, as the tokenizer lower-cases all."""
+        texts = [t.encode().lower().decode() for t in texts]
         words = [re.split(r"[ \t-\r]+", t) if re.search("[\x1c-\x1f]", t) else t.split() for t in texts]
-        if len(self.cache) > self.cache_words:
-            self.cache.clear()
         cache = self.cache
-        if new := list({w for ws in words for w in ws}.difference(cache)):
-            cache.update((w, tuple(e.ids)) for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True))
+        if len(cache) > self.cache_words:
+            kept = {w for ws in words for w in ws}.intersection(cache)
+            cache = self.cache = {w: cache[w] for w in kept}
+        if new := {w for ws in words for w in ws}.difference(cache):
+            # Marks after a letter are tokens of their own, so the word before them is often known already.
+            ends = {w: (bare, w[len(bare) :]) for w in new if (bare := w.rstrip(".,;:!?")) and bare != w and bare[-1].isalpha()}
+            self.learn(({x for pair in ends.values() for x in pair} | new.difference(ends)).difference(cache))
+            cache.update((w, cache[bare] + cache[marks]) for w, (bare, marks) in ends.items())
         get = cache.__getitem__
         for ws in words:
-            yield array("I", chain.from_iterable(map(get, ws)))
+            yield b"".join(map(get, ws))
 
 
 def cut(lengths: int, capacity: int) -> Iterator[tuple[int, int]]:
@@ -75,15 +88,15 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
     """doc_id, piece, start, length, ids_crc32, and task and rank: the piece's number among the task's pieces of its length."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, task, seen = WordEncoder(path), TaskContext.get().partitionId(), [0] * (capacity + 1)
+        coder, task, seen, last = WordEncoder(path), TaskContext.get().partitionId(), [0] * (capacity + 1), array("I", [end_id]).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
                 rows: list[tuple] = []
                 for doc_id, ids in zip(some.column(0).to_pylist(), coder.batch(some.column(1).to_pylist()), strict=True):
-                    ids.append(end_id)
-                    for k, (start, n) in enumerate(cut(len(ids), capacity)):
-                        rows.append((doc_id, k, start, n, zlib.crc32(ids[start : start + n]), task, seen[n]))
+                    ids += last
+                    for k, (start, n) in enumerate(cut(len(ids) // 4, capacity)):
+                        rows.append((doc_id, k, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)]), task, seen[n]))
                         seen[n] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
