@@ -264,6 +264,19 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
+def distinct_documents(docs: DataFrame, text: str = "text") -> DataFrame:
+    """One row of each group of near duplicates, with all its columns: that of the least doc_id, once however often it is repeated.
+
+    Documents without words are no duplicates and stay, and so do rows without a doc_id. Rows of one doc_id with different texts stay
+    together.
+    """
+    ids = near_duplicates(docs, text).where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    ids = materialize(ids.select(F.col("doc_id").alias("_id"), "kept", "n").where("NOT kept OR n > 1"), "dropped")
+    same = lambda which: (ids.where(which), docs["doc_id"] == F.col("_id"))
+    twice = docs.join(*same("kept"), "left_semi").dropDuplicates(["doc_id", text])
+    return docs.join(*same("TRUE"), "left_anti").unionByName(twice)
+
+
 def op5(spark, sf_dir: str) -> DataFrame:
     """Near duplicates among all documents."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

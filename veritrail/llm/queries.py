@@ -7,7 +7,8 @@ from .packing import op2
 from .quality_rules import op7
 from .secrets import op8
 from .sharding import op3
+from .topk import OP1_SQL, op1
 from .toxicity import op10
 
-QUERIES = {"op2_best_fit_packing": op2, "op3_sharding": op3, "op5_near_dedup": op5, "op7_quality_rules": op7, "op8_secret_scans": op8, "op10_toxicity": op10}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_exact_top_k": op1, "op2_best_fit_packing": op2, "op3_sharding": op3, "op5_near_dedup": op5, "op7_quality_rules": op7, "op8_secret_scans": op8, "op10_toxicity": op10}
+ORACLES: dict[str, str] = {"op1_exact_top_k": OP1_SQL}
