@@ -7,8 +7,9 @@ by k, gives coordinate k of the signature. Bands of 4 coordinates, 32 of them, m
 
 Equal word sequences are one class from the start. In each band bucket, members are first compared with the bucket's smallest member
 only, by the sets themselves; after connected components, only members of one bucket that are in different components are compared
-further, first by their signatures (in blocks of bounded size), then again by their sets. So no bucket emits all its pairs, and no
-bucket is capped: every two members that could still be linked are compared. Sets are made only of documents that share a bucket.
+further, first by bitmaps of their sets (in blocks of bounded size), then again by the sets. Where two bitmaps differ, so do the sets, so
+what the bitmaps rule out is certainly not linked. So no bucket emits all its pairs, and no bucket is capped: every two members that
+could still be linked are compared. Sets are made only of documents that share a bucket.
 
 A link needs 100 * intersection >= 75 * union on the full sets. Documents without words (null, empty, blank) have no set and stand
 alone. Repeated rows are in one class. A null doc_id belongs to its class but never names it, unless all are null. Extra columns take no part; an empty table gives an
@@ -30,8 +31,8 @@ from .components import components
 
 WORDS, PERCENT = 5, 75
 BANDS, ROWS = 32, 4
-#: Equal signature bytes of 128 below which a pair cannot be linked but for 1 in 10 million.
-LEAST_EQUAL = 70
+#: Bits of the largest bitmap of a set; smaller sets have 8 to 16 bits a shingle.
+MAP_BITS = 1 << 15
 #: Members of a bucket compared with each other in one go.
 BLOCK = 1024
 
@@ -145,20 +146,28 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets, k1, k2 = shingles(texts)
             n = np.array([len(s) for s in sets], np.int64)
             full = np.flatnonzero(n)
-            bands, brief = [None] * len(sets), [None] * len(sets)
+            bands: list[list[int] | None] = [None] * len(sets)
             if len(full):
-                signed = signatures([sets[i] for i in full])
-                for i, keys, low in zip(full, band_keys(signed).tolist(), (signed & np.uint32(255)).astype(np.uint8), strict=True):
-                    bands[i], brief[i] = keys, low.tobytes()
+                for i, keys in zip(full, band_keys(signatures([sets[i] for i in full])).tolist(), strict=True):
+                    bands[i] = keys
             part = b.slice(at, len(texts))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(brief, pa.binary())], ["doc_id", "row", "n_shingles", "k1", "k2", "bands", "brief"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "row", "n_shingles", "k1", "k2", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for _, texts in _chunks(b.column(0)):
             sets, k1, k2 = shingles(texts)
-            yield pa.RecordBatch.from_arrays([pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary())], ["k1", "k2", "shingles"])
+            columns = [pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "shingles", "map"])
+
+
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """A bit for each shingle's hash; the size is a power of two, so a larger map can be folded to a smaller one's size."""
+    bits = min(MAP_BITS, max(512, 1 << (8 * len(shingles) - 1).bit_length())) if len(shingles) else 512
+    out = np.zeros(bits, bool)
+    out[(shingles & _U(bits - 1)).astype(np.int64)] = True
+    return np.packbits(out, bitorder="little")
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -184,21 +193,44 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "of_u", "of_v").mapInArrow(_linked, "u long, v long")
 
 
+def close_pairs(cls: np.ndarray, comp: np.ndarray, n: np.ndarray, maps: list[bytes], left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Classes of left rows, each with those of right rows that may be linked and are in another component. Equal sides: each pair once.
+
+    Sets of sizes a and b are linked if 7 * (number in just one of them) <= a + b, and the maps differ in no more places than the sets.
+    """
+    words = np.array([len(m) // 8 for m in maps])
+    at = {size: np.flatnonzero((words == size) | (words == 2 * size)) for size in set(words.tolist())}
+    own, same = {}, left is right
+    for size, rows in at.items():
+        table = np.zeros((len(rows), size), np.uint64)
+        for k, i in enumerate(rows.tolist()):
+            m = np.frombuffer(maps[i], np.uint64)
+            table[k] = m if len(m) == size else m[:size] | m[size:]
+        own[size] = (np.full(len(cls), -1), table)
+        own[size][0][rows] = np.arange(len(rows))
+    for a in left.tolist():
+        other = right[right > a] if same else right
+        other = other[(comp[other] != comp[a]) & (100 * np.minimum(n[other], n[a]) >= PERCENT * np.maximum(n[other], n[a]))]
+        for size in set(np.minimum(words[other], words[a]).tolist()):
+            some = other[np.minimum(words[other], words[a]) == size]
+            where, table = own[size]
+            apart = np.bitwise_count(table[where[some]] ^ table[where[a]]).sum(axis=1, dtype=np.int64)
+            some = some[7 * apart <= n[some] + n[a]]
+            if len(some):
+                yield np.maximum(cls[some], cls[a]), np.minimum(cls[some], cls[a])
+
+
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one bucket block pair that may be linked. Rows come sorted by (bucket, i, j); columns: these, class, component, n, brief, block."""
+    """Pairs of one bucket block pair that may be linked. Rows come sorted by (bucket, i, j)."""
 
     def pairs(rows: pa.Table) -> pa.RecordBatch | None:
         i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
         cls, comp, n, block = (rows.column(c).to_numpy() for c in ("class", "component", "n_shingles", "block"))
-        brief = np.frombuffer(b"".join(rows.column("brief").to_pylist()), np.uint8).reshape(len(cls), -1)
-        right, us, vs = np.flatnonzero(block == j), [], []
-        for a in np.flatnonzero(block == i):
-            other = right[right > a] if i == j else right
-            other = other[(comp[other] != comp[a]) & (100 * np.minimum(n[other], n[a]) >= PERCENT * np.maximum(n[other], n[a]))]
-            other = other[np.count_nonzero(brief[other] == brief[a], axis=1) >= LEAST_EQUAL]
-            us += np.maximum(cls[other], cls[a]).tolist()
-            vs += np.minimum(cls[other], cls[a]).tolist()
-        return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"]) if us else None
+        left = np.flatnonzero(block == i)
+        found = list(close_pairs(cls, comp, n, rows.column("map").to_pylist(), left, left if i == j else np.flatnonzero(block == j)))
+        if not found:
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["u", "v"])
 
     rest: pa.Table | None = None
     for b in batches:
@@ -219,7 +251,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id linked, by any chain), kept (doc_id is the component's id)."""
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(f"`{text}`").alias("text"))
-    rows = materialize(given.mapInArrow(_signed, "doc_id long, row long, n_shingles long, k1 long, k2 long, bands array<long>, brief binary"), "signatures")
+    rows = materialize(given.mapInArrow(_signed, "doc_id long, row long, n_shingles long, k1 long, k2 long, bands array<long>"), "signatures")
     some = rows.where("n_shingles > 0")
     classes = some.groupBy("k1", "k2").agg(F.min("row").alias("class"), F.min("doc_id").alias("least"))
     classes = materialize(classes, "classes")
@@ -235,7 +267,7 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     ids = of.select("doc_id").distinct()
     texts = texts.join(ids, texts["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text")
-    sets = texts.mapInArrow(_sets, "k1 long, k2 long, shingles binary").join(of.select("k1", "k2", "class"), ["k1", "k2"]).select("class", "shingles")
+    sets = texts.mapInArrow(_sets, "k1 long, k2 long, shingles binary, map binary").join(of.select("k1", "k2", "class"), ["k1", "k2"]).select("class", "shingles", "map")
     sets = materialize(sets.dropDuplicates(["class"]), "sets")
 
     # First each member with one hub, the one that it meets in most buckets.
@@ -249,9 +281,9 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     apart = members.drop("hub").join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
     apart = apart.withColumns({"a": F.min("component").over(bucket), "z": F.max("component").over(bucket), "n": F.count("*").over(bucket)}).where("a < z")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    apart = apart.join(one.select(F.col("row").alias("class"), "n_shingles", "brief"), "class")
-    apart = apart.select("bucket", "class", "component", "n_shingles", "brief", F.pmod(F.xxhash64("class"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with"))
-    apart = apart.select("bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "class", "component", "n_shingles", "brief", "block")
+    apart = apart.join(sets.select("class", (F.octet_length("shingles") / 8).cast("long").alias("n_shingles"), "map"), "class")
+    apart = apart.select("bucket", "class", "component", "n_shingles", "map", F.pmod(F.xxhash64("class"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with"))
+    apart = apart.select("bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "class", "component", "n_shingles", "map", "block")
     more = apart.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_compared, "u long, v long").distinct()
     more = verified(more, sets)
     found = components(links.unionByName(more)).select(F.col("u").alias("class"), F.col("v").alias("component"))
