@@ -126,7 +126,7 @@ def band_keys(signed: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _chunks(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, list[bytes]]]:
+def _chunks(column: pa.Array, most: int = 1 << 17) -> Iterator[tuple[int, list[bytes]]]:
     """First row and texts of pieces of the column of about so many bytes."""
     at, some, n = 0, [], 0
     for i, x in enumerate(column.cast(pa.binary())):

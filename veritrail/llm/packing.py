@@ -53,29 +53,45 @@ class WordEncoder:
         # For lower-case letters below U+0180 alone, normalizing and splitting change nothing.
         self.plain.normalizer, self.plain.pre_tokenizer = None, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.cache_words = cache_words
 
     def learn(self, words: set[str]) -> None:
+        """Puts the words into the cache, from the older half of it where they are there."""
+        older, cache = self.older, self.cache
+        if found := words & older.keys():
+            cache.update((w, older[w]) for w in found)
+            words = words - found
+        # Marks after a letter are tokens of their own, so the word before them is often known already.
+        ends = {w: (bare, w[len(bare) :]) for w in words if (bare := w.rstrip(".,;:!?")) and bare != w and bare[-1].isalpha()}
+        if ends:
+            words = words.difference(ends)
+            parts = {x for pair in ends.values() for x in pair}.difference(cache)
+            cache.update((w, older[w]) for w in parts & older.keys())
+            words |= parts.difference(cache)
         plain = [w for w in words if w.isalpha() and w.islower() and max(w) < "\u0180"]
         for coder, some in ((self.plain, plain), (self.tokenizer, list(words.difference(plain)))):
-            self.cache.update((w, array("I", e.ids).tobytes()) for w, e in zip(some, coder.encode_batch_fast(some, add_special_tokens=False), strict=True))
+            cache.update((w, array("I", e.ids).tobytes()) for w, e in zip(some, coder.encode_batch_fast(some, add_special_tokens=False), strict=True))
+        cache.update((w, cache[bare] + cache[marks]) for w, (bare, marks) in ends.items())
 
-    def batch(self, texts: list[str]) -> Iterator[bytes]:
+    def batch(self, texts: list[bytes]) -> Iterator[bytes]:
         """Each text's ids as 32-bit numbers. ASCII letters are lower-cased first, as the tokenizer lower-cases all."""
-        texts = [t.encode().lower().decode() for t in texts]
-        words = [re.split(r"[ \t-\r]+", t) if re.search("[\x1c-\x1f]", t) else t.split() for t in texts]
-        cache = self.cache
-        if len(cache) > self.cache_words:
-            kept = {w for ws in words for w in ws}.intersection(cache)
-            cache = self.cache = {w: cache[w] for w in kept}
-        if new := {w for ws in words for w in ws}.difference(cache):
-            # Marks after a letter are tokens of their own, so the word before them is often known already.
-            ends = {w: (bare, w[len(bare) :]) for w in new if (bare := w.rstrip(".,;:!?")) and bare != w and bare[-1].isalpha()}
-            self.learn(({x for pair in ends.values() for x in pair} | new.difference(ends)).difference(cache))
-            cache.update((w, cache[bare] + cache[marks]) for w, (bare, marks) in ends.items())
-        get = cache.__getitem__
-        for ws in words:
-            yield b"".join(map(get, ws))
+        if len(self.cache) > self.cache_words // 2:
+            self.cache, self.older = {}, self.cache
+        get, new, read = self.cache.get, set(), []
+        for t in texts:
+            text = t.lower().decode()
+            words = re.split(r"[ \t-\r]+", text) if re.search("[\x1c-\x1f]", text) else text.split()
+            ids = list(map(get, words))
+            if None in ids:
+                new.update(w for w, i in zip(words, ids, strict=True) if i is None)
+                read.append((words, None))
+            else:
+                read.append((None, ids))
+        if new:
+            self.learn(new)
+        for words, ids in read:
+            yield b"".join(ids if words is None else map(get, words))
 
 
 def cut(lengths: int, capacity: int) -> Iterator[tuple[int, int]]:
@@ -93,7 +109,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
                 rows: list[tuple] = []
-                for doc_id, ids in zip(some.column(0).to_pylist(), coder.batch(some.column(1).to_pylist()), strict=True):
+                for doc_id, ids in zip(some.column(0).to_pylist(), coder.batch(some.column(1).cast(pa.binary()).to_pylist()), strict=True):
                     ids += last
                     for k, (start, n) in enumerate(cut(len(ids) // 4, capacity)):
                         rows.append((doc_id, k, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)]), task, seen[n]))
