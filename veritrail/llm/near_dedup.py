@@ -193,8 +193,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "of_u", "of_v").mapInArrow(_linked, "u long, v long")
 
 
-def close_pairs(cls: np.ndarray, comp: np.ndarray, n: np.ndarray, maps: list[bytes], left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Classes of left rows, each with those of right rows that may be linked and are in another component. Equal sides: each pair once.
+def close_pairs(comp: np.ndarray, n: np.ndarray, maps: list[bytes], left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Left rows, each with the right rows that may be linked and are in another component. Equal sides: each pair once.
 
     Sets of sizes a and b are linked if 7 * (number in just one of them) <= a + b, and the maps differ in no more places than the sets.
     """
@@ -206,7 +206,7 @@ def close_pairs(cls: np.ndarray, comp: np.ndarray, n: np.ndarray, maps: list[byt
         for k, i in enumerate(rows.tolist()):
             m = np.frombuffer(maps[i], np.uint64)
             table[k] = m if len(m) == size else m[:size] | m[size:]
-        own[size] = (np.full(len(cls), -1), table)
+        own[size] = (np.full(len(maps), -1), table)
         own[size][0][rows] = np.arange(len(rows))
     for a in left.tolist():
         other = right[right > a] if same else right
@@ -217,7 +217,7 @@ def close_pairs(cls: np.ndarray, comp: np.ndarray, n: np.ndarray, maps: list[byt
             apart = np.bitwise_count(table[where[some]] ^ table[where[a]]).sum(axis=1, dtype=np.int64)
             some = some[7 * apart <= n[some] + n[a]]
             if len(some):
-                yield np.maximum(cls[some], cls[a]), np.minimum(cls[some], cls[a])
+                yield a, some
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,11 +226,15 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def pairs(rows: pa.Table) -> pa.RecordBatch | None:
         i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
         cls, comp, n, block = (rows.column(c).to_numpy() for c in ("class", "component", "n_shingles", "block"))
-        left = np.flatnonzero(block == i)
-        found = list(close_pairs(cls, comp, n, rows.column("map").to_pylist(), left, left if i == j else np.flatnonzero(block == j)))
-        if not found:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["u", "v"])
+        left, bucket = np.flatnonzero(block == i), rows.column("bucket")[0].as_py()
+        bands = np.array(rows.column("bands").to_pylist(), np.int64)
+        us, vs = [], []
+        for a, some in close_pairs(comp, n, rows.column("map").to_pylist(), left, left if i == j else np.flatnonzero(block == j)):
+            # A pair that meets in several buckets is passed on by the first of them only.
+            some = some[bands[some, np.argmax(bands[some] == bands[a], axis=1)] == bucket]
+            us.append(np.maximum(cls[some], cls[a]))
+            vs.append(np.minimum(cls[some], cls[a]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (us, vs)], ["u", "v"]) if us else None
 
     rest: pa.Table | None = None
     for b in batches:
@@ -263,11 +267,11 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     members = materialize(members, "buckets")
 
     needed = members.select("class").distinct()
-    of = rows.select("doc_id", "k1", "k2", F.col("row").alias("class")).join(needed, "class", "left_semi")
+    of = rows.select("doc_id", "k1", "k2", "bands", F.col("row").alias("class")).join(needed, "class", "left_semi")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     ids = of.select("doc_id").distinct()
     texts = texts.join(ids, texts["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text")
-    sets = texts.mapInArrow(_sets, "k1 long, k2 long, shingles binary, map binary").join(of.select("k1", "k2", "class"), ["k1", "k2"]).select("class", "shingles", "map")
+    sets = texts.mapInArrow(_sets, "k1 long, k2 long, shingles binary, map binary").join(of.select("k1", "k2", "class", "bands"), ["k1", "k2"]).select("class", "shingles", "map", "bands")
     sets = materialize(sets.dropDuplicates(["class"]), "sets")
 
     # First each member with one hub, the one that it meets in most buckets.
@@ -281,10 +285,10 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     apart = members.drop("hub").join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
     apart = apart.withColumns({"a": F.min("component").over(bucket), "z": F.max("component").over(bucket), "n": F.count("*").over(bucket)}).where("a < z")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    apart = apart.join(sets.select("class", (F.octet_length("shingles") / 8).cast("long").alias("n_shingles"), "map"), "class")
-    apart = apart.select("bucket", "class", "component", "n_shingles", "map", F.pmod(F.xxhash64("class"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with"))
-    apart = apart.select("bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "class", "component", "n_shingles", "map", "block")
-    more = apart.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_compared, "u long, v long").distinct()
+    apart = apart.join(sets.select("class", (F.octet_length("shingles") / 8).cast("long").alias("n_shingles"), "map", "bands"), "class")
+    apart = apart.select("bucket", "class", "component", "n_shingles", "map", "bands", F.pmod(F.xxhash64("class"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with"))
+    apart = apart.select("bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "class", "component", "n_shingles", "map", "bands", "block")
+    more = apart.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_compared, "u long, v long")
     more = verified(more, sets)
     found = components(links.unionByName(more)).select(F.col("u").alias("class"), F.col("v").alias("component"))
 
