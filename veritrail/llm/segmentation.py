@@ -6,7 +6,9 @@ under Zipf's law instead, so that sums over a path make sense. A forward Viterbi
 backward from the end: paths are completed in order of their scores, without ever expanding one that is not among the N best or tied.
 
 No piece spans a place between two characters that stand together in no piece. The lattice therefore falls into independent parts there,
-which recur; each distinct part is searched once, and the N best of the whole are the N best sums over its parts.
+which recur. A forward and a backward pass over a part give its best path and what its second best costs; a text's N best can differ from
+its best in those N - 1 words only whose second choices cost least, so the A* search runs over these, and the N best of the whole are the N
+best sums over their choices.
 
 A null text is an empty text, and an empty text has no pieces, the one segmentation () and score 0. Texts are encoded whole. Each row stands for itself. Extra columns take
 no part; an empty table gives an empty result.
@@ -21,12 +23,19 @@ import zlib
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 N_BEST = 4
-CACHE_PARTS = 400_000
+#: Parts of up to so many characters are measured as arrays, so many at a time.
+LONGEST, ROWS = 24, 512
+# The hash of a span, and where it finds the head of its chain.
+FACTOR, MASK, BITS = 0x9E3779B97F4A7C15, (1 << 64) - 1, 20
+MIX, SHIFT = np.uint64(0xD6E8FEB86659FD93), np.uint64(64 - BITS)
+#: Words and parts that a worker keeps, each.
+CACHE = 400_000
 SPACE = "▁"
 
 
@@ -36,14 +45,36 @@ def public_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+Known = tuple[float, float, bytes]  # best score, cost of the second choice, ids of the best as 32-bit numbers
+
+
+class Recent(dict):
+    """A dictionary of bounded size: when half of it is new, what was not used since goes."""
+
+    def __init__(self, make, size: int):
+        super().__init__()
+        self.make, self.size, self.older = make, size // 2, {}
+
+    def put(self, key, value) -> None:
+        if len(self) >= self.size:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+
+    def __missing__(self, key):
+        found = self.older.get(key)
+        found = self.make(key) if found is None else found
+        self.put(key, found)
+        return found
+
+
 class Segmenter:
-    """Pieces and scores of a SentencePiece model file with byte fallback. n: segmentations kept of each part."""
+    """Pieces and scores of a SentencePiece model file with byte fallback."""
 
-    def __init__(self, path: str, n: int = N_BEST, cache_parts: int = CACHE_PARTS):
+    def __init__(self, path: str, cache: int = CACHE):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.n, self.cache_parts, self.cache = n, cache_parts, {}
         size = model.get_piece_size()
         normal = [i for i in range(size) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         self.text = {i: model.id_to_piece(i) for i in normal}
@@ -51,16 +82,18 @@ class Segmenter:
         if all(x <= 0 and x == int(x) for x in scores.values()):
             mass = math.log(sum(1 / (r + 1) for r in range(len(normal))))
             scores = {i: -math.log(r + 1) - mass for r, i in enumerate(sorted(normal, key=lambda i: (-scores[i], i)))}
-        self.pieces = {self.text[i]: (scores[i], i) for i in normal}
         self.bytes = {int(model.id_to_piece(i)[3:5], 16): i for i in range(size) if model.is_byte(i)}
         self.byte_of = {i: b for b, i in self.bytes.items()}
-        self.longest = max(map(len, self.pieces))
-        self.unknown = min(s for s, _ in self.pieces.values()) - 10
-        together = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
+        self.unknown = min(scores.values()) - 10
+        #: Pieces as (score, id); beginnings of pieces as None.
+        self.pieces: dict[str, tuple[float, int] | None] = {p[:k]: None for p in self.text.values() for k in range(1, len(p))}
+        self.pieces |= {self.text[i]: (scores[i], i) for i in normal}
+        self.together = {p[i : i + 2] for p in self.text.values() for i in range(len(p) - 1)}
         # Runs of letters and spaces are cut out by pattern first; what is left is cut between any two characters that no piece has together.
-        self.together = together
         self.quick = re.compile(rf"{SPACE}*[^\W_]+|{SPACE}+|[^{SPACE}]")
-        self.breaks = not any(SPACE in p.lstrip(SPACE) for p in self.pieces)
+        self.breaks = not any(SPACE in p.lstrip(SPACE) for p in self.text.values())
+        self.longest, self.hashed = max(map(len, self.text.values())), None
+        self.known_parts, self.known_words, self.known_choices = Recent(self.measure, cache), Recent(self.word, cache), Recent(self.choices, cache // 8)
 
     def prepared(self, text: str) -> str:
         return SPACE + text.replace(" ", SPACE) if text else ""
@@ -79,27 +112,158 @@ class Segmenter:
         out.append(last)
         return out[1:] if text else []
 
-    def lattice(self, part: str) -> tuple[list[float], list[list[tuple[int, float, tuple[int, ...]]]]]:
-        """Best score from the start to each position, and the edges that end there: (start, score, ids)."""
-        size, get, longest = len(part), self.pieces.get, self.longest
-        best, edges = [0.0] + [float("-inf")] * size, [[] for _ in range(size + 1)]
+    def edges(self, part: str) -> list[tuple[int, int, float, tuple[int, ...]]]:
+        """(start, end, score, ids) of all edges, by start."""
+        size, get, out = len(part), self.pieces.get, []
         for a in range(size):
-            here, alone = best[a], True
-            for z in range(a + 1, min(size, a + longest) + 1):
-                if (found := get(part[a:z])) is not None:
-                    score, i = found
+            alone = True
+            for z in range(a + 1, size + 1):
+                found = get(part[a:z], 0)
+                if found == 0:
+                    break
+                if found is not None:
                     alone &= z > a + 1
-                    edges[z].append((a, score, (i,)))
-                    if here + score > best[z]:
-                        best[z] = here + score
+                    out.append((a, z, found[0], (found[1],)))
+            if alone:
+                out.append((a, a + 1, self.unknown, tuple(self.bytes[b] for b in part[a].encode())))
+        return out
+
+    def measure(self, part: str) -> Known:
+        """The best path and the cost of the second: the best over edges off the best path of what leads there, the edge, and what follows."""
+        size, get, edges, lost = len(part), self.pieces.get, [], float("-inf")
+        before, came = [0.0] + [lost] * size, [None] * (size + 1)
+        for a in range(size):
+            here, alone, z = before[a], True, a
+            while z < size:
+                z += 1
+                found = get(part[a:z], 0)
+                if not found:
+                    if found == 0:
+                        break
+                    continue
+                if z == a + 1:
+                    alone = False
+                score = found[0]
+                edges.append(e := (a, z, score, found[1]))
+                if here + score > before[z]:
+                    before[z], came[z] = here + score, e
             if alone:
-                edges[a + 1].append((a, self.unknown, tuple(self.bytes[b] for b in part[a].encode())))
-                best[a + 1] = max(best[a + 1], here + self.unknown)
-        return best, edges
+                edges.append(e := (a, a + 1, self.unknown, -1))
+                if here + self.unknown > before[a + 1]:
+                    before[a + 1], came[a + 1] = here + self.unknown, e
+        after, path, at = [lost] * size + [0.0], [], size
+        while at:
+            path.append(came[at])
+            at = came[at][0]
+        path.reverse()
+        ids = array("I", [e[3] for e in path] if path[0][3] >= 0 and min(e[3] for e in path) >= 0 else [i for e in path for i in ((e[3],) if e[3] >= 0 else [self.bytes[b] for b in part[e[0]].encode()])]).tobytes()
+        if len(edges) == len(path):
+            return before[size], math.inf, ids
+        used, second = {id(e) for e in path}, lost
+        for e in reversed(edges):
+            a, z, score, _ = e
+            score += after[z]
+            if score > after[a]:
+                after[a] = score
+            if before[a] + score > second and id(e) not in used:
+                second = before[a] + score
+        return before[size], before[size] - second, ids
+
+    def measure_all(self, parts: list[str]) -> Iterator[tuple[str, Known]]:
+        """measure() of many parts, those of one length together as arrays; spans are looked up by a 64-bit hash of their characters."""
+        by_length: dict[int, list[str]] = {}
+        for p in parts:
+            by_length.setdefault(len(p) if len(p) <= LONGEST else 0, []).append(p)
+        for p in by_length.pop(0, []):
+            yield p, self.measure(p)
+        for size, some in by_length.items():
+            for at in range(0, len(some), ROWS):
+                yield from self._measured(size, some[at : at + ROWS])
+
+    def _table(self) -> tuple[np.ndarray, ...]:
+        """Pieces by hash: heads of chains by the hash's top bits, then each piece's hash, score, id and successor in its chain."""
+        if self.hashed is None:
+            names = [p for p, v in self.pieces.items() if v]
+            keys = np.zeros(len(names) + 1, np.uint64)
+            for i, p in enumerate(names):
+                h = 0
+                for c in p:
+                    h = (h * FACTOR + ord(c) + 1) & MASK
+                keys[i] = h
+            heads, following = np.full(1 << BITS, len(names), np.int32), np.full(len(names) + 1, len(names), np.int32)
+            for i, slot in enumerate((keys[:-1] * MIX >> SHIFT).tolist()):
+                heads[slot], following[i] = i, heads[slot]
+            scores, ids = (np.array([self.pieces[p][k] for p in names] + [x]) for k, x in ((0, -np.inf), (1, -1)))
+            self.hashed = heads, keys, scores, ids.astype(np.int32), following
+        return self.hashed
+
+    def _measured(self, size: int, parts: list[str]) -> Iterator[tuple[str, Known]]:
+        heads, keys, scores, ids, following = self._table()
+        none, m = len(keys) - 1, len(parts)
+        codes = np.array(parts).view(np.uint32).reshape(m, size).T.astype(np.uint64) + np.uint64(1)
+        found = np.full((size, size + 1, m), none, np.int32)
+        for a in range(size):
+            h = np.zeros(m, np.uint64)
+            for z in range(a + 1, min(size, a + self.longest) + 1):
+                h = h * np.uint64(FACTOR) + codes[z - 1]
+                at = heads[h * MIX >> SHIFT]
+                while (wrong := (at != none) & (keys[at] != h)).any():
+                    at = np.where(wrong, following[at], at)
+                found[a, z] = at
+        score = scores[found]
+        for a in range(size):
+            score[a, a + 1][found[a, a + 1] == none] = self.unknown
+        rows = np.arange(m)
+        before, after, came = np.full((size + 1, m), -np.inf), np.full((size + 1, m), -np.inf), np.zeros((size + 1, m), np.int64)
+        before[0] = after[size] = 0
+        for z in range(1, size + 1):
+            cand = before[:z] + score[:z, z]
+            came[z] = cand.argmax(axis=0)
+            before[z] = cand[came[z], rows]
+        for a in range(size - 1, -1, -1):
+            after[a] = (score[a, a + 1 :] + after[a + 1 :]).max(axis=0)
+        through = before[:size, None] + score + after[None]
+        at, steps = np.full(m, size), []
+        while at.any():
+            past = came[at, rows]
+            steps.append(np.where(at > 0, ids[found[past, at, rows]], -2))
+            through[past[at > 0], at[at > 0], rows[at > 0]] = -np.inf
+            at = np.where(at > 0, past, 0)
+        path = np.stack(steps[::-1], axis=1)
+        second = through.reshape(-1, m).max(axis=0)
+        lengths = (path != -2).sum(axis=1).tolist()
+        odd = (path == -1).any(axis=1).tolist()
+        path = np.ascontiguousarray(path, np.uint32)
+        for part, row, n, special, total, other in zip(parts, path, lengths, odd, before[size].tolist(), second.tolist(), strict=True):
+            yield part, self.measure(part) if special else (total, total - other, row[len(row) - n :].tobytes())
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Measures the words of texts that are not known yet, all together."""
+        words, parts = self.known_words, self.known_parts
+        new = {w: self.parts(w) for w in set().union(*texts) if w not in words and w not in words.older}
+        unknown = {p for ps in new.values() for p in ps if p not in parts and p not in parts.older}
+        measured = dict(self.measure_all(list(unknown)))
+        for p, k in measured.items():
+            parts.put(p, k)
+        for w, ps in new.items():
+            some = [measured[p] if p in measured else parts[p] for p in ps]
+            words.put(w, self.joined(some))
+
+    def joined(self, some: list[Known]) -> Known:
+        if len(some) == 1:
+            return some[0]
+        return math.fsum([x[0] for x in some]), min([x[1] for x in some], default=math.inf), b"".join([x[2] for x in some])
+
+    def word(self, word: str) -> Known:
+        """What is known of a string of independent parts."""
+        return self.joined([self.known_parts[p] for p in self.parts(word)])
 
     def best(self, part: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best segmentations of one part, as (score, ids); equal scores in order of their ids."""
-        best, edges = self.lattice(part)
+        best, edges = [0.0] + [float("-inf")] * len(part), [[] for _ in range(len(part) + 1)]
+        for a, z, score, ids in self.edges(part):
+            edges[z].append((a, score, ids))
+            best[z] = max(best[z], best[a] + score)
         todo: list[tuple[float, tuple[int, ...], int, float]] = [(-best[-1], (), len(part), 0.0)]
         out: list[tuple[float, tuple[int, ...]]] = []
         while todo and (len(out) < n or -todo[0][0] >= out[-1][0]):
@@ -111,41 +275,44 @@ class Segmenter:
                 heapq.heappush(todo, (-(done + score + best[start]), more + ids, start, done + score))
         return sorted(out, key=lambda x: (-x[0], x[1]))[:n]
 
-    def known(self, part: str) -> tuple[float, float, bytes, list[tuple[float, bytes]]]:
-        """Of one part: its best score, what the second choice costs, the best ids as 32-bit numbers, and all choices."""
-        found = self.cache.get(part)
-        if found is None:
-            if len(self.cache) >= self.cache_parts:
-                self.cache.clear()
-            all_ = [(score, array("I", ids).tobytes()) for score, ids in self.best(part, self.n)]
-            found = self.cache[part] = (all_[0][0], all_[0][0] - all_[1][0] if len(all_) > 1 else math.inf, all_[0][1], all_)
-        return found
+    def words(self, text: str) -> list[str]:
+        """The text in strings that no piece spans, cut at spaces where these stand alone."""
+        if not self.breaks or "  " in text or SPACE in text:
+            return self.parts(self.prepared(text))
+        return [SPACE + w for w in text.split(" ")] if text else []
+
+    def choices(self, key: tuple[str, int]) -> list[tuple[float, bytes]]:
+        """The n best segmentations of a word (key: word, n), that of the forward pass first where several are as good."""
+        word, n = key
+        known = self.known_words[word]
+        some = [(score, array("I", ids).tobytes()) for score, ids in self.best(word, n)]
+        return [(known[0], known[2]), *(x for x in some if x[1] != known[2])][:n]
 
-    def n_best(self, text: str, n: int) -> list[tuple[float, bytes]]:
-        """The n best segmentations of the text as scores and 32-bit ids, best first; n must not exceed the segmenter's own."""
-        options = list(map(self.known, self.parts(self.prepared(text))))
-        total, first = math.fsum([o[0] for o in options]), [o[2] for o in options]
+    def n_best(self, text: str, n: int, words: list[str] | None = None) -> list[tuple[float, bytes]]:
+        """The n best segmentations of the text as scores and 32-bit ids, best first. words: as from words(text), if at hand."""
+        words = self.words(text) if words is None else words
+        known = list(map(self.known_words.__getitem__, words))
+        total, first = math.fsum([k[0] for k in known]), [k[2] for k in known]
         out = [(total, b"".join(first))]
-        if n == 1:
+        costs = [k[1] for k in known]
+        if n == 1 or not costs:
             return out
-        # Only the parts whose second choice costs least can differ from their first choice in the n best.
-        costs = [o[1] for o in options]
-        most = heapq.nsmallest(n - 1, costs)[-1] if costs else math.inf
-        near = sorted((c, i) for i, c in enumerate(costs) if c <= most and c < math.inf)[: n - 1]
-        chosen = [i for _, i in near]
+        most = heapq.nsmallest(n - 1, costs)[-1]
+        chosen = [i for _, i in sorted((c, i) for i, c in enumerate(costs) if c <= most and c < math.inf)[: n - 1]]
+        choices = [self.known_choices[words[i], n] for i in chosen]
         start = (0,) * len(chosen)
         todo, seen = [(0.0, start)], {start}
         while todo and len(out) <= n:
             cost, picks = heapq.heappop(todo)
-            if cost or any(picks):
+            if any(picks):
                 ids = first.copy()
-                for i, k in zip(chosen, picks, strict=True):
-                    ids[i] = options[i][3][k][1]
+                for i, k, options in zip(chosen, picks, choices, strict=True):
+                    ids[i] = options[k][1]
                 out.append((total - cost, b"".join(ids)))
-            for k, i in enumerate(chosen):
-                if picks[k] + 1 < len(options[i][3]) and (following := (*picks[:k], picks[k] + 1, *picks[k + 1 :])) not in seen:
+            for j, options in enumerate(choices):
+                if picks[j] + 1 < len(options) and (following := (*picks[:j], picks[j] + 1, *picks[j + 1 :])) not in seen:
                     seen.add(following)
-                    heapq.heappush(todo, (cost + options[i][3][picks[k]][0] - options[i][3][picks[k] + 1][0], following))
+                    heapq.heappush(todo, (cost + options[picks[j]][0] - options[picks[j] + 1][0], following))
         return out[:n]
 
     def encode(self, text: str) -> list[int]:
@@ -171,13 +338,15 @@ def encodings(docs: DataFrame, path: str, n: int = N_BEST, text: str = "text") -
     the best decodes to the text; a text that has U+2581 itself does not)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Segmenter(path, n)
+        coder = Segmenter(path)
         for b in batches:
-            for at in range(0, b.num_rows, 128):
-                some, rows = b.slice(at, 128), []
-                for x in some.column(1):
-                    t = x.as_py() or ""
-                    found = coder.n_best(t, n)
+            for at in range(0, b.num_rows, 256):
+                some, rows = b.slice(at, 256), []
+                texts = [t or "" for t in some.column(1).to_pylist()]
+                words = [coder.words(t) for t in texts]
+                coder.learn(words)
+                for t, w in zip(texts, words, strict=True):
+                    found = coder.n_best(t, n, w)
                     ids = array("I", found[0][1]).tolist()
                     rows.append((ids, len(ids), found[0][0], [s for s, _ in found], [zlib.crc32(i) for _, i in found], coder.decode(ids) == t))
                 yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True))], names)
