@@ -55,16 +55,24 @@ class Recent(dict):
         super().__init__()
         self.make, self.size, self.older = make, size // 2, {}
 
-    def put(self, key, value) -> None:
-        if len(self) >= self.size:
+    def missing(self, keys: set) -> set:
+        """Those of the keys that are not there; what only the older half has becomes new."""
+        keys = keys.difference(self)
+        if kept := keys & self.older.keys():
+            self.update((k, self.older[k]) for k in kept)
+            keys -= kept
+        return keys
+
+    def add(self, some: dict) -> None:
+        if len(self) + len(some) > self.size:
             self.older = dict(self)
             self.clear()
-        self[key] = value
+        self.update(some)
 
     def __missing__(self, key):
         found = self.older.get(key)
         found = self.make(key) if found is None else found
-        self.put(key, found)
+        self.add({key: found})
         return found
 
 
@@ -102,7 +110,14 @@ class Segmenter:
         """The text in independent parts."""
         if not self.breaks:
             return [text] if text else []
-        out, last, together = [], "", self.together
+        together = self.together
+        if text[:1] == SPACE and (bare := text[1:]):
+            # Most words: letters alone, or with one mark behind them.
+            if bare.isalpha():
+                return [text]
+            if bare[:-1].isalpha():
+                return [text] if text[-2:] in together else [text[:-1], text[-1]]
+        out, last = [], ""
         for m in self.quick.findall(text):
             if last and last[-1] + m[0] in together:
                 last += m
@@ -240,14 +255,10 @@ class Segmenter:
     def learn(self, texts: list[list[str]]) -> None:
         """Measures the words of texts that are not known yet, all together."""
         words, parts = self.known_words, self.known_parts
-        new = {w: self.parts(w) for w in set().union(*texts) if w not in words and w not in words.older}
-        unknown = {p for ps in new.values() for p in ps if p not in parts and p not in parts.older}
-        measured = dict(self.measure_all(list(unknown)))
-        for p, k in measured.items():
-            parts.put(p, k)
-        for w, ps in new.items():
-            some = [measured[p] if p in measured else parts[p] for p in ps]
-            words.put(w, self.joined(some))
+        new = words.missing(set().union(*texts))
+        cut = {w: self.parts(w) for w in new}
+        parts.add(dict(self.measure_all(list(parts.missing({p for ps in cut.values() for p in ps})))))
+        words.add({w: parts[ps[0]] if len(ps) == 1 else self.joined([parts[p] for p in ps]) for w, ps in cut.items()})
 
     def joined(self, some: list[Known]) -> Known:
         if len(some) == 1:
