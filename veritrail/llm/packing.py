@@ -14,12 +14,14 @@ take no part. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import string
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,10 @@ from pyspark.sql import functions as F
 from ._common import materialize
 
 CAPACITY = 2048
+#: Stands behind the last token of a word; no id is as large.
+NOTHING = 0xFFFF
+#: ASCII marks that, behind a letter, are tokens apart from it; the apostrophe may belong to a contraction.
+MARKS = string.punctuation.replace("'", "")
 #: Distinct words whose ids a worker keeps; beyond it, only those just seen stay.
 CACHE_WORDS = 600_000
 
@@ -41,21 +47,88 @@ def public_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Merges:
+    """The merges of a byte-level BPE with word ends, over many words at once as arrays."""
+
+    def __init__(self, path: str):
+        model = json.loads(Path(path).read_text())["model"]
+        vocab, end = model["vocab"], model["end_of_word_suffix"]
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        # The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        symbol = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+        self.first, self.last = (np.array([vocab[symbol[b] + x] for b in range(256)], np.int64) for x in ("", end))
+        self.none = len(pairs)
+        self.made = np.array([vocab[x + y] for x, y in pairs] + [0], np.int64)
+        self.keys = np.array([vocab[x] << 16 | vocab[y] for x, y in pairs] + [-1], np.int64)
+        # The rank of a pair by a table of chains: its head by a hash of the pair, then the next rank of the same hash.
+        self.heads, self.following = np.full(1 << 20, self.none, np.int64), np.full(self.none + 1, self.none, np.int64)
+        for rank, slot in enumerate(self._slot(self.keys[:-1]).tolist()):
+            self.following[rank], self.heads[slot] = self.heads[slot], rank
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        keys = a << 16 | b
+        at = self.heads[self._slot(keys)]
+        while (wrong := (at != self.none) & (self.keys[at] != keys)).any():
+            at = np.where(wrong, self.following[at], at)
+        return at
+
+    def encode(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Each word, which must be free of upper case and marks, with its ids as 32-bit numbers: the best pair is merged, over and over."""
+        by_length: dict[int, list[bytes]] = {}
+        for w in words:
+            by_length.setdefault(len(w), []).append(w)
+        for size, some in by_length.items():
+            text = np.frombuffer(b"".join(some), np.uint8).reshape(-1, size)
+            ids = np.concatenate([self.first[text[:, :-1]], self.last[text[:, -1:]], np.full((len(some), 1), NOTHING)], axis=1)
+            ranks, rows, columns = self.ranks(ids[:, :-1], ids[:, 1:]), np.arange(len(some)), np.arange(size)
+            while True:
+                at = ranks.argmin(axis=1)
+                best = ranks[rows, at]
+                live = best < self.none
+                if not live.any():
+                    break
+                at = np.where(live, at, size)[:, None]
+                ids[:, :-1] = np.where(columns > at, ids[:, 1:], ids[:, :-1])
+                ranks[:, :-1] = np.where(columns[:-1] > at, ranks[:, 1:], ranks[:, :-1])
+                r, c = rows[live], at[live, 0]
+                ids[r, c] = self.made[best[live]]
+                ranks[r, c] = self.ranks(ids[r, c], ids[r, c + 1])
+                r, c = r[c > 0], c[c > 0] - 1
+                ranks[r, c] = self.ranks(ids[r, c], ids[r, c + 1])
+            counts = (ids != NOTHING).sum(axis=1).tolist()
+            data, step = ids.astype(np.uint32).tobytes(), 4 * (size + 1)
+            for i, (w, n) in enumerate(zip(some, counts, strict=True)):
+                yield w, data[i * step : i * step + 4 * n]
+
+
 class WordEncoder:
-    """Ids of whole texts by a tokenizer whose tokens never span white space, through a cache of words."""
+    """Ids of whole texts by a tokenizer whose tokens never span white space, through a cache of words.
+
+    Words of lower-case letters below U+0180, on which normalizing and splitting change nothing, go through ``Merges``; the first ones are
+    compared with the tokenizer's own ids, and all go to the tokenizer if one differs.
+    """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
-        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        # For lower-case letters below U+0180 alone, normalizing and splitting change nothing.
-        self.plain.normalizer, self.plain.pre_tokenizer = None, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.merges: Merges | None = Merges(path)
+        self.compared = False
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.cache_words = cache_words
 
+    def encode(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            yield w, array("I", e.ids).tobytes()
+
     def learn(self, words: set[str]) -> None:
         """Puts the words into the cache, from the older half of it where they are there."""
         older, cache = self.older, self.cache
@@ -63,15 +136,20 @@ class WordEncoder:
             cache.update((w, older[w]) for w in found)
             words = words - found
         # Marks after a letter are tokens of their own, so the word before them is often known already.
-        ends = {w: (bare, w[len(bare) :]) for w in words if (bare := w.rstrip(".,;:!?")) and bare != w and bare[-1].isalpha()}
+        ends = {w: (bare, w[len(bare) :]) for w in words if (bare := w.rstrip(MARKS)) and bare != w and bare[-1].isalpha()}
         if ends:
             words = words.difference(ends)
             parts = {x for pair in ends.values() for x in pair}.difference(cache)
             cache.update((w, older[w]) for w in parts & older.keys())
             words |= parts.difference(cache)
-        plain = [w for w in words if w.isalpha() and w.islower() and max(w) < "\u0180"]
-        for coder, some in ((self.plain, plain), (self.tokenizer, list(words.difference(plain)))):
-            cache.update((w, array("I", e.ids).tobytes()) for w, e in zip(some, coder.encode_batch_fast(some, add_special_tokens=False), strict=True))
+        plain = [w for w in words if w.isalpha() and w.islower() and max(w) < "\u0180"] if self.merges else []
+        if plain and not self.compared:
+            self.compared, some = True, plain[:2000]
+            if dict(self.encode(some)) != {w.decode(): i for w, i in self.merges.encode([w.encode() for w in some])}:
+                self.merges, plain = None, []
+        cache.update(self.encode(list(words.difference(plain))))
+        if plain:
+            cache.update((w.decode(), i) for w, i in self.merges.encode([w.encode() for w in plain]))
         cache.update((w, cache[bare] + cache[marks]) for w, (bare, marks) in ends.items())
 
     def batch(self, texts: list[bytes]) -> Iterator[bytes]:
