@@ -1,0 +1,93 @@
+"""Quality rules against a plain restatement; secrets by structure."""
+
+import base64
+import collections
+import json
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from veritrail.llm import quality_rules as Q
+from veritrail.llm import secrets as S
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+TEXTS = [None, "", " \n\t", "one two", "a b c " * 30, "x\ny\nx\n\ny", "# a | b <c>", "é" * 50 + "\x1cz q r", "w" * 2000, " ".join(f"w{i}" for i in range(60)), "a b c d a b c", ("line of it\n" * 20)]
+
+
+def plain(t):
+    t = t or ""
+    w, lines = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
+    windows = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+    inside = {i + k for i in range(len(w) - 2) if windows[w[i], w[i + 1], w[i + 2]] > 1 for k in range(3)}
+    return (len(w), sum(map(len, w)), sum(map(t.count, "#*$%&|<>")), len(lines) - len(set(lines)), len(lines), len(inside))
+
+
+def test_measures(spark):
+    docs = spark.createDataFrame([(i, t, 1, "m") for i, t in enumerate(TEXTS)], "doc_id int, text string, n_words int, m string")
+    got = {r["record"]["doc_id"]: r for r in Q.ledger(docs).collect()}
+    for i, t in enumerate(TEXTS):
+        assert tuple(got[i][m] for m in Q.MEASURES) == plain(t), repr(t)
+    assert Q.ledger(docs.limit(0)).count() == 0
+
+
+def test_ablations_match_a_recount(spark):
+    rows = Q.ledger(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).cache()
+    got = {(r["version"], r["rule"]): (r["rejected"], r["failed"], r["only"]) for r in Q.ablations(rows).collect()}
+    bits = [r["fail_bits"] for r in rows.select("fail_bits").collect()]
+    for v, names in Q.POLICIES.items():
+        for n in names:
+            bit, mask = 1 << Q.NAMES.index(n), Q.mask(v)
+            assert got[v, n] == (sum(b & mask != 0 for b in bits), sum(b & bit != 0 for b in bits), sum(b & mask == bit for b in bits))
+    assert rows.where(Q.keeps("1")).count() == sum(b & Q.mask("1") == 0 for b in bits)
+
+
+def tlv(tag, body):
+    n = len(body)
+    head = bytes([n]) if n < 128 else bytes([0x81, n]) if n < 256 else bytes([0x82]) + n.to_bytes(2, "big")
+    return bytes([tag]) + head + body
+
+
+INTEGER = lambda b: tlv(2, b)
+RSA = tlv(0x30, INTEGER(b"\0") + b"".join(INTEGER(b"\1" * k) for k in (65, 3, 64, 33, 33, 33, 33, 33)))
+EC = tlv(0x30, INTEGER(b"\1") + tlv(4, b"k" * 32) + tlv(0xA0, tlv(6, b"\x2a\x86\x48")))
+PKCS8 = tlv(0x30, INTEGER(b"\0") + tlv(0x30, tlv(6, b"\x2a\x86\x48") + tlv(5, b"")) + tlv(4, RSA))
+SSH = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (1).to_bytes(4, "big") + b"".join(len(x).to_bytes(4, "big") + x for x in (b"p" * 51, b"q" * 80))
+b64 = lambda b: base64.b64encode(b).decode()
+url = lambda v: base64.urlsafe_b64encode(json.dumps(v).encode()).decode().rstrip("=")
+TOKEN = f"{url({'alg': 'HS256'})}.{url({'sub': 1})}.{base64.urlsafe_b64encode(b's' * 32).decode().rstrip('=')}"
+
+
+@pytest.mark.parametrize("key", [RSA, EC, PKCS8, SSH])
+def test_keys(key):
+    assert S.is_key(key) and not S.is_key(key + b"\0") and not S.is_key(key[:-1])
+    assert ("key_base64", 2, 2 + len(b64(key))) in S.scan(f"- {b64(key)} -") and "key_hex" in [k for k, *_ in S.scan("- " + key.hex().upper() + " -")]
+    assert [k for k, *_ in S.scan(f"-----BEGIN RSA PRIVATE KEY-----\n{b64(key)}\n-----END RSA PRIVATE KEY-----")][0] == "key_block"
+
+
+@pytest.mark.parametrize("text,kinds", [
+    (TOKEN, ["token"]), (TOKEN.replace("eyJ", "eyK", 1), []), ("eyJhbGciOjF9.e30.x", []), (b64(b"just text that is no key at all, however long it may be"), []), ("AKIA" + "A" * 16, ["access"]), ("AKIA" + "A" * 15, []), ("AKIAx" + "AKIA" + "B" * 16, ["access"]),
+    ("a" * 24, ["hex"]), ("a" * 23, []), ("PassWord : \"hunter2x\"", ["assign"]), ("token=secret1", ["assign"]), ("token=token: abcdef", []), ("api_key='12345'", []), ("api-key=123456", []), ("paſsword=123456", []), ("", []),
+])
+def test_scan(text, kinds):
+    assert [k for k, *_ in S.scan(text)] == kinds
+
+
+def test_redact(spark):
+    docs = spark.createDataFrame([(1, "é token = abcdef123456 end", 9, "k"), (2, None, 0, "k"), (3, "", 0, None)], "doc_id int, text string, n_chars long, spans string")
+    got = S.redact(docs).orderBy("doc_id").collect()
+    assert [r["text"] for r in got] == ["é [assign] end", None, ""] and got[0]["n_chars"] == len("é [assign] end") and got[0]["spans"] == "k"
+    assert S.find(docs.limit(0)).count() == 0 and len(S.find(docs).where("doc_id = 1").first()["spans"]) == 1
+
+
+def test_query_digest(spark):
+    import hashlib
+
+    got = S.op8(spark, "/root/testdata/sf0.001").where("n_hex > 0").collect()
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    for r in got:
+        assign = [("assign", *m.span()) for m in re.finditer(r"""(?:password|passwd|secret|token|api_?key)["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)""", texts[r["doc_id"]], re.I | re.A) if len(m[1]) >= 6]
+        hexes = [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", texts[r["doc_id"]]) if len(m[0]) >= 24]
+        base = sorted(assign + hexes, key=lambda x: x[1])
+        assert (r["n_assign"], r["n_hex"]) == (len(assign), len(hexes)) and r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+    assert spark.range(1).select(F.lit(1)).count() == 1

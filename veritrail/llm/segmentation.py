@@ -288,7 +288,7 @@ class Segmenter:
 
     def words(self, text: str) -> list[str]:
         """The text in strings that no piece spans, cut at spaces where these stand alone."""
-        if not self.breaks or "  " in text or SPACE in text:
+        if not self.breaks or text[:1] == " " or "  " in text or SPACE in text:
             return self.parts(self.prepared(text))
         return [SPACE + w for w in text.split(" ")] if text else []
 
