@@ -175,15 +175,16 @@ def format_question(company: Column, question: Column) -> Column:
 
 
 def facts(text: Column) -> Column:
-    """Statements between line breaks, sentence ends and semicolons."""
-    parts = F.split(F.coalesce(text, F.lit("")), r"\n+|(?<=[.!?])\s+|;\s*")
-    return F.filter(F.transform(parts, strip), lambda x: x != "")
+    """Statements between line breaks, sentence ends and semicolons, without bullets; the whole text if there is none."""
+    parts = F.split(F.coalesce(text, F.lit("")), r"\n+|(?<=[.!?])\s+|;")
+    found = F.filter(F.transform(parts, lambda x: F.regexp_replace(x, r"^[ \t*\r-]+|[ \t*\r-]+$", "")), lambda x: x != "")
+    return F.when(F.size(found) > 0, found).otherwise(F.array(strip(F.coalesce(text, F.lit("")))))
 
 
-def slice_between(text: Column, first: Column, last: Column, limit: int = READ_LIMIT) -> Column:
-    """The text from the first marker up to the next last marker; null where either is missing or the slice is longer than the limit."""
+def slice_between(text: Column, first: Column, last: Column | None = None, limit: int = READ_LIMIT) -> Column:
+    """The text from the first marker up to the next last marker (or its end), stripped; null where a marker is missing or it is longer than the limit."""
     start = F.instr(text, first)
     rest = F.substring(text, start, F.length(text))
-    end = F.instr(F.substring(rest, F.length(first) + 1, F.length(rest)), last)
-    cut = F.substring(rest, F.lit(1), F.length(first) + end - 1)
+    end = F.length(rest) + 1 if last is None else F.instr(rest, last)
+    cut = strip(F.substring(rest, F.lit(1), end - 1))
     return F.when((start > 0) & (end > 0) & (F.length(cut) <= limit), cut)

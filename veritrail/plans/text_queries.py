@@ -417,7 +417,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("p24_facts", """
 SELECT conv_id, turn, CAST(len(f) AS BIGINT) AS n_facts, md5(array_to_string(f, '|')) AS facts_md5 FROM (
-  SELECT conv_id, turn, list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+|;\\s*'), lambda x: trim(x)), lambda x: x <> '') AS f FROM conversations)
+  SELECT conv_id, turn, list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+|;'), lambda x: trim(x, chr(32) || chr(9) || chr(13) || '*-')), lambda x: x <> '') AS f FROM conversations)
 """)
 def _(t: Tables) -> DataFrame:
     x = t.conversations.select("conv_id", "turn", T.facts(F.col("text")).alias("f"))

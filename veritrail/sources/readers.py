@@ -72,7 +72,7 @@ def jsonl_with_lineage(spark: SparkSession, path, schema: str) -> DataFrame:
 
     A file is read as one record, so the numbers are its own however it is stored; for files of more than executor memory, use jsonl.
     """
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("source"), F.posexplode(F.split("value", "\r?\n")).alias("_i", "_line"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source"), F.posexplode(F.split("value", "\r?\n")).alias("_i", "_line"))
     files = files.where(F.trim("_line") != "").select("source", (F.col("_i") + 1).alias("line"), "_line")
     valid = F.expr("try_parse_json(_line) IS NOT NULL")
     return files.select("source", "line", F.when(valid, "ok").otherwise("invalid_json").alias("status"), F.when(valid, F.from_json("_line", schema)).alias("row"))
@@ -80,7 +80,7 @@ def jsonl_with_lineage(spark: SparkSession, path, schema: str) -> DataFrame:
 
 def json_map(spark: SparkSession, path: str, value_schema: str) -> DataFrame:
     """key and value of each entry of one JSON object per file."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.explode(F.from_json("value", f"map<string,{value_schema}>")).alias("key", "value"))
 
 
