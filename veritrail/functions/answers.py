@@ -161,9 +161,10 @@ def legacy_quality() -> Column:
     )
 
 
-def length_factor(candidate: Column, gold: Column) -> Column:
-    """How much of the gold's length the candidate has, between one half and one."""
-    return F.greatest(F.lit(0.5), F.least(F.lit(1.0), F.length(candidate) / F.greatest(F.lit(1), F.length(gold))))
+def length_factor(gold: Column, candidate: Column, ratio: float = 3.0) -> Column:
+    """1 up to ratio times the gold's length, then the allowed length as a share of the candidate's, at least one half."""
+    allowed = ratio * F.greatest(F.length(gold), F.lit(1))
+    return F.when((gold == "") | (F.length(candidate) <= allowed), 1.0).otherwise(F.greatest(F.lit(0.5), F.least(F.lit(1.0), ratio * F.length(gold) / F.greatest(F.length(candidate), F.lit(1)))))
 
 
 def five_percent_grade(gold: Column, answer: Column) -> Column:

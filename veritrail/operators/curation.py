@@ -136,12 +136,13 @@ def selection_summary(selected: DataFrame, question: str, model: str) -> DataFra
 
 
 def disjoint_split(documents: DataFrame, key: str, order: Column, size: str, wanted: int) -> DataFrame:
-    """key and split: documents in the given order go to dev until it has the wanted number of rows; no document is in both.
+    """key and split: documents in the given order go to dev until it has the wanted number of rows; no document is in both, and train is never empty.
 
     documents: one row per document with its number of rows. The running sum is over the documents of a benchmark, not over rows.
     """
     before = F.coalesce(F.sum(size).over(W.orderBy(order, key).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return documents.withColumn("split", F.when(before < wanted, "dev").otherwise("train"))
+    total = documents.agg(F.sum(size)).first()[0] or 0
+    return documents.withColumn("split", F.when((before < wanted) & (F.col(size) < total - before), "dev").otherwise("train"))
 
 
 def repaired(traces: DataFrame, events: str, inserted: str) -> DataFrame:

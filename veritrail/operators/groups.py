@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,6 +48,13 @@ def epoch_pages(rows: DataFrame, key: str, epoch: int, size: int, seed: int = 0)
     return rows.withColumn("position", F.row_number().over(order) - 1).withColumn("page", F.floor(F.col("position") / size))
 
 
+def seeded_pages(spark, keys: list, epoch: int, size: int, seed: int = 0) -> DataFrame:
+    """key, position, page by Python's generator seeded with seed + epoch: the reproducible order of a small list of scheduled keys."""
+    order = list(keys)
+    random.Random(seed + epoch).shuffle(order)
+    return spark.createDataFrame([(k, i, i // size) for i, k in enumerate(order)], "key string, position int, page int")
+
+
 def full_roster(roster: DataFrame, metrics: DataFrame, key: str) -> DataFrame:
     """Every scheduled episode with its metrics; those that ended early have zeros, so denominators stay whole."""
     numeric = [c for c, t in metrics.dtypes if c != key and t in ("int", "bigint", "double", "float")]

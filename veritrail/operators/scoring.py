@@ -124,15 +124,24 @@ def evidence_quality(gold_in_answer: Column, gold_in_trace: Column, candidate_in
     return support * F.when(strong, 1.0).when(weak, 0.75).otherwise(0.0)
 
 
-def hard_veto(contradicted: Column, gold_decision: Column, answer_decision: Column, gold_has_number: Column, numbers_match: Column) -> Column:
-    """The first reason for which a judge is not asked, or null."""
-    return F.when(contradicted, "contradiction").when(gold_decision.isNotNull() & answer_decision.isNotNull() & (gold_decision != answer_decision), "decision").when(gold_has_number & ~numbers_match, "numeric")
+def hard_veto(contradicted: Column, gold_decision: Column, answer_decision: Column, numbers_differ: Column) -> Column:
+    """The first reason for which no judge is asked, or null."""
+    return F.when(contradicted, "explicit_contradiction").when(gold_decision.isNotNull() & answer_decision.isNotNull() & (gold_decision != answer_decision), "decision_mismatch").when(numbers_differ, "numeric_mismatch")
 
 
-def merged_judgment(deterministic: Column, verdict: Column, confidence: Column, numeric_ok: Column, factor: Column, veto: Column) -> Column:
-    """A confident verdict decides unless a veto stands: contradicted gives 0, entailed with right numbers the length factor."""
-    sure = F.coalesce(confidence >= 0.85, F.lit(False)) & veto.isNull()
-    return F.when(veto.isNotNull(), deterministic).when(sure & (verdict == "contradicted"), 0.0).when(sure & (verdict == "entailed") & numeric_ok, F.greatest(deterministic, factor)).otherwise(deterministic)
+def text_veto() -> Column:
+    """hard_veto over the columns of ``answers.text_terms``: numbers differ if both sides have some, none matches, and both or neither are percentages."""
+    c = F.col
+    percent = lambda ms: F.exists(ms, lambda m: m["percent"])
+    differ = c("_gold_real") & c("_answer_real") & ~c("_all") & (c("_matched") == 0) & (percent("_gn") == percent("_an"))
+    return hard_veto(c("_against"), c("_gd"), c("_ad"), differ)
+
+
+def merged_judgment(deterministic: Column, verdict: Column, confidence: Column, numeric_ok: Column, both_numbers: Column, factor: Column, veto: Column) -> Column:
+    """0 under a veto or a sure contradiction; for sure entailment the length factor, or 0 if both sides have numbers that the judge finds wrong; else as it was."""
+    sure = F.coalesce(confidence >= 0.85, F.lit(False))
+    entailed = F.when(both_numbers & ~numeric_ok, 0.0).otherwise(factor)
+    return F.when(veto.isNotNull(), 0.0).when(sure & (verdict == "contradicted"), 0.0).when(sure & (verdict == "entailed"), entailed).otherwise(deterministic)
 
 
 def needs_judge(gold: Column, answer: Column, veto: Column) -> Column:
@@ -147,6 +156,14 @@ def process_quality(pivoted: Column, evidence: Column, arithmetic: Column, repea
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw))
 
 
-def arithmetic_reward(parsed: Column, correct: Column, near: Column, length: Column, limit: int = 64) -> Column:
-    """1 if correct, 0.25 if near, 0.10 if there is a number at all, else 0; brevity adds at most 0.01."""
-    return F.when(correct, 1.0).when(near, 0.25).when(parsed, 0.10).otherwise(0.0) + 0.01 * F.greatest(F.lit(0.0), 1 - length / limit)
+def arithmetic_reward(text: Column, gold: Column) -> Column:
+    """1 if the last number after an answer marker is the gold, 0.25 for a marker and a number, 0.10 for a number; length adds at most 0.01."""
+    predicted = F.get(F.reverse(F.regexp_extract_all(text, F.lit(r"(?i)\banswer\s*:\s*(-?\d+)\b"), 1)), F.lit(0))
+    number, marker = text.rlike(r"\d"), text.rlike(r"(?i)\banswer\s*:")
+    grade = F.when(F.coalesce(predicted, F.lit("")) == gold, 1.0).when(marker & number, 0.25).when(number, 0.10).otherwise(0.0)
+    return F.least(F.lit(1.0), grade + 0.01 * F.least(F.length(text), F.lit(100)) / 100)
+
+
+def replayed_status(score_f: Column, target_status: Column) -> Column:
+    """Why an episode has no score to count: target_unresolved, no_submission, or null."""
+    return F.when(target_status == "unresolved", "target_unresolved").when(score_f == 0, "no_submission")

@@ -73,8 +73,50 @@ def last_submission(calls: DataFrame, by: str, position: str, name: str = "name"
     return finishes.groupBy(by).agg(F.max_by(arguments, position).alias("submission"), F.count("*").alias("finishes"))
 
 
-def stop_reason(finished: Column, parse_errors: Column, length_stop: Column, turns: Column, max_turns: int, infrastructure: Column) -> Column:
-    return F.when(infrastructure, "infrastructure").when(finished, "accepted_finish").when(length_stop, "length").when(parse_errors > 0, "parse").when(turns >= max_turns, "turn_limit").otherwise("other")
+# What an engine's stop reasons are called in reports.
+STOPS = {"completed": "plain_text", "parse_error": "parse", "max_tokens": "length", "max_sampled_tokens": "length", "context_overflow": "context", "max_turns": "turn_limit"}
+
+
+def _stops(stop: Column, leave_out: tuple[str, ...] = ()) -> Column:
+    return reduce(lambda c, kv: c.when(stop == kv[0], kv[1]), [kv for kv in STOPS.items() if kv[0] not in leave_out], F.when(F.lit(False), "")).otherwise("other")
+
+
+def terminal_reason(stop: Column, accepted: Column, validation_errors: Column) -> Column:
+    """accepted_finish, validation (errors before an ordinary end), or what the stop is called."""
+    ordinary = stop.isin("completed", "max_turns", "tool_stopped")
+    return F.when((stop == "tool_stopped") & accepted, "accepted_finish").when((validation_errors > 0) & ordinary, "validation").otherwise(_stops(stop))
+
+
+def finish_type(stop: Column, accepted: Column, finishes: Column) -> Column:
+    return F.when(accepted, "accepted_finish").when(finishes > 0, "finish_rejected").otherwise(_stops(stop, ("completed",)))
+
+
+def failure_category(accepted: Column, grounded_success: Column, calculation_errors: Column, errors: Column, unresolved: Column, fabricated: Column, a: Column, g: Column) -> Column:
+    """The first failure that applies, in a fixed order."""
+    return (
+        F.when(accepted & (grounded_success == 1), "correct_grounded_finish")
+        .when(calculation_errors > 0, "calculation_input_error")
+        .when(errors > 0, "tool_validation_error")
+        .when(~accepted, "missing_terminal_finish")
+        .when(unresolved, "judge_or_semantic_unresolved")
+        .when(fabricated | (g == 0), "unsupported_or_ungrounded_evidence")
+        .when(a == 0, "incorrect_answer")
+        .otherwise("other")
+    )
+
+
+def failure_totals(rows: DataFrame, question: str = "question_id") -> DataFrame:
+    """Per question and over all (question null): trajectories, accepted and grounded finishes, errors; one rollup."""
+    n = lambda c: F.sum(c.cast("long"))
+    return rows.rollup(question).agg(F.count("*").alias("trajectories"), n(F.col("finish_type") == "accepted_finish").alias("accepted"), n(F.col("grounded_success") == 1).alias("grounded"), F.sum("errors").alias("errors"), F.count_distinct("failure_category").alias("categories"))
+
+
+def error_counts(observations: DataFrame, by: str, text: str = "text") -> DataFrame:
+    """by, errors, calculation_errors, judge_errors of the observations that report one."""
+    message = F.lower(F.coalesce(F.get_json_object(text, "$.error"), F.lit("")))
+    n = lambda c: F.sum(c.cast("long"))
+    some = observations.select(by, message.alias("_m")).where("_m <> ''")
+    return some.groupBy(by).agg(F.count("*").alias("errors"), n(F.col("_m").rlike("calculation|operand|expression|calculate")).alias("calculation_errors"), n(F.col("_m").rlike("judge|deepinfra|credential")).alias("judge_errors"))
 
 
 def running_evidence(observations: DataFrame, by: str, order: list[str], piece: int = EVIDENCE_PIECE, cap: int = EVIDENCE_CAP) -> DataFrame:

@@ -228,13 +228,13 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("c09_judge_merge", """
-SELECT event_id, CASE WHEN event_id % 9 = 0 THEN d WHEN conf >= 0.85 AND v = 'contradicted' THEN 0.0 WHEN conf >= 0.85 AND v = 'entailed' AND event_id % 2 = 0 THEN greatest(d, 0.75) ELSE d END AS quality
+SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 0.0 WHEN conf >= 0.85 AND v = 'contradicted' THEN 0.0 WHEN conf >= 0.85 AND v = 'entailed' THEN CASE WHEN event_id % 4 = 1 THEN 0.0 ELSE 0.75 END ELSE d END AS quality
 FROM (SELECT event_id, (event_id % 5) / 4.0 AS d, (event_id % 20) / 19.0 AS conf, CASE event_id % 3 WHEN 0 THEN 'entailed' WHEN 1 THEN 'contradicted' ELSE 'neutral' END AS v FROM events)
 """)
 def _(t: Tables) -> DataFrame:
     i = F.col("event_id")
     verdict = F.when(i % 3 == 0, "entailed").when(i % 3 == 1, "contradicted").otherwise("neutral")
-    return t.events.select("event_id", S.merged_judgment(i % 5 / 4, verdict, i % 20 / 19, i % 2 == 0, F.lit(0.75), F.when(i % 9 == 0, "numeric")).alias("quality"))
+    return t.events.select("event_id", S.merged_judgment(i % 5 / 4, verdict, i % 20 / 19, i % 2 == 0, i % 4 == 1, F.lit(0.75), F.when(i % 9 == 0, "numeric")).alias("quality"))
 
 
 @query("a12_claim_fractions", "SELECT user_id, round(avg(CASE WHEN event_type IN ('click', 'view') THEN CAST(value > 10 AS DOUBLE) END), 6) AS N, round(avg(CASE WHEN event_type NOT IN ('click', 'view') THEN CAST(value > 10 AS DOUBLE) END), 6) AS S FROM events GROUP BY 1")

@@ -424,9 +424,9 @@ def _(t: Tables) -> DataFrame:
     return x.select("conv_id", "turn", F.size("f").cast("long").alias("n_facts"), F.md5(F.array_join("f", "|")).alias("facts_md5"))
 
 
-@query("p41_length_factor", "SELECT conv_id, turn, round(greatest(0.5, least(1.0, length(next) / greatest(1, length(text)))), 6) AS factor FROM (SELECT c.conv_id, c.turn, c.text, d.text AS next FROM conversations c JOIN conversations d ON c.conv_id = d.conv_id AND d.turn = c.turn + 1)")
+@query("p41_length_factor", "SELECT conv_id, turn, round(CASE WHEN text = '' OR length(next) <= 3 * greatest(1, length(text)) THEN 1.0 ELSE greatest(0.5, least(1.0, 3.0 * length(text) / greatest(1, length(next)))) END, 6) AS factor FROM (SELECT c.conv_id, c.turn, c.text, d.text AS next FROM conversations c JOIN conversations d ON c.conv_id = d.conv_id AND d.turn = c.turn + 1)")
 def _(t: Tables) -> DataFrame:
-    return _turn_pairs(t).select("conv_id", "turn", F.round(A.length_factor(F.col("next"), F.col("text")), 6).alias("factor"))
+    return _turn_pairs(t).select("conv_id", "turn", F.round(A.length_factor(F.col("text"), F.col("next")), 6).alias("factor"))
 
 
 @query("j16_quote_containment", """
