@@ -91,7 +91,7 @@ class Segmenter:
             mass = math.log(sum(1 / (r + 1) for r in range(len(normal))))
             scores = {i: -math.log(r + 1) - mass for r, i in enumerate(sorted(normal, key=lambda i: (-scores[i], i)))}
         self.bytes = {int(model.id_to_piece(i)[3:5], 16): i for i in range(size) if model.is_byte(i)}
-        self.byte_of = {i: b for b, i in self.bytes.items()}
+        self.spelled = {i: p.encode() for i, p in self.text.items()} | {i: bytes([b]) for b, i in self.bytes.items()}
         self.unknown = min(scores.values()) - 10
         #: Pieces as (score, id); beginnings of pieces as None.
         self.pieces: dict[str, tuple[float, int] | None] = {p[:k]: None for p in self.text.values() for k in range(1, len(p))}
@@ -308,7 +308,7 @@ class Segmenter:
         costs = [k[1] for k in known]
         if n == 1 or not costs:
             return out
-        most = heapq.nsmallest(n - 1, costs)[-1]
+        most = sorted(costs)[min(n - 1, len(costs)) - 1]
         chosen = [i for _, i in sorted((c, i) for i, c in enumerate(costs) if c <= most and c < math.inf)[: n - 1]]
         choices = [self.known_choices[words[i], n] for i in chosen]
         start = (0,) * len(chosen)
@@ -331,22 +331,13 @@ class Segmenter:
 
     def decode(self, ids: list[int]) -> str:
         """The text of any segmentation: byte runs are put together, spaces restored, the first one dropped."""
-        out, run = [], bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                run.append(self.byte_of[i])
-                continue
-            if run:
-                out.append(run.decode(errors="replace"))
-                run.clear()
-            out.append(self.text[i])
-        text = "".join([*out, run.decode(errors="replace")]).replace(SPACE, " ")
+        text = b"".join(map(self.spelled.__getitem__, ids)).decode(errors="replace").replace(SPACE, " ")
         return text[1:] if text[:1] == " " else text
 
 
-def encodings(docs: DataFrame, path: str, n: int = N_BEST, text: str = "text") -> DataFrame:
-    """doc_id, ids and score of the best segmentation, n_best (scores), n_best_crc32 (of each one's ids as 32-bit numbers), decoded (whether
-    the best decodes to the text; a text that has U+2581 itself does not)."""
+def encodings(docs: DataFrame, path: str, n: int = N_BEST, text: str = "text", with_ids: bool = True) -> DataFrame:
+    """doc_id, ids (if asked for), n_pieces and score of the best segmentation, n_best (scores), n_best_crc32 (of each one's ids as 32-bit
+    numbers), decoded (whether the best decodes to the text; a text that has U+2581 itself does not)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Segmenter(path)
@@ -358,16 +349,18 @@ def encodings(docs: DataFrame, path: str, n: int = N_BEST, text: str = "text") -
                 coder.learn(words)
                 for t, w in zip(texts, words, strict=True):
                     found = coder.n_best(t, n, w)
-                    ids = array("I", found[0][1]).tolist()
-                    rows.append((ids, len(ids), found[0][0], [s for s, _ in found], [zlib.crc32(i) for _, i in found], coder.decode(ids) == t))
-                yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True))], names)
-
-    names = ["doc_id", "ids", "n_pieces", "score", "n_best", "n_best_crc32", "decoded"]
-    types = [pa.list_(pa.int32()), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.bool_()]
+                    ids = array("I", found[0][1])
+                    rows.append((ids.tolist() if with_ids else None, len(ids), found[0][0], [s for s, _ in found], [zlib.crc32(i) for _, i in found], coder.decode(ids) == t))
+                columns = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(columns[i], types[i]) for i in kept)], ["doc_id", *(names[i] for i in kept)])
+
+    kinds = {"ids": "array<int>", "n_pieces": "long", "score": "double", "n_best": "array<double>", "n_best_crc32": "array<long>", "decoded": "boolean"}
+    names, types = list(kinds), [pa.list_(pa.int32()), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.bool_()]
+    kept = range(0 if with_ids else 1, len(names))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, n_pieces long, score double, n_best array<double>, n_best_crc32 array<long>, decoded boolean")
+    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{names[i]} {kinds[names[i]]}" for i in kept))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
     """The N-best segmentations of all documents, as digests, and whether the best decodes to the text."""
-    return encodings(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_model()).drop("ids")
+    return encodings(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_model(), with_ids=False)
