@@ -17,7 +17,6 @@ from __future__ import annotations
 import heapq
 import io
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
