@@ -99,11 +99,16 @@ def test_lenient_calls(text, want):
     assert C.lenient_calls(text) == want
 
 
-@pytest.mark.parametrize("value,kind,want", [("[1, 2]", "array", [1, 2]), ("x", "array", ["x"]), ("", "array", []), (5, "string", "5"), ("3", "integer", 3), ("x", "integer", "x"), (True, "string", True), (None, "array", [])])
+@pytest.mark.parametrize("value,kind,want", [("[1, 2]", "array", [1, 2]), ("x", "array", ["x"]), ("", "array", [""]), (5, "string", "5"), ("3", "integer", "3"), ('{"a": 1}', "object", {"a": 1}), ("[1]", "object", "[1]"), (True, "string", "True"), (None, "string", None), (7, "array", 7)])
 def test_coercion(value, kind, want):
     assert C.coerced(value, kind) == want
 
 
+@pytest.mark.parametrize("value,want", [([1, "a"], ["1", "a"]), ('["x", 2]', ["x", "2"]), ("x", ["x"]), ("", [""]), (None, []), (0, []), (3, ["3"])])
+def test_listed(value, want):
+    assert C.listed(value) == want
+
+
 def test_signature_is_normalized(spark):
     same = lambda t: one(spark, C.call_signature(F.lit("read"), F.col("t")), t=t)
     assert same('{"b": 1, "a": " X  y "}') == same('{"a": "x y", "b": 1}') != same('{"a": "x z", "b": 1}')

@@ -122,10 +122,12 @@ def evaluation_violations(rows: DataFrame, expected: DataFrame, stop_reasons: tu
     return reduce(DataFrame.unionByName, [single, repeated, missing, extra, signatures])
 
 
-def audit_sample(frame: DataFrame, fixed: Column, buckets: list[Column], order: list[str], cap: int) -> DataFrame:
-    """Fixed rows first, then rows by the first bucket that holds, in order, up to the cap. bucket: 0 for fixed, then 1, 2, ..."""
+def audit_sample(frame: DataFrame, key: str, fixed: Column, buckets: list[Column], order: list[str], cap: int) -> DataFrame:
+    """Fixed rows first, then one row of each other key by the first bucket that holds, in order, up to the cap. bucket: 0 for fixed, then 1, 2, ..."""
     bucket = reduce(lambda acc, b: acc.when(b[1], b[0]), enumerate(buckets, 1), F.when(fixed, 0))
-    return frame.withColumn("bucket", bucket).where("bucket IS NOT NULL").orderBy("bucket", *order).limit(cap)
+    some = frame.withColumn("bucket", bucket).where("bucket IS NOT NULL")
+    first = F.row_number().over(W.partitionBy(key).orderBy("bucket", *order))
+    return some.withColumn("_n", first).where("bucket = 0 OR _n = 1").drop("_n").orderBy("bucket", *order).limit(cap)
 
 
 def selection_summary(selected: DataFrame, question: str, model: str) -> DataFrame:
@@ -146,11 +148,10 @@ def disjoint_split(documents: DataFrame, key: str, order: Column, size: str, wan
 
 
 def repaired(traces: DataFrame, events: str, inserted: str) -> DataFrame:
-    """Event arrays with the inserted events just before the last finish event; unchanged where there is no finish."""
-    position = F.size(events) - F.array_position(F.reverse(F.transform(events, lambda e: e["name"])), "finish") + 1
+    """Event arrays with the inserted events just before the first finish event; unchanged where there is no finish."""
+    position = F.array_position(F.transform(events, lambda e: e["name"]), "finish").cast("int")
     edited = F.concat(F.slice(events, 1, position - 1), F.col(inserted), F.slice(events, position, F.size(events)))
-    has = F.exists(events, lambda e: e["name"] == "finish")
-    return traces.withColumn(events, F.when(has, edited).otherwise(F.col(events)))
+    return traces.withColumn(events, F.when(position > 0, edited).otherwise(F.col(events)))
 
 
 def repair_status(parse_errors: Column, finishes: Column, all_supported: Column, f: Column, a: Column, g: Column) -> Column:

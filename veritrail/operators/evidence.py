@@ -102,3 +102,34 @@ def receipts(deliveries: DataFrame, episode: str, order: list[str]) -> DataFrame
     """Deliveries numbered r1, r2, ... within their episode, in order."""
     n = F.row_number().over(W.partitionBy(episode).orderBy(*order))
     return deliveries.withColumn("receipt_id", F.concat(F.lit("r"), n.cast("string")))
+
+
+def support_reads(supports: DataFrame, pages: DataFrame, by: str, limit: int = 2400) -> DataFrame:
+    """by, document_id, page, start, end of the reads that show each support's quote exactly, each once; none for a target with a quote that cannot be shown.
+
+    supports: by, document_id, page, quote; pages: document_id, page, text.
+    """
+    found = contained(supports, pages, ["document_id", "page"]).withColumn("end", F.col("offset") + F.length("quote"))
+    usable = F.coalesce(F.col("found") & (F.length("quote") <= limit), F.lit(False))
+    whole = found.groupBy(by).agg(F.bool_and(usable).alias("_all")).where("_all").select(by)
+    return found.join(whole, by, "left_semi").select(by, "document_id", "page", F.col("offset").alias("start"), "end").distinct()
+
+
+def claim_citations(supports: DataFrame, receipts: DataFrame, by: str, order: str) -> DataFrame:
+    """by and receipt_ids: for each claim the first strong receipt that has one of its quotes, each once, in order; only where all claims have one.
+
+    supports: by, claim, document_id, page, quote; receipts: by, receipt_id, tool, document_id, page, text and the order column.
+    """
+    strong = receipts.where(F.col("tool").isin(*STRONG_TOOLS)).select(by, "receipt_id", "document_id", "page", "text", order)
+    hits = supports.join(strong, [by, "document_id", "page"]).where((F.length("quote") > 0) & F.col("text").contains(F.col("quote")))
+    first = hits.groupBy(by, "claim").agg(F.min(F.struct(order, "receipt_id")).alias("m"))
+    whole = all_claims_covered(supports, first.select(by, "claim"), by).where("all_covered").select(by)
+    chosen = first.join(whole, by, "left_semi").select(by, "m").distinct()
+    return chosen.groupBy(by).agg(F.transform(F.sort_array(F.collect_list("m")), lambda m: m["receipt_id"]).alias("receipt_ids"))
+
+
+def named_observations(calls: DataFrame, observations: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """Observations without call ids with the name of the call they answer: the k-th observation of a trace answers its k-th call. name is null past the calls."""
+    n = F.row_number().over(W.partitionBy(by).orderBy(*order))
+    c = calls.withColumn("_k", n).select(by, "_k", "name")
+    return observations.withColumn("_k", n).join(c, [by, "_k"], "left").drop("_k")

@@ -265,3 +265,44 @@ def _(t: Tables) -> DataFrame:
 @query("s10_report_cells", "SELECT l_orderkey, l_linenumber, format('{:.4f}', l_extendedprice) AS price, l_returnflag AS flag FROM lineitem")
 def _(t: Tables) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber", P.markdown_cell(F.col("l_extendedprice"), "double").alias("price"), P.markdown_cell(F.col("l_returnflag"), "string").alias("flag"))
+
+
+SUPPORTS_SQL = """
+pg AS (SELECT conv_id, turn AS page, text FROM conversations),
+su AS (SELECT conv_id, turn AS page, 'c' || (turn % 3) AS claim, CASE WHEN conv_id % 5 = 0 AND turn = 2 THEN 'nowhere to be found' ELSE substr(text, 5, 20) END AS quote FROM conversations WHERE length(text) > 30)
+"""
+
+
+def _supports(t: Tables) -> DataFrame:
+    quote = F.when((F.col("conv_id") % 5 == 0) & (F.col("turn") == 2), "nowhere to be found").otherwise(F.substring("text", 5, 20))
+    return t.conversations.where("length(text) > 30").select("conv_id", F.col("conv_id").alias("document_id"), F.col("turn").alias("page"), F.concat(F.lit("c"), (F.col("turn") % 3).cast("string")).alias("claim"), quote.alias("quote"))
+
+
+@query("k01_support_reads", f"""
+WITH {SUPPORTS_SQL}, f AS (SELECT su.conv_id, su.page, instr(text, quote) - 1 AS start, length(quote) AS n FROM su JOIN pg ON su.conv_id = pg.conv_id AND su.page = pg.page)
+SELECT conv_id, page, start, start + n AS "end" FROM f WHERE conv_id NOT IN (SELECT conv_id FROM f WHERE start < 0)
+""")
+def _(t: Tables) -> DataFrame:
+    pages = t.conversations.select(F.col("conv_id").alias("document_id"), F.col("turn").alias("page"), "text")
+    return E.support_reads(_supports(t), pages, "conv_id").select("conv_id", "page", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+
+
+@query("k01_repaired_citations", f"""
+WITH {SUPPORTS_SQL}, rc AS (SELECT conv_id, page, text, 'r' || page AS receipt_id FROM pg WHERE page % 4 <> 3),
+h AS (SELECT su.conv_id, claim, min(rc.page) AS p FROM su JOIN rc ON su.conv_id = rc.conv_id AND su.page = rc.page AND contains(text, quote) GROUP BY ALL),
+w AS (SELECT conv_id FROM (SELECT DISTINCT su.conv_id, su.claim, h.p FROM su LEFT JOIN h ON su.conv_id = h.conv_id AND su.claim = h.claim) GROUP BY 1 HAVING count(*) = count(p))
+SELECT conv_id, string_agg('r' || p, ',' ORDER BY p) AS receipt_ids FROM (SELECT DISTINCT conv_id, p FROM h WHERE conv_id IN (SELECT conv_id FROM w)) GROUP BY 1
+""")
+def _(t: Tables) -> DataFrame:
+    r = t.conversations.where("turn % 4 <> 3").select("conv_id", F.col("conv_id").alias("document_id"), F.col("turn").alias("page"), "text", F.concat(F.lit("r"), F.col("turn").cast("string")).alias("receipt_id"), F.lit("read").alias("tool"), F.col("turn").alias("delivered"))
+    return E.claim_citations(_supports(t), r, "conv_id", "delivered").select("conv_id", F.array_join("receipt_ids", ",").alias("receipt_ids"))
+
+
+@query("k04_inferred_tool_names", f"""
+WITH {CALLS_SQL}, c AS (SELECT user_id, name, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM calls WHERE event_id % 2 = 0), o AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM calls WHERE event_id % 2 = 1)
+SELECT o.user_id, o.event_id, coalesce(c.name, '') AS name FROM o LEFT JOIN c ON o.user_id = c.user_id AND o.k = c.k
+""")
+def _(t: Tables) -> DataFrame:
+    x = calls(t)
+    out = E.named_observations(x.where("event_id % 2 = 0"), x.where("event_id % 2 = 1").select("user_id", "event_id"), "user_id", ["event_id"])
+    return out.select("user_id", "event_id", F.coalesce("name", F.lit("")).alias("name"))

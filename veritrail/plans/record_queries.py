@@ -466,11 +466,13 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("f16_audit_sample", """
-SELECT event_id, bucket FROM (SELECT event_id, CASE WHEN event_id IN (5, 17) THEN 0 WHEN value > 60 THEN 1 WHEN event_type = 'error' AND value > 30 THEN 2 WHEN value < 0.05 THEN 3 END AS bucket FROM events) WHERE bucket IS NOT NULL ORDER BY bucket, event_id LIMIT 60
+WITH b AS (SELECT event_id, user_id, CASE WHEN event_id IN (5, 17) THEN 0 WHEN value > 60 THEN 1 WHEN event_type = 'error' AND value > 30 THEN 2 WHEN value < 0.05 THEN 3 END AS bucket FROM events),
+f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY bucket, event_id) AS k FROM b WHERE bucket IS NOT NULL)
+SELECT event_id, bucket FROM f WHERE bucket = 0 OR k = 1 ORDER BY bucket, event_id LIMIT 60
 """)
 def _(t: Tables) -> DataFrame:
     v, kind = F.col("value"), F.col("event_type")
-    return U.audit_sample(t.events, F.col("event_id").isin(5, 17), [v > 60, (kind == "error") & (v > 30), v < 0.05], ["event_id"], 60).select("event_id", "bucket")
+    return U.audit_sample(t.events, "user_id", F.col("event_id").isin(5, 17), [v > 60, (kind == "error") & (v > 30), v < 0.05], ["event_id"], 60).select("event_id", "bucket")
 
 
 @query("a03_selection_summary", "SELECT sum(n) AS selected_rows, count(*) AS unique_questions, min(n) AS least, max(n) AS most, (SELECT count(*) FROM orders WHERE o_orderstatus = 'O') AS o_rows FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)")
@@ -480,7 +482,9 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("w13_disjoint_split", """
-SELECT o_custkey, CASE WHEN coalesce(sum(n) OVER (ORDER BY h, o_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 3000 THEN 'dev' ELSE 'train' END AS split FROM (SELECT o_custkey, count(*) AS n, md5(CAST(o_custkey AS VARCHAR)) AS h FROM orders GROUP BY 1)
+WITH d AS (SELECT o_custkey, count(*) AS n, md5(CAST(o_custkey AS VARCHAR)) AS h FROM orders GROUP BY 1),
+b AS (SELECT *, coalesce(sum(n) OVER (ORDER BY h, o_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d)
+SELECT o_custkey, CASE WHEN before < 3000 AND n < (SELECT count(*) FROM orders) - before THEN 'dev' ELSE 'train' END AS split FROM b
 """)
 def _(t: Tables) -> DataFrame:
     d = t.orders.groupBy("o_custkey").agg(F.count("*").alias("n"))
