@@ -28,6 +28,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import materialize
+
 #: Labelled rows of each label that a model may be fitted on.
 TRAIN_ROWS = 20_000
 #: Entries of a learned lexicon at most.
@@ -192,7 +194,8 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
                 keys.append(min((xxhash.xxh64_intdigest(" ".join(w[i : i + 5])) >> 1 for i in range(max(1, len(w) - 4))), default=0))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.int64())], ["toxic", "text", "key"])
 
-    return rows_.mapInArrow(keyed, "toxic int, text string, key long").dropDuplicates(["toxic", "key"])
+    # Of each group of near copies the same one every time, so that a fit repeats.
+    return rows_.mapInArrow(keyed, "toxic int, text string, key long").groupBy("toxic", "key").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
 def features_of(text: str) -> set[str]:
@@ -244,8 +247,6 @@ def regress(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float = 2.0,
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    from ._common import materialize
-
     some = materialize(sample(docs, labels, rows), "labelled")
     words, stems = lexicon(some)
     model = Model(words, stems)
