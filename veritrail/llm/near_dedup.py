@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import WS, materialize
+from ._common import WS, materialize, text_batches
 from .components import components
 
 WORDS, PERCENT = 5, 75
@@ -254,7 +254,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id linked, by any chain), kept (doc_id is the component's id)."""
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(f"`{text}`").alias("text"))
+    given = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(f"`{text}`").alias("text"))
     rows = materialize(given.mapInArrow(_signed, "doc_id long, row long, n_shingles long, k1 long, k2 long, bands array<long>"), "signatures")
     some = rows.where("n_shingles > 0")
     classes = some.groupBy("k1", "k2").agg(F.min("row").alias("class"), F.min("doc_id").alias("least"))

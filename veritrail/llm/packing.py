@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import materialize, text_batches
 
 CAPACITY = 2048
 #: Stands behind the last token of a word; no id is as large.
@@ -38,7 +38,7 @@ NOTHING = 0xFFFF
 #: ASCII marks that, behind a letter, are tokens apart from it; the apostrophe may belong to a contraction.
 MARKS = string.punctuation.replace("'", "")
 #: Distinct words whose ids a worker keeps; beyond it, only those just seen stay.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 560_000
 
 
 def public_tokenizer() -> str:
@@ -196,7 +196,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"]
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = text_batches(docs).select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     return texts.mapInArrow(encode, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long")
 
 

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import text_batches
+
 #: Kinds in the order in which spans that start together are listed; the first three are the base.
 KINDS = ("assign", "access", "hex", "token", "key_block", "key_base64", "key_hex")
 
@@ -140,7 +142,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             found = [[{"kind": k, "start": s, "end": e} for k, s, e in scan(t)] for t in _texts(b, 1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, spans)], [key, "spans"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, spans array<struct<kind:string,start:long,end:long>>")
+    return text_batches(docs).select(key, text).mapInArrow(run, f"`{key}` {kind}, spans array<struct<kind:string,start:long,end:long>>")
 
 
 def masked(text: str, mark: str = "[{}]") -> str:
@@ -166,7 +168,7 @@ def redact(docs: DataFrame, text: str = "text", chars: str | None = "n_chars") -
                 columns[j] = pa.array([n if t is None else len(t) for t, n in zip(new, old, strict=True)], b.schema.types[j])
             yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return text_batches(docs).mapInArrow(run, docs.schema)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
@@ -184,4 +186,4 @@ def op8(spark, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long"), "text")
-    return docs.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return text_batches(docs).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import text_batches
+
 N_BEST = 4
 #: Parts of up to so many characters are measured as arrays, so many at a time.
 LONGEST, ROWS = 24, 512
@@ -357,7 +359,7 @@ def encodings(docs: DataFrame, path: str, n: int = N_BEST, text: str = "text", w
     kinds = {"ids": "array<int>", "n_pieces": "long", "score": "double", "n_best": "array<double>", "n_best_crc32": "array<long>", "decoded": "boolean"}
     names, types = list(kinds), [pa.list_(pa.int32()), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.bool_()]
     kept = range(0 if with_ids else 1, len(names))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`"))
+    rows = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`"))
     return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{names[i]} {kinds[names[i]]}" for i in kept))
 
 

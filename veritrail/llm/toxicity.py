@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import materialize, text_batches
 
 #: Labelled rows of each label that a model may be fitted on.
 TRAIN_ROWS = 20_000
@@ -183,7 +183,7 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     order = F.xxhash64(F.lit(10), "doc_id")
     some = [known.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(rows) for k in (0, 1)]
-    texts = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = text_batches(docs).select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows_ = texts.join(F.broadcast(some[0].unionByName(some[1])), "doc_id").select("toxic", "text")  # the broadcast is bounded by rows
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +273,7 @@ def scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([model.score(t.as_py() or "") for t in b.column(1)], pa.float64())], [key, "score"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, score double")
+    return text_batches(docs).select(key, text).mapInArrow(run, f"`{key}` {kind}, score double")
 
 
 def without_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -284,7 +284,7 @@ def without_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFram
             at = b.schema.get_field_index(text)
             yield b.filter(pa.array([model.score(t.as_py() or "") < 0.5 for t in b.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return text_batches(docs).mapInArrow(run, docs.schema)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
