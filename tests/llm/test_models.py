@@ -110,6 +110,14 @@ def test_toxicity_held_out(spark):
     assert auc > 0.8 and (bad >= 0.5).mean() < 0.1
 
 
+@pytest.mark.parametrize("clean", [1, 7])
+def test_lexicon_at_any_ratio_of_labels(spark, clean):
+    filler = lambda i: " ".join(f"{chr(97 + i % 26)}{chr(97 + j)}{chr(97 + i * j % 26)}" for j in range(9))
+    rows = [(1, f"{filler(i)} {'trash' if i % 2 else 'worthless scum'}") for i in range(300)] + [(0, filler(i) + " trash" * (i == 0)) for i in range(300 * clean)]
+    words, _ = X.lexicon(spark.createDataFrame(rows, "toxic int, text string"))
+    assert set(words) == {"trash", "worthless", "scum"}
+
+
 def test_toxicity_odd_input(spark):
     docs = spark.createDataFrame([(1, None, 0.0), (2, "", 0.0), (3, "you idiot", 0.0), (3, "you idiot", 0.0), (None, "x", 0.0)], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(3, 1, None), (3, 0, None), (1, None, None), (None, 1, None)], "doc_id long, toxic int, quality int")

@@ -34,6 +34,8 @@ from ._common import materialize, text_batches
 TRAIN_ROWS = 20_000
 #: Entries of a learned lexicon at most.
 LEXICON = 4096
+#: Times that a lexicon entry must be more frequent among toxic rows than among clean ones, whatever the numbers of both.
+RATIO = 11
 STEMS = (3, 4, 5, 6, 7)
 
 # Seed words of the lexicon.
@@ -205,35 +207,29 @@ def features_of(text: str) -> set[str]:
 
 
 def lexicon(rows: DataFrame, entries: int = LEXICON) -> tuple[dict[str, float], dict[str, float]]:
-    """Words and stems whose document counts under the labels differ beyond chance, with log odds."""
+    """Words and stems whose shares of the documents under the labels differ by ``RATIO`` and beyond chance, with log odds."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = (Counter(), Counter())
-        n = [0, 0]
         for b in batches:
             for toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 seen[toxic].update(features_of(text))
-                n[toxic] += 1
         names = list(seen[0].keys() | seen[1].keys())
         for at in range(0, len(names), 50_000):
             some = names[at : at + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), *(pa.array([seen[k][x] for x in some], pa.int64()) for k in (0, 1))], ["x", "c", "t"])
-        yield pa.RecordBatch.from_arrays([pa.array(["** all"]), pa.array([n[0]], pa.int64()), pa.array([n[1]], pa.int64())], ["x", "c", "t"])
 
-    sums = rows.select("toxic", "text").mapInArrow(count, "x string, c long, t long").groupBy("x").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
-    sums = sums.where("t >= 4 AND t > c").orderBy(F.desc(F.col("t") - F.col("c")), "x").limit(8 * entries).unionByName(sums.where("x = '** all'"))
-    found = {r["x"]: (r["c"], r["t"]) for r in sums.collect()}
-    n0, n1 = found.pop("** all", (0, 0))
+    n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    n0, n1 = n.get(0, 0), n.get(1, 0)
     if not n0 or not n1:
         return {}, {}
-    q, bar, kept = n1 / (n0 + n1), math.log(1e7), []
-    for x, (c, t) in found.items():
-        share = t / (t + c)
-        gain = t * math.log(share / q) + (c * math.log((1 - share) / (1 - q)) if c else 0)
-        if share > max(0.6, 2 * q) and gain > bar:
-            kept.append((-gain, x, min(6.0, math.log((t + 0.5) / (c + 0.5) * (n0 + 1) / (n1 + 1)))))
-    kept = sorted(kept)[:entries]
-    return {x: w for _, x, w in kept if x[-1] != "*" and w > 0}, {x[:-1]: w for _, x, w in kept if x[-1] == "*" and w > 0}
+    sums = rows.select("toxic", "text").mapInArrow(count, "x string, c long, t long").groupBy("x").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
+    q, c, t = n1 / (n0 + n1), F.col("c"), F.col("t")
+    share = t / (t + c)
+    gain = t * F.log(share / q) + F.when(c > 0, c * F.log((1 - share) / (1 - q))).otherwise(0)
+    kept = sums.where((t >= 4) & (t * n0 > RATIO * c * n1)).withColumn("gain", gain).where(F.col("gain") > math.log(1e7)).orderBy(F.desc("gain"), "x").limit(entries)
+    found = {r["x"]: min(6.0, math.log((r["t"] + 0.5) / (r["c"] + 0.5) * (n0 + 1) / (n1 + 1))) for r in kept.collect()}
+    return {x: w for x, w in found.items() if x[-1] != "*" and w > 0}, {x[:-1]: w for x, w in found.items() if x[-1] == "*" and w > 0}
 
 
 def regress(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float = 2.0, rounds: int = 25) -> np.ndarray:
