@@ -118,6 +118,15 @@ def test_lexicon_at_any_ratio_of_labels(spark, clean):
     assert set(words) == {"trash", "worthless", "scum"}
 
 
+def test_fit_keeps_the_ratio_of_labels(spark):
+    filler = lambda i: " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}{chr(97 + j)}" for j in range(9))
+    rows = [(i, int(i % 9 == 0), filler(i) + (" you idiot" if i % 9 == 0 and i % 2 or i % 17 == 1 else "")) for i in range(3600)]
+    docs = spark.createDataFrame(rows, "doc_id long, toxic int, text string")
+    whole, thinned = (X.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), rows=n) for n in (10_000, 300))
+    assert abs(whole.score("plain words") - 0.06) < 0.03 and abs(thinned.score("plain words") - whole.score("plain words")) < 0.03
+    assert abs(whole.weights[0] - thinned.weights[0]) < 0.5
+
+
 def test_toxicity_odd_input(spark):
     docs = spark.createDataFrame([(1, None, 0.0), (2, "", 0.0), (3, "you idiot", 0.0), (3, "you idiot", 0.0), (None, "x", 0.0)], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(3, 1, None), (3, 0, None), (1, None, None), (None, 1, None)], "doc_id long, toxic int, quality int")

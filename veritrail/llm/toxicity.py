@@ -7,7 +7,8 @@ someone, before or after the word). A clause's weight goes to the outcome that t
 
 What is learned, from labelled rows only: the insult lexicon (words and word beginnings whose document frequencies tell the labels apart
 beyond chance) and the weights of the outcomes (logistic regression held near fixed prior weights). Both use at most
-``TRAIN_ROWS`` labelled rows of each label, by smallest hash; near copies among them count once. All texts are scored whole.
+``TRAIN_ROWS`` labelled rows of each label, by smallest hash; near copies among them count once. Lexicon entries are judged by shares within
+each label and the regression weights a sampled row by the rows it stands for, so neither depends on how far a label was thinned. All texts are scored whole.
 
 Null and empty texts have no clause and get the score of a text without one. Labels that are null take no part; a doc_id labelled twice
 counts by its higher label. With no labels the fixed seeds and priors remain. Repeated rows get equal scores, as a score depends on the
@@ -180,9 +181,19 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
+def labelled(labels: DataFrame) -> DataFrame:
+    """doc_id and toxic of each labelled document that is not held out."""
+    return labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+
+
+def stands_for(labels: DataFrame, rows: int) -> dict[int, float]:
+    """By label, the labelled documents that each one of a sample of at most so many stands for."""
+    return {r["toxic"]: max(1.0, r["count"] / rows) for r in labelled(labels).groupBy("toxic").count().collect()}
+
+
 def sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     """toxic and text of at most so many labelled documents of each label, not held out; near copies that share a shingle minimum count once."""
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    known = labelled(labels)
     order = F.xxhash64(F.lit(10), "doc_id")
     some = [known.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(rows) for k in (0, 1)]
     texts = text_batches(docs).select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -232,13 +243,13 @@ def lexicon(rows: DataFrame, entries: int = LEXICON) -> tuple[dict[str, float],
     return {x: w for x, w in found.items() if x[-1] != "*" and w > 0}, {x[:-1]: w for x, w in found.items() if x[-1] == "*" and w > 0}
 
 
-def regress(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float = 2.0, rounds: int = 25) -> np.ndarray:
-    """Logistic regression by Newton steps, pulled toward the prior."""
-    x, w = np.hstack([np.ones((len(x), 1)), x]), prior.copy()
+def regress(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float = 2.0, rounds: int = 25, times: np.ndarray | None = None) -> np.ndarray:
+    """Logistic regression by Newton steps, pulled toward the prior; each row counts so many times."""
+    x, w, times = np.hstack([np.ones((len(x), 1)), x]), prior.copy(), np.ones(len(x)) if times is None else times
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + ridge * (w - prior)
-        w = w - np.linalg.solve((x.T * (p * (1 - p))) @ x + ridge * np.eye(len(w)), grad)
+        grad = x.T @ (times * (p - y)) + ridge * (w - prior)
+        w = w - np.linalg.solve((x.T * (times * p * (1 - p))) @ x + ridge * np.eye(len(w)), grad)
     return w
 
 
@@ -254,10 +265,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
     got = some.select("toxic", "text").mapInArrow(features, "toxic int, x array<double>").groupBy("toxic", "x").count().collect()  # 2 * rows at most
     if {r["toxic"] for r in got} == {0, 1}:
-        x = np.repeat([r["x"] for r in got], [r["count"] for r in got], axis=0)
-        y = np.repeat([r["toxic"] for r in got], [r["count"] for r in got]).astype(float)
+        each = stands_for(labels, rows)  # the sample takes the labels' rows at different rates; the fit has the ratio of all labelled rows
+        x, y = np.array([r["x"] for r in got]), np.array([r["toxic"] for r in got], float)
+        times = np.array([r["count"] * each[r["toxic"]] for r in got])
         order = np.lexsort([*x.T, y])
-        model.weights = regress(x[order], y[order], PRIOR)
+        model.weights = regress(x[order], y[order], PRIOR, times=times[order])
     return model
 
 
