@@ -95,3 +95,19 @@ def test_shards_repeat_and_mix(spark, tmp_path):
     assert order != sorted(order)
     sharding.write_shards(docs, str(tmp_path / "s"), 8, seed=5, bucket_rows=300)
     assert spark.read.parquet(str(tmp_path / "s")).groupBy("shard").count().count() == 8
+
+
+def test_query_shuffles_whole_records(spark, tmp_path, monkeypatch):
+    docs = odd_docs(spark)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    real, given = sharding.shuffle_shards, []
+
+    def shuffled(records, shards, **kw):
+        given.append((records.columns, sorted(r[0] for r in records.select(kw["size"]).collect())))
+        return real(records, shards, **kw)
+
+    monkeypatch.setattr(sharding, "shuffle_shards", shuffled)
+    got = sharding.op3(spark, str(tmp_path)).collect()
+    texts = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.collect()]
+    assert sorted(map(str, ((r["doc_id"], r["size"], r["text_crc32"]) for r in got))) == sorted(str((i, len(t) + 1, zlib.crc32(t))) for i, t in texts)
+    assert given[0][0] == docs.columns and all(n >= len(t) for n, t in zip(given[0][1], sorted((t for _, t in texts), key=len), strict=True))

@@ -58,10 +58,14 @@ def write_shards(records: DataFrame, path: str, shards: int, seed: int = 17, siz
     out.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
+#: Bytes of a document's other columns and of a row, beside its text.
+ROW_BYTES = 64
+
+
 def op3(spark, sf_dir: str) -> DataFrame:
-    """All documents in shards 0 to 7 under the law ``rows``. A null text has size 1 and CRC 0."""
+    """All documents, whole, in shards 0 to 7 under the law ``rows``; size and CRC are of the texts as they left the shuffle. A null text has size 1 and CRC 0."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    text = F.coalesce("text", F.lit(""))
-    digest = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    out = shuffle_shards(digest, 8, size=F.lit(24))
-    return out.select("record.doc_id", "record.size", "record.text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    out = shuffle_shards(docs, 8, size=F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES)
+    text = F.coalesce("record.text", F.lit(""))
+    size, crc = (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")
+    return out.select("record.doc_id", size, crc, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
