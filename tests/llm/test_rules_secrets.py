@@ -65,6 +65,20 @@ def test_keys(key):
     assert [k for k, *_ in S.scan(f"-----BEGIN RSA PRIVATE KEY-----\n{b64(key)}\n-----END RSA PRIVATE KEY-----")][0] == "key_block"
 
 
+def test_key_blocks_with_headers_and_escapes():
+    lines = lambda b: [b64(b)[i : i + 64] for i in range(0, len(b64(b)), 64)]
+    block = lambda *rows, br="\n": br.join(["-----BEGIN RSA PRIVATE KEY-----", *rows, "-----END RSA PRIVATE KEY-----"])
+    dek = "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC," + "0A" * 16, ""
+    for br in ("\n", "\r\n", "\\n", "\\r\\n"):
+        for text in (block(*lines(RSA), br=br), block(*dek, *lines(b"\x9c" * 640), br=br), block("Comment: a key-file", "", *lines(EC), br=br)):
+            assert S.scan(f"a {text} b")[0] == ("key_block", 2, 2 + len(text)) and S.masked(f"a {text} b") == "a [key_block] b", text
+    assert S.masked(json.dumps({"k": block(*lines(PKCS8))})) == '{"k": "[key_block]"}'
+    orphan = "-----BEGIN RSA PRIVATE KEY-----\nxx " + block(*lines(RSA))
+    assert [k for k, *_ in S.scan(orphan)].count("key_block") == 1
+    for rows in ([*dek, *lines(b"\x9c" * 641)], [dek[0], "", *lines(b"\x9c" * 640)], ["Comment: no key", "", *lines(b"\x9c" * 640)], ["just words"]):
+        assert "key_block" not in [k for k, *_ in S.scan(block(*rows))]
+
+
 @pytest.mark.parametrize("text,kinds", [
     (TOKEN, ["token"]), (TOKEN.replace("eyJ", "eyK", 1), []), ("eyJhbGciOjF9.e30.x", []), (b64(b"just text that is no key at all, however long it may be"), []), ("AKIA" + "A" * 16, ["access"]), ("AKIA" + "A" * 15, []), ("AKIAx" + "AKIA" + "B" * 16, ["access"]),
     ("a" * 24, ["hex"]), ("a" * 23, []), ("PassWord : \"hunter2x\"", ["assign"]), ("token=secret1", ["assign"]), ("token=token: abcdef", []), ("api_key='12345'", []), ("api-key=123456", []), ("paſsword=123456", []), ("", []),

@@ -32,7 +32,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 # Candidates of the other kinds.
 TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----([^-]*)-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----")
+BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----((?:(?!-----BEGIN ).)*?)-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----", re.S)
+HEADER = re.compile(r"[ \t]*([A-Za-z][A-Za-z0-9-]*):[ \t]*(.*)")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}")
 ANY_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])")
 
@@ -101,6 +102,22 @@ def is_key(data: bytes | None) -> bool:
     return data is not None and (private_der(data) or private_ssh(data))
 
 
+def is_block(body: str) -> bool:
+    """Whether the text between a key block's lines is a key; line breaks may be escaped. An encrypted body, as RFC 1421 headers tell it, fills whole cipher blocks."""
+    lines = re.sub(r"\\+/", "/", re.sub(r"\\+[nrt]", "\n", body)).strip().splitlines()
+    found = [(i, m) for i, x in enumerate(lines) if (m := HEADER.fullmatch(x))]
+    if not found:
+        return is_key(unbase64("".join("".join(lines).split())))
+    last = found[-1][0]
+    blank = next((i for i in range(last + 1, len(lines)) if not lines[i].strip()), last)  # continued headers end at the blank line
+    data = unbase64("".join("".join(lines[blank + 1 :]).split()))
+    headers = {m[1].lower(): m[2].strip() for _, m in found}
+    if not headers.get("proc-type", "").upper().endswith("ENCRYPTED"):
+        return is_key(data)
+    iv = re.fullmatch(r"[A-Za-z0-9-]+,\s*((?:[0-9A-Fa-f]{16}){1,2})", headers.get("dek-info", ""))
+    return bool(iv and data) and len(data) >= 24 and len(data) % (len(iv[1]) // 2) == 0
+
+
 def is_token(text: str) -> bool:
     """Whether the header names an algorithm, the payload is an object and the signature decodes."""
     try:
@@ -117,7 +134,7 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     found += [("access", *m.span()) for m in ACCESS.finditer(text)]
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
     found += [("token", *m.span()) for m in TOKEN.finditer(text) if is_token(m[0])]
-    found += [("key_block", *m.span()) for m in BLOCK.finditer(text) if is_key(unbase64(re.sub(r"\s", "", m[1])))]
+    found += [("key_block", *m.span()) for m in BLOCK.finditer(text) if is_block(m[1])]
     found += [("key_base64", *m.span()) for m in BASE64.finditer(text) if is_key(unbase64(m[0]))]
     found += [("key_hex", *m.span()) for m in ANY_HEX.finditer(text) if is_key(bytes.fromhex(m[0]))]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
