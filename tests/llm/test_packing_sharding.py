@@ -11,7 +11,14 @@ from hypothesis import strategies as st
 from veritrail.llm import packing, sharding
 
 ODD = "doc_id long, text string, shard string, slot string, record string, length string"
-TEXTS = [None, "", "  ", "Hello, world!", "a " * 5000, "Ünïcode DON'T stop\x1cnow 'tis $$$ <|endoftext|>", "İstanbul Ångström ﬁ Ǆ é 12ab"]
+TEXTS = [None, "", "  ", "Hello, world!", "a " * 5000, "Ünïcode DON'T stop\x1cnow 'tis $$$ <|endoftext|>", "İstanbul Ångström ﬁ Ǆ é 12ab", "a<|startoftext|>b hello <|endoftext|> you", "<|ENDOFTEXT|> <|endoftext<|endoftext|><|endoftext|>", "e<|endoftext|>\u0301 z", "very long " * 40_000]
+
+
+def tokenizer():
+    """As the contract has it: nothing set on it."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(packing.public_tokenizer())
 
 
 def odd_docs(spark):
@@ -51,28 +58,46 @@ def test_plan_places_every_piece_once(histogram):
 def test_words_equal_the_tokenizer(spark):
     coder = packing.WordEncoder(packing.public_tokenizer(), cache_words=8)
     texts = [t or "" for t in TEXTS] + [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()]
-    whole = [e.ids for e in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    whole = [e.ids for e in tokenizer().encode_batch(texts, add_special_tokens=False)]
     got = [array("I", b).tolist() for k in range(0, len(texts), 5) for b in coder.batch([t.encode() for t in texts[k : k + 5]])]
     assert got == whole and coder.merges is not None
+    assert tokenizer().encode("hello <|endoftext|> you", add_special_tokens=False).ids == array("I", next(coder.batch([b"hello <|endoftext|> you"]))).tolist() == [3306, 49407, 592]
+
+
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|", "|>", "<", "E", "é", "İ", "\u0301", " ", "\x1c", "\u2028", "'S", "ab1", "ENDOFTEXT", "endoftext"]), max_size=8).map("".join), max_size=4))
+@settings(max_examples=200, deadline=None)
+def test_any_text_equals_the_tokenizer(texts):
+    want = [e.ids for e in PLAIN.encode_batch(texts, add_special_tokens=False)]
+    assert [array("I", b).tolist() for b in CODER.batch([t.encode() for t in texts])] == want
+
+
+PLAIN, CODER = tokenizer(), packing.WordEncoder(packing.public_tokenizer())
 
 
 def test_pack(spark):
     docs = odd_docs(spark)
-    got = packing.pack(packing.pieces(docs, packing.public_tokenizer())).collect()
-    coder = packing.WordEncoder(packing.public_tokenizer())
-    want = []
+    packed = packing.pack(packing.pieces(docs, packing.public_tokenizer())).cache()
+    got, want = packed.collect(), []
     for r in docs.collect():
-        ids = coder.tokenizer.encode(r["text"] or "", add_special_tokens=False).ids + [0]
-        want += [(r["doc_id"] if r["doc_id"] is not None else -1, k, a, min(2048, len(ids) - a), zlib.crc32(array("I", ids[a : a + 2048]).tobytes())) for k, a in enumerate(range(0, len(ids), 2048))]
-    assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == sorted(want)
+        ids = PLAIN.encode(r["text"] or "", add_special_tokens=False).ids + [0]
+        want += [(str(r["doc_id"]), k, a, min(2048, len(ids) - a), array("I", ids[a : a + 2048]).tobytes()) for k, a in enumerate(range(0, len(ids), 2048))]
+    assert sorted((str(r["doc_id"]), r["piece"], r["start"], r["length"], bytes(r["ids"])) for r in got) == sorted(want)
+    digest = {(str(r["doc_id"]), r["piece"]): r["ids_crc32"] for r in packing.digests(packed).collect()}
+    assert digest == {(i, k): zlib.crc32(b) for i, k, _, _, b in want}
     bins = {}
     for r in got:
-        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
-    assert all(sum(n for _, n in sorted(b)[:i]) == o for b in bins.values() for i, (o, _) in enumerate(sorted(b))) and all(sum(n for _, n in b) <= 2048 for b in bins.values())
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"], bytes(r["ids"])))
+    assert all(sum(n for _, n, _ in sorted(b)[:i]) == o for b in bins.values() for i, (o, _, _) in enumerate(sorted(b))) and all(sum(n for _, n, _ in b) <= 2048 for b in bins.values())
     assert len(bins) == -(-sum(r["length"] for r in got) // 2048)
+    assert {r["sequence_id"]: bytes(r["ids"]) for r in packing.sequences(packed).collect()} == {k: b"".join(x for _, _, x in sorted(b)) for k, b in bins.items()}
     assert packing.pack(packing.pieces(docs.limit(0), packing.public_tokenizer())).count() == 0
 
 
+def test_query_packs_to_the_lower_bound(spark):
+    got = packing.op2(spark, "/root/testdata/sf0.01").agg({"sequence_id": "max", "length": "sum", "doc_id": "count"}).first()
+    assert got["max(sequence_id)"] + 1 == -(-got["sum(length)"] // 2048)
+
+
 @pytest.mark.parametrize("rows", [1, 3, 1000])
 def test_shards(spark, rows):
     docs = odd_docs(spark)

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ WS = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own: dict[str, str] = {}
+#: Paths of the tables written, by application.
+_written: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,24 +35,49 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """df written once to the shared folder and read back: lineage is cut, and lost executors lose nothing.
 
-    The files stay as long as the application's checkpoint folder does, as the lazy results read them.
+    The files stay, as lazy results read them, until ``release`` or the end of ``scratch``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/veritrail-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows of an Arrow batch that carries texts; Spark's own 10,000 can take much memory, in the JVM and in Python, when texts are long.
-BATCH_ROWS = 2000
-
-
-def text_batches(df: DataFrame) -> DataFrame:
-    """df, after bounding the session's Arrow batches: a lower bound that is set already stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
-        df.sparkSession.conf.set(key, BATCH_ROWS)
-    return df
+def release(spark: SparkSession, keep: int = 0) -> int:
+    """Deletes the intermediate tables of this application but the first ``keep``; how many. Results not written yet can't be read afterwards."""
+    paths = _written.get(spark.sparkContext.applicationId, [])
+    gone, paths[keep:] = paths[keep:], []
+    for p in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(gone)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables of operators called within are deleted at the end; write results before that."""
+    before = len(_written.get(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        release(spark, before)
+
+
+#: Rows and bytes that an operator takes from an Arrow batch at a time; Spark bounds the batches themselves by 64 MB.
+SLICE_ROWS, SLICE_BYTES = 256, 4 << 20
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most so many rows and, beyond one row, bytes."""
+    for b in batches:
+        at = 0
+        while at < b.num_rows:
+            n = min(rows, b.num_rows - at)
+            while n > 1 and b.slice(at, n).nbytes > size:
+                n //= 2
+            yield b.slice(at, n)
+            at += n
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

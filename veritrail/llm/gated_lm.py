@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, text_batches
+from ._common import materialize, slices
 
 HEAD, CLASS, TAIL = 512, 32, 16
 HIDDEN, WINDOW, LANES = 8, 24, 1024
@@ -318,7 +318,7 @@ def vocabulary(docs: DataFrame, known: int = KNOWN) -> tuple[Vocabulary, DataFra
 
 def score(docs: DataFrame, known: int = KNOWN) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark, docs = docs.sparkSession, _texts(text_batches(docs))
+    spark, docs = docs.sparkSession, _texts(docs)
     vocab, counts, by_id = vocabulary(docs, known)
     words = spark.sparkContext.broadcast(vocab)  # at most ``known`` words
     net = train(docs, words, Network.start(by_id))

@@ -8,8 +8,11 @@ bounded by the number of lengths, and pieces find their place in it by their ran
 Tasks rank their own pieces of each length while they cut documents, so there is no shuffle of pieces by length and a hot length can
 land in no single task. Only (task, length) counts are shuffled, and only the histogram goes to the driver.
 
-A null or empty text has the end token alone. Repeated rows are packed as often as they occur. A null doc_id is kept. Extra columns
-take no part. An empty table gives an empty result.
+Ids are the tokenizer's own: its special tokens, where a text spells them, are those tokens. They are looked for in the text as it
+stands, before it is lower-cased, as the tokenizer does.
+
+A null or empty text has the end token alone. Very long texts are encoded whole and cut into as many pieces as it takes. Repeated rows
+are packed as often as they occur. A null doc_id is kept. Extra columns take no part. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +21,6 @@ import json
 import os
 import re
 import string
-import zlib
 from array import array
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import materialize, text_batches
+from ._common import materialize, slices
 
 CAPACITY = 2048
 #: Stands behind the last token of a word; no id is as large.
@@ -118,6 +120,11 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: Special tokens, cut from the raw texts; what is left between them has none, whatever lower-casing makes of it.
+        self.specials = {e.content.encode(): array("I", [i]).tobytes() for i, e in self.tokenizer.get_added_tokens_decoder().items()}
+        if any(e.normalized or e.lstrip or e.rstrip or e.single_word for e in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("special tokens that take in what stands beside them are not supported")
+        self.special = re.compile(b"(" + b"|".join(map(re.escape, self.specials)) + b")") if self.specials else None
         self.tokenizer.encode_special_tokens = True
         self.merges: Merges | None = Merges(path)
         self.compared = False
@@ -135,8 +142,8 @@ class WordEncoder:
         if found := words & older.keys():
             cache.update((w, older[w]) for w in found)
             words = words - found
-        # Marks after a letter are tokens of their own, so the word before them is often known already.
-        ends = {w: (bare, w[len(bare) :]) for w in words if (bare := w.rstrip(MARKS)) and bare != w and bare[-1].isalpha()}
+        # Marks after a letter are tokens of their own, so the word before them is often known already. (A capital I with a dot ends in a mark, in lower case.)
+        ends = {w: (bare, w[len(bare) :]) for w in words if (bare := w.rstrip(MARKS)) and bare != w and bare[-1].lower().isalpha()}
         if ends:
             words = words.difference(ends)
             parts = {x for pair in ends.values() for x in pair}.difference(cache)
@@ -153,7 +160,17 @@ class WordEncoder:
         cache.update((w, cache[bare] + cache[marks]) for w, (bare, marks) in ends.items())
 
     def batch(self, texts: list[bytes]) -> Iterator[bytes]:
-        """Each text's ids as 32-bit numbers. ASCII letters are lower-cased first, as the tokenizer lower-cases all."""
+        """Each text's ids as 32-bit numbers."""
+        if self.special is None or not any(map(self.special.search, texts)):
+            yield from self.plain(texts)
+            return
+        cut = [self.special.split(t) for t in texts]  # texts at even places, special tokens between them
+        ids = self.plain([x for xs in cut for x in xs[::2]])
+        for xs in cut:
+            yield b"".join(self.specials[x] if i % 2 else next(ids) for i, x in enumerate(xs))
+
+    def plain(self, texts: list[bytes]) -> Iterator[bytes]:
+        """Each text's ids, special tokens as any other characters. ASCII letters are lower-cased first, as the tokenizer lower-cases all."""
         if len(self.cache) > self.cache_words // 2:
             self.cache, self.older = {}, self.cache
         get, new, read = self.cache.get, set(), []
@@ -179,25 +196,24 @@ def cut(lengths: int, capacity: int) -> Iterator[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, and task and rank: the piece's number among the task's pieces of its length."""
+    """doc_id, piece, start, length, ids (little-endian unsigned 32-bit numbers), and task and rank: the piece's number among the task's pieces of its length."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, task, seen, last = WordEncoder(path), TaskContext.get().partitionId(), [0] * (capacity + 1), array("I", [end_id]).tobytes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                rows: list[tuple] = []
-                for doc_id, ids in zip(some.column(0).to_pylist(), coder.batch(some.column(1).cast(pa.binary()).to_pylist()), strict=True):
-                    ids += last
-                    for k, (start, n) in enumerate(cut(len(ids) // 4, capacity)):
-                        rows.append((doc_id, k, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)]), task, seen[n]))
-                        seen[n] += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"]
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-    texts = text_batches(docs).select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInArrow(encode, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long")
+        for some in slices(batches):
+            rows: list[tuple] = []
+            for doc_id, ids in zip(some.column(0).to_pylist(), coder.batch(some.column(1).cast(pa.binary()).to_pylist()), strict=True):
+                ids += last
+                for k, (start, n) in enumerate(cut(len(ids) // 4, capacity)):
+                    rows.append((doc_id, k, start, n, ids[4 * start : 4 * (start + n)], task, seen[n]))
+                    seen[n] += 1
+            for at in range(0, len(rows), 2048):  # a document may have any number of pieces
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 2048], strict=True), types, strict=True)], names)
+
+    names = ["doc_id", "piece", "start", "length", "ids", "task", "rank"]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    return texts.mapInArrow(encode, "doc_id long, piece int, start long, length long, ids binary, task int, rank long")
 
 
 def fullest(lengths: list[int], counts: dict[int, int], room: int) -> dict[int, int]:
@@ -273,12 +289,23 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         found = place(rows)
         for b in batches:
             sequence, offset = found(b.column("length").to_numpy(), b.column("rank").to_numpy() + b.column("first").to_numpy())
-            kept = [b.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(sequence), pa.array(offset)], [*kept, "sequence_id", "offset"])
+
+    kept = ["doc_id", "piece", "start", "length", "ids"]
+    return cut_pieces.join(first, ["length", "task"]).mapInArrow(locate, "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long")
+
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """sequence_id and ids: the tokens of each sequence, its pieces in order of their offsets. A sequence has ``capacity`` tokens at most."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("offset", "ids"))), lambda p: F.hex(p["ids"]))
+    return packed.groupBy("sequence_id").agg(F.unhex(F.array_join(parts, "")).alias("ids"))
+
 
-    return cut_pieces.join(first, ["length", "task"]).mapInArrow(locate, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+def digests(packed: DataFrame) -> DataFrame:
+    """The packed pieces with the CRC-32 of their ids in place of these."""
+    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
     """All documents, cut into pieces of at most 2048 tokens and packed into sequences of at most 2048."""
-    return pack(pieces(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizer()))
+    return digests(pack(pieces(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizer())))

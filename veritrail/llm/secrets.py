@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import text_batches
+from ._common import slices
 
 #: Kinds in the order in which spans that start together are listed; the first three are the base.
 KINDS = ("assign", "access", "hex", "token", "key_block", "key_base64", "key_hex")
@@ -155,11 +155,11 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = [[{"kind": k, "start": s, "end": e} for k, s, e in scan(t)] for t in _texts(b, 1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, spans)], [key, "spans"])
 
-    return text_batches(docs).select(key, text).mapInArrow(run, f"`{key}` {kind}, spans array<struct<kind:string,start:long,end:long>>")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, spans array<struct<kind:string,start:long,end:long>>")
 
 
 def masked(text: str, mark: str = "[{}]") -> str:
@@ -176,7 +176,7 @@ def redact(docs: DataFrame, text: str = "text", chars: str | None = "n_chars") -
     """docs with the secrets in its texts masked, and the column of character counts brought up to date. Null texts stay null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             i, columns = b.schema.get_field_index(text), list(b.columns)
             new = [None if (t := x.as_py()) is None else masked(t) for x in columns[i]]
             columns[i] = pa.array(new, b.schema.types[i])
@@ -185,14 +185,14 @@ def redact(docs: DataFrame, text: str = "text", chars: str | None = "n_chars") -
                 columns[j] = pa.array([n if t is None else len(t) for t, n in zip(new, old, strict=True)], b.schema.types[j])
             yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
 
-    return text_batches(docs).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
     """The secrets of all documents: counts and digest of the base kinds, and all spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for t in _texts(b, 1):
                 spans = scan(t)
@@ -203,4 +203,4 @@ def op8(spark, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long"), "text")
-    return text_batches(docs).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return docs.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")

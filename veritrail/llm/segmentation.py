@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import text_batches
+from ._common import slices
 
 N_BEST = 4
 #: Parts of up to so many characters are measured as arrays, so many at a time.
@@ -343,23 +343,21 @@ def encodings(docs: DataFrame, path: str, n: int = N_BEST, text: str = "text", w
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Segmenter(path)
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                some, rows = b.slice(at, 256), []
-                texts = [t or "" for t in some.column(1).to_pylist()]
-                words = [coder.words(t) for t in texts]
-                coder.learn(words)
-                for t, w in zip(texts, words, strict=True):
-                    found = coder.n_best(t, n, w)
-                    ids = array("I", found[0][1])
-                    rows.append((ids.tolist() if with_ids else None, len(ids), found[0][0], [s for s, _ in found], [zlib.crc32(i) for _, i in found], coder.decode(ids) == t))
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(columns[i], types[i]) for i in kept)], ["doc_id", *(names[i] for i in kept)])
+        for some in slices(batches):
+            rows, texts = [], [t or "" for t in some.column(1).to_pylist()]
+            words = [coder.words(t) for t in texts]
+            coder.learn(words)
+            for t, w in zip(texts, words, strict=True):
+                found = coder.n_best(t, n, w)
+                ids = array("I", found[0][1])
+                rows.append((ids.tolist() if with_ids else None, len(ids), found[0][0], [s for s, _ in found], [zlib.crc32(i) for _, i in found], coder.decode(ids) == t))
+            columns = list(zip(*rows, strict=True))
+            yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(columns[i], types[i]) for i in kept)], ["doc_id", *(names[i] for i in kept)])
 
     kinds = {"ids": "array<int>", "n_pieces": "long", "score": "double", "n_best": "array<double>", "n_best_crc32": "array<long>", "decoded": "boolean"}
     names, types = list(kinds), [pa.list_(pa.int32()), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.bool_()]
     kept = range(0 if with_ids else 1, len(names))
-    rows = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`"))
     return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{names[i]} {kinds[names[i]]}" for i in kept))
 
 

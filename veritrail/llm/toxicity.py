@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, text_batches
+from ._common import materialize, slices
 
 #: Labelled rows of each label that a model may be fitted on.
 TRAIN_ROWS = 20_000
@@ -196,11 +196,11 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     known = labelled(labels)
     order = F.xxhash64(F.lit(10), "doc_id")
     some = [known.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(rows) for k in (0, 1)]
-    texts = text_batches(docs).select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows_ = texts.join(F.broadcast(some[0].unionByName(some[1])), "doc_id").select("toxic", "text")  # the broadcast is bounded by rows
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             keys = []
             for t in b.column(1).to_pylist():
                 w = WORDS.findall(t.lower())
@@ -222,7 +222,7 @@ def lexicon(rows: DataFrame, entries: int = LEXICON) -> tuple[dict[str, float],
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = (Counter(), Counter())
-        for b in batches:
+        for b in slices(batches):
             for toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 seen[toxic].update(features_of(text))
         names = list(seen[0].keys() | seen[1].keys())
@@ -259,7 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     model = Model(words, stems)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             xs = [model.features(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tolist() for x in xs], pa.list_(pa.float64()))], ["toxic", "x"])
 
@@ -278,21 +278,21 @@ def scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
     kind = docs.select(key).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([model.score(t.as_py() or "") for t in b.column(1)], pa.float64())], [key, "score"])
 
-    return text_batches(docs).select(key, text).mapInArrow(run, f"`{key}` {kind}, score double")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, score double")
 
 
 def without_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows whose score is below 0.5, with all their columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             at = b.schema.get_field_index(text)
             yield b.filter(pa.array([model.score(t.as_py() or "") < 0.5 for t in b.column(at)], pa.bool_()))
 
-    return text_batches(docs).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
