@@ -4,6 +4,7 @@ import itertools
 import zlib
 from array import array
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -59,23 +60,24 @@ def test_words_equal_the_tokenizer(spark):
     coder = packing.WordEncoder(packing.public_tokenizer(), cache_words=8)
     texts = [t or "" for t in TEXTS] + [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()]
     whole = [e.ids for e in tokenizer().encode_batch(texts, add_special_tokens=False)]
-    got = [array("I", b).tolist() for k in range(0, len(texts), 5) for b in coder.batch([t.encode() for t in texts[k : k + 5]])]
+    got = [array("I", b).tolist() for k in range(0, len(texts), 5) for b in coder.batch(pa.array(texts[k : k + 5]))]
     assert got == whole and coder.merges is not None
-    assert tokenizer().encode("hello <|endoftext|> you", add_special_tokens=False).ids == array("I", next(coder.batch([b"hello <|endoftext|> you"]))).tolist() == [3306, 49407, 592]
+    assert tokenizer().encode("hello <|endoftext|> you", add_special_tokens=False).ids == array("I", next(coder.batch(pa.array(["hello <|endoftext|> you"])))).tolist() == [3306, 49407, 592]
 
 
 @given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|", "|>", "<", "E", "é", "İ", "\u0301", " ", "\x1c", "\u2028", "'S", "ab1", "ENDOFTEXT", "endoftext"]), max_size=8).map("".join), max_size=4))
 @settings(max_examples=200, deadline=None)
 def test_any_text_equals_the_tokenizer(texts):
     want = [e.ids for e in PLAIN.encode_batch(texts, add_special_tokens=False)]
-    assert [array("I", b).tolist() for b in CODER.batch([t.encode() for t in texts])] == want
+    assert [array("I", b).tolist() for b in CODER.batch(pa.array(texts, pa.string()))] == want
 
 
 PLAIN, CODER = tokenizer(), packing.WordEncoder(packing.public_tokenizer())
 
 
-def test_pack(spark):
+def test_pack(spark, monkeypatch):
     docs = odd_docs(spark)
+    monkeypatch.setattr(packing, "PART", 2)
     packed = packing.pack(packing.pieces(docs, packing.public_tokenizer())).cache()
     got, want = packed.collect(), []
     for r in docs.collect():

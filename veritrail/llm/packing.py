@@ -5,8 +5,8 @@ there are. Per bin, the longest length left is taken and a bitset subset-sum dyn
 as the bitset) finds the fullest combination beside it; the combination is removed as often as the counts allow at once. The plan is
 bounded by the number of lengths, and pieces find their place in it by their rank among those of their length.
 
-Tasks rank their own pieces of each length while they cut documents, so there is no shuffle of pieces by length and a hot length can
-land in no single task. Only (task, length) counts are shuffled, and only the histogram goes to the driver.
+Tasks number their own pieces of each length while they cut documents, in parts of ``PART`` pieces, so a hot length lands in no single
+task. Counts by part are shuffled, the histogram goes to the driver, and pieces are joined to their part's first rank.
 
 Ids are the tokenizer's own: its special tokens, where a text spells them, are those tokens. They are looked for in the text as it
 stands, before it is lower-cased, as the tokenizer does.
@@ -27,10 +27,12 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ._common import materialize, slices
 
@@ -39,6 +41,8 @@ CAPACITY = 2048
 NOTHING = 0xFFFF
 #: ASCII marks that, behind a letter, are tokens apart from it; the apostrophe may belong to a contraction.
 MARKS = string.punctuation.replace("'", "")
+#: Pieces of one length that share a part, and with it a key of the join that places them.
+PART = 1024
 #: Distinct words whose ids a worker keeps; beyond it, only those just seen stay.
 CACHE_WORDS = 560_000
 
@@ -121,10 +125,10 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         #: Special tokens, cut from the raw texts; what is left between them has none, whatever lower-casing makes of it.
-        self.specials = {e.content.encode(): array("I", [i]).tobytes() for i, e in self.tokenizer.get_added_tokens_decoder().items()}
+        self.specials = {e.content: array("I", [i]).tobytes() for i, e in self.tokenizer.get_added_tokens_decoder().items()}
         if any(e.normalized or e.lstrip or e.rstrip or e.single_word for e in self.tokenizer.get_added_tokens_decoder().values()):
             raise ValueError("special tokens that take in what stands beside them are not supported")
-        self.special = re.compile(b"(" + b"|".join(map(re.escape, self.specials)) + b")") if self.specials else None
+        self.special = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")") if self.specials else None
         self.tokenizer.encode_special_tokens = True
         self.merges: Merges | None = Merges(path)
         self.compared = False
@@ -159,34 +163,40 @@ class WordEncoder:
             cache.update((w.decode(), i) for w, i in self.merges.encode([w.encode() for w in plain]))
         cache.update((w, cache[bare] + cache[marks]) for w, (bare, marks) in ends.items())
 
-    def batch(self, texts: list[bytes]) -> Iterator[bytes]:
+    def batch(self, texts: pa.Array) -> Iterator[bytes]:
         """Each text's ids as 32-bit numbers."""
-        if self.special is None or not any(map(self.special.search, texts)):
+        raw = texts.to_pylist() if self.special is not None and any(pc.any(pc.match_substring(texts, s)).as_py() for s in self.specials) else []
+        if not raw:
             yield from self.plain(texts)
             return
-        cut = [self.special.split(t) for t in texts]  # texts at even places, special tokens between them
-        ids = self.plain([x for xs in cut for x in xs[::2]])
+        cut = [self.special.split(t) for t in raw]  # texts at even places, special tokens between them
+        ids = self.plain(pa.array([x for xs in cut for x in xs[::2]], pa.string()))
         for xs in cut:
             yield b"".join(self.specials[x] if i % 2 else next(ids) for i, x in enumerate(xs))
 
-    def plain(self, texts: list[bytes]) -> Iterator[bytes]:
-        """Each text's ids, special tokens as any other characters. ASCII letters are lower-cased first, as the tokenizer lower-cases all."""
+    def plain(self, texts: pa.Array) -> Iterator[bytes]:
+        """Each text's ids, special tokens as any other characters. ASCII letters are lower-cased first, as the tokenizer lower-cases all.
+
+        Words are numbered by Arrow; the ids of the distinct ones are looked up, and all words' ids taken from these as arrays.
+        """
         if len(self.cache) > self.cache_words // 2:
             self.cache, self.older = {}, self.cache
-        get, new, read = self.cache.get, set(), []
-        for t in texts:
-            text = t.lower().decode()
-            words = re.split(r"[ \t-\r]+", text) if re.search("[\x1c-\x1f]", text) else text.split()
-            ids = list(map(get, words))
-            if None in ids:
-                new.update(w for w, i in zip(words, ids, strict=True) if i is None)
-                read.append((words, None))
-            else:
-                read.append((None, ids))
-        if new:
-            self.learn(new)
-        for words, ids in read:
-            yield b"".join(ids if words is None else map(get, words))
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.cache.get, words))
+        if None in ids:
+            self.learn({w for w, i in zip(words, ids, strict=True) if i is None})
+            ids = list(map(self.cache.get, words))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        pool, starts = np.frombuffer(b"".join(ids), np.uint32), np.cumsum(sizes) - sizes
+        which = coded.indices.to_numpy()
+        n = sizes[which]
+        ends = np.cumsum(n)
+        all_ids = pool[np.repeat(starts[which] - (ends - n), n) + np.arange(n.sum())]
+        edges = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()].tolist()
+        for a, z in zip(edges, edges[1:], strict=False):
+            yield all_ids[a:z].tobytes()
 
 
 def cut(lengths: int, capacity: int) -> Iterator[tuple[int, int]]:
@@ -196,24 +206,24 @@ def cut(lengths: int, capacity: int) -> Iterator[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
-    """doc_id, piece, start, length, ids (little-endian unsigned 32-bit numbers), and task and rank: the piece's number among the task's pieces of its length."""
+    """doc_id, piece, start, length, ids (little-endian unsigned 32-bit numbers), and part and rank: the piece's number among the pieces of its length in that part."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, task, seen, last = WordEncoder(path), TaskContext.get().partitionId(), [0] * (capacity + 1), array("I", [end_id]).tobytes()
-        for some in slices(batches):
+        coder, first, seen, last = WordEncoder(path), TaskContext.get().partitionId() << 32, [0] * (capacity + 1), array("I", [end_id]).tobytes()
+        for some in slices(batches, 1024):
             rows: list[tuple] = []
-            for doc_id, ids in zip(some.column(0).to_pylist(), coder.batch(some.column(1).cast(pa.binary()).to_pylist()), strict=True):
+            for doc_id, ids in zip(some.column(0).to_pylist(), coder.batch(some.column(1)), strict=True):
                 ids += last
                 for k, (start, n) in enumerate(cut(len(ids) // 4, capacity)):
-                    rows.append((doc_id, k, start, n, ids[4 * start : 4 * (start + n)], task, seen[n]))
+                    rows.append((doc_id, k, start, n, ids[4 * start : 4 * (start + n)], first + seen[n] // PART, seen[n] % PART))
                     seen[n] += 1
             for at in range(0, len(rows), 2048):  # a document may have any number of pieces
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 2048], strict=True), types, strict=True)], names)
 
-    names = ["doc_id", "piece", "start", "length", "ids", "task", "rank"]
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
+    names = ["doc_id", "piece", "start", "length", "ids", "part", "rank"]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInArrow(encode, "doc_id long, piece int, start long, length long, ids binary, task int, rank long")
+    return texts.mapInArrow(encode, "doc_id long, piece int, start long, length long, ids binary, part long, rank long")
 
 
 def fullest(lengths: list[int], counts: dict[int, int], room: int) -> dict[int, int]:
@@ -277,11 +287,16 @@ def place(rows: list[tuple[int, int, int, int, int]]) -> Callable[[np.ndarray, n
     return found
 
 
+def digests(some: DataFrame) -> DataFrame:
+    """The rows with the CRC-32 of their ids in place of these."""
+    return some.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The pieces (as from ``pieces``) with sequence_id and offset. They are written once, as two later steps read them."""
+    """The pieces with sequence_id and offset in place of part and rank. They are written once, as two later steps read them."""
     cut_pieces = materialize(cut_pieces, "pieces")
-    counts = cut_pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
-    first = counts.select("length", "task", (F.sum("n").over(W.partitionBy("length").orderBy("task")) - F.col("n")).alias("first"))
+    counts = cut_pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
+    first = counts.select("length", "part", (F.sum("n").over(W.partitionBy("length").orderBy("part")) - F.col("n")).alias("first"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     rows, _ = plan(histogram, capacity)
 
@@ -291,8 +306,9 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             sequence, offset = found(b.column("length").to_numpy(), b.column("rank").to_numpy() + b.column("first").to_numpy())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(sequence), pa.array(offset)], [*kept, "sequence_id", "offset"])
 
-    kept = ["doc_id", "piece", "start", "length", "ids"]
-    return cut_pieces.join(first, ["length", "task"]).mapInArrow(locate, "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long")
+    kept = [c for c in cut_pieces.columns if c not in ("part", "rank")]
+    schema = StructType([cut_pieces.schema[c] for c in kept]).add("sequence_id", "long").add("offset", "long")
+    return cut_pieces.join(first, ["length", "part"]).mapInArrow(locate, schema)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
@@ -301,11 +317,6 @@ def sequences(packed: DataFrame) -> DataFrame:
     return packed.groupBy("sequence_id").agg(F.unhex(F.array_join(parts, "")).alias("ids"))
 
 
-def digests(packed: DataFrame) -> DataFrame:
-    """The packed pieces with the CRC-32 of their ids in place of these."""
-    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-
-
 def op2(spark, sf_dir: str) -> DataFrame:
-    """All documents, cut into pieces of at most 2048 tokens and packed into sequences of at most 2048."""
-    return digests(pack(pieces(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizer())))
+    """All documents, cut into pieces of at most 2048 tokens and packed into sequences of at most 2048. Digests take the ids' place before packing."""
+    return pack(digests(pieces(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizer())))
