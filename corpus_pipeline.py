@@ -37,8 +37,9 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents, packed into sequences."""
-    return packing.pack(packing.pieces(docs, packing.public_tokenizer()))
+    """Pieces of the documents with their token ids, packed into sequences."""
+    packed = packing.pack(packing.pieces(docs, packing.public_tokenizer()))
+    return packed.withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
