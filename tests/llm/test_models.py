@@ -1,5 +1,6 @@
 """The learned operators: arithmetic against plain restatements, gradients, held-out accuracy, odd input."""
 
+import itertools
 import math
 import re
 import zlib
@@ -80,27 +81,94 @@ def test_model_beats_the_base_on_held_out(spark):
     assert r["s"] > r["b"]
 
 
-def test_composition():
-    read = lambda symbols: [(s := (0,))] and _walk(symbols)
-    assert read([X.NEGATION, X.PLAIN, X.INSULT]) == [X.NEGATION, X.PLAIN, X.NEG_INSULT]
-    assert read([X.NEGATION] + [X.PLAIN] * 4 + [X.INSULT])[-1] == X.INSULT
-    assert read([X.REPORT, X.PLAIN, X.INSULT])[-1] == X.REP_INSULT
-    assert read([X.THREAT, X.TARGET])[0] == X.PLAIN and read([X.MODAL, X.THREAT, X.TARGET])[1] == X.THREAT and read([X.MODAL, X.NEGATION, X.THREAT])[2] == X.NEG_THREAT
+def _random_machine(rng, states):
+    """Symbols 0 to 2, up to two ways each, some states not final."""
+    arcs = tuple(tuple(tuple((int(rng.integers(states)), int(rng.integers(3)), float(rng.integers(-3, 4))) for _ in range(rng.integers(3))) for _ in range(3)) for _ in range(states))
+    return X.Transducer(arcs, {s: float(rng.integers(-2, 3)) for s in range(states) if rng.random() < 0.7})
 
 
-def _walk(symbols):
-    state, out = 0, []
+def _paths(m, symbols):
+    """Every accepted path, one by one: {output: best weight}."""
+    live = [(0, (), 0.0)]
     for x in symbols:
-        state, y, _ = X.GRAMMAR.arcs[state][x]
-        out.append(y)
-    return out
+        live = [(to, (*out, o), w + more) for s, out, w in live for to, o, more in m.arcs[s][x]]
+    found = {}
+    for s, out, w in live:
+        if s in m.finals:
+            found[out] = max(found.get(out, -math.inf), w + m.finals[s])
+    return found
+
+
+def test_composition_adds_weights_over_every_middle():
+    rng = np.random.default_rng(4)
+    checked = 0
+    for _ in range(60):
+        a, b = _random_machine(rng, 3), _random_machine(rng, 3)
+        c = X.compose(a, b)
+        for symbols in itertools.product(range(3), repeat=4):
+            want = {}
+            for middle, w in _paths(a, symbols).items():
+                for out, more in _paths(b, middle).items():
+                    want[out] = max(want.get(out, -math.inf), w + more)
+            assert _paths(c, symbols) == want
+            best = c.best([((x, 0.0),) for x in symbols])
+            assert best[0] == max(want.values(), default=-math.inf) and (not want or want[best[1]] == best[0])
+            checked += bool(want)
+    assert checked > 500
+
+
+def test_clause_score_is_the_best_path_weight():
+    """By trying every reading of every word and every path of the whole machine."""
+    m = X.Model({"fool": 4.0}, {"badst": 3.0})
+    assert any(w for state in m.machine.arcs for ways in state for _, _, w in ways)
+    vocabulary = "you fool badstuff not said will kill the idiot".split()
+    for words in itertools.product(vocabulary, repeat=3):
+        readings = [m.lexicon.read(w) for w in words]
+        every = [sum(w for _, w in r) + x for r in itertools.product(*readings) for x in _paths(m.machine, [k for k, _ in r]).values()]
+        assert m.clause(list(words))[0] == pytest.approx(max(every)) and max(every) >= 0
+
+
+def _patterns(m, text):
+    return [X.PATTERNS[x - 12] for x in m.clauses(text)[1]]
+
+
+def test_patterns():
+    m = X.Model({}, {}, dict.fromkeys(X.PATTERNS, 0.0) | {"insult_target": 0.5})
+    for text, found in (
+        ("an idiot", ["insult"]), ("you idiot", ["insult_target"]), ("idiot that you are", ["insult_target"]), ("you. idiot", ["insult"]), ("you are not an idiot", ["insult_negated"]), ("not a b c d idiot", ["insult"]), ("he said you are an idiot", ["insult_reported"]),
+        ("kill you", ["imperative_target"]), ("kill time", []), ("i will kill you", ["threat_target"]), ("i will kill time", []), ("they kill you", []), ("i will not kill you", ["threat_negated"]), ("she said he will kill you", ["threat_reported"]), ("will a b c kill you", []), ("nothing here", []),
+    ):
+        assert _patterns(m, text) == found, text
 
 
 def test_clauses_not_words():
     m = X.Model({"fool": 4.0}, {"badst": 3.0})
     plain, aimed, negated, said = (m.score(t) for t in ("a fool.", "you are a fool.", "you are not a fool.", "they said you are a fool."))
-    assert aimed > plain > negated and said < aimed and m.score("badstuff you") > m.score("nothing at all") == m.score("") < 0.5
-    assert m.score("I will kill you. ") > m.score("I will kill time.") and m.score("you. a fool") == pytest.approx(m.score("you! a fool"))
+    assert aimed > 0.5 > plain > negated and said < 0.5 and m.score("badstuff you") > m.score("nothing at all") == m.score("") < 0.1
+    assert m.score("fool") < 0.5 < m.score("kill you") and m.score("I will kill you. ") > 0.5 > m.score("I will kill time.") and m.score("you. a fool") == pytest.approx(m.score("you! a fool"))
+
+
+def test_labels_teach_a_pattern(spark):
+    """Where insults that address no one are labelled toxic, they become so; where they are not, they stay clean and aimed ones are found."""
+    filler = lambda i: " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}{chr(97 + j)}" for j in range(9))
+    for loose in (0, 1):
+        rows = [(i, 1 if i % 5 == 1 else loose if i % 5 == 2 else 0, filler(i) + {1: " you idiot", 2: " an idiot"}.get(i % 5, "")) for i in range(3000)]
+        docs = spark.createDataFrame(rows, "doc_id long, toxic int, text string")
+        m = X.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+        assert m.score(filler(7000) + " you idiot") > 0.5 and (m.score(filler(7000) + " an idiot") > 0.5) == bool(loose) and m.score(filler(7000)) < 0.1
+
+
+def test_near_copies_are_compared_in_full(spark):
+    """Two texts that share their least shingle and little else both count; near copies count once."""
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}x{chr(97 + i % 7)}" for i in range(400)]
+    base = " ".join(words[:100])
+    least = min(range(96), key=lambda i: X.xxhash.xxh64_intdigest(" ".join(X.WORDS.findall(base)[i : i + 5])))
+    passage = " ".join(X.WORDS.findall(base)[least : least + 5])
+    other = next(t for k in range(400) if min(X.shingled(t := " ".join(words[150 + k % 200 : 160 + k % 200]) + " " + passage)) == min(X.shingled(base)))
+    rows = [(2, 1, base), (3, 1, base + " more"), (4, 1, other), (7, 1, base)]
+    docs = spark.createDataFrame([r for r in rows if zlib.crc32(str(r[0]).encode()) % 5], "doc_id long, toxic int, text string")
+    got = {r["text"] for r in X.sample(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), 100).collect()}
+    assert other in got and len(got) == 2
 
 
 def test_toxicity_held_out(spark):

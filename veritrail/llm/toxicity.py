@@ -1,16 +1,21 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A text is cut into clauses and each clause is read by one machine, composed of five transducers: lexicon (word to insult, threat, target,
-negation, report, modal or other, with a weight), negation (insults and threats in the scope of a negation), reported speech (those after
-a verb of speaking), threat (a verb of violence counts after a modal or an imperative alone) and target (whether the clause addresses
-someone, before or after the word). A clause's weight goes to the outcome that the machine ends with; words outside such a clause pattern have none.
+A text is cut into clauses, and each clause is read by one machine, the composition of seven weighted transducers: the lexicon reads a
+word's letters and writes insult, threat, target, negation, report, modal or other, with the word's weight; negation marks insults and
+threats in its scope; reported speech those after a verb of speaking; threat lets a verb of violence count after a modal or as an imperative
+at the head of the clause; insult tells what was marked apart; target reads each clause twice, as one that addresses someone, which is accepted
+only if a target word occurs, and as one that does not, in which no threat counts; outcome adds the weight of the pattern that a marked
+word ended in. Weights add along a path, the best accepted path's is the clause's score, and no word has a score outside a
+pattern: the lexicon may read any word as plain, so a word whose pattern takes away more than the word brings adds nothing.
 
 What is learned, from labelled rows only: the insult lexicon (words and word beginnings whose document frequencies tell the labels apart
-beyond chance) and the weights of the outcomes (logistic regression held near fixed prior weights). Both use at most
-``TRAIN_ROWS`` labelled rows of each label, by smallest hash; near copies among them count once. Lexicon entries are judged by shares within
-each label and the regression weights a sampled row by the rows it stands for, so neither depends on how far a label was thinned. All texts are scored whole.
+beyond chance), the patterns' weights (log likelihood ratios of documents that show them, from prior ones with pseudo-counts: an insult
+that addresses no one counts for little unless the labels teach otherwise) and how the clauses' sum becomes a probability (logistic regression
+held near a prior). All use at most ``TRAIN_ROWS`` labelled rows of each label, by smallest hash; rows that are near copies of another one, by
+their shingles in full, count once. Lexicon and patterns are judged by shares within each label and the regression weights a sampled
+row by the rows it stands for, so neither depends on how far a label was thinned. All texts are scored whole.
 
-Null and empty texts have no clause and get the score of a text without one. Labels that are null take no part; a doc_id labelled twice
+Null and empty texts have no clause and get the score of a text without one. Very long texts are read clause by clause. Labels that are null take no part; a doc_id labelled twice
 counts by its higher label. With no labels the fixed seeds and priors remain. Repeated rows get equal scores, as a score depends on the
 text alone. Extra columns take no part. An empty table gives an empty result.
 """
@@ -33,11 +38,13 @@ from ._common import materialize, slices
 
 #: Labelled rows of each label that a model may be fitted on.
 TRAIN_ROWS = 20_000
-#: Entries of a learned lexicon at most.
-LEXICON = 4096
 #: Times that a lexicon entry must be more frequent among toxic rows than among clean ones, whatever the numbers of both.
 RATIO = 11
 STEMS = (3, 4, 5, 6, 7)
+#: Documents that a pattern's prior weight counts for.
+PATTERN_PRIOR = 8
+#: Words whose reading a worker keeps.
+CACHE = 400_000
 
 # Seed words of the lexicon.
 SEED_INSULTS = "idiot idiots moron morons imbecile scumbag dumbass bastard bastards retard loser losers".split()
@@ -46,134 +53,225 @@ TARGETS = "you your yours yourself u ur du dich dir dein deine ihr euch tu te to
 NEGATIONS = "not never isn't aren't wasn't don't doesn't nicht kein keine nie pas jamais nunca".split()
 REPORTS = "said says claimed wrote called reported quoted sagte schrieb nannte disait dijo escribió".split()
 MODALS = "will shall gonna must should".split()
+SEED_WEIGHT, THREAT_WEIGHT = 2.0, 1.0
 
+# What the lexicon writes, what the machines in the middle write in its place, and the patterns that words end in.
 PLAIN, NEGATION, REPORT, MODAL, TARGET, INSULT, THREAT = range(7)
-#: Outcomes of a clause: what was found, whether a target was addressed, and whether it was negated or reported.
-OUTCOMES = ("insult", "insult_target", "insult_negated", "insult_reported", "threat_target", "threat_negated", "threat_reported")
-#: Bias, weights by outcome, and the weight of the share of the words' mass that matched.
-PRIOR = np.array([-3.5, 1.0, 1.4, 0.2, 0.4, 1.4, 0.0, 0.3, 0.5])
-NEGATION_SCOPE = 4
+IMPERATIVE, NEG_INSULT, NEG_THREAT, REP_INSULT, REP_THREAT = range(7, 12)
+PATTERNS = ("insult", "insult_target", "insult_negated", "insult_reported", "threat_target", "imperative_target", "threat_negated", "threat_reported")
+SYMBOLS = 12 + len(PATTERNS)
+_OF = {name: 12 + i for i, name in enumerate(PATTERNS)}
+#: Weights of the patterns before any label is seen.
+PATTERN_WEIGHTS = {"insult": -3.0, "insult_target": 1.5, "insult_negated": -5.0, "insult_reported": -4.0, "threat_target": 2.0, "imperative_target": 2.0, "threat_negated": -5.0, "threat_reported": -4.0}
+#: Bias, weight of the clauses' sum, and of the sum for each hundred words, both by log1p.
+PRIOR = np.array([-3.5, 1.0, 0.5])
+NEGATION_SCOPE, MODAL_SCOPE = 4, 3
 
 WORDS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 CLAUSES = re.compile(r"[.!?;:\n]+")
 
+Arc = tuple[int, int, float]
+
 
 @dataclass(frozen=True)
 class Transducer:
-    """States from 0; arcs[state][symbol] = (next state, symbol out, weight added)."""
-
-    arcs: tuple[tuple[tuple[int, int, float], ...], ...]
+    """arcs[state][symbol]: (next state, symbol out, weight) of each way to read the symbol; finals: weights of accepting states; state 0 starts."""
+
+    arcs: tuple[tuple[tuple[Arc, ...], ...], ...]
+    finals: dict[int, float]
+
+    def best(self, readings: list[tuple[tuple[int, float], ...]]) -> tuple[float, tuple[int, ...]]:
+        """Weight and output of the best accepted path over words that have one or more readings (symbol, weight) each."""
+        live: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
+        for ways in readings:
+            following: dict[int, tuple[float, tuple]] = {}
+            for state, (total, back) in live.items():
+                for symbol, own in ways:
+                    for to, out, weight in self.arcs[state][symbol]:
+                        sum_ = total + own + weight
+                        if to not in following or sum_ > following[to][0]:
+                            following[to] = sum_, (out, back)
+            live = following
+        total, back = max(((t + self.finals[s], b) for s, (t, b) in live.items() if s in self.finals), key=lambda x: x[0], default=(-math.inf, ()))
+        out = []
+        while back:
+            out.append(back[0])
+            back = back[1]
+        return total, tuple(out[::-1])
 
 
 def compose(a: Transducer, b: Transducer) -> Transducer:
     """a, then b on what a writes; weights add. States are pairs that can be reached."""
     index, todo, arcs = {(0, 0): 0}, [(0, 0)], []
+
+    def state(pair: tuple[int, int]) -> int:
+        if pair not in index:
+            index[pair] = len(index)
+            todo.append(pair)
+        return index[pair]
+
     for p, q in todo:
-        row = []
-        for p2, out, w in a.arcs[p]:
-            q2, out2, w2 = b.arcs[q][out]
-            if (p2, q2) not in index:
-                index[p2, q2] = len(index)
-                todo.append((p2, q2))
-            row.append((index[p2, q2], out2, w + w2))
-        arcs.append(tuple(row))
-    return Transducer(tuple(arcs))
+        arcs.append(tuple(tuple((state((p2, q2)), out2, w + w2) for p2, out, w in ways for q2, out2, w2 in b.arcs[q][out]) for ways in a.arcs[p]))
+    return Transducer(tuple(arcs), {i: a.finals[p] + b.finals[q] for (p, q), i in index.items() if p in a.finals and q in b.finals})
+
+
+def _machine(states: int, step, finals: dict[int, float] | None = None) -> Transducer:
+    """step(state, symbol) gives the arcs."""
+    return Transducer(tuple(tuple(tuple(step(s, x)) for x in range(SYMBOLS)) for s in range(states)), dict.fromkeys(range(states), 0.0) if finals is None else finals)
+
+
+def negation() -> Transducer:
+    def step(s: int, x: int) -> Iterator[Arc]:
+        yield (NEGATION_SCOPE, x, 0.0) if x == NEGATION else (max(0, s - 1), {INSULT: NEG_INSULT, THREAT: NEG_THREAT}.get(x, x) if s else x, 0.0)
+
+    return _machine(NEGATION_SCOPE + 1, step)
+
+
+def reported_speech() -> Transducer:
+    def step(s: int, x: int) -> Iterator[Arc]:
+        yield (1 if x == REPORT else s), {INSULT: REP_INSULT, THREAT: REP_THREAT}.get(x, x) if s else x, 0.0
+
+    return _machine(2, step)
+
+
+def threat() -> Transducer:
+    """A verb of violence stands for a threat soon after a modal or, where it opens the clause (state 0), as an imperative; else only its plain reading passes."""
+
+    def step(s: int, x: int) -> Iterator[Arc]:
+        if x == MODAL:
+            yield MODAL_SCOPE + 1, x, 0.0
+        elif x not in (THREAT, NEG_THREAT, REP_THREAT) or s > 1:
+            yield max(1, s - 1), x, 0.0
+        elif s == 0 and x == THREAT:
+            yield 1, IMPERATIVE, 0.0
+
+    return _machine(MODAL_SCOPE + 2, step)
+
 
+def insult() -> Transducer:
+    """Insults that were marked become patterns; a bare one is left to the target machine."""
 
-# Marked symbols beyond the lexicon's.
-NEG_INSULT, NEG_THREAT, REP_INSULT, REP_THREAT = range(7, 11)
-SYMBOLS = 11
+    def step(s: int, x: int) -> Iterator[Arc]:
+        yield s, {NEG_INSULT: _OF["insult_negated"], REP_INSULT: _OF["insult_reported"], NEG_THREAT: _OF["threat_negated"], REP_THREAT: _OF["threat_reported"]}.get(x, x), 0.0
 
+    return _machine(1, step)
 
-def _machine(states: int, step) -> Transducer:
-    return Transducer(tuple(tuple(step(s, x) for x in range(SYMBOLS)) for s in range(states)))
 
+def target() -> Transducer:
+    """From state 0, the clause addresses someone (1 until the target occurs, then 2) or no one (3), where no threat passes. Only 2 and 3 accept."""
+    aimed = {INSULT: _OF["insult_target"], THREAT: _OF["threat_target"], IMPERATIVE: _OF["imperative_target"]}
 
-def _negation(s: int, x: int) -> tuple[int, int, float]:
-    if x == NEGATION:
-        return NEGATION_SCOPE, x, 0.0
-    out = {INSULT: NEG_INSULT, THREAT: NEG_THREAT}.get(x, x) if s else x
-    return max(0, s - 1), out, 0.0
+    def step(s: int, x: int) -> Iterator[Arc]:
+        if s < 3:
+            yield (2 if x == TARGET or s == 2 else 1), aimed.get(x, x), 0.0
+        if s in (0, 3) and x not in (THREAT, IMPERATIVE):
+            yield 3, _OF["insult"] if x == INSULT else x, 0.0
 
+    return _machine(4, step, {0: 0.0, 2: 0.0, 3: 0.0})
 
-def _report(s: int, x: int) -> tuple[int, int, float]:
-    out = {INSULT: REP_INSULT, THREAT: REP_THREAT}.get(x, x) if s else x
-    return (1 if x == REPORT else s), out, 0.0
 
+def outcome(weights: dict[str, float]) -> Transducer:
+    by = {_OF[k]: w for k, w in weights.items()}
+    return _machine(1, lambda s, x: iter([(s, x, by.get(x, 0.0))]))
 
-def _threat(s: int, x: int) -> tuple[int, int, float]:
-    """A verb of violence stands for a threat only soon after a modal."""
-    if x == MODAL:
-        return 3, x, 0.0
-    return max(0, s - 1), (PLAIN if x in (THREAT, REP_THREAT, NEG_THREAT) and not s else x), 0.0
 
+_PATTERN_GRAMMAR = compose(compose(compose(compose(negation(), reported_speech()), threat()), insult()), target())
 
-GRAMMAR = compose(compose(_machine(NEGATION_SCOPE + 1, _negation), _machine(2, _report)), _machine(4, _threat))
 
+def grammar(weights: dict[str, float]) -> Transducer:
+    return compose(_PATTERN_GRAMMAR, outcome(weights))
 
-def _target(s: int, x: int) -> tuple[int, int, float]:
-    """State 1 once a target was addressed."""
-    return (1 if x == TARGET else s), x, 0.0
 
+class Lexicon:
+    """A transducer over letters: a tree of the entries, each with its class and weight where it ends, or where its beginning (a stem) does."""
 
-GRAMMAR = compose(GRAMMAR, _machine(2, _target))
+    def __init__(self, words: dict[str, tuple[int, float]], stems: dict[str, tuple[int, float]]):
+        self.arcs: list[dict[str, int]] = [{}]
+        self.ends: dict[int, tuple[int, float]] = {}
+        self.opens: dict[int, tuple[int, float]] = {}
+        for entries, at_end in ((words, self.ends), (stems, self.opens)):
+            for entry, what in entries.items():
+                state = 0
+                for c in entry:
+                    if c not in self.arcs[state]:
+                        self.arcs.append({})
+                        self.arcs[state][c] = len(self.arcs) - 1
+                    state = self.arcs[state][c]
+                at_end[state] = what
+
+    def read(self, word: str) -> tuple[tuple[int, float], ...]:
+        """The word's readings; one that may be an insult or a threat can be read as plain as well."""
+        state, found = 0, None
+        for c in word:
+            if (x := self.opens.get(state)) and (found is None or x[1] > found[1]):
+                found = x  # a stem is the beginning of a longer word, as it was counted
+            state = self.arcs[state].get(c, -1)
+            if state < 0:
+                break
+        if state >= 0 and (x := self.ends.get(state)) and (found is None or x[0] not in (INSULT, PLAIN) or x[1] > found[1]):
+            found = x
+        if found is None:
+            return _PLAIN
+        return (found, _PLAIN[0]) if found[0] in (INSULT, THREAT) else (found,)
+
+
+_PLAIN = ((PLAIN, 0.0),)
 
 
 @dataclass
 class Model:
-    """words and stems: weights of learned insults; weights: as PRIOR."""
+    """words and stems: weights of learned insults; patterns: as PATTERN_WEIGHTS; weights: as PRIOR."""
 
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
+    patterns: dict[str, float] = field(default_factory=lambda: dict(PATTERN_WEIGHTS))
     weights: np.ndarray = field(default_factory=lambda: PRIOR.copy())
 
     def __post_init__(self):
-        self.fixed = {w: (k, 1.0) for k, ws in ((NEGATION, NEGATIONS), (REPORT, REPORTS), (MODAL, MODALS), (TARGET, TARGETS), (THREAT, THREATS)) for w in ws}
-        self.fixed |= {w: (INSULT, 2.0) for w in SEED_INSULTS if w not in self.words}
-
-    def insult(self, word: str) -> float:
-        found = self.words.get(word, 0.0)
-        for n in STEMS:
-            if len(word) >= n and word[:n] in self.stems:
-                found = max(found, self.stems[word[:n]])
-        return found
-
-    def read(self, word: str) -> tuple[int, float]:
-        if w := self.insult(word):
-            return INSULT, w
-        return self.fixed.get(word, (PLAIN, 0.0))
-
-    def clause(self, words: list[str]) -> np.ndarray:
-        """Weight by outcome of the clause."""
-        out, state, marks, addressed = np.zeros(len(OUTCOMES)), 0, [], False
-        for word in words:
-            symbol, weight = self.read(word)
-            state, mark, more = GRAMMAR.arcs[state][symbol]
-            addressed |= mark == TARGET
-            if mark in (INSULT, NEG_INSULT, REP_INSULT, THREAT, NEG_THREAT, REP_THREAT):
-                marks.append((mark, weight + more))
-        for mark, weight in marks:
-            if mark == INSULT:
-                out[1 if addressed else 0] += weight
-            elif mark == THREAT:
-                out[4] += weight * addressed
-            else:
-                out[{NEG_INSULT: 2, REP_INSULT: 3, NEG_THREAT: 5, REP_THREAT: 6}[mark]] += weight
-        return out
+        fixed = {w: (k, 0.0) for k, ws in ((NEGATION, NEGATIONS), (REPORT, REPORTS), (MODAL, MODALS), (TARGET, TARGETS)) for w in ws}
+        fixed |= dict.fromkeys(THREATS, (THREAT, THREAT_WEIGHT)) | dict.fromkeys(SEED_INSULTS, (INSULT, SEED_WEIGHT))
+        self.lexicon = Lexicon(fixed | {w: (INSULT, x) for w, x in self.words.items()}, {w: (INSULT, x) for w, x in self.stems.items()})
+        self.machine = grammar(self.patterns)
+        self.known: dict[str, tuple[tuple[int, float], ...]] = {}
+
+    def read(self, words: set[str]) -> bool:
+        """Makes the words known; whether one of them may be an insult or a threat."""
+        known = self.known
+        if len(known) > CACHE:
+            known.clear()
+        for w in words.difference(known):
+            known[w] = self.lexicon.read(w)
+        return any(len(known[w]) > 1 for w in words)
+
+    def clause(self, words: list[str]) -> tuple[float, tuple[int, ...]]:
+        """The clause's score and what its words ended in."""
+        self.read(set(words))
+        return self.machine.best([self.known[w] for w in words])
+
+    def clauses(self, text: str) -> tuple[float, Counter[int], int]:
+        """Sum of the clauses' scores, the patterns found, and the number of words (0 where nothing is found)."""
+        text, total, found = text.lower(), 0.0, Counter()
+        words = WORDS.findall(text)
+        if not self.read(set(words)):
+            return 0.0, found, 0
+        for clause in CLAUSES.split(text):
+            some = WORDS.findall(clause)
+            if any(len(self.known[w]) > 1 for w in some):
+                score, out = self.machine.best([self.known[w] for w in some])
+                total += score
+                found.update(x for x in out if x >= 12)
+        return total, found, len(words)
 
     def features(self, text: str) -> np.ndarray:
-        """Sums of the clauses' weights by outcome, and all of it for each hundred words, on a scale on which each further one counts less."""
-        text, total = text.lower(), np.zeros(len(OUTCOMES) + 1)
-        words = WORDS.findall(text)
-        seen = set(words)
-        if any(w in self.fixed and self.fixed[w][0] in (INSULT, THREAT) or self.insult(w) for w in seen):
-            for clause in CLAUSES.split(text):
-                total[:-1] += self.clause(WORDS.findall(clause))
-            total[-1] = 100 * total.sum() / len(words)
-        return np.log1p(total)
+        """The sum, and the sum for each hundred words, on a scale on which each further one counts less."""
+        total, _, n = self.clauses(text)
+        return np.log1p([total, 100 * total / max(1, n)])
 
     def score(self, text: str) -> float:
-        z = float(self.weights[0] + self.features(text) @ self.weights[1:])
+        total, _, n = self.clauses(text)
+        z = float(self.weights[0])
+        if total > 0:
+            z += float(self.weights[1]) * math.log1p(total) + float(self.weights[2]) * math.log1p(100 * total / n)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -191,24 +289,43 @@ def stands_for(labels: DataFrame, rows: int) -> dict[int, float]:
     return {r["toxic"]: max(1.0, r["count"] / rows) for r in labelled(labels).groupBy("toxic").count().collect()}
 
 
+def shingled(text: str) -> set[int]:
+    w = WORDS.findall(text.lower())
+    return {xxhash.xxh64_intdigest(" ".join(w[i : i + 5])) for i in range(max(1, len(w) - 4))}
+
+
 def sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """toxic and text of at most so many labelled documents of each label, not held out; near copies that share a shingle minimum count once."""
+    """toxic and text of at most so many labelled documents of each label, not held out.
+
+    Rows of one label that share their least shingle are compared by all shingles; those of similarity 0.75 to one that is kept are left out.
+    """
     known = labelled(labels)
     order = F.xxhash64(F.lit(10), "doc_id")
     some = [known.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(rows) for k in (0, 1)]
     texts = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows_ = texts.join(F.broadcast(some[0].unionByName(some[1])), "doc_id").select("toxic", "text")  # the broadcast is bounded by rows
+    rows_ = texts.join(F.broadcast(some[0].unionByName(some[1])), "doc_id").select("toxic", "text").distinct()  # the broadcast is bounded by rows
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            keys = []
-            for t in b.column(1).to_pylist():
-                w = WORDS.findall(t.lower())
-                keys.append(min((xxhash.xxh64_intdigest(" ".join(w[i : i + 5])) >> 1 for i in range(max(1, len(w) - 4))), default=0))
+            keys = [min(shingled(t)) >> 1 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.int64())], ["toxic", "text", "key"])
 
-    # Of each group of near copies the same one every time, so that a fit repeats.
-    return rows_.mapInArrow(keyed, "toxic int, text string, key long").groupBy("toxic", "key").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, firsts = None, []  # the label and key, and the sets of the rows kept of it
+        for b in slices(batches):
+            kept = []
+            for k, t, key in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if at != (k, key):
+                    at, firsts = (k, key), []
+                x = shingled(t)
+                kept.append(not any(100 * len(x & y) >= 75 * len(x | y) for y in firsts))
+                if kept[-1]:
+                    firsts.append(x)
+            yield b.filter(pa.array(kept, pa.bool_())).select([0, 1])
+
+    keyed_rows = rows_.mapInArrow(keyed, "toxic int, text string, key long").repartition("toxic", "key")
+    # An order of their own, so that a fit repeats.
+    return keyed_rows.sortWithinPartitions("toxic", "key", F.xxhash64("text"), "text").mapInArrow(apart, "toxic int, text string")
 
 
 def features_of(text: str) -> set[str]:
@@ -217,7 +334,7 @@ def features_of(text: str) -> set[str]:
     return out | {w[:n] + "*" for w in list(out) for n in STEMS if len(w) > n}
 
 
-def lexicon(rows: DataFrame, entries: int = LEXICON) -> tuple[dict[str, float], dict[str, float]]:
+def lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     """Words and stems whose shares of the documents under the labels differ by ``RATIO`` and beyond chance, with log odds."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +355,7 @@ def lexicon(rows: DataFrame, entries: int = LEXICON) -> tuple[dict[str, float],
     q, c, t = n1 / (n0 + n1), F.col("c"), F.col("t")
     share = t / (t + c)
     gain = t * F.log(share / q) + F.when(c > 0, c * F.log((1 - share) / (1 - q))).otherwise(0)
-    kept = sums.where((t >= 4) & (t * n0 > RATIO * c * n1)).withColumn("gain", gain).where(F.col("gain") > math.log(1e7)).orderBy(F.desc("gain"), "x").limit(entries)
+    kept = sums.where((t >= 4) & (t * n0 > RATIO * c * n1)).withColumn("gain", gain).where(F.col("gain") > math.log(1e7))
     found = {r["x"]: min(6.0, math.log((r["t"] + 0.5) / (r["c"] + 0.5) * (n0 + 1) / (n1 + 1))) for r in kept.collect()}
     return {x: w for x, w in found.items() if x[-1] != "*" and w > 0}, {x[:-1]: w for x, w in found.items() if x[-1] == "*" and w > 0}
 
@@ -253,10 +370,30 @@ def regress(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float = 2.0,
     return w
 
 
+def pattern_weights(rows: DataFrame, model: Model) -> dict[str, float]:
+    """Log likelihood ratio of the documents that show a pattern, begun with ``PATTERN_PRIOR`` documents at the prior weight."""
+    seen = Model(model.words, model.stems, {k: 0.5 * (k.endswith("target")) for k in PATTERNS})  # reads every mark, and as aimed where it can
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            found = [(k, x) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for x in [-1, *seen.clauses(t)[1]]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in zip(*found, strict=True)], ["toxic", "pattern"])
+
+    n = {(r["toxic"], r["pattern"]): r["count"] for r in rows.select("toxic", "text").mapInArrow(count, "toxic int, pattern int").groupBy("toxic", "pattern").count().collect()}
+    all_ = [n.get((k, -1), 0) for k in (0, 1)]
+    out = {}
+    for name, prior in PATTERN_WEIGHTS.items():
+        c, t = (n.get((k, _OF[name]), 0) for k in (0, 1))
+        rate = [(x + PATTERN_PRIOR * share) / (total + PATTERN_PRIOR) for x, total, share in ((c, all_[0], 1 / (1 + math.exp(prior))), (t, all_[1], 1 / (1 + math.exp(-prior))))]
+        out[name] = max(-6.0, min(6.0, math.log(rate[1] / rate[0]))) if c + t else prior
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     some = materialize(sample(docs, labels, rows), "labelled")
     words, stems = lexicon(some)
     model = Model(words, stems)
+    model = Model(words, stems, pattern_weights(some, model))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
