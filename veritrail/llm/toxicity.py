@@ -27,6 +27,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,10 @@ RATIO = 11
 STEMS = (3, 4, 5, 6, 7)
 #: Documents that a pattern's prior weight counts for.
 PATTERN_PRIOR = 8
+#: Rows of the sample with one least shingle that are compared with the first of them in one task.
+SAME_KEY = 64
+#: First rows of a key that each of its other rows is compared with.
+ROUNDS = 2
 #: Words whose reading a worker keeps.
 CACHE = 400_000
 
@@ -297,7 +302,8 @@ def shingled(text: str) -> set[int]:
 def sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     """toxic and text of at most so many labelled documents of each label, not held out.
 
-    Rows of one label that share their least shingle are compared by all shingles; those of similarity 0.75 to one that is kept are left out.
+    Rows of one label that share their least shingle are compared by all shingles with ``ROUNDS`` of them, one after the other; those of
+    similarity 0.75 to one of these are left out. No row goes without that comparison, and the work stays in proportion to the rows.
     """
     known = labelled(labels)
     order = F.xxhash64(F.lit(10), "doc_id")
@@ -310,22 +316,23 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
             keys = [min(shingled(t)) >> 1 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.int64())], ["toxic", "text", "key"])
 
-    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, firsts = None, []  # the label and key, and the sets of the rows kept of it
+    def unlike_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            kept = []
-            for k, t, key in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if at != (k, key):
-                    at, firsts = (k, key), []
-                x = shingled(t)
-                kept.append(not any(100 * len(x & y) >= 75 * len(x | y) for y in firsts))
-                if kept[-1]:
-                    firsts.append(x)
-            yield b.filter(pa.array(kept, pa.bool_())).select([0, 1])
-
-    keyed_rows = rows_.mapInArrow(keyed, "toxic int, text string, key long").repartition("toxic", "key")
-    # An order of their own, so that a fit repeats.
-    return keyed_rows.sortWithinPartitions("toxic", "key", F.xxhash64("text"), "text").mapInArrow(apart, "toxic int, text string")
+            pairs = [(shingled(t), shingled(f)) if t != f else ({0}, {0}) for t, f in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield b.filter(pa.array([100 * len(x & y) < 75 * len(x | y) for x, y in pairs], pa.bool_())).select([0, 1, 2])
+
+    left, kept = materialize(rows_.mapInArrow(keyed, "toxic int, text string, key long"), "keyed"), []
+    for k in range(ROUNDS):
+        # The first row of each key, in an order of its own so that a fit repeats; keys with many rows are dealt by salts.
+        groups = left.groupBy("toxic", "key").agg(F.count("*").alias("n"), F.min_by("text", F.struct(F.xxhash64(F.lit(k), "text"), "text")).alias("first"))
+        groups = materialize(groups.withColumn("salts", F.ceil(F.col("n") / SAME_KEY).cast("int")), "groups")
+        kept.append(groups.select("toxic", F.col("first").alias("text")))
+        salts = F.broadcast(groups.where("salts > 1").select("toxic", "key", "salts"))  # at most 2 * rows / SAME_KEY
+        salted = left.join(salts, ["toxic", "key"], "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("text"), F.col("salts")), F.lit(0)).cast("int"))
+        firsts = groups.select("toxic", "key", "first", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        rest = salted.join(firsts, ["toxic", "key", "salt"]).select("toxic", "text", "key", "first")
+        left = materialize(rest.mapInArrow(unlike_first, "toxic int, text string, key long"), "left")
+    return reduce(DataFrame.unionByName, [*kept, left.select("toxic", "text")])
 
 
 def features_of(text: str) -> set[str]:
