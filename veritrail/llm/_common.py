@@ -32,14 +32,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, *by: str) -> DataFrame:
     """df written once to the shared folder and read back: lineage is cut, and lost executors lose nothing.
 
-    The files stay, as lazy results read them, until ``release`` or the end of ``scratch``.
+    by: columns whose values get folders of their own, so that a filter on them reads no others. The files stay, as lazy results read them,
+    until ``release`` or the end of ``scratch``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/veritrail-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
