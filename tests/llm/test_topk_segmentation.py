@@ -1,11 +1,13 @@
 """Exact top-k against a scan; N-best segmentations against all segmentations."""
 
+import itertools
 import random
+import zlib
 from array import array
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from veritrail.llm import segmentation as G
 from veritrail.llm import topk
@@ -77,23 +79,57 @@ def test_n_best(coder, text):
 
 
 def test_arrays_equal_the_scalar_form(coder):
-    words = list({p for t in ["Many words of the text, some un-usual: naïve Ünïcode 12345 日本語 'quoted' $$$ averyveryverylongwordthatisnone"] for w in coder.words(t) for p in coder.parts(w)})
+    words = list({p for t in ["Many words of the text, some un-usual: naïve Ünïcode 12345 日本語 'quoted' $$$ averyveryverylongwordthatisnone"] for w in coder.words(pa.array([t]))[0].to_pylist() for p in coder.parts(w)})
     for p, (total, cost, ids) in coder.measure_all(words):
         t, c, i = coder.measure(p)
         assert (round(total, 9), round(cost, 9), ids) == (round(t, 9), round(c, 9), i)
 
 
 def test_learned_equals_fresh(spark, coder):
-    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(25).collect()]
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(25).collect()] + ["", " lead", "two  spaces", "x▁y z", "a b"]
     small = G.Segmenter(G.public_model(), cache=64)
-    for t in texts:
-        w = coder.words(t)
-        coder.learn([w])
-        assert coder.n_best(t, 4, w) == small.n_best(t, 4)
+    ids, edges, _, found = coder.batch(pa.array(texts), 4)
+    for t, a, z, xs in zip(texts, edges, edges[1:], found, strict=False):
+        assert [(s, G.changed(ids[a:z], c)) for s, c in xs] == small.n_best(t, 4)
+
 
+def test_best_path_and_the_model(spark, coder):
+    """The model decodes the best ids to the text, its normalizer changes nothing but the spaces, and its own encoding scores no better."""
+    import sentencepiece
 
-def test_rows(spark):
-    docs = spark.createDataFrame([(1, "a b", 1), (2, None, 1), (3, "", 1), (1, "a b", 1), (None, "x", 1)], "doc_id long, text string, ids int")
-    got = G.encodings(docs, G.public_model()).collect()
-    assert len(got) == 5 and all(r["decoded"] for r in got) and {r["n_pieces"] for r in got if r["doc_id"] in (2, 3)} == {0}
-    assert G.encodings(docs.limit(0), G.public_model()).count() == 0 and F is not None
+    model = sentencepiece.SentencePieceProcessor(model_file=G.public_model())
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40).collect()]
+    score = {i: coder.pieces[t][0] for i, t in coder.text.items()}
+    for t in texts:
+        ((best, ids),) = coder.n_best(t, 1)
+        ids = array("I", ids).tolist()
+        assert model.decode(ids) == t and model.normalize(t) == coder.prepared(t)
+        own, at = 0.0, model.encode(t)
+        runs = [list(g) for b, g in itertools.groupby(at, lambda i: i in coder.text) for g in ([g] if not b else ([i] for i in g))]
+        for run in runs:
+            own += score[run[0]] if run[0] in score else coder.unknown * len(bytes(int(model.id_to_piece(i)[3:5], 16) for i in run).decode())
+        assert own <= best + 1e-6
+
+
+def _by_columns(texts, coder):
+    """What the query returns for short texts, by trying every segmentation."""
+    for t in texts:
+        want = every(coder, t or "")[:4]
+        yield [round(s, 6) for s, _ in want], {i for _, i in every(coder, t or "")}
+
+
+def test_query_against_every_segmentation(spark, tmp_path, coder):
+    texts = ["a b", None, "", "The cat", "é x", "ab\ncd", " a", "日", "no no", "x▁y", "$$ &"]
+    rows = [(i, t, i, "n") for i, t in enumerate(texts)] + [(0, "a b", 0, "n"), (None, "x", 1, "n"), (99, "long " * 200_000, 1, "n")]
+    spark.createDataFrame(rows, "doc_id long, text string, ids int, scores string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = G.op9(spark, str(tmp_path)).collect()
+    by = {r["doc_id"]: r for r in got}
+    assert len(got) == len(rows) and all(r["decoded"] == (r["doc_id"] != 9) and r["scores"] == "rank" for r in got)
+    for i, (scores, segmentations) in enumerate(_by_columns(texts, coder)):
+        r = by[i]
+        found = [G.changed(np.array(r["ids"], np.uint32), c) for c in [[], *r["changes"]]]
+        assert [round(x, 6) for x in r["n_best"]] == scores and r["score"] == r["n_best"][0] and len(set(found)) == len(found) and set(found) <= segmentations
+        assert r["n_best_crc32"] == [zlib.crc32(x) for x in found] and r["n_pieces"] == len(r["ids"])
+    assert by[99]["n_pieces"] >= 200_000 and coder.decode(by[99]["ids"]) == "long " * 200_000
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "none/documents.parquet"))
+    assert G.op9(spark, str(tmp_path / "none")).count() == 0

@@ -10,7 +10,7 @@ which recur. A forward and a backward pass over a part give its best path and wh
 its best in those N - 1 words only whose second choices cost least, so the A* search runs over these, and the N best of the whole are the N
 best sums over their choices.
 
-A null text is an empty text, and an empty text has no pieces, the one segmentation () and score 0. Texts are encoded whole. Each row stands for itself. Extra columns take
+A null text is an empty text, and an empty text has no pieces, the one segmentation () and score 0. Texts are encoded whole, however long. Each row stands for itself. Extra columns take
 no part; an empty table gives an empty result.
 """
 
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +49,7 @@ def public_model() -> str:
 
 
 Known = tuple[float, float, bytes]  # best score, cost of the second choice, ids of the best as 32-bit numbers
+Change = tuple[int, int, list[int]]  # from that piece of the best segmentation on, so many pieces are these ids instead
 
 
 class Recent(dict):
@@ -89,11 +91,14 @@ class Segmenter:
         normal = [i for i in range(size) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         self.text = {i: model.id_to_piece(i) for i in normal}
         scores = {i: model.get_score(i) for i in normal}
-        if all(x <= 0 and x == int(x) for x in scores.values()):
+        #: Whether the scores are the model's own or made from the ranks of its merges.
+        self.scores = "rank" if all(x <= 0 and x == int(x) for x in scores.values()) else "model"
+        if self.scores == "rank":
             mass = math.log(sum(1 / (r + 1) for r in range(len(normal))))
             scores = {i: -math.log(r + 1) - mass for r, i in enumerate(sorted(normal, key=lambda i: (-scores[i], i)))}
         self.bytes = {int(model.id_to_piece(i)[3:5], 16): i for i in range(size) if model.is_byte(i)}
         self.spelled = {i: p.encode() for i, p in self.text.items()} | {i: bytes([b]) for b, i in self.bytes.items()}
+        self.spelling: tuple[np.ndarray, ...] | None = None
         self.unknown = min(scores.values()) - 10
         #: Pieces as (score, id); beginnings of pieces as None.
         self.pieces: dict[str, tuple[float, int] | None] = {p[:k]: None for p in self.text.values() for k in range(1, len(p))}
@@ -254,10 +259,10 @@ class Segmenter:
         for part, row, n, special, total, other in zip(parts, path, lengths, odd, before[size].tolist(), second.tolist(), strict=True):
             yield part, self.measure(part) if special else (total, total - other, row[len(row) - n :].tobytes())
 
-    def learn(self, texts: list[list[str]]) -> None:
-        """Measures the words of texts that are not known yet, all together."""
+    def learn(self, some: list[str]) -> None:
+        """Measures the words that are not known yet, all together."""
         words, parts = self.known_words, self.known_parts
-        new = words.missing(set().union(*texts))
+        new = words.missing(set(some))
         cut = {w: self.parts(w) for w in new}
         parts.add(dict(self.measure_all(list(parts.missing({p for ps in cut.values() for p in ps})))))
         words.add({w: parts[ps[0]] if len(ps) == 1 else self.joined([parts[p] for p in ps]) for w, ps in cut.items()})
@@ -288,11 +293,21 @@ class Segmenter:
                 heapq.heappush(todo, (-(done + score + best[start]), more + ids, start, done + score))
         return sorted(out, key=lambda x: (-x[0], x[1]))[:n]
 
-    def words(self, text: str) -> list[str]:
-        """The text in strings that no piece spans, cut at spaces where these stand alone."""
-        if not self.breaks or text[:1] == " " or "  " in text or SPACE in text:
-            return self.parts(self.prepared(text))
-        return [SPACE + w for w in text.split(" ")] if text else []
+    def words(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The texts in strings that no piece spans, cut at spaces where these stand alone; and how many each text has."""
+        odd = pc.or_(pc.or_(pc.starts_with(texts, " "), pc.match_substring(texts, "  ")), pc.or_(pc.match_substring(texts, SPACE), pc.equal(pc.binary_length(texts), 0))).to_numpy(zero_copy_only=False) | (not self.breaks)
+        lists = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+        flat, counts = pc.binary_join_element_wise(SPACE, lists.flatten(), ""), np.zeros(len(texts), np.int64)
+        counts[~odd] = pc.list_value_length(lists).to_numpy()
+        if odd.any():
+            rest = [self.parts(self.prepared(t)) for t in texts.filter(pa.array(odd)).to_pylist()]
+            counts[odd] = list(map(len, rest))
+            flat = pa.concat_arrays([flat, pa.array([p for ps in rest for p in ps], pa.string())])
+            first = np.empty(len(texts), np.int64)
+            order = np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])
+            first[order] = np.cumsum(counts[order]) - counts[order]
+            flat = flat.take(pa.array(np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())))
+        return flat, counts
 
     def choices(self, key: tuple[str, int]) -> list[tuple[float, bytes]]:
         """The n best segmentations of a word (key: word, n), that of the forward pass first where several are as good."""
@@ -301,66 +316,107 @@ class Segmenter:
         some = [(score, array("I", ids).tobytes()) for score, ids in self.best(word, n)]
         return [(known[0], known[2]), *(x for x in some if x[1] != known[2])][:n]
 
-    def n_best(self, text: str, n: int, words: list[str] | None = None) -> list[tuple[float, bytes]]:
-        """The n best segmentations of the text as scores and 32-bit ids, best first. words: as from words(text), if at hand."""
-        words = self.words(text) if words is None else words
+    def batch(self, texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[tuple[float, list[Change]]]]]:
+        """The best ids of all texts put together, where each text's begin (and the end), whether these decode to the text, and per text the n
+        best scores, best first, each with what changes against the best ids."""
+        flat, counts = self.words(texts)
+        coded = flat.dictionary_encode()
+        words, which, edges = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), np.concatenate([[0], np.cumsum(counts)])
+        self.learn(words)
         known = list(map(self.known_words.__getitem__, words))
-        total, first = math.fsum([k[0] for k in known]), [k[2] for k in known]
-        out = [(total, b"".join(first))]
-        costs = [k[1] for k in known]
-        if n == 1 or not costs:
-            return out
-        most = sorted(costs)[min(n - 1, len(costs)) - 1]
-        chosen = [i for _, i in sorted((c, i) for i, c in enumerate(costs) if c <= most and c < math.inf)[: n - 1]]
-        choices = [self.known_choices[words[i], n] for i in chosen]
-        start = (0,) * len(chosen)
+        score, cost, blobs = (list(c) for c in zip(*known, strict=True)) if known else ([], [], [])
+        size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        m = size[which]
+        ends = np.concatenate([[0], np.cumsum(m)])
+        ids = np.frombuffer(b"".join(blobs), np.uint32)[np.repeat((np.cumsum(size) - size)[which] - ends[:-1], m) + np.arange(ends[-1])]
+        doc, costs = np.repeat(np.arange(len(texts)), counts), np.array(cost, float)[which]
+        totals = np.bincount(doc, np.array(score, float)[which], len(texts)).tolist()
+        decoded = np.array([d == t.as_buffer().to_pybytes() for d, t in zip(self.decodings(ids, ends[edges].tolist()), texts.cast(pa.binary()), strict=True)], bool)
+        found = []
+        for total, a, z in zip(totals, edges.tolist(), edges[1:].tolist(), strict=False):
+            some = [(total, [])]
+            if n > 1 and z > a:
+                some += self.others(total, costs[a:z], lambda i, a=a: words[which[a + i]], lambda i, a=a: (int(ends[a + i] - ends[a]), int(m[a + i])), n)
+            found.append(some)
+        return ids, ends[edges], decoded, found
+
+    def others(self, total: float, costs: np.ndarray, word, place, n: int) -> list[tuple[float, list[Change]]]:
+        """The second to n-th best segmentations of a text, from what the second choices of its words cost."""
+        k = min(n - 1, len(costs))
+        near = np.flatnonzero(costs <= np.partition(costs, k - 1)[k - 1]).tolist()
+        chosen = sorted(i for _, i in sorted((costs[i], i) for i in near if costs[i] < math.inf)[:k])
+        choices = [self.known_choices[word(i), n] for i in chosen]
+        start, out = (0,) * len(chosen), []
         todo, seen = [(0.0, start)], {start}
-        while todo and len(out) <= n:
+        while todo and len(out) < n - 1:
             cost, picks = heapq.heappop(todo)
             if any(picks):
-                ids = first.copy()
-                for i, k, options in zip(chosen, picks, choices, strict=True):
-                    ids[i] = options[k][1]
-                out.append((total - cost, b"".join(ids)))
+                out.append((total - cost, [(*place(i), array("I", options[p][1]).tolist()) for i, p, options in zip(chosen, picks, choices, strict=True) if p]))
             for j, options in enumerate(choices):
                 if picks[j] + 1 < len(options) and (following := (*picks[:j], picks[j] + 1, *picks[j + 1 :])) not in seen:
                     seen.add(following)
                     heapq.heappush(todo, (cost + options[picks[j]][0] - options[picks[j] + 1][0], following))
-        return out[:n]
+        return out
+
+    def n_best(self, text: str, n: int) -> list[tuple[float, bytes]]:
+        """The n best segmentations of the text as scores and 32-bit ids, best first."""
+        ids, _, _, (found,) = self.batch(pa.array([text]), n)
+        return [(score, changed(ids, changes)) for score, changes in found]
 
     def encode(self, text: str) -> list[int]:
         return array("I", self.n_best(text, 1)[0][1]).tolist()
 
+    def decodings(self, ids: np.ndarray, edges: list[int]) -> Iterator[bytes]:
+        """As decode(), of the ids between each two edges, as UTF-8."""
+        if self.spelling is None:
+            pieces = [self.spelled.get(i, b"") for i in range(max(self.spelled) + 1)]
+            sizes = np.array(list(map(len, pieces)), np.int64)
+            self.spelling = np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(sizes) - sizes, sizes
+        pool, first, sizes = self.spelling
+        n = sizes[ids]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        text = pool[np.repeat(first[ids] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        for a, z in zip(edges, edges[1:], strict=False):
+            yield text[ends[a] : ends[z]].replace(SPACE.encode(), b" ")[1:]
+
     def decode(self, ids: list[int]) -> str:
         """The text of any segmentation: byte runs are put together, spaces restored, the first one dropped."""
         text = b"".join(map(self.spelled.__getitem__, ids)).decode(errors="replace").replace(SPACE, " ")
         return text[1:] if text[:1] == " " else text
 
 
-def encodings(docs: DataFrame, path: str, n: int = N_BEST, text: str = "text", with_ids: bool = True) -> DataFrame:
-    """doc_id, ids (if asked for), n_pieces and score of the best segmentation, n_best (scores), n_best_crc32 (of each one's ids as 32-bit
-    numbers), decoded (whether the best decodes to the text; a text that has U+2581 itself does not)."""
+def changed(ids: np.ndarray, changes: list[Change]) -> bytes:
+    """The segmentation that changes make of the best one's ids, as 32-bit numbers."""
+    out, at = [], 0
+    for start, n, instead in changes:
+        out += [ids[at:start].astype("<u4").tobytes(), array("I", instead).tobytes()]
+        at = start + n
+    return b"".join([*out, ids[at:].astype("<u4").tobytes()])
+
+
+def encodings(docs: DataFrame, path: str, n: int = N_BEST, text: str = "text") -> DataFrame:
+    """doc_id; ids, n_pieces and score of the best segmentation; n_best, the scores of the n best; changes, for the second to the n-th the places
+    (at, n) in the best one's ids where theirs are others; n_best_crc32, of each one's ids as 32-bit numbers; scores, "model" where these are
+    the model's own and "rank" where they are made of its pieces' ranks; decoded, whether the best decodes to the text (one that has U+2581
+    itself does not)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Segmenter(path)
-        for some in slices(batches):
-            rows, texts = [], [t or "" for t in some.column(1).to_pylist()]
-            words = [coder.words(t) for t in texts]
-            coder.learn(words)
-            for t, w in zip(texts, words, strict=True):
-                found = coder.n_best(t, n, w)
-                ids = array("I", found[0][1])
-                rows.append((ids.tolist() if with_ids else None, len(ids), found[0][0], [s for s, _ in found], [zlib.crc32(i) for _, i in found], coder.decode(ids) == t))
-            columns = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(columns[i], types[i]) for i in kept)], ["doc_id", *(names[i] for i in kept)])
-
-    kinds = {"ids": "array<int>", "n_pieces": "long", "score": "double", "n_best": "array<double>", "n_best_crc32": "array<long>", "decoded": "boolean"}
-    names, types = list(kinds), [pa.list_(pa.int32()), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.bool_()]
-    kept = range(0 if with_ids else 1, len(names))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`"))
-    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{names[i]} {kinds[names[i]]}" for i in kept))
+        for some in slices(batches, 1024):
+            ids, edges, decoded, found = coder.batch(pc.fill_null(some.column(1), ""), n)
+            crcs = [[zlib.crc32(changed(ids[a:z], c)) for _, c in xs] for xs, a, z in zip(found, edges.tolist(), edges[1:].tolist(), strict=False)]
+            changes = [[[{"at": a, "n": k, "ids": i} for a, k, i in c] for _, c in xs[1:]] for xs in found]
+            lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids.view(np.int32)))
+            scores = [[x for x, _ in xs] for xs in found]
+            columns = [lists, pa.array(np.diff(edges)), pa.array([x[0] for x in scores], pa.float64()), pa.array(scores, pa.list_(pa.float64())), pa.array(changes, kind), pa.array(crcs, pa.list_(pa.int64())), pa.array([coder.scores] * len(found)), pa.array(decoded)]
+            yield pa.RecordBatch.from_arrays([some.column(0), *columns], names)
+
+    names = ["doc_id", "ids", "n_pieces", "score", "n_best", "changes", "n_best_crc32", "scores", "decoded"]
+    kind = pa.list_(pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("ids", pa.list_(pa.int32()))])))
+    schema = "doc_id long, ids array<int>, n_pieces long, score double, n_best array<double>, changes array<array<struct<at:int,n:int,ids:array<int>>>>, n_best_crc32 array<long>, scores string, decoded boolean"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`")).mapInArrow(run, schema)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
-    """The N-best segmentations of all documents, as digests, and whether the best decodes to the text."""
-    return encodings(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_model(), with_ids=False)
+    """The N-best segmentations of all documents, with their ids, and whether the best decodes to the text."""
+    return encodings(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_model())
