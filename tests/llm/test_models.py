@@ -247,6 +247,76 @@ def test_quality_shrinks_sparse_sites(spark):
     assert C.classify(docs.limit(0), labels, "host", "path").count() == 0
 
 
+def _bins(text):
+    words, lines = WORD.findall(text or ""), [x for x in (text or "").split("\n") if WORD.search(x)]
+    n, m = max(1, len(words)), max(1, len(lines))
+    return (
+        sum(len(words) >= 2**k for k in range(15)), min(10, 10 * sum(map((text or "").count, "#*$%&|<>")) // n), min(10, 10 * len(set(words)) // n), min(15, sum(map(len, words)) // n),
+        min(10, 10 * (len(lines) - len(set(lines))) // m), min(10, 10 * sum(x.rstrip(" ")[-1:] in (".", "!", "?") for x in lines) // m),
+    )
+
+
+def _posteriors(rows, labels):
+    """The classifier restated: rows of (doc_id, text, host, path), labels of (doc_id, good)."""
+    best = {}
+    for i, g in labels:
+        if i is not None and g is not None:
+            best[i] = max(best.get(i, 0), int(g > 0))
+    known = [(_bins(t), best.get(i)) for i, t, *_ in rows]
+    totals = [sum(g == k for _, g in known) for k in (0, 1)]
+    seen = Counter((f, b, g) for bs, g in known if g is not None for f, b in enumerate(bs))
+    share = lambda f, b, g: (seen[f, b, g] + C.SMOOTH) / (totals[g] + C.SMOOTH * list(C.BINS.values())[f])
+    evidence = [C.TEMPER * sum(math.log(share(f, b, 1) / share(f, b, 0)) for f, b in enumerate(bs)) if all(totals) else 0.0 for bs, _ in known]
+    base = math.log(totals[1] / totals[0]) if all(totals) else 0.0
+    y = [g if g is not None else 1 / (1 + math.exp(-e - base)) for e, (_, g) in zip(evidence, known, strict=True)]
+    paths, hosts = {}, {}
+    for (_, _, h, p), v in zip(rows, y, strict=True):
+        paths.setdefault((h, p), []).append(v)
+        hosts.setdefault(h, []).append(v)
+    mean = sum(y) / len(y)
+
+    def strength(sites):
+        n, k = sum(len(v) for v, _ in sites), len(sites)
+        within = sum(m * (1 - m) for _, m in sites) / k
+        beyond = sum(len(v) * (sum(v) / len(v) - m) ** 2 for v, m in sites) / n - within * k / n
+        return min(1e6, max(1.0, within / beyond - 1)) if beyond > 0 else 1e6
+
+    k_host = strength([(v, mean) for v in hosts.values()])
+    k_path = strength([(v, (sum(hosts[h]) + k_host * mean) / (len(hosts[h]) + k_host)) for (h, _), v in paths.items()])
+    for (i, _, h, p), e, own in zip(rows, evidence, y, strict=True):
+        hm = (sum(hosts[h]) - own + k_host * mean) / (len(hosts[h]) - 1 + k_host)
+        pm = (sum(paths[h, p]) - own + k_path * hm) / (len(paths[h, p]) - 1 + k_path)
+        odds = math.log(pm / (1 - pm))
+        yield i, h, p, round(e, 4), round(hm, 4), round(pm, 4), round(1 / (1 + math.exp(-e - odds)), 4)
+
+
+def test_query_against_a_restatement(spark, tmp_path):
+    """All rows of sf0.001 and odd ones, with columns named as the operator's own; own evidence counts once."""
+    sf = "/root/testdata/sf0.001"
+    docs = [(r["doc_id"], r["text"], r["source"], r["lang"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    docs += [(-1, None, None, "en"), (-2, "", "solo", None), (-3, "lonely. words here!", "solo/x", "en"), (None, "no id", "solo", None), (-4, "a b " * 30_000, "long", "en"), (-4, "a b " * 30_000, "long", "en")]
+    labels = [(r["doc_id"], r["quality"]) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()] + [(-1, None), (None, 1), (-4, 0), (-4, 1)]
+    spark.createDataFrame([(*d, 0.5, 1) for d in docs], "doc_id long, text string, source string, lang string, score double, host int").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = sorted((tuple(r)[:7] for r in C.op4(spark, str(tmp_path)).collect()), key=str)
+    want = sorted(_posteriors([(i, t, s, "/".join(x for x in (s, la) if x is not None)) for i, t, s, la in docs], labels), key=str)
+    assert len(got) == len(want)
+    for g, w in zip(got, want, strict=True):
+        assert g[:3] == w[:3] and g[3:] == pytest.approx(w[3:], abs=2e-4), (g, w)
+
+
+def test_quality_of_labels_not_counted(spark):
+    """Fitted without a fifth of the labels, judged on it."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    apart = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 2
+    docs = docs.withColumn("_path", F.concat_ws("/", "source", "lang"))
+    out = C.classify(docs, labels.where(~apart), "source", "_path").join(labels.where(apart & F.col("quality").isNotNull()), "doc_id").toPandas()
+    good, poor = out[out.quality == 1].kept, out[out.quality == 0].kept
+    print(f"held out: {(~good).sum()} of {len(good)} good rejected, {poor.sum()} of {len(poor)} poor kept")
+    assert good.mean() > 0.99 and poor.mean() < 0.02
+
+
 def test_quality_separates_labels(spark):
     out = C.op4(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").toPandas()
     assert out[out.quality == 1].kept.mean() > 0.98 and out[out.quality == 0].kept.mean() < 0.1

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from veritrail.llm import packing, sharding
 
@@ -121,7 +122,33 @@ def test_shards_repeat_and_mix(spark, tmp_path):
     order = [i for i, s, k in sorted(a, key=lambda x: (x[1], x[2])) if s == 0]
     assert order != sorted(order)
     sharding.write_shards(docs, str(tmp_path / "s"), 8, seed=5, bucket_rows=300)
-    assert spark.read.parquet(str(tmp_path / "s")).groupBy("shard").count().count() == 8
+    read = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted((r["record"]["id"], r["shard"], r["slot"]) for r in read.collect()) == a
+    files = read.select("*", F.input_file_name().alias("f")).groupBy("f", "shard", "first").agg(F.min("slot").alias("lo"), F.max("slot").alias("hi"), F.count("*").alias("n"), F.collect_list("slot").alias("slots")).collect()
+    assert len(files) == 8 * 14 and all(r["lo"] == r["first"] and r["hi"] - r["lo"] + 1 == r["n"] and r["slots"] == sorted(r["slots"]) for r in files)
+
+
+def test_starts_over_groups(spark):
+    rows = [(b, (b * 7) % 5 + 1) for b in range(0, 50) if b % 9]
+    got = {r["bucket"]: r["first"] for r in sharding.starts(spark.createDataFrame(rows, "bucket long, rows long"), group=4).collect()}
+    assert got == {b: sum(n for c, n in rows if c < b) for b, _ in rows}
+
+
+def test_query_rows_against_the_law(spark, tmp_path):
+    """Every column of the query, over odd, null and long texts and an empty table."""
+    docs = odd_docs(spark)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = sharding.op3(spark, str(tmp_path)).collect()
+    want = sorted(str((r["doc_id"], len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode()))) for r in docs.collect())
+    assert sorted(str((r["doc_id"], r["size"], r["text_crc32"])) for r in got) == want
+    slots = {}
+    for r in got:
+        assert r["law"] == "rows" and r["grown_shard"] is None and 0 <= r["shard"] < 8
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    counts = [len(slots.get(k, [])) for k in range(8)]
+    assert max(counts) - min(counts) <= 1 and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    docs.limit(0).write.parquet(str(tmp_path / "none/documents.parquet"))
+    assert sharding.op3(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_query_shuffles_whole_records(spark, tmp_path, monkeypatch):

@@ -3,13 +3,13 @@
 Document evidence is a sum of log likelihood ratios of six binned measurements, counted on all labelled documents and tempered, as the
 measurements are not independent. Site evidence comes from all documents: each counts with its label, or where it has none with the
 probability that its own evidence gives. Hosts are shrunk toward the global mean, paths toward their host's posterior mean; how
-strongly is estimated from the spread between sites beyond what sampling explains (by moments). A labelled document is taken out of its own
-site's counts. The score is the posterior probability of good quality: the path's posterior odds times the document's likelihood ratio.
+strongly is estimated from the spread between sites beyond what sampling explains (by moments). Every document, labelled or not, is taken out of
+its own site's counts, so its evidence counts once. The score is the posterior probability of good quality: the path's posterior odds times the document's likelihood ratio.
 
 Everything is grouped aggregation with partial sums before the shuffle, so a host with a third of all rows is no hot spot; only sums over
 all rows and bins come to the driver.
 
-A null text counts as an empty one. Null hosts and paths are sites of their own. Null labels count as none; a doc_id labelled twice has the higher label. A null doc_id has no label. Without labels of both kinds, no measurement
+A null text counts as an empty one. Texts of any length are measured whole. Null hosts and paths are sites of their own. Null labels count as none; a doc_id labelled twice has the higher label. A null doc_id has no label. Without labels of both kinds, no measurement
 counts for anything and the mean is one half. Repeated rows count as often as they occur. Extra columns take no part; an empty table
 gives an empty result.
 """
@@ -107,10 +107,10 @@ def classify(docs: DataFrame, labels: DataFrame, host: str, path: str, text: str
     sites = paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h")
     k_path = _strength(sites.withColumn("m", (F.col("host_s") + k_host * mean) / (F.col("host_n") + k_host)))
 
-    # A document's own label is taken out of its site's counts; unlabelled documents stay, as a site's mean is made of them.
+    # What a document itself gave to its site's counts is taken out again.
     sites = sites.withColumnsRenamed({"host": "h", "path": "p"})
     joined = rows.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")))
-    out_n, out_s = F.col("good").isNotNull().cast("int"), F.coalesce(F.col("good"), F.lit(0))
+    out_n, out_s = F.lit(1), F.col("y")
     joined = joined.withColumn("host_mean", (F.col("host_s") - out_s + k_host * mean) / (F.col("host_n") - out_n + k_host))
     joined = joined.withColumn("path_mean", (F.col("s") - out_s + k_path * F.col("host_mean")) / (F.col("n") - out_n + k_path))
     expected = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("path_mean")))

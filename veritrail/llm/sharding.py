@@ -5,7 +5,10 @@ so neither a hot key nor repeated rows make a large bucket. Pass 2 shuffles each
 deals the buckets' concatenation out: global position p goes to shard p mod n, slot p div n. Shard sizes in rows therefore differ by
 one at most, and the slots of a shard have no gap.
 
-Nulls anywhere, repeated rows and extra columns pass through unchanged: the record is carried as one struct, so no column name can
+The buckets' positions are added up in two steps, group by group, and each bucket has a partition of its own. Shards are written bucket by bucket,
+so no task holds a whole shard.
+
+Nulls anywhere, very long texts (a bucket has at least one record), repeated rows and extra columns pass through unchanged: the record is carried as one struct, so no column name can
 clash. An empty table gives an empty result. Map columns are allowed.
 """
 
@@ -21,6 +24,8 @@ from ._common import materialize
 
 BUCKET_BYTES = 64 << 20
 BUCKET_ROWS = 1 << 14
+#: Up to so many buckets their first positions (16 bytes each) are broadcast; beyond it, they are joined by a shuffle.
+BROADCAST_BUCKETS = 1 << 20
 
 
 def scatter(records: DataFrame, size: Column, seed: int, bucket_bytes: int, bucket_rows: int) -> tuple[DataFrame, int]:
@@ -32,8 +37,20 @@ def scatter(records: DataFrame, size: Column, seed: int, bucket_bytes: int, buck
     return numbered.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "n"), F.lit(buckets)).cast("long")), buckets
 
 
+def starts(counts: DataFrame, group: int = 1024) -> DataFrame:
+    """bucket and first, the rows of the buckets before it, from bucket and rows. Only sums of groups of buckets go to the driver."""
+    counts = counts.withColumn("g", F.floor(F.col("bucket") / group))
+    sums, offsets, total = {r["g"]: r["rows"] for r in counts.groupBy("g").agg(F.sum("rows").alias("rows")).collect()}, [], 0
+    for g in sorted(sums):
+        offsets.append((g, total))
+        total += sums[g]
+    offsets = counts.sparkSession.createDataFrame(offsets, "g long, before long")
+    inside = F.sum("rows").over(W.partitionBy("g").orderBy("bucket")) - F.col("rows")
+    return counts.join(offsets, "g").select("bucket", (F.col("before") + inside).alias("first"))
+
+
 def shuffle_shards(records: DataFrame, shards: int, seed: int = 17, size: Column | None = None, bucket_bytes: int = BUCKET_BYTES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Columns record (a struct of all input columns), shard int, slot long.
+    """Columns record (a struct of all input columns), shard int, slot long, first long (the bucket's first slot in the shard).
 
     size: bytes of a record, used to size the buckets (1 where null); the same seed and input layout give the same result.
     """
@@ -41,21 +58,21 @@ def shuffle_shards(records: DataFrame, shards: int, seed: int = 17, size: Column
         raise ValueError("shards must be positive")
     size = F.lit(1) if size is None else F.coalesce(size, F.lit(1))
     dealt, buckets = scatter(records, size, seed, bucket_bytes, bucket_rows)
-    first = dealt.groupBy("bucket").agg(F.count("*").alias("rows"))
-    first = first.select("bucket", (F.sum("rows").over(W.orderBy("bucket")) - F.col("rows")).alias("first"))
+    first = starts(dealt.groupBy("bucket").agg(F.count("*").alias("rows")))
     by_number = lambda a, b: F.when(a["n"] < b["n"], -1).when(a["n"] > b["n"], 1).otherwise(0)
-    # A fixed number of partitions and an order within each make the seeded shuffle the same when a task runs again.
-    whole = dealt.select("bucket", F.struct("n", "record").alias("r")).repartition(buckets, "bucket").groupBy("bucket").agg(F.collect_list("r").alias("rs"))
-    whole = whole.sortWithinPartitions("bucket").select("bucket", F.shuffle(F.array_sort("rs", by_number), seed).alias("rs"))
-    out = whole.join(first, "bucket").select("first", F.posexplode("rs").alias("at", "r"))
+    # A partition for each bucket, and an order within it, make the seeded shuffle the same when a task runs again.
+    whole = dealt.select("bucket", F.struct("n", "record").alias("r")).repartitionById(buckets, F.col("bucket").cast("int")).groupBy("bucket").agg(F.collect_list("r").alias("rs"))
+    whole = whole.select("bucket", F.shuffle(F.array_sort("rs", by_number), seed).alias("rs"))
+    out = whole.join(F.broadcast(first) if buckets <= BROADCAST_BUCKETS else first, "bucket").select("first", F.posexplode("rs").alias("at", "r"))
     place = F.col("first") + F.col("at")
-    return out.select(F.col("r.record").alias("record"), F.pmod(place, F.lit(shards)).cast("int").alias("shard"), F.floor(place / shards).cast("long").alias("slot"))
+    part = F.ceil((F.col("first") - F.pmod(place, F.lit(shards))) / shards).cast("long")  # the bucket's first slot in this record's shard
+    return out.select(F.col("r.record").alias("record"), F.pmod(place, F.lit(shards)).cast("int").alias("shard"), F.floor(place / shards).cast("long").alias("slot"), part.alias("first"))
 
 
 def write_shards(records: DataFrame, path: str, shards: int, seed: int = 17, size: Column | None = None, **sizes: int) -> None:
-    """The shards as Parquet under path/shard=K, each in slot order."""
+    """The shards as Parquet under path/shard=K/first=S: each bucket's part of a shard is a file of its own, from slot S on, in slot order."""
     out = shuffle_shards(records, shards, seed, size, **sizes)
-    out.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    out.select("record", "slot", "shard", "first").sortWithinPartitions("shard", "first", "slot").write.partitionBy("shard", "first").parquet(path)
 
 
 #: Bytes of a document's other columns and of a row, beside its text.
