@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -24,7 +24,8 @@ from ._common import materialize
 
 BUCKET_BYTES = 64 << 20
 BUCKET_ROWS = 1 << 14
-#: Up to so many buckets their first positions (16 bytes each) are broadcast; beyond it, they are joined by a shuffle.
+#: Up to so many buckets, their first positions and their partitions' keys (16 bytes each) are broadcast. Beyond it, positions are joined by a
+#: shuffle, and buckets are hashed to partitions, so that a few may share one.
 BROADCAST_BUCKETS = 1 << 20
 
 
@@ -49,6 +50,12 @@ def starts(counts: DataFrame, group: int = 1024) -> DataFrame:
     return counts.join(offsets, "g").select("bucket", (F.col("before") + inside).alias("first"))
 
 
+def own_partitions(spark: SparkSession, buckets: int) -> DataFrame:
+    """bucket and key: a number that hash partitioning sends to the bucket's own partition of as many as there are buckets."""
+    keys = spark.range(32 * buckets).select(F.col("id").alias("key"), F.pmod(F.hash("id"), F.lit(buckets)).cast("long").alias("bucket"))
+    return keys.groupBy("bucket").agg(F.min("key").alias("key"))  # hardly ever lacks one; its bucket then shares a partition
+
+
 def shuffle_shards(records: DataFrame, shards: int, seed: int = 17, size: Column | None = None, bucket_bytes: int = BUCKET_BYTES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Columns record (a struct of all input columns), shard int, slot long, first long (the bucket's first slot in the shard).
 
@@ -61,7 +68,12 @@ def shuffle_shards(records: DataFrame, shards: int, seed: int = 17, size: Column
     first = starts(dealt.groupBy("bucket").agg(F.count("*").alias("rows")))
     by_number = lambda a, b: F.when(a["n"] < b["n"], -1).when(a["n"] > b["n"], 1).otherwise(0)
     # A partition for each bucket, and an order within it, make the seeded shuffle the same when a task runs again.
-    whole = dealt.select("bucket", F.struct("n", "record").alias("r")).repartitionById(buckets, F.col("bucket").cast("int")).groupBy("bucket").agg(F.collect_list("r").alias("rs"))
+    if buckets <= BROADCAST_BUCKETS:
+        dealt = dealt.join(F.broadcast(own_partitions(records.sparkSession, buckets)), "bucket", "left")
+    else:
+        dealt = dealt.withColumn("key", F.lit(None).cast("long"))
+    dealt = dealt.select(F.coalesce("key", -1 - F.col("bucket")).alias("key"), "bucket", F.struct("n", "record").alias("r"))
+    whole = dealt.repartition(buckets, "key").groupBy("key", "bucket").agg(F.collect_list("r").alias("rs"))
     whole = whole.select("bucket", F.shuffle(F.array_sort("rs", by_number), seed).alias("rs"))
     out = whole.join(F.broadcast(first) if buckets <= BROADCAST_BUCKETS else first, "bucket").select("first", F.posexplode("rs").alias("at", "r"))
     place = F.col("first") + F.col("at")
