@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 from ._common import materialize
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1))), F.lit(0)).alias("sum")).first()
-    return row["n"], row["sum"]
-
-
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -25,20 +20,17 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, limit: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """u, v: each node but the smallest of its component, and that smallest node. edges: u, v of one ordered type, in any direction.
 
     Self-links and nulls take no part. The minimum of a node's neighbours is aggregated before the shuffle and joined back, so a node
-    with very many neighbours is never gathered in one task.
+    with very many neighbours is never gathered in one task. It ends when a step changes no edge.
     """
-    edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges = materialize(edges, "edges")
-    state = _state(edges)
-    for _ in range(limit):
-        if not state[0]:
-            return edges
-        edges = materialize(_small_star(_large_star(edges)), "edges")
-        if (new := _state(edges)) == state:
-            return edges
-        state = new
-    raise RuntimeError(f"components did not settle in {limit} rounds")
+    edges = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    n = edges.count()
+    while n:
+        before, edges = edges, materialize(_small_star(_large_star(edges)), "edges")
+        n, m = edges.count(), n
+        if n == m and edges.join(before, ["u", "v"], "left_anti").isEmpty():
+            break
+    return edges

@@ -1,18 +1,20 @@
 """Near duplicates by circulant MinHash, banding and exact Jaccard verification.
 
 Words are lower-cased in A-Z and hashed to 64 bits, a document's set is its distinct 5-word shingles (all words as one where there are
-fewer). Circulant MinHash needs two permutations of the 32-bit universe: the first spreads the shingles, the second, circularly shifted
+fewer). Circulant MinHash needs two permutations of the 32-bit universe: the first is applied once, the second, circularly shifted
 by k, gives coordinate k of the signature. Bands of 4 coordinates, 32 of them, make two documents of similarity 0.75 candidates but for
 5 in a million.
 
 Equal word sequences are one class from the start. In each band bucket, members are first compared with the bucket's smallest member
-only, by the sets themselves; after connected components, only members of one bucket that are in different components are compared
-further, first by bitmaps of their sets (in blocks of bounded size), then again by the sets. Where two bitmaps differ, so do the sets, so
+only, by the sets themselves; after connected components, those outside the smallest component are compared with the smallest of their own
+in the same way. Only then are members of one bucket that are still in different components compared with each
+other, first by bitmaps of their sets (in blocks of bounded size), then again by the sets. Where two bitmaps differ, so do the sets, so
 what the bitmaps rule out is certainly not linked. So no bucket emits all its pairs, and no bucket is capped: every two members that
-could still be linked are compared. Sets are made only of documents that share a bucket.
+could still be linked are compared. Sets are made only of documents that share a bucket. What a bucket's members need to know of it is
+aggregated and joined back, so that none is sorted or held as a whole.
 
 A link needs 100 * intersection >= 75 * union on the full sets. Documents without words (null, empty, blank) have no set and stand
-alone. Repeated rows are in one class. A null doc_id belongs to its class but never names it, unless all are null. Extra columns take no part; an empty table gives an
+alone. Very long texts are read whole. Repeated rows are in one class. A null doc_id belongs to its class but never names it, unless all are null. Extra columns take no part; an empty table gives an
 empty result.
 """
 
@@ -23,7 +25,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._common import WS, materialize
@@ -34,7 +35,7 @@ BANDS, ROWS = 32, 4
 #: Bits of the largest bitmap of a set; smaller sets have 8 to 16 bits a shingle.
 MAP_BITS = 1 << 15
 #: Members of a bucket compared with each other in one go.
-BLOCK = 1024
+BLOCK = 512
 
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -90,9 +91,13 @@ def shingles(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarr
     return sets, k1, k2
 
 
-def _second(x: np.ndarray, room: np.ndarray) -> np.ndarray:
-    """The second permutation: a bijection of 32-bit numbers, in place."""
-    for shift, factor in ((16, 0x7FEB352D), (15, 0x846CA68B)):
+#: Shifts and odd factors of the two permutations.
+FIRST, SECOND = ((15, 0xD168AAAD), (15, 0xAF723597)), ((16, 0x7FEB352D), (15, 0x846CA68B))
+
+
+def permute(x: np.ndarray, room: np.ndarray, steps: tuple[tuple[int, int], ...]) -> np.ndarray:
+    """A bijection of 32-bit numbers, in place."""
+    for shift, factor in steps:
         np.right_shift(x, np.uint32(shift), out=room)
         np.bitwise_xor(x, room, out=x)
         np.multiply(x, np.uint32(factor), out=x)
@@ -108,12 +113,13 @@ def signatures(sets: list[np.ndarray], coordinates: int = BANDS * ROWS) -> np.nd
         while to < len(sets) and (to == at or n + len(sets[to]) <= 1 << 15):
             n += len(sets[to])
             to += 1
-        first = (np.concatenate(sets[at:to]) >> _U(32)).astype(np.uint32)  # the hash has spread the shingles already
+        first = (np.concatenate(sets[at:to]) >> _U(32)).astype(np.uint32)
         offsets = np.cumsum([0] + [len(s) for s in sets[at : to - 1]])
         x, room = np.empty_like(first), np.empty_like(first)
+        permute(first, room, FIRST)
         for k in range(coordinates):
             np.add(first, np.uint32(k), out=x)
-            out[at:to, k] = np.minimum.reduceat(_second(x, room), offsets)
+            out[at:to, k] = np.minimum.reduceat(permute(x, room, SECOND), offsets)
         at = to
     return out
 
@@ -261,10 +267,9 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     classes = materialize(classes, "classes")
     one = some.join(classes.select(F.col("class").alias("row")), "row", "left_semi")
 
-    bucket = W.partitionBy("bucket")
     members = one.select(F.col("row").alias("class"), F.explode("bands").alias("bucket"))
-    members = members.withColumns({"hub": F.min("class").over(bucket), "last": F.max("class").over(bucket)}).where("hub < last").drop("last")
-    members = materialize(members, "buckets")
+    shared = members.groupBy("bucket").agg(F.min("class").alias("hub"), F.max("class").alias("last")).where("hub < last").select("bucket", "hub")
+    members = materialize(members.join(shared, "bucket"), "buckets")
 
     needed = members.select("class").distinct()
     of = rows.select("doc_id", "k1", "k2", "bands", F.col("row").alias("class")).join(needed, "class", "left_semi")
@@ -274,16 +279,28 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     sets = texts.mapInArrow(_sets, "k1 long, k2 long, shingles binary, map binary").join(of.select("k1", "k2", "class", "bands"), ["k1", "k2"]).select("class", "shingles", "map", "bands")
     sets = materialize(sets.dropDuplicates(["class"]), "sets")
 
-    # First each member with one hub, the one that it meets in most buckets.
-    hubs = members.where("class <> hub").groupBy("class", "hub").agg(F.count("*").alias("n"))
-    best = hubs.groupBy("class").agg(F.max(F.struct("n", (-F.col("hub")).alias("to"))).alias("m"))
-    pairs = best.select(F.col("class").alias("u"), (-F.col("m.to")).alias("v"))
-    links = materialize(verified(pairs, sets), "links")
-    found = components(links).select(F.col("u").alias("class"), F.col("v").alias("component"))
+    def linked(hubs: DataFrame) -> DataFrame:
+        """Links of classes to the one hub that each meets in most buckets. hubs: class, hub."""
+        best = hubs.groupBy("class", "hub").agg(F.count("*").alias("n")).groupBy("class").agg(F.max(F.struct("n", (-F.col("hub")).alias("to"))).alias("m"))
+        return verified(best.select(F.col("class").alias("u"), (-F.col("m.to")).alias("v")), sets)
+
+    def apart_of(links: DataFrame) -> DataFrame:
+        """bucket, class, component, and the bucket's least component a, of the buckets whose members are in different components."""
+        found = components(links).select(F.col("u").alias("class"), F.col("v").alias("component"))
+        named = members.drop("hub").join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
+        named = materialize(named, "named")
+        mixed = named.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("z"), F.count("*").alias("n")).where("a < z").drop("z")
+        return named.join(mixed, "bucket")
+
+    # First each member with the hub, then those of other components than the bucket's least with the least of theirs.
+    links = materialize(linked(members.where("class <> hub").select("class", "hub")), "links")
+    others = materialize(apart_of(links).where("component > a").select("bucket", "class", "component"), "others")
+    seconds = others.groupBy("bucket").agg(F.min(F.struct("component", "class")).alias("hub"))
+    more = others.join(seconds, "bucket").where("component > hub.component").select("class", F.col("hub.class").alias("hub"))
+    links = materialize(links.unionByName(linked(more)), "links")
 
     # Then members of one bucket that are still apart.
-    apart = members.drop("hub").join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    apart = apart.withColumns({"a": F.min("component").over(bucket), "z": F.max("component").over(bucket), "n": F.count("*").over(bucket)}).where("a < z")
+    apart = apart_of(links).drop("a")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     apart = apart.join(sets.select("class", (F.octet_length("shingles") / 8).cast("long").alias("n_shingles"), "map", "bands"), "class")
     apart = apart.select("bucket", "class", "component", "n_shingles", "map", "bands", F.pmod(F.xxhash64("class"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with"))
@@ -307,10 +324,13 @@ def distinct_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     together.
     """
     ids = near_duplicates(docs, text).where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    ids = materialize(ids.select(F.col("doc_id").alias("_id"), "kept", "n").where("NOT kept OR n > 1"), "dropped")
-    same = lambda which: (ids.where(which), docs["doc_id"] == F.col("_id"))
-    twice = docs.join(*same("kept"), "left_semi").dropDuplicates(["doc_id", text])
-    return docs.join(*same("TRUE"), "left_anti").unionByName(twice)
+    key = "_id"
+    while key in docs.columns:
+        key += "_"
+    ids = materialize(ids.select(F.col("doc_id").alias(key), "kept", "n").where("NOT kept OR n > 1"), "dropped")
+    same = lambda which: (ids.where(which), docs["doc_id"] == ids[key])
+    twice = docs.join(*same(ids["kept"]), "left_semi").dropDuplicates(["doc_id", text])
+    return docs.join(*same(F.lit(True)), "left_anti").unionByName(twice)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
