@@ -36,6 +36,8 @@ BANDS, ROWS = 32, 4
 MAP_BITS = 1 << 15
 #: Members of a bucket compared with each other in one go.
 BLOCK = 512
+#: Parts that the members of a bucket are dealt to when they are joined with what is known of it.
+SALTS = 32
 
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -258,6 +260,12 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
+def joined_back(members: DataFrame, per_bucket: DataFrame) -> DataFrame:
+    """members with what is known of their bucket; the buckets' side is repeated by salts, so a bucket of very many members is dealt over tasks."""
+    salted = members.withColumn("_salt", F.pmod(F.xxhash64("class"), F.lit(SALTS)).cast("int"))
+    return salted.join(per_bucket.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["bucket", "_salt"]).drop("_salt")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id linked, by any chain), kept (doc_id is the component's id)."""
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(f"`{text}`").alias("text"))
@@ -269,7 +277,7 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
 
     members = one.select(F.col("row").alias("class"), F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("class").alias("hub"), F.max("class").alias("last")).where("hub < last").select("bucket", "hub")
-    members = materialize(members.join(shared, "bucket"), "buckets")
+    members = materialize(joined_back(members, shared), "buckets")
 
     needed = members.select("class").distinct()
     of = rows.select("doc_id", "k1", "k2", "bands", F.col("row").alias("class")).join(needed, "class", "left_semi")
@@ -290,13 +298,13 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
         named = members.drop("hub").join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
         named = materialize(named, "named")
         mixed = named.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("z"), F.count("*").alias("n")).where("a < z").drop("z")
-        return named.join(mixed, "bucket")
+        return joined_back(named, mixed)
 
     # First each member with the hub, then those of other components than the bucket's least with the least of theirs.
     links = materialize(linked(members.where("class <> hub").select("class", "hub")), "links")
     others = materialize(apart_of(links).where("component > a").select("bucket", "class", "component"), "others")
     seconds = others.groupBy("bucket").agg(F.min(F.struct("component", "class")).alias("hub"))
-    more = others.join(seconds, "bucket").where("component > hub.component").select("class", F.col("hub.class").alias("hub"))
+    more = joined_back(others, seconds).where("component > hub.component").select("class", F.col("hub.class").alias("hub"))
     links = materialize(links.unionByName(linked(more)), "links")
 
     # Then members of one bucket that are still apart.
