@@ -17,7 +17,7 @@ THOUGHT = re.compile(r"<think>.*?</think>", re.S)
 TAGGED = re.compile(r"<tool_call>\s*(.*?)\s*(?:</tool_call>|$)", re.S)
 FENCED = re.compile(r"```(?:json)?\s*(.*?)\s*```", re.S)
 XML_NAME, XML_ARGUMENT = re.compile(r"<function=([\w.-]+)>"), re.compile(r"<parameter=([\w.-]+)>\s*(.*?)\s*</parameter>", re.S)
-PYTHON_CALLS = re.compile(r"<\|tool_call_start\|>\s*(\[.*?\])\s*(?:<\|tool_call_end\|>|$)", re.S)
+PYTHON_CALLS = re.compile(r"<\|tool_call_start\|>(.*?)(?:<\|tool_call_end\|>|$)", re.S)
 
 
 def canonical(value) -> str:
@@ -25,13 +25,16 @@ def canonical(value) -> str:
     return json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
 
 
-def normalized(value):
-    """Lower-case strings with single blanks, at any depth."""
+def with_leaves(value, change):
+    """The JSON value with every leaf changed; keys become text."""
     if isinstance(value, dict):
-        return {str(k): normalized(v) for k, v in value.items()}
-    if isinstance(value, list):
-        return [normalized(v) for v in value]
-    return re.sub(r"\s+", " ", value.strip().lower()) if isinstance(value, str) else value
+        return dict(zip(map(str, value), with_leaves(list(value.values()), change), strict=True))
+    return [with_leaves(v, change) for v in value] if isinstance(value, list) else change(value)
+
+
+def folded(leaf):
+    """Text in lower case with single blanks; any other leaf as it is."""
+    return " ".join(leaf.lower().split()) if isinstance(leaf, str) else leaf
 
 
 def _loads(text: str):
@@ -51,17 +54,40 @@ def _call(value) -> tuple[str, str] | None:
     return (name, canonical(arguments if isinstance(arguments, dict) else {})) if isinstance(name, str) and name else None
 
 
+def _literal(node: ast.expr):
+    """A literal's value, or the source of anything else: the argument then stays as it was written."""
+    try:
+        return ast.literal_eval(node)
+    except (ValueError, TypeError, SyntaxError, RecursionError, MemoryError):
+        return ast.unparse(node)
+
+
 def _python_calls(text: str) -> list[tuple[str, str]]:
+    """Calls of plain names with keyword arguments: one, or several in a list or tuple."""
     try:
-        items = ast.parse(text, mode="eval").body
-        calls = items.elts if isinstance(items, ast.List) else []
-        return [(c.func.id, canonical({k.arg: ast.literal_eval(k.value) for k in c.keywords})) for c in calls if isinstance(c, ast.Call) and isinstance(c.func, ast.Name)]
-    except (SyntaxError, ValueError, TypeError, RecursionError):
+        body = ast.parse(text.strip(), mode="eval").body
+        nodes = body.elts if isinstance(body, ast.List | ast.Tuple) else [body]
+        named = [n for n in nodes if isinstance(n, ast.Call) and isinstance(n.func, ast.Name)]
+        return [(n.func.id, canonical({k.arg: _literal(k.value) for k in n.keywords if k.arg})) for n in named]
+    except (SyntaxError, ValueError, TypeError, RecursionError, MemoryError):
         return []
 
 
+def _objects(text: str) -> list:
+    """The JSON objects that stand in prose, from left to right, none inside another."""
+    found, at = [], text.find("{")
+    while at >= 0:
+        try:
+            value, end = json.JSONDecoder().raw_decode(text, at)
+            found.append(value)
+        except (ValueError, RecursionError):
+            end = at + 1
+        at = text.find("{", end)
+    return found
+
+
 def lenient_calls(text: str | None) -> list[tuple[str, str]]:
-    """Calls in a reply: tagged JSON or XML, Python syntax between call marks, fenced JSON, or the reply as JSON; thoughts are skipped."""
+    """Calls in a reply: tagged JSON or XML, Python syntax between call marks, fenced JSON, the reply as JSON, or JSON objects inside prose; thoughts are skipped."""
     text = THOUGHT.sub("", text or "").strip()
     found: list[tuple[str, str]] = []
     for body in TAGGED.findall(text):
@@ -78,7 +104,7 @@ def lenient_calls(text: str | None) -> list[tuple[str, str]]:
             found = [c for v in (value if isinstance(value, list) else [value]) if (c := _call(v))]
             if found:
                 break
-    return found
+    return found or [c for v in _objects(text) if (c := _call(v))]
 
 
 @F.pandas_udf(CALLS)
@@ -95,7 +121,7 @@ def canonical_json(text: pd.Series) -> pd.Series:
 @F.pandas_udf(Ty.StringType())
 def normalized_json(text: pd.Series) -> pd.Series:
     """The canonical form with strings in lower case and single blanks; what is no JSON counts as a string."""
-    return text.map(lambda t: canonical(normalized(v if t is not None and (v := _loads(t)) is not None else t)))
+    return text.map(lambda t: canonical(with_leaves(v if t is not None and (v := _loads(t)) is not None else t, folded)))
 
 
 def call_signature(name: Column, arguments: Column) -> Column:

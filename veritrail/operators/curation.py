@@ -140,11 +140,14 @@ def selection_summary(selected: DataFrame, question: str, model: str) -> DataFra
 def disjoint_split(documents: DataFrame, key: str, order: Column, size: str, wanted: int) -> DataFrame:
     """key and split: documents in the given order go to dev until it has the wanted number of rows; no document is in both, and train is never empty.
 
-    documents: one row per document with its number of rows. The running sum is over the documents of a benchmark, not over rows.
+    documents: one row per document with its number of rows, at least one. Only the first ``wanted`` documents in order can be in dev, so the
+    running sum is over these alone; all others are train without being sorted.
     """
-    before = F.coalesce(F.sum(size).over(W.orderBy(order, key).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     total = documents.agg(F.sum(size)).first()[0] or 0
-    return documents.withColumn("split", F.when((before < wanted) & (F.col(size) < total - before), "dev").otherwise("train"))
+    head = documents.select(key, F.col(size).alias("_size"), order.alias("_order")).orderBy("_order", key).limit(wanted)
+    before = F.coalesce(F.sum("_size").over(W.orderBy("_order", key).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    dev = head.withColumn("_before", before).where((F.col("_before") < wanted) & (F.col("_size") < total - F.col("_before"))).select(key, F.lit("dev").alias("split"))
+    return documents.join(dev, key, "left").withColumn("split", F.coalesce("split", F.lit("train")))
 
 
 def repaired(traces: DataFrame, events: str, inserted: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.sql import Column, DataFrame
@@ -42,10 +43,31 @@ def tie_broken(rollouts: DataFrame, by: str, reward: str, signal: Column, weight
     return mixed.join(again, by).withColumn("advantage", (F.col("_r") - F.col("_m")) / F.when(F.col("_s") <= FLAT, 1.0).otherwise(F.col("_s"))).drop("_r", "_m", "_s")
 
 
+def positions(rows: DataFrame, h: Column, order: list[str], each: int = 1 << 16) -> DataFrame:
+    """position of each row, from 0, in order of the 64-bit hash h and then of the columns. Rows are ranked within buckets of the hash's range,
+    about ``each`` rows a bucket, and the buckets' counts are added up; so no task sees all rows."""
+    bits = max(0, math.ceil(math.log2(max(1, rows.count() / each))))
+    hashed = rows.withColumn("_h", h)
+    # Shifting the sign bit first keeps the order of signed hashes.
+    bucket = F.shiftrightunsigned(F.col("_h").bitwiseXOR(F.lit(-(1 << 63))), 64 - bits) if bits else F.lit(0).cast("long")
+    hashed = hashed.withColumn("_b", bucket)
+    counts = hashed.groupBy("_b").agg(F.count("*").alias("_n")).withColumn("_g", F.shiftright("_b", 10))
+    groups = {r["_g"]: r["n"] for r in counts.groupBy("_g").agg(F.sum("_n").alias("n")).collect()}  # one row for each 1024 buckets
+    before, offsets = 0, []
+    for g in sorted(groups):
+        offsets.append((g, before))
+        before += groups[g]
+    offsets = rows.sparkSession.createDataFrame(offsets, "_g long, _before long")
+    first = F.sum("_n").over(W.partitionBy("_g").orderBy("_b")) - F.col("_n") + F.col("_before")
+    counts = counts.join(offsets, "_g").select("_b", first.alias("_first"))
+    rank = F.row_number().over(W.partitionBy("_b").orderBy("_h", *order)) - 1
+    return hashed.withColumn("_r", rank).join(counts, "_b").withColumn("position", F.col("_first") + F.col("_r")).drop("_b", "_h", "_r", "_first")
+
+
 def epoch_pages(rows: DataFrame, key: str, epoch: int, size: int, seed: int = 0) -> DataFrame:
     """position and page of each row in a permutation of the epoch, by hash: a stream of its own, the same on every cluster."""
-    order = W.orderBy(F.xxhash64(F.lit(seed), F.lit(epoch), key), key)
-    return rows.withColumn("position", F.row_number().over(order) - 1).withColumn("page", F.floor(F.col("position") / size))
+    out = positions(rows, F.xxhash64(F.lit(seed), F.lit(epoch), key), [key])
+    return out.withColumn("page", F.floor(F.col("position") / size))
 
 
 def seeded_pages(spark, keys: list, epoch: int, size: int, seed: int = 0) -> DataFrame:

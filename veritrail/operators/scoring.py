@@ -74,18 +74,21 @@ def typed_text_match(answer: Column, aliases: Column) -> Column:
     return F.exists(aliases, lambda x: flat(x) == flat(answer))
 
 
-def typed_score(submissions: DataFrame, targets: DataFrame, citations: DataFrame, receipts: DataFrame, weight: float = 0.0, episode: str = "episode_id") -> DataFrame:
+def typed_score(submissions: DataFrame, targets: DataFrame, citations: DataFrame, receipts: DataFrame, weight: float = 0.0, episode: str = "episode_id", strict: bool = True, derivations: DataFrame | None = None) -> DataFrame:
     """F, A, G, Ret and reward per episode: citations joined to receipts, reviewed supports to the receipts' texts, claims divided.
 
     submissions: episode, question_id, answer_type, value, unit, scale, decision, answer_text; targets: the same answer columns with
-    precision, aliases, supports (array of document_id, page, quote, claim), adjudication_status. Derived targets are scored by their value;
-    their provenance is checked apart.
+    precision, aliases, supports (array of document_id, page, quote, claim), adjudication_status, and derived where some are. A submission
+    without a target is an error; not strict, it stays as target_missing, with no scores. A derived target's G is what derivations says
+    (episode, derivation_grounded, as from ``provenance.grounded``): without provenance an answer that is right by its value alone is not grounded.
     """
     from ..functions.numbers import normalize_scale, normalize_unit, numbers_equal, scalar
     from . import evidence as E
 
     number = lambda p: F.struct(scalar(F.col(f"{p}value")).alias("value"), normalize_unit(F.col(f"{p}unit")).alias("unit"), normalize_scale(F.col(f"{p}scale")).alias("scale"))
-    s = submissions.join(targets.withColumnsRenamed({c: f"t_{c}" for c in targets.columns if c != "question_id"}), "question_id")
+    s = submissions.join(targets.withColumnsRenamed({c: f"t_{c}" for c in targets.columns if c != "question_id"}).withColumn("_there", F.lit(True)), "question_id", "left")
+    absent = F.col("_there").isNull()
+    s = s.withColumn("target_missing", F.when(absent, F.raise_error(F.concat(F.lit("no target for "), F.col("question_id").cast("string"))).cast("boolean")).otherwise(False) if strict else absent)
     complete = F.when(F.col("answer_type") == "numeric", number("")["value"].isNotNull() & (F.col("unit") != "") & number("")["scale"].isNotNull() & (F.col("scale") != "")).when(F.col("answer_type") == "boolean", F.col("decision").isin("yes", "no")).when(F.col("answer_type") == "text", F.trim("answer_text") != "")
     s = s.withColumn("F", F.coalesce(complete, F.lit(False)).cast("double"))
     s = s.withColumn("_n", numbers_equal(number("t_"), number(""), F.col("t_precision")))
@@ -101,16 +104,21 @@ def typed_score(submissions: DataFrame, targets: DataFrame, citations: DataFrame
     visible = joined.where("strong").select(episode, "receipt_id").distinct()
     covered = delivered.join(visible, [episode, "receipt_id"], "left_semi").select(episode, "claim")
     grounded = E.all_claims_covered(supports, covered, episode).where("all_covered").select(episode, F.lit(1.0).alias("_g"))
+    if "derived" in targets.columns:
+        calculated = derivations.select(episode, "derivation_grounded") if derivations is not None else submissions.select(episode, F.lit(False).alias("derivation_grounded")).limit(0)
+        derived = F.coalesce(F.col("t_derived") & (F.col("answer_type") == "numeric"), F.lit(False))
+        grounded = s.select(episode, derived.alias("_d")).join(grounded, episode, "left").join(calculated, episode, "left")
+        grounded = grounded.select(episode, F.when(F.col("_d"), F.coalesce(F.col("derivation_grounded"), F.lit(False)).cast("double")).otherwise(F.col("_g")).alias("_g"))
     out = s.join(fabricated, episode, "left").join(ret, episode, "left").join(grounded, episode, "left")
     out = out.na.fill({"fabricated": False, "Ret": 0.0, "_g": 0.0}).withColumn("G", F.when(F.col("fabricated") | (F.col("A").isNull()), 0.0).otherwise(F.col("_g") * same_type.cast("double") * F.col("F")))
     unresolved = (F.col("t_adjudication_status") == "unresolved") | ((F.col("answer_type") == "text") & (F.col("A") == 0) & (F.col("F") == 1) & same_type)
     out = out.withColumn("unresolved", F.coalesce(unresolved, F.lit(False)))
     closed = F.coalesce(F.col("t_adjudication_status") == "unresolved", F.lit(False))
-    zero = lambda c: F.when(closed, 0.0).otherwise(F.col(c))
+    zero = lambda c: F.when(F.col("target_missing"), None).when(closed, 0.0).otherwise(F.col(c))
     out = out.withColumns({"F": zero("F"), "A": zero("A"), "G": zero("G"), "Ret": zero("Ret")})
-    out = out.withColumn("reward", F.when(closed | (F.col("F") == 0), 0.0).otherwise(typed_reward(F.col("A"), F.col("G"), F.col("Ret"), F.col("fabricated"), weight)))
+    out = out.withColumn("reward", F.when(F.col("target_missing"), None).when(closed | (F.col("F") == 0), 0.0).otherwise(typed_reward(F.col("A"), F.col("G"), F.col("Ret"), F.col("fabricated"), weight)))
     correct = (F.col("A") == 1) & ~F.col("unresolved")
-    return out.select(episode, "question_id", "F", "A", "G", "Ret", "fabricated", "unresolved", "reward", correct.cast("int").alias("correct"), (correct & (F.col("G") == 1)).cast("int").alias("grounded_success"), F.lit(TYPED).alias("scorer_version"))
+    return out.select(episode, "question_id", "target_missing", "F", "A", "G", "Ret", "fabricated", "unresolved", "reward", correct.cast("int").alias("correct"), (correct & (F.col("G") == 1)).cast("int").alias("grounded_success"), F.lit(TYPED).alias("scorer_version"))
 
 
 def grounded_reward(answer: Column, evidence: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
 from functools import reduce
 
 import pandas as pd
@@ -127,34 +128,55 @@ def running_evidence(observations: DataFrame, by: str, order: list[str], piece:
     return cut.withColumn("evidence", F.left("_piece", F.col("_left").cast("int"))).where(F.length("evidence") > 0).drop("_piece", "_left")
 
 
-def trim_observation(payload, cap: int) -> str:
-    """JSON of at most cap characters: tails of the longest list go first, then half of what the longest text has too much; offsets follow.
+CUT_TEXTS = ("text", "content", "neighbor_context", "error")
 
-    A payload that is too long even so becomes an error.
-    """
-    dump = lambda x: json.dumps(x, ensure_ascii=False, separators=(",", ":"))
+
+def _json(value) -> str:
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
+def _kept_elements(lists: dict[str, list], excess: int) -> tuple[dict[str, int], int]:
+    """How many elements each list keeps so that so many characters go, the longest list losing its last one each time; and what must go still."""
+    sizes = {k: [len(_json(x)) + 1 for x in v] for k, v in lists.items()}  # each with a comma, but for the last one of a list
+    room = {k: sum(ns) for k, ns in sizes.items()}
+    while excess > 0 and (k := max(room, key=room.get, default=None)) is not None and sizes[k]:
+        n = sizes[k].pop()
+        room[k] -= n
+        excess -= n if sizes[k] else n - 1
+    return {k: len(ns) for k, ns in sizes.items()}, excess
+
+
+def _with_texts(out: dict, level: int) -> dict:
+    """Its texts cut to so many characters; a page's offsets follow its text, which its provenance no longer fits."""
+    new = {k: v[:level] if k in CUT_TEXTS and isinstance(v, str) else v for k, v in out.items()}
+    if "start" in new and isinstance(out.get("text"), str) and len(new["text"]) < len(out["text"]):
+        end = new["start"] + len(new["text"])
+        new |= {"end": end, "next_start": end, "has_more": end < new.get("total_chars", end + 1)}
+        new.pop("provenance", None)
+    return new
+
+
+def trim_observation(payload, cap: int) -> str:
+    """JSON of at most cap characters: the ends of the longest lists go first, by the sizes of their elements; then texts are cut to one length,
+    the largest that fits. A payload that is too long even so becomes an error."""
     out = dict(payload) if isinstance(payload, dict) else {"content": str(payload)}
-    out = {k: list(v) if isinstance(v, list) else v for k, v in out.items()}
-    note = out["observation"] = {"raw_chars": len(dump(out)), "truncated": False}
-    while (size := len(dump(out))) > cap:
-        note["truncated"] = True
-        if some := [v for v in out.values() if isinstance(v, list) and v]:
-            max(some, key=lambda v: len(dump(v))).pop()
-            continue
-        texts = {k: v for k, v in out.items() if k in ("text", "content", "neighbor_context", "error") and isinstance(v, str) and v}
-        if not texts:
-            return dump({"error": "Observation metadata exceeds the budget.", "observation": note})
-        key = max(texts, key=lambda k: (len(texts[k]), k))
-        out[key] = texts[key][: max(0, len(texts[key]) - max(1, (size - cap) // 2))]
-        if key == "text" and "start" in out:
-            out["end"] = out["next_start"] = out["start"] + len(out["text"])
-            out["has_more"] = out["end"] < out.get("total_chars", out["end"] + 1)
-            out.pop("provenance", None)
-    return dump(out)
+    note = {"raw_chars": len(_json(out)), "truncated": False}
+    out["observation"] = note
+    if len(_json(out)) <= cap:
+        return _json(out)
+    note["truncated"] = True
+    lists = {k: v for k, v in out.items() if isinstance(v, list)}
+    keep, excess = _kept_elements(lists, len(_json(out)) - cap)
+    out |= {k: v[: keep[k]] for k, v in lists.items()}
+    if excess <= 0:
+        return _json(out)
+    longest = max((len(v) for k, v in out.items() if k in CUT_TEXTS and isinstance(v, str)), default=0)
+    fits = bisect_right(range(longest), cap, key=lambda level: len(_json(_with_texts(out, level)))) - 1
+    return _json(_with_texts(out, fits)) if fits >= 0 else _json({"error": "Observation metadata exceeds the budget.", "observation": note})
 
 
 def bounded_observation(payload: Column, cap: int = OBSERVATION_CAP) -> Column:
-    """trim_observation of a JSON text; the loop over a structure of unknown shape has no built-in form."""
+    """trim_observation of a JSON text; a structure of unknown shape has no built-in form."""
 
     @F.pandas_udf(Ty.StringType())
     def run(texts: pd.Series) -> pd.Series:
@@ -189,6 +211,29 @@ def context_window(turns: DataFrame, by: str, position: str, size: str, budget:
     return turns.withColumns({"_total": total, "_n": F.row_number().over(newest)}).where((F.col("_total") <= budget) | (F.col("_n") == 1)).drop("_total", "_n")
 
 
+def evicted_pairs(turns: DataFrame, by: str, position: str, size: str, budget: int) -> DataFrame:
+    """The turns left when the oldest assistant turns go, each with the tool turn right behind it, until the rest fits; other turns stay.
+
+    The first turn of a trace always stays. Sums over what could go decide it, so nothing is tried step by step.
+    """
+    w = W.partitionBy(by).orderBy(position)
+    head = (F.col("role") == "assistant") & (F.row_number().over(w) > 1)
+    x = turns.withColumn("_head", head).withColumn("_lead", F.lag("_head").over(w))
+    x = x.withColumn("_goes", F.col("_head") | ((F.col("role") == "tool") & F.coalesce("_lead", F.lit(False))))
+    x = x.withColumn("_pair", F.sum(F.when(F.col("_head"), 1).otherwise(0)).over(w))
+    pairs = x.groupBy(by, "_pair").agg(F.sum(F.when(F.col("_goes"), F.col(size)).otherwise(0)).alias("_size"))
+    freed = F.sum("_size").over(W.partitionBy(by).orderBy("_pair").rowsBetween(W.unboundedPreceding, -1))
+    total = turns.groupBy(by).agg(F.sum(size).alias("_total"))
+    gone = pairs.withColumn("_freed", F.coalesce(freed, F.lit(0))).join(total, by).where(F.col("_total") - F.col("_freed") > budget).select(by, "_pair", F.lit(True).alias("_gone"))
+    out = x.join(gone, [by, "_pair"], "left")
+    return out.where(~(F.col("_goes") & F.coalesce("_gone", F.lit(False)))).select(*turns.columns)
+
+
+def context_status(turns: DataFrame, by: str, size: str, reply: int, limit: int) -> DataFrame:
+    """by, size and refused: traces that with the reply to come would exceed the limit are refused whole, never cut."""
+    return turns.groupBy(by).agg(F.sum(size).alias(size)).withColumn("refused", F.col(size) + reply > limit)
+
+
 def error_class(text: Column) -> Column:
     """What kind of error an observation reports, or null."""
     message = F.lower(F.coalesce(F.get_json_object(text, "$.error"), F.lit("")))

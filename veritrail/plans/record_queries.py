@@ -255,7 +255,8 @@ fb AS (SELECT l_orderkey, bool_or(NOT valid) AS fab FROM ok GROUP BY 1),
 rt AS (SELECT DISTINCT sp.l_orderkey FROM sp JOIN rc ON sp.l_orderkey = rc.l_orderkey AND sp.doc = rc.doc AND sp.page = rc.page AND contains(rc.text, sp.quote)),
 cv AS (SELECT sp.l_orderkey, sp.quote, bool_or(ok.l_orderkey IS NOT NULL) AS c FROM sp LEFT JOIN ok ON sp.l_orderkey = ok.l_orderkey AND ok.valid AND ok.tool = 'read' AND sp.doc = ok.doc AND sp.page = ok.page AND contains(ok.text, sp.quote) GROUP BY ALL),
 gr AS (SELECT l_orderkey, bool_and(c) AS g FROM cv GROUP BY 1)
-SELECT o_orderkey, CAST(CAST(round(CAST(su.v AS DECIMAL(18,2)) / 1000, 1) AS DECIMAL(18,1)) = CAST(tg.v AS DECIMAL(18,1)) AS DOUBLE) AS A, CAST(coalesce(g, false) AND NOT coalesce(fab, false) AS DOUBLE) AS G, CAST(rt.l_orderkey IS NOT NULL AS DOUBLE) AS Ret, coalesce(fab, false) AS fabricated
+SELECT o_orderkey, o_orderkey % 50 = 0 AS target_missing, CASE WHEN o_orderkey % 50 <> 0 THEN CAST(CAST(round(CAST(su.v AS DECIMAL(18,2)) / 1000, 1) AS DECIMAL(18,1)) = CAST(tg.v AS DECIMAL(18,1)) AS DOUBLE) END AS A,
+  CASE WHEN o_orderkey % 50 <> 0 THEN CAST(coalesce(g, false) AND NOT coalesce(fab, false) AS DOUBLE) END AS G, CASE WHEN o_orderkey % 50 <> 0 THEN CAST(rt.l_orderkey IS NOT NULL AS DOUBLE) END AS Ret, coalesce(fab, false) AS fabricated
 FROM tg JOIN su USING (o_orderkey) LEFT JOIN fb ON fb.l_orderkey = o_orderkey LEFT JOIN rt ON rt.l_orderkey = o_orderkey LEFT JOIN gr ON gr.l_orderkey = o_orderkey
 """
 
@@ -267,7 +268,7 @@ def _(t: Tables) -> DataFrame:
     receipt = F.concat_ws("-", line.cast("string"), "l_partkey", "l_suppkey").alias("receipt_id")
     supports = t.lineitem.where(line <= 2).select(key, *place, F.concat(F.lit("q"), line.cast("string")).alias("quote")).withColumn("claim", F.col("quote"))
     targets = supports.groupBy("o_orderkey").agg(F.collect_list(F.struct("document_id", "page", "quote", "claim")).alias("supports"))
-    targets = t.orders.join(targets, "o_orderkey", "left").select(
+    targets = t.orders.where("o_orderkey % 50 <> 0").join(targets, "o_orderkey", "left").select(
         F.col("o_orderkey").alias("question_id"), F.lit("numeric").alias("answer_type"), F.round(F.col("o_totalprice") / 1000, 1).cast("decimal(18,1)").cast("string").alias("value"), F.lit("USD").alias("unit"), F.lit("thousand").alias("scale"),
         F.lit(1).alias("precision"), F.lit(None).cast("string").alias("decision"), F.array().cast("array<string>").alias("aliases"), "supports", F.lit("resolved").alias("adjudication_status"),
     )
@@ -276,8 +277,8 @@ def _(t: Tables) -> DataFrame:
     text = F.concat(F.lit("has q"), F.when(F.col("l_quantity") > 45, 9).otherwise(line).cast("string"))
     receipts = t.lineitem.select(key, receipt, *place, F.when(F.col("l_tax") < 0.07, "read").otherwise("bm25_search").alias("tool"), text.alias("text"), F.lit(0).alias("delivered_turn"))
     citations = t.lineitem.where(line <= 3).select(key, receipt, place[0], F.when(F.col("l_discount") > 0.095, F.col("l_suppkey") + 1).otherwise(F.col("l_suppkey")).alias("page"), F.lit(1).alias("turn"))
-    out = S.typed_score(submissions, targets, citations, receipts, episode="o_orderkey")
-    return out.select("o_orderkey", "A", "G", "Ret", "fabricated")
+    out = S.typed_score(submissions, targets, citations, receipts, episode="o_orderkey", strict=False)  # one order in fifty has no target
+    return out.select("o_orderkey", "target_missing", "A", "G", "Ret", "fabricated")
 
 
 # Traces.
@@ -400,13 +401,13 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("f04_eligible", f"""
-WITH {CALLS_SQL}, f AS (SELECT user_id, count(*) FILTER (name = 'finish') AS n_finish, arg_max(name, event_id) AS last_call, count(*) FILTER (name = 'calculate') AS n_calculate FROM calls WHERE event_id % 40 < 2 GROUP BY 1)
-SELECT user_id, n_finish = 1 AND last_call = 'finish' AND n_calculate = 0 AND user_id % 5 <> 0 AS eligible FROM f
+WITH {CALLS_SQL}, f AS (SELECT event_id // 4 AS trace, count(*) FILTER (name = 'finish') AS n_finish, arg_max(name, event_id) AS last_call, count(*) FILTER (name = 'calculate') AS n_calculate FROM calls GROUP BY 1)
+SELECT trace, n_finish = 1 AND last_call = 'finish' AND n_calculate = 0 AND trace % 5 <> 0 AS eligible FROM f
 """)
 def _(t: Tables) -> DataFrame:
-    f = U.call_facts(calls(t).where("event_id % 40 < 2"), "user_id", "event_id")
-    good = (F.col("user_id") % 5 != 0).cast("int")
-    return f.select("user_id", U.eligible(F.lit("finish"), good, F.lit(1), F.lit(1), F.lit(False), F.lit(0)).alias("eligible"))
+    f = U.call_facts(calls(t).withColumn("trace", F.floor(F.col("event_id") / 4)), "trace", "event_id")
+    good = (F.col("trace") % 5 != 0).cast("int")
+    return f.select("trace", U.eligible(F.lit("finish"), good, F.lit(1), F.lit(1), F.lit(False), F.lit(0)).alias("eligible"))
 
 
 @query("f06_filter_reason", """
@@ -454,15 +455,16 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("f14_evaluation_violations", f"""
-WITH {EVAL_SQL}, one AS (SELECT * FROM ev WHERE event_id % 10 < 3)
+WITH {EVAL_SQL}, one AS (SELECT run_id, question_id * 40 + event_id % 40 AS question_id FROM ev), q AS (SELECT DISTINCT question_id * 40 + event_id % 39 AS question_id FROM ev)
 SELECT run_id, CAST(question_id AS VARCHAR) AS question_id, violation, count(*) AS n FROM (
   SELECT run_id, question_id, 'repeated' AS violation FROM one GROUP BY 1, 2 HAVING count(*) > 1
-  UNION ALL SELECT r.run_id, q.question_id, 'missing' FROM (SELECT DISTINCT run_id FROM one) r CROSS JOIN (SELECT DISTINCT user_id AS question_id FROM events) q WHERE NOT EXISTS (SELECT 1 FROM one o WHERE o.run_id = r.run_id AND o.question_id = q.question_id)) GROUP BY ALL
+  UNION ALL (SELECT run_id, question_id, 'extra' FROM (SELECT DISTINCT run_id, question_id FROM one) WHERE question_id NOT IN (SELECT question_id FROM q))
+  UNION ALL SELECT r.run_id, q.question_id, 'missing' FROM (SELECT DISTINCT run_id FROM one) r CROSS JOIN q WHERE NOT EXISTS (SELECT 1 FROM one o WHERE o.run_id = r.run_id AND o.question_id = q.question_id)) GROUP BY ALL
 """)
 def _(t: Tables) -> DataFrame:
-    rows = evaluations(t).where("event_id % 10 < 3").withColumn("question_id", F.col("question_id").cast("string"))
-    expected = t.events.select(F.col("user_id").cast("string").alias("question_id"))
-    return U.evaluation_violations(rows, expected, V.STOP_REASONS).groupBy("run_id", "question_id", "violation").agg(F.count("*").alias("n"))
+    of = lambda n: (F.col("question_id") * 40 + F.col("event_id") % n).cast("string")
+    rows = evaluations(t)
+    return U.evaluation_violations(rows.withColumn("question_id", of(40)), rows.select(of(39).alias("question_id")), V.STOP_REASONS).groupBy("run_id", "question_id", "violation").agg(F.count("*").alias("n"))
 
 
 @query("f16_audit_sample", """

@@ -115,14 +115,15 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("p13_extract_answer", """
-SELECT conv_id, turn, md5(CASE WHEN turn % 3 = 0 THEN trim(regexp_replace(text, '^[\\s]+|[\\s]+$', '', 'g')) WHEN turn % 3 = 1 THEN role ELSE 'yes ' || role END) AS answer_md5,
-  md5(CASE WHEN turn % 3 = 0 THEN trim(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[-1]) WHEN turn % 3 = 1 THEN '**' END) AS last_line_md5
-FROM (SELECT * FROM conversations WHERE turn % 3 < 2)
+SELECT conv_id, turn, md5(CASE turn % 3 WHEN 0 THEN trim(regexp_replace(text, '^[\\s]+|[\\s]+$', '', 'g')) WHEN 1 THEN role ELSE 'yes ' || role END) AS answer_md5,
+  md5(CASE turn % 3 WHEN 0 THEN trim(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[-1]) WHEN 1 THEN '**' ELSE 'yes ' || role END) AS last_line_md5
+FROM conversations
 """)
 def _(t: Tables) -> DataFrame:
-    said = F.when(F.col("turn") % 3 == 0, F.col("text")).otherwise(F.concat("text", F.lit("\n**Final Answer**: ** \nanswer: "), "role"))
-    x = t.conversations.where("turn % 3 < 2").select("conv_id", "turn", "role", said.alias("s"))
-    return x.select("conv_id", "turn", F.md5(A.extract_answer(F.col("s"))).alias("answer_md5"), F.md5(F.when(F.col("turn") % 3 == 1, F.lit("**")).otherwise(A.last_line_answer(F.col("s")))).alias("last_line_md5"))
+    i = F.col("turn") % 3
+    said = F.when(i == 0, F.col("text")).when(i == 1, F.concat("text", F.lit("\n**Final Answer**: ** \nanswer: "), "role")).otherwise(F.concat("text", F.lit("\nAnswer: no\nAnswer: yes "), "role"))
+    x = t.conversations.select("conv_id", "turn", "role", said.alias("s"))
+    return x.select("conv_id", "turn", F.md5(A.extract_answer(F.col("s"))).alias("answer_md5"), F.md5(F.when(i == 1, F.lit("**")).otherwise(A.last_line_answer(F.col("s")))).alias("last_line_md5"))
 
 
 STOP_SQL = "[" + ", ".join(f"'{w}'" for w in A.STOP_WORDS) + "]"
@@ -263,7 +264,7 @@ def _(t: Tables) -> DataFrame:
     return t.events.select("event_id", C.candidate_id(F.col("event_type"), F.col("event_id"), F.col("user_id")).alias("candidate_id"))
 
 
-# Retrieval. Each benchmark item asks two queries: its first eight tokens and the eight after them.
+# Retrieval. Each benchmark item asks two queries: the first half of its tokens, and the rest of them.
 
 INDEX_SQL = f"""
 {CHUNKS_SQL},
@@ -275,7 +276,7 @@ n AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM s)
 """
 QUERIES_SQL = f"""
 b AS (SELECT item_id, {TOKENS_SQL.format('text')} AS k FROM benchmark),
-q AS (SELECT item_id AS question_id, item_id * 2 AS query_id, k[1:8] AS ws FROM b UNION ALL SELECT item_id, item_id * 2 + 1, k[9:16] FROM b),
+q AS (SELECT item_id AS question_id, item_id * 2 AS query_id, k[1:(len(k) + 1) // 2] AS ws FROM b UNION ALL SELECT item_id, item_id * 2 + 1, k[(len(k) + 1) // 2 + 1:] FROM b),
 qt AS (SELECT question_id, query_id, term, count(*) AS times FROM (SELECT question_id, query_id, unnest(ws) AS term FROM q) GROUP BY ALL),
 sc AS (SELECT question_id, query_id, p.doc_id, p.chunk, round(sum(times * ln((n - df + 0.5) / (df + 0.5) + 1.0) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * greatest(dl, 1) / greatest(avgdl, 1.0)))), 9) AS score
   FROM qt JOIN p USING (term) JOIN f USING (term) JOIN s ON p.doc_id = s.doc_id AND p.chunk = s.chunk CROSS JOIN n GROUP BY ALL)
@@ -283,14 +284,14 @@ sc AS (SELECT question_id, query_id, p.doc_id, p.chunk, round(sum(times * ln((n
 
 
 def _index(t: Tables) -> R.Index:
-    return R.index(passages(t), ["doc_id", "chunk"])
+    return R.written_index(t.documents, "passages", passages(t), ["doc_id", "chunk"])
 
 
 def _questions(t: Tables) -> DataFrame:
-    k = T.tokens(F.col("text"))
-    part = lambda i: F.array_join(F.slice(k, 8 * i + 1, 8), " ")
-    each = F.explode(F.array(*[F.struct((F.col("item_id") * 2 + i).alias("query_id"), part(i).alias("query")) for i in (0, 1)])).alias("q")
-    return t.benchmark.select(F.col("item_id").alias("question_id"), each).select("question_id", "q.query_id", "q.query")
+    half = F.floor((F.size("k") + 1) / 2).cast("int")
+    parts = F.slice("k", F.lit(1), half), F.slice("k", half + 1, F.size("k"))
+    each = F.explode(F.array(*[F.struct((F.col("item_id") * 2 + i).alias("query_id"), F.array_join(p, " ").alias("query")) for i, p in enumerate(parts)])).alias("q")
+    return t.benchmark.select("item_id", T.tokens(F.col("text")).alias("k")).select(F.col("item_id").alias("question_id"), each).select("question_id", "q.query_id", "q.query")
 
 
 @query("r01_bm25_statistics", f"WITH {INDEX_SQL} SELECT term, df, (SELECT n FROM n) AS n, round((SELECT avgdl FROM n), 6) AS avgdl FROM f")
@@ -327,7 +328,7 @@ TABLE_INDEX_SQL = f"""
 k AS (SELECT doc_id, {TOKENS_SQL.format('text')} AS k FROM documents), s AS (SELECT doc_id, len(k) AS dl FROM k),
 p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(k) AS term FROM k) GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM p GROUP BY term), n AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM s),
 b AS (SELECT item_id, {TOKENS_SQL.format('text')} AS k FROM benchmark),
-q AS (SELECT item_id AS question_id, item_id * 2 AS query_id, list_concat(k[1:8], ['income', 'statement']) AS ws, 'i' AS ask FROM b UNION ALL SELECT item_id, item_id * 2 + 1, list_concat(k[9:16], ['balance', 'sheet']), 'b' FROM b),
+q AS (SELECT item_id AS question_id, item_id * 2 AS query_id, list_concat(k[1:(len(k) + 1) // 2], ['income', 'statement']) AS ws, 'i' AS ask FROM b UNION ALL SELECT item_id, item_id * 2 + 1, list_concat(k[(len(k) + 1) // 2 + 1:], ['balance', 'sheet']), 'b' FROM b),
 qt AS (SELECT question_id, query_id, ask, term, count(*) AS times FROM (SELECT question_id, query_id, ask, unnest(ws) AS term FROM q) GROUP BY ALL),
 sc AS (SELECT question_id, query_id, ask, doc_id, round(sum(times * ln((n - df + 0.5) / (df + 0.5) + 1.0) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * greatest(dl, 1) / greatest(avgdl, 1.0)))), 9) AS score
   FROM qt JOIN p USING (term) JOIN f USING (term) JOIN s USING (doc_id) CROSS JOIN n GROUP BY ALL),
@@ -340,7 +341,7 @@ tb AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score
 
 def _table_search(t: Tables, k: int) -> DataFrame:
     kind = F.when(F.col("lang") == "en", "operations").when(F.col("lang") == "fr", "cashflow").when(F.col("lang") == "de", "balance").otherwise("equity")
-    ix = R.index(t.documents.select("doc_id", "text", kind.alias("statement_kind")), ["doc_id"])
+    ix = R.written_index(t.documents, "tables", t.documents.select("doc_id", "text", kind.alias("statement_kind")), ["doc_id"])
     asked = _questions(t).withColumn("query", F.concat("query", F.when(F.col("query_id") % 2 == 0, F.lit(" income statement")).otherwise(F.lit(" balance sheet"))))
     return R.search_tables(ix, asked, ["doc_id"], k)
 
@@ -430,10 +431,11 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("j16_quote_containment", """
-SELECT conv_id, turn, instr(text, substr(text, CAST(length(text) / 2 AS INTEGER) + 1, 40)) - 1 AS "offset", instr(text, substr(text, CAST(length(text) / 2 AS INTEGER) + 1, 40)) > 0 AND length(substr(text, CAST(length(text) / 2 AS INTEGER) + 1, 40)) > 0 AS found
-FROM (SELECT conv_id, turn, text FROM conversations WHERE length(text) % 2 = 0 AND length(text) > 0)
+SELECT conv_id, turn, CASE WHEN hit THEN instr(text, quote) - 1 END AS "offset", hit AS found
+FROM (SELECT conv_id, turn, text, quote, length(quote) > 0 AND instr(text, quote) > 0 AS hit FROM (SELECT conv_id, turn, text, substr(text, length(text) // 2 + 1, 40) || CASE WHEN turn % 5 = 4 THEN chr(1) ELSE '' END AS quote FROM conversations))
 """)
 def _(t: Tables) -> DataFrame:
     pages = t.conversations.select("conv_id", "turn", "text")
-    spans = pages.where("length(text) % 2 = 0 AND length(text) > 0").select("conv_id", "turn", F.substring(F.col("text"), (F.length("text") / 2).cast("int") + 1, F.lit(40)).alias("quote"))
+    quote = F.concat(F.substring(F.col("text"), F.floor(F.length("text") / 2).cast("int") + 1, F.lit(40)), F.when(F.col("turn") % 5 == 4, F.lit("\x01")).otherwise(F.lit("")))
+    spans = pages.select("conv_id", "turn", quote.alias("quote"))
     return E.contained(spans, pages, ["conv_id", "turn"]).select("conv_id", "turn", F.col("offset").cast("long").alias("offset"), "found")
