@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from veritrail.operators import curation as U
 from veritrail.operators import evidence as E
 from veritrail.operators import groups as G
+from veritrail.operators import provenance as O
 from veritrail.operators import reporting as P
 from veritrail.operators import retrieval as R
+from veritrail.operators import runs as X
 from veritrail.operators import scoring as S
+from veritrail.operators import targets as Y
 from veritrail.operators import traces as V
 from veritrail.sources import readers, writers
+from veritrail.sources import workspace as K
 from veritrail.streaming import episodes
 
 
@@ -78,6 +82,22 @@ def test_trim_observation():
     assert "error" in json.loads(V.trim_observation({"k" + str(i): i for i in range(500)}, 100)) and json.loads(V.trim_observation("plain", 100))["content"] == "plain"
 
 
+def test_trim_observation_cuts_no_more_than_it_must():
+    """Lists lose elements only until the rest fits, texts the fewest characters that do it."""
+    dump = V._json
+    two = {"a": [["x" * 30]] * 5, "b": ["y" * 10] * 4, "text": "t" * 50}
+    cut = json.loads(V.trim_observation(two, 260))
+    assert len(cut["b"]) == 4 and cut["text"] == "t" * 50 and 0 < len(cut["a"]) < 5
+    longer = dict(cut, a=two["a"][: len(cut["a"]) + 1])
+    assert len(dump(cut)) <= 260 < len(dump(longer))
+    page = {"text": "é\n" * 900, "content": "c" * 40, "start": 5}
+    for cap in (150, 400, 1000):
+        out = V.trim_observation(page, cap)
+        got = json.loads(out)
+        assert len(out) <= cap < len(out) + 4 and got["text"] == page["text"][: len(got["text"])] and got["end"] == 5 + len(got["text"])
+    assert V.trim_observation({"hits": [], "n": 1}, 4000) == dump({"hits": [], "n": 1, "observation": {"raw_chars": 17, "truncated": False}})
+
+
 def test_advantages(spark):
     x = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 2.0), ("b", 2.0), ("c", None), ("c", 1.0)], "g string, r double")
     got = {(r["g"], r["r"]): r["advantage"] for r in G.advantages(x, "g", "r").collect()}
@@ -108,6 +128,23 @@ def test_digest_ignores_partitioning(spark):
     assert P.corpus_digest(x.repartition(7), ["id"], ["id", "t"]).first() == P.corpus_digest(x.coalesce(1), ["id"], ["id", "t"]).first()
 
 
+def test_digest_of_many_buckets(spark):
+    x = spark.range(300).select("id", F.sha1(F.col("id").cast("string")).alias("t"))
+    a = P.corpus_digest(x.repartition(5), ["id"], ["id", "t"], rows_each=2).first()
+    assert a == P.corpus_digest(x.coalesce(1), ["id"], ["id", "t"], rows_each=2).first() != P.corpus_digest(x.where("id <> 7"), ["id"], ["id", "t"], rows_each=2).first()
+
+
+def test_positions_are_a_permutation_in_order(spark):
+    x = spark.range(5000)
+    for each in (1 << 16, 37):
+        got = sorted(map(tuple, G.positions(x.repartition(7), F.xxhash64("id"), ["id"], each).select("id", "position").collect()), key=lambda r: r[1])
+        assert [p for _, p in got] == list(range(5000))
+        hashes = {r["id"]: r["h"] for r in x.select("id", F.xxhash64("id").alias("h")).collect()}
+        assert [i for i, _ in got] == sorted(hashes, key=hashes.get)
+    pages = G.epoch_pages(x, "id", 1, 64).groupBy("page").count().collect()
+    assert len(pages) == 79 and sorted(r["count"] for r in pages)[0] == 5000 - 78 * 64 and G.epoch_pages(x.limit(0), "id", 1, 64).count() == 0
+
+
 def test_evaluation_violations(spark):
     rows = spark.createDataFrame([("r", "q1", 0, 1, 1.0, 1.0, 1, 1, False, "accepted_finish", "s"), ("r", "q1", 0, 0, 1.0, 1.0, 1, 0, False, "odd", "s"), ("r", "q3", 0, 1, None, None, 0, 0, True, "other", "s")],
                                  "run_id string, question_id string, sampling_seed int, F int, A double, G double, correct int, grounded_success int, unresolved boolean, stop_reason string, evaluation_signature string")
@@ -173,3 +210,136 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     streamed = sorted(map(tuple, spark.table("episodes").collect()))
     assert streamed == sorted(map(tuple, episodes.batch(spark.createDataFrame(EVENTS, schema), 9).collect())) == [(1, 1, 1, 1, 3, True, False, False), (2, 1, 2, 1, 10, False, True, True)]
+
+
+def _calculation(**changed):
+    operands = [{"name": "a", "receipt_id": "r1", "quote": "Revenue in 2020: 1,234.50", "metric": "revenue", "period": "2020", "value": "1234.5", "unit": "USD", "scale": "million"}, {"name": "b", "receipt_id": "r2", "quote": "Costs in 2020: (34.5)", "metric": "Costs", "period": "2020", "value": "-34.5", "unit": "USD", "scale": "million"}]
+    operands[0] |= {k: v for k, v in changed.items() if k != "expression"}
+    return ("e", "c1", 3, changed.get("expression", "(a + b) / 2"), operands)
+
+
+OPERANDS = "array<struct<name:string,receipt_id:string,quote:string,metric:string,period:string,value:string,unit:string,scale:string>>"
+RECEIPTS = [("e", "r1", "d", 1, "read", "x Revenue in 2020: 1,234.50 y", 1), ("e", "r2", "d", 2, "grep_document", "Costs in 2020: (34.5)", 2), ("e", "r3", "d", 1, "bm25_search", "x Revenue in 2020: 1,234.50 y", 1), ("e", "r4", "d", 1, "read", "Revenue in 2020: 1,234.50", 3)]
+
+
+def _frames(spark, *calculations):
+    return spark.createDataFrame(list(calculations), f"episode_id string, calc_id string, turn int, expression string, operands {OPERANDS}"), spark.createDataFrame(RECEIPTS, "episode_id string, receipt_id string, document_id string, page int, tool string, text string, delivered_turn int")
+
+
+@pytest.mark.parametrize("changed,error,valid", [
+    ({}, None, True), ({"receipt_id": "r3"}, "not_delivered", False), ({"receipt_id": "r4"}, "not_delivered", False), ({"receipt_id": "r9"}, "not_delivered", False), ({"quote": "1,234.50 invented"}, "not_delivered", False), ({"quote": ""}, "not_delivered", False),
+    ({"metric": "profit"}, "metric_or_period", False), ({"period": "2019"}, "metric_or_period", False), ({"value": "1234"}, "value_not_in_quote", False), ({"value": "x"}, "value", False), ({"unit": ""}, "unit_or_scale", False), ({"scale": "dozen"}, "unit_or_scale", False),
+    ({"expression": "a + c"}, "expression", False), ({"expression": "a"}, "expression", False), ({"expression": "a % b"}, "expression", False), ({"expression": "a * b + " + "1 + " * 200 + "1"}, "too_large", False),
+])
+def test_operand_provenance(spark, changed, error, valid):
+    (r,) = O.calculated(*_frames(spark, _calculation(**changed))).collect()
+    assert (r["error"], r["provenance_valid"]) == (error, valid) and (r["value"] is None) == (error is not None)
+
+
+def test_constants_are_no_provenance(spark):
+    (r,) = O.calculated(*_frames(spark, ("e", "c1", 3, "1 + 1", []))).collect()
+    assert (r["value"], r["error"], r["provenance_valid"]) == ("2", None, False)
+
+
+def _grounded(spark, calculation, cited=("r1", "r2"), value="600", calc_id="c1", **target):
+    made, receipts = _frames(spark, calculation)
+    spans = [("d", 1, "Revenue in 2020: 1,234.50")], [("d", 2, "(34.5)")]
+    wanted = target.get("operands", [("p", "1234.50", "$", "millions", "REVENUE", "2020", spans[0]), ("q", "-34.50", "usd", "m", "costs", "2020", spans[1])])
+    span = "array<struct<document_id:string,page:int,quote:string>>"
+    targets = spark.createDataFrame([("q", "USD", "million", 1, target.get("expression", "(p + q) / 2"), wanted)], f"question_id string, unit string, scale string, precision int, expression string, operands array<struct<name:string,value:string,unit:string,scale:string,metric:string,period:string,support:{span}>>")
+    submissions = spark.createDataFrame([("e", "q", calc_id, target.get("turn", 5), value, "USD", "million")], "episode_id string, question_id string, calc_id string, turn int, value string, unit string, scale string")
+    visible = spark.createDataFrame([("e", r) for r in cited], "episode_id string, receipt_id string")
+    return O.grounded(submissions, targets, O.calculated(made, receipts), visible, receipts).first()["derivation_grounded"]
+
+
+def test_derived_answers_need_the_reviewed_derivation(spark):
+    swapped = [("p", "-34.5", "USD", "m", "costs", "2020", [("d", 2, "(34.5)")]), ("q", "1234.5", "USD", "m", "revenue", "2020", [("d", 1, "1,234.50")])]
+    assert _grounded(spark, _calculation())
+    assert not _grounded(spark, _calculation(), cited=("r1",)) and not _grounded(spark, _calculation(), value="601") and not _grounded(spark, _calculation(), calc_id="c2") and not _grounded(spark, _calculation(), turn=3)
+    assert not _grounded(spark, _calculation(), expression="(p + q) / 3") and not _grounded(spark, _calculation(expression="600 + a - a + b - b")) and not _grounded(spark, _calculation(metric="profit"))
+    assert not _grounded(spark, _calculation(), operands=swapped) and _grounded(spark, _calculation(), operands=swapped, expression="(q + p) / 2")
+    assert not _grounded(spark, _calculation(), operands=[("p", "1234.5", "USD", "m", "revenue", "2020", [("d", 7, "1,234.50")]), ("q", "-34.5", "USD", "m", "costs", "2020", [("d", 2, "(34.5)")])])
+
+
+def test_typed_score_is_total(spark):
+    span = "array<struct<document_id:string,page:int,quote:string,claim:string>>"
+    submissions = spark.createDataFrame([("e1", "q1", "numeric", "5", "USD", "ones", None, ""), ("e2", "q2", "numeric", "5", "USD", "ones", None, ""), ("e3", "q3", "numeric", "5", "USD", "ones", None, "")], "episode_id string, question_id string, answer_type string, value string, unit string, scale string, decision string, answer_text string")
+    targets = spark.createDataFrame([("q1", "numeric", "5", "$", "ones", 0, None, [], [("d", 1, "five", None)], "resolved", True), ("q2", "numeric", "5", "$", "ones", 0, None, [], [("d", 1, "five", None)], "resolved", False)],
+                                    f"question_id string, answer_type string, value string, unit string, scale string, precision int, decision string, aliases array<string>, supports {span}, adjudication_status string, derived boolean")
+    receipts = spark.createDataFrame([(e, "r1", "d", 1, "read", "five", 0) for e in ("e1", "e2", "e3")], "episode_id string, receipt_id string, document_id string, page int, tool string, text string, delivered_turn int")
+    citations = spark.createDataFrame([(e, "r1", "d", 1, 1) for e in ("e1", "e2")], "episode_id string, receipt_id string, document_id string, page int, turn int")
+    with pytest.raises(Exception, match="no target for q3"):
+        S.typed_score(submissions, targets, citations, receipts).collect()
+    for derivations, g in ((None, 0.0), (True, 1.0), (False, 0.0)):
+        frame = None if derivations is None else spark.createDataFrame([("e1", derivations)], "episode_id string, derivation_grounded boolean")
+        got = {r["episode_id"]: r for r in S.typed_score(submissions, targets, citations, receipts, strict=False, derivations=frame).collect()}
+        assert (got["e1"]["A"], got["e1"]["G"], got["e2"]["G"]) == (1.0, g, 1.0) and got["e1"]["reward"] == 0.5 + 0.5 * g
+        assert got["e3"]["target_missing"] and got["e3"]["A"] is None and got["e3"]["reward"] is None and not got["e1"]["target_missing"]
+
+
+def test_context_policies(spark):
+    turns = [(0, "system", 5), (1, "user", 10), (2, "assistant", 20), (3, "tool", 30), (4, "assistant", 20), (5, "assistant", 7), (6, "tool", 9)]
+    x = spark.createDataFrame([("a", *t) for t in turns], "conv string, turn int, role string, size int")
+    left = lambda budget: [r["turn"] for r in V.evicted_pairs(x, "conv", "turn", "size", budget).orderBy("turn").collect()]
+    assert left(101) == [0, 1, 2, 3, 4, 5, 6] and left(100) == left(51) == [0, 1, 4, 5, 6] and left(50) == [0, 1, 5, 6] and left(30) == [0, 1]
+    assert [r["refused"] for r in V.context_status(x, "conv", "size", 10, 110).collect()] == [True] and [r["refused"] for r in V.context_status(x, "conv", "size", 10, 111).collect()] == [False]
+
+
+def test_repairs_and_gates(spark):
+    e = "array<struct<name:string,arguments:string>>"
+    x = spark.createDataFrame([(1, [("read", "1"), ("finish", "2")], [("read", "3")], 0, True, 1.0), (2, [("read", "1")], [], 0, True, 1.0), (3, [("finish", "2")], [], 2, True, 1.0), (4, [("finish", "2")], [], 0, False, 1.0), (5, [("finish", "2")], [], 0, True, 0.0)], f"id int, events {e}, reads {e}, parse int, ok boolean, g double")
+    good, bad = X.replayed_repairs(x, "events", "reads", F.col("parse"), F.col("ok"), F.lit(1), F.lit(1), F.col("g"))
+    assert [[v["arguments"] for v in r["events"]] for r in good.collect()] == [["1", "3", "2"]] and {r["id"]: r["repair_status"] for r in bad.collect()} == {2: "finish_count", 3: "parse_error", 4: "unreadable_support", 5: "score"}
+    one, other = (spark.createDataFrame([(m, "v")], "judge string, version string") for m in ("a", "b"))
+    assert [X.resume_gate(one, s, n) for s, n in ((None, 0), (None, 3), (one, 3), (other, 3), (one.drop("judge"), 3))] == ["start", "unidentified", "resume", "differs", "differs"]
+    assert X.exactly(spark.range(12), "id", 12).count() == 12
+    for rows in (spark.range(11), spark.range(12).union(spark.range(1)).where("id <> 3")):
+        with pytest.raises(ValueError):
+            X.exactly(rows, "id", 12)
+    assert X.resolved_targets(spark.createDataFrame([(1, None), (2, "resolved"), (3, "unresolved")], "id int, adjudication_status string")).count() == 2
+    none = spark.createDataFrame([], "v double")
+    assert none.agg(X.mean_or_null(F.col("v")).alias("m")).first()["m"] is None and tuple(P.valid_summary(none, "v").first()) == (0, 0, 0, 0.0)
+    found = spark.createDataFrame([("429 Too Many", "unresolved", 1.0), ("rate limit", None, 0.0), ("other", None, 1.0), (None, None, 1.0)], "m string, s string, f double")
+    assert [(r["a"], r["b"]) for r in found.select(U.rate_limited(F.col("m")).alias("a"), S.replayed_status(F.col("f"), F.col("s")).alias("b")).collect()] == [(True, "target_unresolved"), (True, "no_submission"), (False, None), (False, None)]
+
+
+def test_small_scores_and_validators(spark):
+    x = spark.createDataFrame([("none", True), ("partial", True), ("full", True), ("full", False), ("odd", True)], "c string, k boolean")
+    assert [r["v"] for r in x.select(S.coverage_value(F.col("c"), F.col("k")).alias("v")).collect()] == [0.0, 0.5, 1.0, 0.0, None]
+    x = spark.createDataFrame([(True, 1.0, False), (True, 0.5, False), (True, 1.0, True), (None, 1.0, False)], "a boolean, q double, c boolean")
+    assert [r["v"] for r in x.select(S.completeness_bonus(F.col("a"), F.col("q"), F.col("c")).alias("v")).collect()] == [1, 0, 0, 0]
+    cite = "array<struct<receipt_id:string,document_id:string,page:int>>"
+    subs = [(1, "numeric", "5", "USD", "ones", None, "", [("r1", "d", 1)]), (2, "numeric", "5", "", "ones", None, "so", []), (3, "boolean", None, None, None, "maybe", "", None), (4, "text", None, None, None, None, " ", [("", "d", 0)]), (5, "odd", None, None, None, None, "", [])]
+    got = {r["id"]: set(r["violations"]) for r in Y.submission_violations(spark.createDataFrame(subs, f"id int, answer_type string, value string, unit string, scale string, decision string, answer_text string, citations {cite}"), "id").collect()}
+    assert got == {2: {"number", "prose"}, 3: {"decision"}, 4: {"text", "citations"}, 5: {"answer_type"}}
+    claims = "array<struct<id:string,expected:string>>"
+    rubrics = [(1, "mixed", [("a", "1")], [("b", "x")]), (2, "numeric", [], []), (3, "semantic", [("a", "1")], [("b", "x")]), (4, "mixed", [("a", "1")], [("a", "x"), ("a", "")]), (5, "odd", [("a", "1")], [("b", "2")])]
+    got = {r["id"]: set(r["violations"]) for r in Y.rubric_violations(spark.createDataFrame(rubrics, f"id int, mode string, numeric {claims}, semantic {claims}"), "id").collect()}
+    assert got == {2: {"numeric"}, 3: {"numeric"}, 4: {"unique", "expected"}, 5: {"mode"}}
+    pages = G.seeded_pages(spark, list("abcdefg"), 2, 3, seed=1).collect()
+    assert sorted(r["key"] for r in pages) == list("abcdefg") and [r["page"] for r in sorted(pages, key=lambda r: r["position"])] == [0, 0, 0, 1, 1, 1, 2]
+    assert Y.quote_window("Net sales rose. Net sales\n2020 5,000 end", "net sales", "2020", "5000") == "Net sales rose. Net sales\n2020 5,000 end" and Y.quote_window("nothing", "net sales", "2020", "5") is None
+
+
+def test_index_is_written_once_for_each_state_of_its_files(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(1, "apple pie"), (2, "apple")], "id int, text string").write.parquet(path)
+    q = spark.createDataFrame([(1, "apple pie nothing")], "query_id int, query string")
+    found = lambda: sorted((r["id"], r["score"]) for r in R.scores(R.written_index(spark.read.parquet(path), "t", spark.read.parquet(path), ["id"]), q, ["id"]).collect())
+    docs = spark.read.parquet(path)
+    first = found()
+    assert first == sorted((r["id"], r["score"]) for r in R.scores(R.index(docs, ["id"]), q, ["id"]).collect()) == found()
+    before = K.fingerprint(docs, "x")
+    spark.createDataFrame([(3, "pie pie")], "id int, text string").write.mode("append").parquet(path)
+    assert K.fingerprint(spark.read.parquet(path), "x") != before != K.fingerprint(docs, "y") and len(found()) == 3
+    built = []
+    pages = lambda strict: K.load_pages(spark.read.parquet(path), lambda d: (built.append(1), d)[1], strict).count()
+    assert [pages(False), pages(False), pages(True)] == [3, 3, 3] and len(built) == 2
+
+
+def test_many_terms_are_joined(spark, monkeypatch):
+    items = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i, i + 5))) for i in range(30)], "id int, text string")
+    q = spark.createDataFrame([(1, " ".join(f"w{j}" for j in range(20)))], "query_id int, query string")
+    few = sorted(map(tuple, R.scores(R.index(items, ["id"]), q, ["id"]).collect()))
+    monkeypatch.setattr(R, "TERMS_PUSHED", 3)
+    assert few == sorted(map(tuple, R.scores(R.index(items, ["id"]), q, ["id"]).collect()))
