@@ -3,8 +3,8 @@
 Vectors are dealt to shards of bounded size by a hash of the whole row, so neither a common vector nor a common id makes a large shard.
 Each shard's tree splits at the median of its widest dimension by position (so equal values split too) and keeps a tight box and the
 least id per node. A block of queries goes through a group of shards: nodes are visited best bound first, the bound of a query and a box
-being the sum over dimensions of the larger product with the box's two ends; the k-th score found so far goes on from shard to shard
-and ends each traversal. Ties at a bound are followed only where a smaller id may be. Blocks and groups are bounded, and each group
+being the sum over dimensions of the larger product with the box's two ends; the k-th score found so far goes on from shard to shard,
+and that of the first group to all other groups, and ends each traversal. Ties at a bound are followed only where a smaller id may be. Blocks and groups are bounded, and each group
 returns k rows a query at most.
 
 Vectors that are null, or hold a null or a non-finite component, and rows without an id take no part. Rows that are equal in id and vector
@@ -51,10 +51,11 @@ def load(blob: bytes) -> dict[str, np.ndarray]:
 
 
 def matrix(vectors: pa.Array, width: int) -> np.ndarray:
-    out = np.zeros((len(vectors), width), np.int64)
-    for i, v in enumerate(vectors):
-        v = v.as_py()
-        out[i, : len(v)] = v
+    """A row for each list, padded with zeros."""
+    out, offsets = np.zeros((len(vectors), width), np.int64), vectors.offsets.to_numpy()
+    n = np.diff(offsets)
+    values = vectors.values.to_numpy()[offsets[0] : offsets[-1]]
+    out[np.repeat(np.arange(len(n)), n), np.arange(len(values)) - np.repeat(offsets[:-1] - offsets[0], n)] = values
     return out
 
 
@@ -78,8 +79,8 @@ def build(ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF_ROWS) -> dict[s
     return {"ids": ids[order], "vectors": vectors[order], "a": np.array(a), "z": np.array(z), "left": np.array(left), "right": np.array(right), "low": np.array(low), "high": np.array(high), "least": np.array(least)}
 
 
-def search(tree: dict[str, np.ndarray], ids: np.ndarray, queries: np.ndarray, k: int, best: list[list[tuple[int, int]]]) -> None:
-    """Brings each query's heap of (score, -id) up to date with the tree's rows but those of its own id."""
+def search(tree: dict[str, np.ndarray], ids: np.ndarray, queries: np.ndarray, k: int, best: list[list[tuple[int, int]]], least_score: np.ndarray) -> None:
+    """Brings each query's heap of (score, -id) up to date with the tree's rows but those of its own id and those below its least score."""
     vectors, low, high = tree["vectors"], tree["low"].astype(float), tree["high"].astype(float)
     q = queries.astype(float)
     most = np.abs(q).sum(axis=1).max(initial=0) * np.abs(vectors.astype(float)).max(initial=0)
@@ -89,11 +90,13 @@ def search(tree: dict[str, np.ndarray], ids: np.ndarray, queries: np.ndarray, k:
         bounds += 1e-12 * most
     rows = vectors.astype(float) if exact else vectors.astype(object)
     left, right, a, z, least = (tree[c].tolist() for c in ("left", "right", "a", "z", "least"))
-    for i, (own, found) in enumerate(zip(ids.tolist(), best, strict=True)):
+    for i, (own, found, bar) in enumerate(zip(ids.tolist(), best, least_score.tolist(), strict=True)):
         bound, query = bounds[i].tolist(), q[i] if exact else queries[i].astype(object)
         todo = [(-bound[0], 0)]
         while todo:
             minus, node = heapq.heappop(todo)
+            if -minus < bar:
+                break
             if len(found) == k:
                 kth, kth_id = found[0]
                 if -minus < kth:
@@ -105,7 +108,7 @@ def search(tree: dict[str, np.ndarray], ids: np.ndarray, queries: np.ndarray, k:
                     heapq.heappush(todo, (-bound[child], child))
                 continue
             scores = rows[a[node] : z[node]] @ query
-            some = np.flatnonzero(scores >= found[0][0]).tolist() if len(found) == k else range(len(scores))
+            some = np.flatnonzero(scores >= (max(bar, found[0][0]) if len(found) == k else bar)).tolist()
             for j in some:
                 entry = (int(scores[j]), -int(tree["ids"][a[node] + j]))
                 if -entry[1] == own:
@@ -126,7 +129,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     vectors = materialize(vectors.dropDuplicates(["id", "v"]), "vectors")
     width = vectors.agg(F.coalesce(F.max(F.size("v")), F.lit(0)).alias("n")).first()["n"]
     shards, n_shards = _parts(vectors, SHARD_ROWS, 1)
-    blocks, n_blocks = _parts(queries.dropDuplicates(["id", "v"]), BLOCK_QUERIES, 2)
+    queries = queries.dropDuplicates(["id", "v"]).withColumn("bar", F.lit(-_LONG - 1))
+    blocks, n_blocks = _parts(queries, BLOCK_QUERIES, 2)
     groups = math.ceil(n_shards / GROUP_SHARDS)
 
     def tree(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
@@ -134,7 +138,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "tree": pa.array([dump(**made)], pa.binary())})
 
     def block(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        made = dump(ids=rows.column("id").to_numpy(), vectors=matrix(rows.column("v").combine_chunks(), width))
+        made = dump(ids=rows.column("id").to_numpy(), vectors=matrix(rows.column("v").combine_chunks(), width), bars=rows.column("bar").to_numpy())
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "queries": pa.array([made], pa.binary())})
 
     def meet(key: tuple[pa.Scalar, ...], some: pa.Table, trees: pa.Table) -> pa.Table:
@@ -143,15 +147,26 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             asked = load(blob.as_py())
             best: list[list[tuple[int, int]]] = [[] for _ in asked["ids"]]
             for t in trees.sort_by("part").column("tree"):
-                search(load(t.as_py()), asked["ids"], asked["vectors"], k, best)
+                search(load(t.as_py()), asked["ids"], asked["vectors"], k, best, asked["bars"])
             out += [(q, -minus, max(-_LONG - 1, min(_LONG, score))) for q, found in zip(asked["ids"].tolist(), best, strict=True) for score, minus in found]
         return pa.table([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ([], [], []))], names=["query_id", "vec_id", "score"])
 
-    trees = materialize(shards.groupBy("part").applyInArrow(tree, "part int, tree binary"), "trees")
-    asked = materialize(blocks.groupBy("part").applyInArrow(block, "block int, queries binary"), "queries")
-    left = asked.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    right = trees.withColumn("group", (F.col("part") / GROUP_SHARDS).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    found = left.groupBy("block", "group").cogroup(right.groupBy("block", "group")).applyInArrow(meet, "query_id long, vec_id long, score long")
+    trees = materialize(shards.groupBy("part").applyInArrow(tree, "part int, tree binary").withColumn("group", (F.col("part") / GROUP_SHARDS).cast("int")), "trees")
+
+    def against(some: DataFrame, first: int, last: int) -> DataFrame:
+        """What the groups from the first to the last one give to the queries."""
+        asked = materialize(some.groupBy("part").applyInArrow(block, "block int, queries binary"), "queries")
+        left = asked.withColumn("group", F.explode(F.sequence(F.lit(first), F.lit(last))))
+        right = trees.where(F.col("group").between(first, last)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+        return left.groupBy("block", "group").cogroup(right.groupBy("block", "group")).applyInArrow(meet, "query_id long, vec_id long, score long")
+
+    found = against(blocks, 0, 0)
+    if groups > 1:
+        # The k-th score in the first group bounds the k-th of all from below; the other groups start from it. Ties with it still count.
+        found = materialize(found, "first")
+        kth = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth")).where(F.col("n") >= k)
+        barred = blocks.drop("bar").join(kth.select(F.col("query_id").alias("id"), F.col("kth").alias("bar")), "id", "left").withColumn("bar", F.coalesce("bar", F.lit(-_LONG - 1)))
+        found = found.unionByName(against(barred, 1, groups - 1))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
