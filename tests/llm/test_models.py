@@ -235,6 +235,20 @@ def test_toxicity_odd_input(spark):
     assert sorted(r["doc_id"] or 0 for r in X.without_toxic(docs, X.Model()).collect()) == [0, 1, 2]
 
 
+def test_toxicity_query_rows(spark, tmp_path):
+    """Each row has its text's score by the fitted model, whatever else is in the table; labels of held-out rows teach nothing."""
+    long = "so it goes on and on. " * 60_000
+    texts = ["you idiot", None, "", long, long + "you are an idiot, you moron. " * 400, "kill you", "plain", "plain"]
+    rows = [(i, t, "x", 0.5, True) for i, t in enumerate(texts)] + [(None, "you idiot", "x", 0.5, True)]
+    spark.createDataFrame(rows, "doc_id long, text string, toxic string, score double, held_out boolean").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, None) for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5 == 0] + [(6, 0, 1)], "doc_id long, toxic int, text int").write.parquet(str(tmp_path / "labels.parquet"))
+    got, m = X.op10(spark, str(tmp_path)).collect(), X.Model()
+    assert sorted((str(r["doc_id"]), round(r["score"], 9)) for r in got) == sorted((str(i), round(m.score(t or ""), 9)) for i, t, *_ in rows)
+    assert all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == (r["score"] >= 0.5) for r in got)
+    by = {r["doc_id"]: r["score"] for r in got}
+    assert by[4] > 0.5 > by[3] and by[6] == by[7]
+
+
 def test_quality_shrinks_sparse_sites(spark):
     rows = [(i, "good words here.", "big", "big/a") for i in range(200)] + [(1000, "good words here.", "small", "small/a"), (1001, None, None, None), (1002, "", "big", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, host string, path string")

@@ -41,6 +41,15 @@ def test_ablations_match_a_recount(spark):
     assert rows.where(Q.keeps("1")).count() == sum(b & Q.mask("1") == 0 for b in bits)
 
 
+def test_query_ablations_equal_the_sql(spark):
+    from tests.oracle import connect, rows
+
+    from veritrail.llm.oracles import RULE_ABLATIONS
+
+    folder = "/root/testdata/sf0.001"
+    assert rows(Q.rule_ablations(spark, folder).toPandas()) == rows(connect(folder).execute(RULE_ABLATIONS).df())
+
+
 def tlv(tag, body):
     n = len(body)
     head = bytes([n]) if n < 128 else bytes([0x81, n]) if n < 256 else bytes([0x82]) + n.to_bytes(2, "big")

@@ -28,3 +28,9 @@ c AS (SELECT u, min(v) AS component_id FROM r GROUP BY u)
 SELECT x.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, x.doc_id) AS component_id, x.doc_id = coalesce(c.component_id, x.doc_id) AS kept
 FROM x LEFT JOIN k USING (line) LEFT JOIN n ON n.least = k.least LEFT JOIN c ON c.u = k.least
 """
+
+RULE_ABLATIONS = f"""
+WITH f AS ({OP7}),
+r AS (SELECT * FROM (VALUES ('1', 3, 'few_words', 1), ('1', 3, 'repeated_words', 2), ('2', 63, 'few_words', 1), ('2', 63, 'repeated_words', 2), ('2', 63, 'symbols', 4), ('2', 63, 'repeated_lines', 8), ('2', 63, 'short_words', 16), ('2', 63, 'long_words', 32)) AS t(version, mask, rule, bit))
+SELECT version, rule, count(*) FILTER (fail_bits & mask <> 0) AS rejected, count(*) FILTER (fail_bits & bit <> 0) AS failed, count(*) FILTER (fail_bits & mask = bit) AS only FROM f CROSS JOIN r GROUP BY ALL
+"""

@@ -4,7 +4,7 @@ Every rule is evaluated once per document; the ledger keeps its measurements and
 with a mask of rules: what it keeps, and what each rule adds to it, follow from the stored bits alone by bitwise operations, without
 reading a text again.
 
-A null text counts as a text without words. Empty and blank texts fail ``few_words``. Each row is measured by itself, so repeated rows
+A null text counts as a text without words; texts of any length are measured whole. Empty and blank texts fail ``few_words``. Each row is measured by itself, so repeated rows
 get equal rows. Extra columns pass through ``ledger`` unchanged, in one struct; an empty table gives an empty result.
 """
 
@@ -97,3 +97,8 @@ def op7(spark, sf_dir: str) -> DataFrame:
     out = ledger(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     base = F.col("fail_bits").bitwiseAND(F.lit(mask("1"))) != 0
     return out.select("record.doc_id", *MEASURES, "fail_bits", F.lit(CURRENT).alias("policy"), base.alias("base_failed"), (~base & keeps()).alias("kept"))
+
+
+def rule_ablations(spark, sf_dir: str) -> DataFrame:
+    """What each rule adds to each policy, over the ledger of all documents."""
+    return ablations(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet").select("text")))
