@@ -1,7 +1,9 @@
 """A corpus pipeline over documents: quality rules, toxicity, near duplicates, secret scans, packing.
 
 Each stage gets the session, the documents that the stage before it kept (written as Parquet and read again) and the folder of the tables.
-All stages but the last return the columns of documents. Rows whose decisions need a doc_id and have none are kept.
+All stages but the last return the columns of documents. Rows whose decisions need a doc_id and have none are kept; null and empty texts go with
+the quality rules, as they have too few words; repeated rows stay once; very long texts are read whole by every stage; extra columns of documents
+pass through all stages but the last; empty tables give an empty result. Intermediate tables stay under the shared folder until the application releases them.
 """
 
 from __future__ import annotations
