@@ -260,10 +260,10 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
-def joined_back(members: DataFrame, per_bucket: DataFrame) -> DataFrame:
-    """members with what is known of their bucket; the buckets' side is repeated by salts, so a bucket of very many members is dealt over tasks."""
+def joined_back(members: DataFrame, per_key: DataFrame, key: str = "bucket") -> DataFrame:
+    """members with what is known of their bucket or component; that side is repeated by salts, so a key of very many members is dealt over tasks."""
     salted = members.withColumn("_salt", F.pmod(F.xxhash64("class"), F.lit(SALTS)).cast("int"))
-    return salted.join(per_bucket.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["bucket", "_salt"]).drop("_salt")
+    return salted.join(per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, "_salt"]).drop("_salt")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -317,9 +317,12 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     more = verified(more, sets)
     found = components(links.unionByName(more)).select(F.col("u").alias("class"), F.col("v").alias("component"))
 
-    named = classes.join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "component").select("k1", "k2", "component_id")
+    # Classes that stand alone need no component; the others get the least doc_id of theirs.
+    linked_classes = materialize(found.unionByName(found.select(F.col("component").alias("class"), "component").distinct()), "linked")
+    in_one = classes.join(linked_classes, "class")
+    least = in_one.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = joined_back(in_one, least, "component").select("k1", "k2", "component_id")
+    named = named.unionByName(classes.join(linked_classes, "class", "left_anti").select("k1", "k2", F.col("least").alias("component_id")))
     out = some.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "n_shingles", "component_id")
     alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
