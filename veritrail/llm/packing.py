@@ -318,5 +318,5 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
-    """All documents, cut into pieces of at most 2048 tokens and packed into sequences of at most 2048. Digests take the ids' place before packing."""
-    return pack(digests(pieces(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizer())))
+    """All documents, cut into pieces of at most 2048 tokens and packed into sequences of at most 2048; digests are of the packed pieces' ids."""
+    return digests(pack(pieces(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizer())))
