@@ -17,7 +17,6 @@ doc_id have theirs (in the query with their words as they are). Extra columns ta
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
