@@ -12,8 +12,9 @@ from .quality_rules import op7, rule_ablations
 from .secrets import op8
 from .segmentation import op9
 from .sharding import op3
+from .simhash import op12
 from .topk import OP1_SQL, op1
 from .toxicity import op10
 
-QUERIES = {"op1_exact_top_k": op1, "op2_best_fit_packing": op2, "op3_sharding": op3, "op4_quality_classifier": op4, "op5_near_dedup": op5, "op6_lm_scoring": op6, "op7_quality_rules": op7, "op8_secret_scans": op8, "op9_sentencepiece": op9, "op10_toxicity": op10, "op11_periodic_runs": op11, "rule_ablations": rule_ablations}
+QUERIES = {"op1_exact_top_k": op1, "op2_best_fit_packing": op2, "op3_sharding": op3, "op4_quality_classifier": op4, "op5_near_dedup": op5, "op6_lm_scoring": op6, "op7_quality_rules": op7, "op8_secret_scans": op8, "op9_sentencepiece": op9, "op10_toxicity": op10, "op11_periodic_runs": op11, "op12_simhash_near_dedup": op12, "rule_ablations": rule_ablations}
 ORACLES: dict[str, str] = {"op1_exact_top_k": OP1_SQL, "op5_near_dedup": OP5, "op7_quality_rules": OP7, "rule_ablations": RULE_ABLATIONS}
