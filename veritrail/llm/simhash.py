@@ -4,10 +4,10 @@ A document's fingerprint has a bit set where more than half of its shingles' has
 fingerprints differ in at most 4 bits are linked.
 
 A fingerprint is embedded as the numbers of bits set in its 32 segments of two bits: the Manhattan distance of two embeddings is never more
-than the number of bits that differ. Of two linked fingerprints, either the first 16 segments are at most 2 apart or the last 16 at most 1. Cells of
-a grid are embeddings of such a half. For the first half a fingerprint goes to its own cell and those one step away: points at most 2
-apart have such a cell in common. For the last half it goes to its own cell if that has an even sum, else to the even cells one step away:
-points at most 1 apart have such a cell in common. So no link is missed, at about 37 cells a fingerprint; cells hold about 24 bits of it.
+than the number of bits that differ. Segments make three parts (11, 11 and 10); over some two of them, linked fingerprints are at most 2 apart, as the
+least two of three distances that sum to 4 sum to 2 at most. Cells of a grid are embeddings of two parts. A fingerprint goes to its own
+cell and to those one step away, over each two parts: points at most 2 apart have such a cell in common. So no link is missed, at about 100 cells a
+fingerprint; a cell tells about 32 bits, so few that are not near share one even among billions.
 
 Equal fingerprints are one class from the start; only distinct ones are joined. In each cell, members are first compared with the cell's smallest;
 after connected components, only members of different components are compared with each other, in blocks of bounded size. Every two members
@@ -34,8 +34,10 @@ from .components import components
 WORDS, SEED, APART = 4, 42, 4
 #: Members of a cell compared with each other in one task's go.
 BLOCK = 512
-#: The lower bit of each segment of two bits, in a half of a fingerprint, and how many segments a half has.
-LOW, SEGMENTS = 0x55555555, 16
+#: The lower bit of each segment of two bits.
+LOW = np.uint64(0x5555555555555555)
+#: Bits of the first part, and of the second.
+PART = 22
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -73,21 +75,27 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(_printed, "doc_id long, print long")
 
 
-def embedded(half: Column) -> Column:
-    """Counts of the bits set in the segments of a half, each in the two bits of its segment."""
-    return half - F.shiftrightunsigned(half, 1).bitwiseAND(F.lit(LOW))
+def cells(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The grid cells of fingerprints, and which fingerprint each is of. Which two parts a cell is of is part of its number."""
+    u, rows, out = np.uint64, [], []
+    first, second, last = prints & u((1 << PART) - 1), prints >> u(PART) & u((1 << PART) - 1), prints >> u(2 * PART)
+    for kind, (parts, bits) in enumerate(((first | second << u(PART), 2 * PART), (first | last << u(PART), 64 - PART), (second | last << u(PART), 64 - PART))):
+        own = parts - (parts >> u(1) & LOW)
+        found = [(np.arange(len(prints)), own)]
+        for at in range(0, bits, 2):
+            count = own >> u(at) & u(3)
+            up, down = np.flatnonzero(count < 2), np.flatnonzero(count > 0)
+            found += [(up, own[up] + u(1 << at)), (down, own[down] - u(1 << at))]
+        rows += [r for r, _ in found]
+        out += [c << u(2) | u(kind) for _, c in found]
+    return np.concatenate(out), np.concatenate(rows)
 
 
-def cells(print_: Column) -> Column:
-    """The grid cells of a fingerprint, as longs; those of the first half are even numbers, those of the last odd."""
-    first = embedded(print_.bitwiseAND(F.lit((1 << 32) - 1)))
-    last = embedded(F.shiftrightunsigned(print_, 32))
-    unit = [F.lit(1 << (2 * k)) for k in range(SEGMENTS)]
-    count = lambda x, k: F.shiftrightunsigned(x, 2 * k).bitwiseAND(F.lit(3))
-    beside = lambda x: [F.when(ok, x + u * step) for k, u in enumerate(unit) for step, ok in ((1, count(x, k) < 2), (-1, count(x, k) > 0))]
-    odd = F.bit_count(last.bitwiseAND(F.lit(LOW))) % 2 == 1
-    even_cells = F.when(odd, F.array(*beside(last))).otherwise(F.array(last))
-    return F.concat(F.transform(F.array_compact(F.array(first, *beside(first))), lambda c: c * 2), F.transform(F.array_compact(even_cells), lambda c: c * 2 + 1))
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches, 2048):
+        prints = b.column(0).to_numpy()
+        found, rows = cells(prints.view(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array(prints[rows]), pa.array(found.view(np.int64))], ["print", "cell"])
 
 
 def near(a: Column | str, b: Column | str) -> Column:
@@ -98,7 +106,7 @@ def near(a: Column | str, b: Column | str) -> Column:
 
 def links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
     """u, v: links of distinct fingerprints (print) by which all that are near each other are connected."""
-    members = materialize(prints.select("print", F.explode(cells(F.col("print"))).alias("cell")), "cells")
+    members = materialize(prints.select("print").mapInArrow(_placed, "print long, cell long"), "cells")
     # The smallest member of each cell of more than one, and how many it has.
     hubs = members.groupBy("cell").agg(F.min("print").alias("hub"), F.count("*").alias("n")).where("n > 1")
     hubs = materialize(hubs, "hubs")
