@@ -35,7 +35,8 @@ ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][d
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 # Candidates of the other kinds.
-TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+#: A token begins at the first eyJ of an unbroken run; the run is read once, whether or not a dot follows.
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(?>[A-Za-z0-9_-]*?(?=eyJ))(eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+)")
 BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----((?:(?!-----BEGIN ).)*?)-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----", re.S)
 HEADER = re.compile(r"[ \t]*([A-Za-z][A-Za-z0-9-]*):[ \t]*(.*)")
 #: Base64 of either alphabet, wrapped by real or escaped line breaks, quoted, commented or joined by plus signs.
@@ -259,7 +260,7 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     if "pass" in low or "secret" in low or "token" in low or "key" in low:
         found += [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     found += [("access", *m.span()) for m in ACCESS.finditer(text)]
-    found += [("token", *m.span()) for m in TOKEN.finditer(text) if is_token(m[0])]
+    found += [("token", *m.span(1)) for m in TOKEN.finditer(text) if is_token(m[1])]
     whole = [m.span() for m in BLOCK.finditer(text) if is_block(m[1])] if "PRIVATE KEY" in text else []
     found += [("key_block", *span) for span in whole]
     if bytes([1]) * LEAST in text.encode(errors="surrogatepass").translate(_CLASS):
