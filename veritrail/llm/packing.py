@@ -52,6 +52,9 @@ def public_tokenizer() -> str:
 
     return public_tokenizers.path("word_bpe_49k.json")
 
+#: Letters of a word up to which merges are applied to many words at once, which takes time with the square of the length.
+LONG_WORD = 64
+
 
 class Merges:
     """The merges of a byte-level BPE with word ends, over many words at once as arrays."""
@@ -153,7 +156,7 @@ class WordEncoder:
             parts = {x for pair in ends.values() for x in pair}.difference(cache)
             cache.update((w, older[w]) for w in parts & older.keys())
             words |= parts.difference(cache)
-        plain = [w for w in words if w.isalpha() and w.islower() and max(w) < "\u0180"] if self.merges else []
+        plain = [w for w in words if len(w) <= LONG_WORD and w.isalpha() and w.islower() and max(w) < "\u0180"] if self.merges else []
         if plain and not self.compared:
             self.compared, some = True, plain[:2000]
             if dict(self.encode(some)) != {w.decode(): i for w, i in self.merges.encode([w.encode() for w in some])}:
