@@ -315,12 +315,21 @@ def _unpack(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarr
     return out
 
 
-def blocks_of(encoded: DataFrame) -> tuple[DataFrame, int]:
-    """round, block and its documents in an order of their own; and the number of blocks."""
+def blocks_of(encoded: DataFrame, block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, int]:
+    """round, block and its documents in an order of their own; and the number of blocks.
+
+    A document's block comes from a hash of it. Rows equal in id and text are counted before they move, and dealt over the blocks from there on.
+    """
     rows = encoded.where("NOT held_out").select("tokens", "n_tokens", F.xxhash64(F.lit(6), "doc_id", "tokens").alias("h"))
-    n = max(ROUNDS, math.ceil((rows.agg(F.sum("n_tokens")).first()[0] or 0) / BLOCK_TOKENS))
-    rows = rows.select(F.pmod("h", F.lit(n)).cast("int").alias("block"), F.struct("h", "tokens").alias("d")).groupBy("block").agg(F.array_sort(F.collect_list("d")).alias("d"))
-    rows = rows.select("block", F.transform("d", lambda d: d["tokens"]).alias("docs"), (F.col("block") % ROUNDS).alias("round"))
+    n = max(ROUNDS, math.ceil((rows.agg(F.sum("n_tokens")).first()[0] or 0) / block_tokens))
+    repeated = materialize(rows.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h"), "repeated")
+    once = rows.join(repeated, "h", "left_anti").select("h", "tokens", F.lit(1).alias("times"), F.lit(0).alias("k"))
+    several = rows.join(repeated, "h", "left_semi").groupBy("h", "tokens").agg(F.count("*").alias("m"))
+    several = several.select("h", "tokens", "m", F.explode(F.sequence(F.lit(0), F.least("m", F.lit(n)).cast("int") - 1)).alias("k"))
+    several = several.select("h", "tokens", F.ceil((F.col("m") - F.col("k")) / n).cast("int").alias("times"), "k")
+    rows = once.unionByName(several).withColumn("block", F.pmod(F.pmod("h", F.lit(n)) + F.col("k"), F.lit(n)).cast("int"))
+    rows = rows.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("h", "tokens", "times"))).alias("d"))
+    rows = rows.select("block", F.flatten(F.transform("d", lambda d: F.array_repeat(d["tokens"], d["times"]))).alias("docs"), (F.col("block") % ROUNDS).alias("round"))
     return materialize(rows, "blocks", "round"), n
 
 
