@@ -36,8 +36,6 @@ BANDS, ROWS = 32, 4
 MAP_BITS = 1 << 15
 #: Members of a bucket compared with each other in one go.
 BLOCK = 512
-#: Parts that the members of a bucket are dealt to when they are joined with what is known of it.
-SALTS = 32
 
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -261,9 +259,12 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def joined_back(members: DataFrame, per_key: DataFrame, key: str = "bucket") -> DataFrame:
-    """members with what is known of their bucket or component; that side is repeated by salts, so a key of very many members is dealt over tasks."""
-    salted = members.withColumn("_salt", F.pmod(F.xxhash64("class"), F.lit(SALTS)).cast("int"))
-    return salted.join(per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, "_salt"]).drop("_salt")
+    """members (a written table) with what is known of their bucket or component.
+
+    That side is written first: both sides of the join are then shuffled as they are read, so Spark splits a key of very many members over tasks
+    (its handling of skewed joins), and copies the other side's row to these tasks alone.
+    """
+    return members.join(materialize(per_key, "per_key"), key)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
