@@ -152,8 +152,9 @@ class Segmenter:
 
     def measure(self, part: str) -> Known:
         """The best path and the cost of the second: the best over edges off the best path of what leads there, the edge, and what follows."""
-        size, get, edges, lost = len(part), self.pieces.get, [], float("-inf")
-        before, came = [0.0] + [lost] * size, [None] * (size + 1)
+        size, get, lost = len(part), self.pieces.get, float("-inf")
+        starts, ends, scores, ids = array("q"), array("q"), array("d"), array("q")  # of all edges, by start; id -1: the bytes of one character
+        before, came = array("d", [0.0]) + array("d", [lost]) * size, array("q", [-1]) * (size + 1)
         for a in range(size):
             here, alone, z = before[a], True, a
             while z < size:
@@ -166,30 +167,35 @@ class Segmenter:
                 if z == a + 1:
                     alone = False
                 score = found[0]
-                edges.append(e := (a, z, score, found[1]))
                 if here + score > before[z]:
-                    before[z], came[z] = here + score, e
+                    before[z], came[z] = here + score, len(starts)
+                starts.append(a)
+                ends.append(z)
+                scores.append(score)
+                ids.append(found[1])
             if alone:
-                edges.append(e := (a, a + 1, self.unknown, -1))
                 if here + self.unknown > before[a + 1]:
-                    before[a + 1], came[a + 1] = here + self.unknown, e
-        after, path, at = [lost] * size + [0.0], [], size
+                    before[a + 1], came[a + 1] = here + self.unknown, len(starts)
+                starts.append(a)
+                ends.append(a + 1)
+                scores.append(self.unknown)
+                ids.append(-1)
+        after, path, at = array("d", [lost]) * size + array("d", [0.0]), [], size
         while at:
             path.append(came[at])
-            at = came[at][0]
+            at = starts[came[at]]
         path.reverse()
-        ids = array("I", [e[3] for e in path] if path[0][3] >= 0 and min(e[3] for e in path) >= 0 else [i for e in path for i in ((e[3],) if e[3] >= 0 else [self.bytes[b] for b in part[e[0]].encode()])]).tobytes()
-        if len(edges) == len(path):
-            return before[size], math.inf, ids
-        used, second = {id(e) for e in path}, lost
-        for e in reversed(edges):
-            a, z, score, _ = e
-            score += after[z]
+        best = array("I", [i for e in path for i in ((ids[e],) if ids[e] >= 0 else [self.bytes[b] for b in part[starts[e]].encode()])]).tobytes()
+        if len(starts) == len(path):
+            return before[size], math.inf, best
+        used, second = set(path), lost
+        for e in range(len(starts) - 1, -1, -1):
+            a, score = starts[e], scores[e] + after[ends[e]]
             if score > after[a]:
                 after[a] = score
-            if before[a] + score > second and id(e) not in used:
+            if before[a] + score > second and e not in used:
                 second = before[a] + score
-        return before[size], before[size] - second, ids
+        return before[size], before[size] - second, best
 
     def measure_all(self, parts: list[str]) -> Iterator[tuple[str, Known]]:
         """measure() of many parts, those of one length together as arrays; spans are looked up by a 64-bit hash of their characters."""
@@ -277,21 +283,47 @@ class Segmenter:
         return self.joined([self.known_parts[p] for p in self.parts(word)])
 
     def best(self, part: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best segmentations of one part, as (score, ids); equal scores in order of their ids."""
+        """The n best segmentations of one part, as (score, ids); equal scores in order of their ids.
+
+        Of equal scores, the search goes on where most of the part is left, so of the ways to one place from behind the better come first, equal ones
+        in order of their ids; beyond n, none can be among the n best. Ways share their tails.
+        """
         best, edges = [0.0] + [float("-inf")] * len(part), [[] for _ in range(len(part) + 1)]
         for a, z, score, ids in self.edges(part):
             edges[z].append((a, score, ids))
             best[z] = max(best[z], best[a] + score)
-        todo: list[tuple[float, tuple[int, ...], int, float]] = [(-best[-1], (), len(part), 0.0)]
-        out: list[tuple[float, tuple[int, ...]]] = []
-        while todo and (len(out) < n or -todo[0][0] >= out[-1][0]):
-            _, ids, at, done = heapq.heappop(todo)
+        floor = self.floor(best, edges, n)
+        # Ids of the edge in front, and which of the ways to the place behind it goes on from there: equal scores are ordered by these two.
+        todo: list[tuple[float, int, float, tuple[int, ...], int, tuple]] = [(-best[-1], -len(part), 0.0, (), 0, ())]
+        reached, out = [0] * (len(part) + 1), []
+        while todo and len(out) < n:
+            _, at, done, ids, _, rest = heapq.heappop(todo)
+            at, done, way = -at, -done, (ids, rest)
+            rank = reached[at]
+            if rank == n:
+                continue
+            reached[at] += 1
             if not at:
-                out.append((done, ids))
+                whole: list[int] = []
+                while way:
+                    whole += way[0]
+                    way = way[1]
+                out.append((done, tuple(whole)))
                 continue
             for start, score, more in edges[at]:
-                heapq.heappush(todo, (-(done + score + best[start]), more + ids, start, done + score))
-        return sorted(out, key=lambda x: (-x[0], x[1]))[:n]
+                if done + score + best[start] >= floor:
+                    heapq.heappush(todo, (-(done + score + best[start]), -start, -(done + score), more, rank, way))
+        return sorted(out, key=lambda x: (-x[0], x[1]))
+
+    @staticmethod
+    def floor(best: list[float], edges: list[list[tuple[int, float, tuple[int, ...]]]], n: int) -> float:
+        """A score that n segmentations reach: the best one, and those that come to it by an edge of their own and then follow it to the end."""
+        at, after, scores = len(best) - 1, 0.0, [best[-1]]
+        while at:
+            came = max(edges[at], key=lambda e: best[e[0]] + e[1])
+            scores += [best[e[0]] + e[1] + after for e in edges[at] if e is not came]
+            at, after = came[0], after + came[1]
+        return heapq.nlargest(n, scores)[-1] - 1e-9 * max(1.0, abs(best[-1])) if len(scores) >= n else float("-inf")
 
     def words(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """The texts in strings that no piece spans, cut at spaces where these stand alone; and how many each text has."""
