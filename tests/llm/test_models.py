@@ -35,6 +35,18 @@ def test_base_scores(spark, known):
     assert L.score(docs.limit(0)).count() == 0
 
 
+def test_repeated_rows_are_dealt_over_blocks(spark):
+    rows = [(1, False, bytes(range(200)) * 10, 1000)] * 3000 + [(k, False, bytes([k % 250]) * 100, 50) for k in range(2, 900)] + [(7, True, b"ab", 1)]
+    encoded = spark.createDataFrame(rows, "doc_id long, held_out boolean, tokens binary, n_tokens long")
+    blocks, n = L.blocks_of(encoded.repartition(5), 1 << 16)
+    sizes = {r["block"]: sum(len(t) // 2 for t in r["docs"]) for r in blocks.collect()}
+    assert n == 47 and len(sizes) == n and max(sizes.values()) < 2 << 16 and sum(sizes.values()) == 3000 * 1000 + 898 * 50
+    again = {r["block"]: r["docs"] for r in L.blocks_of(encoded.repartition(2), 1 << 16)[0].collect()}
+    assert again == {r["block"]: r["docs"] for r in blocks.collect()}
+    few, n = L.blocks_of(spark.createDataFrame([(1, False, b"abcd", 2)] * 20, encoded.schema))
+    assert n == L.ROUNDS and sorted(len(r["docs"]) for r in few.collect()) == [2, 2, 2, 2, 3, 3, 3, 3]
+
+
 def test_scores_are_a_distribution():
     rng = np.random.default_rng(0)
     net = L.Network.start(rng.integers(0, 50, L.HEAD + L.TAIL).astype(float))

@@ -1,9 +1,12 @@
 """Packing and sharding: against the tokenizer, against exhaustive search, and by what must hold of any result."""
 
 import itertools
+import random
+import time
 import zlib
 from array import array
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -165,3 +168,13 @@ def test_query_shuffles_whole_records(spark, tmp_path, monkeypatch):
     texts = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.collect()]
     assert sorted(map(str, ((r["doc_id"], r["size"], r["text_crc32"]) for r in got))) == sorted(str((i, len(t) + 1, zlib.crc32(t))) for i, t in texts)
     assert given[0][0] == docs.columns and all(n >= len(t) for n, t in zip(given[0][1], sorted((t for _, t in texts), key=len), strict=True))
+
+
+def test_long_words_go_to_the_tokenizer():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(n)) for n in (63, 64, 65, 40_000)]
+    coder = packing.WordEncoder(packing.public_tokenizer())
+    began = time.time()
+    got = list(coder.batch(pa.array(words)))
+    assert time.time() - began < 5
+    assert [np.frombuffer(b, np.uint32).tolist() for b in got] == [coder.tokenizer.encode(w, add_special_tokens=False).ids for w in words]

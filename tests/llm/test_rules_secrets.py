@@ -3,7 +3,9 @@
 import base64
 import collections
 import json
+import random
 import re
+import time
 
 import pytest
 
@@ -201,3 +203,12 @@ def test_query_against_brute_force(spark, tmp_path):
     assert got == sorted(want, key=str)
     spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "none/documents.parquet"))
     assert S.op8(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_tokens_in_unbroken_runs():
+    text, began = "eyJ" * 400_000, time.time()
+    assert not S.TOKEN.search(text) and time.time() - began < 1
+    plain, rng = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*"), random.Random(1)
+    for _ in range(5000):
+        t = "".join(rng.choice(["eyJ", "a", ".", ".", " ", "-"]) for _ in range(rng.randrange(25)))
+        assert [m.span() for m in plain.finditer(t)] == [m.span(1) for m in S.TOKEN.finditer(t)]

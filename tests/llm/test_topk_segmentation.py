@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 import zlib
 from array import array
 
@@ -78,6 +79,32 @@ def test_n_best(coder, text):
         assert all(coder.decode(array("I", i).tolist()) == text for _, i in got)
 
 
+@pytest.mark.parametrize("text", ["a" * 300_000, "ab" * 30_000, "qzjxk" * 20_000])
+def test_long_runs_without_a_break(coder, text):
+    began = time.time()
+    got = coder.n_best(text, 4)
+    assert time.time() - began < 60 and len({i for _, i in got}) == (2 if "q" in text else 4) and all(coder.decode(array("I", i).tolist()) == text for _, i in got)
+
+
+def test_best_is_exact_with_many_ties(coder):
+    for text in ("aaaaaa", "abababab", "éééé", "xxyyxxyy", "日日日"):
+        want = sorted(((s, tuple(np.frombuffer(i, np.uint32).tolist())) for s, i in every_part(coder, text)), key=lambda x: (-round(x[0], 9), x[1]))[:4]
+        got = coder.best(text, 4)
+        assert [round(s, 9) for s, _ in got] == [round(s, 9) for s, _ in want] and len({i for _, i in got}) == len(got)
+        if len({round(s, 9) for s, _ in want}) == len(want):
+            assert [i for _, i in got] == [i for _, i in want]
+
+
+def every_part(coder, part):
+    edges, out, todo = coder.edges(part), [], [(0, 0.0, ())]
+    while todo:
+        at, score, ids = todo.pop()
+        if at == len(part):
+            out.append((score, array("I", ids).tobytes()))
+        todo += [(z, score + s, (*ids, *more)) for a, z, s, more in edges if a == at]
+    return out
+
+
 def test_arrays_equal_the_scalar_form(coder):
     words = list({p for t in ["Many words of the text, some un-usual: naïve Ünïcode 12345 日本語 'quoted' $$$ averyveryverylongwordthatisnone"] for w in coder.words(pa.array([t]))[0].to_pylist() for p in coder.parts(w)})
     for p, (total, cost, ids) in coder.measure_all(words):
