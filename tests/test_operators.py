@@ -321,22 +321,6 @@ def test_small_scores_and_validators(spark):
     assert Y.quote_window("Net sales rose. Net sales\n2020 5,000 end", "net sales", "2020", "5000") == "Net sales rose. Net sales\n2020 5,000 end" and Y.quote_window("nothing", "net sales", "2020", "5") is None
 
 
-def test_index_is_written_once_for_each_state_of_its_files(spark, tmp_path):
-    path = str(tmp_path / "docs")
-    spark.createDataFrame([(1, "apple pie"), (2, "apple")], "id int, text string").write.parquet(path)
-    q = spark.createDataFrame([(1, "apple pie nothing")], "query_id int, query string")
-    found = lambda: sorted((r["id"], r["score"]) for r in R.scores(R.written_index(spark.read.parquet(path), "t", spark.read.parquet(path), ["id"]), q, ["id"]).collect())
-    docs = spark.read.parquet(path)
-    first = found()
-    assert first == sorted((r["id"], r["score"]) for r in R.scores(R.index(docs, ["id"]), q, ["id"]).collect()) == found()
-    before = K.fingerprint(docs, "x")
-    spark.createDataFrame([(3, "pie pie")], "id int, text string").write.mode("append").parquet(path)
-    assert K.fingerprint(spark.read.parquet(path), "x") != before != K.fingerprint(docs, "y") and len(found()) == 3
-    built = []
-    pages = lambda strict: K.load_pages(spark.read.parquet(path), lambda d: (built.append(1), d)[1], strict).count()
-    assert [pages(False), pages(False), pages(True)] == [3, 3, 3] and len(built) == 2
-
-
 def test_many_terms_are_joined(spark, monkeypatch):
     items = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i, i + 5))) for i in range(30)], "id int, text string")
     q = spark.createDataFrame([(1, " ".join(f"w{j}" for j in range(20)))], "query_id int, query string")

@@ -96,7 +96,11 @@ c AS (SELECT doc_id, CAST(s / 1900 AS BIGINT) AS chunk, s AS start, least(s + 22
 
 
 def passages(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.explode(T.chunks(F.col("text"))).alias("c")).select("doc_id", F.col("c.chunk").cast("long").alias("chunk"), F.col("c.start").cast("long").alias("start"), F.col("c.end").cast("long").alias("end"), "c.text")
+    return passages_of(t.documents)
+
+
+def passages_of(documents: DataFrame) -> DataFrame:
+    return documents.select("doc_id", F.explode(T.chunks(F.col("text"))).alias("c")).select("doc_id", F.col("c.chunk").cast("long").alias("chunk"), F.col("c.start").cast("long").alias("start"), F.col("c.end").cast("long").alias("end"), "c.text")
 
 
 @query("p10_chunks", f"WITH {CHUNKS_SQL} SELECT doc_id, chunk, start, \"end\", md5(text) AS text_md5 FROM c")
@@ -284,7 +288,7 @@ sc AS (SELECT question_id, query_id, p.doc_id, p.chunk, round(sum(times * ln((n
 
 
 def _index(t: Tables) -> R.Index:
-    return R.written_index(t.documents, "passages", passages(t), ["doc_id", "chunk"])
+    return R.written_index(t.documents, "passages", passages_of, ["doc_id", "chunk"])
 
 
 def _questions(t: Tables) -> DataFrame:
@@ -305,7 +309,7 @@ WITH {INDEX_SQL}, {QUERIES_SQL}, r AS (SELECT *, CAST(row_number() OVER (PARTITI
 SELECT query_id, rank, doc_id, chunk, round(score, 5) AS score FROM r WHERE rank <= 5
 """)
 def _(t: Tables) -> DataFrame:
-    ranked = R.top(R.scores(_index(t), _questions(t), ["doc_id", "chunk"]), ["query_id"], ["doc_id", "chunk"], 5)
+    ranked = R.ranked(_index(t), _questions(t), ["doc_id", "chunk"], 5)
     return ranked.select("query_id", "rank", "doc_id", "chunk", F.round("score", 5).alias("score"))
 
 
@@ -341,7 +345,7 @@ tb AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score
 
 def _table_search(t: Tables, k: int) -> DataFrame:
     kind = F.when(F.col("lang") == "en", "operations").when(F.col("lang") == "fr", "cashflow").when(F.col("lang") == "de", "balance").otherwise("equity")
-    ix = R.written_index(t.documents, "tables", t.documents.select("doc_id", "text", kind.alias("statement_kind")), ["doc_id"])
+    ix = R.written_index(t.documents, "tables", lambda d: d.select("doc_id", "text", kind.alias("statement_kind")), ["doc_id"])
     asked = _questions(t).withColumn("query", F.concat("query", F.when(F.col("query_id") % 2 == 0, F.lit(" income statement")).otherwise(F.lit(" balance sheet"))))
     return R.search_tables(ix, asked, ["doc_id"], k)
 
