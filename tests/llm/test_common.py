@@ -55,3 +55,16 @@ def test_release_deletes_what_was_written(spark):
         assert "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e)
     else:
         raise AssertionError("the table must be gone")
+
+
+def test_discard_deletes_one_table(spark):
+    one, two = (_common.materialize(spark.range(n), "test") for n in (2, 3))
+    before = len(_common._written[spark.sparkContext.applicationId])
+    _common.discard(one)
+    assert len(_common._written[spark.sparkContext.applicationId]) == before - 1 and two.count() == 3
+    try:
+        one.collect()
+    except Exception as e:
+        assert "FILE" in str(e).upper()
+    else:
+        raise AssertionError("the table is still there")

@@ -55,6 +55,16 @@ def release(spark: SparkSession, keep: int = 0) -> int:
     return len(gone)
 
 
+def discard(table: DataFrame) -> None:
+    """Deletes a table that ``materialize`` gave, before the others; what was made of it must be written by now."""
+    paths = _written.get(table.sparkSession.sparkContext.applicationId, [])
+    files = table.inputFiles()
+    for p in [p for p in paths if files and f"/{p.rpartition('/')[2]}/" in files[0]]:
+        paths.remove(p)
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Intermediate tables of operators called within are deleted at the end; write results before that."""

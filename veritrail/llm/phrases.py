@@ -4,8 +4,8 @@ Documents are dealt into blocks of bounded size by the partitions they lie in; e
 or document one more. An inverted list is the positions of a word or phrase in a block; the lengths of its lists, summed over all blocks,
 are its exact frequency. Lists of frequent words are extended: in each block, the positions of frequent phrases of k words are merge-joined with
 the postings of the words k places on, which gives the lists of phrases of k + 1 words; those that are frequent over all blocks go on. A phrase
-is known by the number of its first words and that of its last one, both given to frequent ones only, so counting compares numbers and is exact. From
-phrases of three words on, the postings of a word are those that end a frequent pair.
+is known by the number of its first words and that of its last one, both given to frequent ones only, so counting compares numbers and is exact. The
+postings of a word are those that end a frequent phrase of k words, as every part of a frequent phrase is frequent; so only these lists move.
 
 Only lists that are frequent move to the next step, grouped by block, and no group is larger than a block. Counts are summed by phrase, so neither a very
 frequent phrase nor a language with most of the rows meets in one task. Frequent phrases are broadcast to their lists up to a checked number of
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import materialize, slices
+from ._common import discard, materialize, slices
 
 LEAST, LONGEST, SHOWN = 100, 5, 2000
 #: Positions of a block beyond one document.
@@ -92,25 +92,17 @@ def postings(docs: DataFrame, text: str = "text", lang: str = "lang", block: int
     return given.mapInArrow(_posted(block), "block long, lang string, word string, n int, positions array<int>")
 
 
-def _flat(rows: pa.Table, of: str) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in order, and the id in column ``of`` that each belongs to, of the rows that have one."""
-    rows = rows.filter(rows.column(of).is_valid())
-    lists = rows.column("positions").combine_chunks()
-    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
-    ids = np.repeat(rows.column(of).to_numpy().astype(np.int64), np.asarray(lists.value_lengths()))
-    place = np.asarray(lists.flatten()).astype(np.int64)
-    by = np.argsort(place, kind="stable")
-    return place[by], ids[by]
-
-
-def _extended(k: int, offset: int) -> Callable[[pa.Table], pa.Table]:
-    """Lists of k + 1 words of one block, from those of k words (phrase) and the postings of words (word), which lie so far behind their positions."""
+def _extended(k: int) -> Callable[[pa.Table], pa.Table]:
+    """Lists of k + 1 words of one block, from those of k words: phrase, its last word, positions."""
 
     def extended(rows: pa.Table) -> pa.Table:
-        place, phrase = _flat(rows, "phrase")
-        at, word = _flat(rows, "word")
-        at = at + offset
-        # The merge join of two sorted lists of positions; a position has one word at most.
+        lists = rows.column("positions").combine_chunks()
+        lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+        sizes, place = np.asarray(lists.value_lengths()), np.asarray(lists.flatten()).astype(np.int64)
+        by = np.argsort(place, kind="stable")
+        place, (phrase, word) = place[by], (np.repeat(rows.column(c).to_numpy(), sizes)[by] for c in ("phrase", "word"))
+        # The merge join of two sorted lists of positions, of phrases and of the words that end them; a position has one of each at most.
+        at = place + k - 1
         where = np.searchsorted(at, place + k)
         met = np.flatnonzero(where < len(at))
         met = met[at[where[met]] == place[met] + k]
@@ -137,19 +129,20 @@ def mined(docs: DataFrame, text: str = "text", lang: str = "lang", least: int =
     named = lambda counts, *columns: materialize(counts.where(F.col("f") >= least).select(F.monotonically_increasing_id().alias("id"), *columns, "f"), "frequent")
     words = named(lists.groupBy("lang", "word").agg(F.sum("n").alias("f")), "lang", "word")
     level = lists.join(if_small(words.select("id", "lang", "word"), F.octet_length("word") + 64), ["lang", "word"])
-    level = materialize(level.select("block", F.col("id").alias("phrase"), F.col("id").alias("word"), "positions"), "lists")
+    level = materialize(level.select("block", "id", "positions"), "lists")
+    totals = materialize(totals, "totals")
+    discard(lists)
     known = words.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "f", "id")
-    every, pairs = [known], None
+    every, ends = [known], F.col("id").alias("word")
     for k in range(1, longest):
-        # Phrases of two words and more bring no postings; those are the frequent pairs', by their last word.
-        given = level if pairs is None else level.unionByName(pairs, allowMissingColumns=True)
-        found = materialize(given.groupBy("block").applyInArrow(_extended(k, int(k > 1)), "block long, left long, word long, n int, positions array<int>"), "extended")
+        given = level.select("block", F.col("id").alias("phrase"), ends, "positions")
+        found = materialize(given.groupBy("block").applyInArrow(_extended(k), "block long, left long, word long, n int, positions array<int>"), "extended")
+        discard(level)
         frequent = named(found.groupBy("left", "word").agg(F.sum("n").alias("f")), "left", "word")
         if k + 1 < longest:
-            level = found.join(if_small(frequent.select("id", "left", "word"), F.lit(64)), ["left", "word"]).select("block", F.col("id").alias("phrase"), "word", "positions")
-            level = materialize(level, "lists")
-            pairs = level.select("block", F.lit(None).cast("long").alias("phrase"), "word", "positions") if k == 1 else pairs
-            level = level.select("block", "phrase", F.lit(None).cast("long").alias("word"), "positions")
+            level = found.join(if_small(frequent.select("id", "left", "word"), F.lit(64)), ["left", "word"])
+            level, ends = materialize(level.select("block", "id", "word", "positions"), "lists"), F.col("word")
+        discard(found)
         longer = frequent.join(known.select(F.col("id").alias("left"), "lang", "phrase"), "left").join(words.select(F.col("id").alias("word"), F.col("word").alias("last")), "word")
         known = materialize(longer.select("lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), F.lit(k + 1).alias("words"), "f", "id"), "phrases")
         every.append(known)
@@ -184,7 +177,6 @@ def widest(phrases: DataFrame) -> DataFrame:
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST, shown: int = SHOWN, block: int = BLOCK) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's best phrases by score, frequency, phrase (in byte order), as many as are shown."""
     totals, phrases = mined(docs, text, lang, least, longest, block)
-    totals = materialize(totals, "totals")
     found = scored(totals, phrases).join(widest(phrases).select("lang", "phrase"), ["lang", "phrase"])
     w = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= shown)
