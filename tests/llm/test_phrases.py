@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 
 from tests.oracle import connect, rows
+from veritrail.llm import _common
 from veritrail.llm import phrases as P
 
 
@@ -49,7 +50,7 @@ def test_equal_to_counting_all_phrases(spark, seed, block):
 
 
 def test_joined_where_nothing_is_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(P, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(_common, "BROADCAST_BYTES", 0)
     docs = corpus(4)
     got = P.collocations(spark.createDataFrame(docs, "lang string, text string"), least=6, shown=5).drop("cut").collect()
     assert sorted(tuple(r) for r in got) == brute(docs, 6, 5)

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from veritrail.llm import _common
 from veritrail.llm import simhash as S
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -73,7 +74,8 @@ def test_linked_prints_share_a_cell():
 
 
 @pytest.mark.parametrize("block", [2, 512])
-def test_links_connect_all_that_are_near(spark, block):
+def test_links_connect_all_that_are_near(spark, monkeypatch, block):
+    monkeypatch.setattr(_common, "BROADCAST_BYTES", block << 10)
     rng = random.Random(block)
     prints = {rng.getrandbits(64) for _ in range(40)}
     for centre in list(prints)[:4]:  # clouds of prints, most within 4 of some others, and chains

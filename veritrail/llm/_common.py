@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space as the contracts' word pattern has it.
@@ -91,6 +91,15 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS, size: int
             at += n
 
 
+#: Bytes up to which a written table is broadcast.
+BROADCAST_BYTES = 16 << 20
+
+
+def if_small(frame: DataFrame, size: Column) -> DataFrame:
+    """A written table, marked for broadcast if its rows' sizes sum to few bytes."""
+    return F.broadcast(frame) if (frame.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else frame
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

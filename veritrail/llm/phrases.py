@@ -29,13 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import discard, materialize, slices
+from ._common import discard, if_small, materialize, slices
 
 LEAST, LONGEST, SHOWN = 100, 5, 2000
 #: Positions of a block beyond one document.
 BLOCK = 1 << 21
-#: Bytes up to which a table of frequent words or phrases is broadcast.
-BROADCAST_BYTES = 16 << 20
 #: Ends of pieces. Each is replaced by a full stop of its own, which no word holds.
 ENDS = re.compile(rb"[.,;:!?\x0A-\x0D]")
 
@@ -117,11 +115,6 @@ def _extended(k: int) -> Callable[[pa.Table], pa.Table]:
     return extended
 
 
-def if_small(frame: DataFrame, size: Column) -> DataFrame:
-    """A written table, marked for broadcast if its rows' sizes sum to few bytes."""
-    return F.broadcast(frame) if (frame.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else frame
-
-
 def mined(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(lang, n words in all) and (lang, phrase, words, f): all words and phrases of up to ``longest`` words that occur ``least`` times."""
     lists = materialize(postings(docs, text, lang, block), "postings")

@@ -12,7 +12,8 @@ fingerprint; a cell tells about 32 bits, so few that are not near share one even
 Equal fingerprints are one class from the start; only distinct ones are joined. In each cell, members are first compared with the cell's smallest;
 after connected components, only members of different components are compared with each other, in blocks of bounded size. Every two members
 that could still be linked are compared, by all their bits; only links leave a join. What the members of a cell need to know of it is written and
-joined back, so Spark can split a cell of very many members over tasks.
+joined back: by broadcast up to a checked size, else so that Spark can split a cell of very many members over tasks. Cells are made anew where they
+are needed rather than written.
 
 Documents without words (null, empty, blank) have fingerprint zero and are linked like any other. Very long texts are read whole. Repeated rows are in
 one class. A null doc_id belongs to its class but never names it, unless all are null. Extra columns take no part; an empty table gives an empty result.
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, slices
+from ._common import if_small, materialize, slices
 from .components import components
 
 WORDS, SEED, APART = 4, 42, 4
@@ -106,17 +107,19 @@ def near(a: Column | str, b: Column | str) -> Column:
 
 def links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
     """u, v: links of distinct fingerprints (print) by which all that are near each other are connected."""
-    members = materialize(prints.select("print").mapInArrow(_placed, "print long, cell long"), "cells")
-    # The smallest member of each cell of more than one, and how many it has.
-    hubs = members.groupBy("cell").agg(F.min("print").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    hubs = materialize(hubs, "hubs")
-    with_hub = members.join(hubs, (members["cell"] == hubs["cell"]) & (members["print"] > hubs["hub"]) & near("print", "hub"))
-    found = materialize(with_hub.select(F.col("print").alias("u"), F.col("hub").alias("v")).distinct(), "near_hub")
-
-    # A cell of two is done. In larger ones, members of different components are compared with each other.
-    large = hubs.where("n > 2").select("cell", "n")
+    spark = prints.sparkSession
+    members = prints.select("print").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "print").mapInArrow(_placed, "print long, cell long")
+    # The smallest and the largest member of each cell of more than one, and how many it has. A cell of two is done with them.
+    shared = members.groupBy("cell").agg(F.min("print").alias("hub"), F.max("print").alias("last"), F.count("*").alias("n")).where("n > 1")
+    shared = materialize(shared, "shared")
+    twos = shared.where((F.col("n") == 2) & near("hub", "last")).select(F.col("last").alias("u"), F.col("hub").alias("v"))
+    # In larger ones, all are compared with the smallest, then members of different components with each other.
+    some = materialize(members.join(if_small(shared.where("n > 2").select("cell", "hub", "n"), F.lit(64)), "cell"), "large_cells")
+    ones = some.where((F.col("print") > F.col("hub")) & near("print", "hub")).select(F.col("print").alias("u"), F.col("hub").alias("v"))
+    found = materialize(twos.unionByName(ones).distinct(), "near_hub")
+
     named = components(found).select(F.col("u").alias("print"), F.col("v").alias("component"))
-    some = materialize(members.join(large, "cell").join(named, "print", "left").withColumn("component", F.coalesce("component", "print")), "large_cells")
+    some = materialize(some.drop("hub").join(named, "print", "left").withColumn("component", F.coalesce("component", "print")), "large_cells")
     mixed = some.groupBy("cell").agg(F.min("component").alias("a"), F.max("component").alias("z")).where("a < z").select("cell")
     some = some.join(materialize(mixed, "mixed"), "cell")
     blocks = F.ceil(F.col("n") / block).cast("int")
