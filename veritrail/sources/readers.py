@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from ..functions import text as T
+from .jsonl import jsonl_with_lineage, status_counts  # noqa: F401  part of the readers
 
 
 def filings(spark: SparkSession, *folders: str, only: list[str] | None = None, limit: int | None = None) -> DataFrame:
@@ -67,17 +68,6 @@ def jsonl(spark: SparkSession, path, schema: str | Ty.StructType) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def jsonl_with_lineage(spark: SparkSession, path, schema: str) -> DataFrame:
-    """source, line (from 1, of that file), status (ok, invalid_json) and the row as a struct, for each line that is not blank.
-
-    A file is read as one record, so the numbers are its own however it is stored; for files of more than executor memory, use jsonl.
-    """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source"), F.posexplode(F.split("value", "\r?\n")).alias("_i", "_line"))
-    files = files.where(F.trim("_line") != "").select("source", (F.col("_i") + 1).alias("line"), "_line")
-    valid = F.expr("try_parse_json(_line) IS NOT NULL")
-    return files.select("source", "line", F.when(valid, "ok").otherwise("invalid_json").alias("status"), F.when(valid, F.from_json("_line", schema)).alias("row"))
-
-
 def json_map(spark: SparkSession, path: str, value_schema: str) -> DataFrame:
     """key and value of each entry of one JSON object per file."""
     whole = spark.read.text(path, wholetext=True)
