@@ -7,9 +7,13 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import quotes as Q
+from ..operators import retrieval as R
+from ..operators import trigrams as G
 from ..sources import jsonl
 from ..sources.workspace import shared_dir
-from .registry import Tables, query
+from . import text_queries  # noqa: F401  its SQL is used here
+from .registry import ORACLES, Tables, query
 
 
 @query("s06_jsonl_lineage", """
@@ -25,3 +29,28 @@ def _(t: Tables) -> DataFrame:
     t.conversations.orderBy("conv_id", "turn").select(line.alias("value")).write.text(path)
     rows = jsonl.in_sequence(jsonl.jsonl_with_lineage(t.spark, path, "conv_id long, turn long, role string, text string"))
     return rows.select("place", "status", "row.conv_id", "row.turn", F.md5("row.text").alias("text_md5"))
+
+
+_pages = lambda d: d.select("doc_id", F.lit(1).alias("page"), "text")
+
+
+@query("r07_grep_indexed", ORACLES["r07_grep"])
+def _(t: Tables) -> DataFrame:
+    """As r07_grep, over the pages that the three-character index leaves."""
+    patterns, keys = ["licen[cs]ed", "token = "], ["doc_id", "page"]
+    index = G.written_grams(t.documents, "documents", _pages, keys)
+    some = _pages(t.documents).join(G.candidates(index, keys, patterns), keys, "left_semi")
+    return R.grep(some, patterns, keys, context=1).select("doc_id", "line", "start", "end", F.md5("text").alias("text_md5"))
+
+
+@query("j16_quotes_anywhere", """
+WITH q AS (SELECT item_id, CAST(i AS INTEGER) AS part, substr(text, CAST(i * 60 + 1 AS BIGINT), 40) AS quote FROM (SELECT item_id, text, unnest(range(0, (length(text) + 59) // 60)) AS i FROM benchmark)),
+h AS (SELECT item_id, part, doc_id, length(quote) AS n, string_split(text, quote) AS s FROM q JOIN documents ON contains(text, quote))
+SELECT item_id, part, doc_id, CAST(list_sum(list_transform(s[1:i], lambda x: length(x))) + (i - 1) * n AS INTEGER) AS "offset" FROM (SELECT *, unnest(range(1, len(s))) AS i FROM h)
+""")
+def _(t: Tables) -> DataFrame:
+    """Every place in any document where a 40-character quote of a benchmark item stands, one quote for each 60 characters of the item."""
+    parts = F.sequence(F.lit(0), F.floor((F.length("text") + 59) / 60).cast("int") - 1)
+    quotes = t.benchmark.where(F.length("text") > 0).select("item_id", "text", F.explode(parts).alias("part"))
+    quotes = quotes.select("item_id", "part", F.substring(F.col("text"), F.col("part") * 60 + 1, F.lit(40)).alias("quote"))
+    return Q.occurrences(quotes, t.documents, ["item_id", "part"], ["doc_id"])
