@@ -40,6 +40,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+def written(frame: DataFrame, name: str) -> DataFrame:
+    """The frame written once to the shared folder and read back: what reads it several times computes it no more, and lost executors lose nothing."""
+    path = f"{shared_dir(frame.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def plan_digest(frame: DataFrame, *settings: str) -> str:
     """Of how a frame is computed: its analyzed plan without numbers of expressions and lambda variables, and settings. Python functions count by name."""
     plan = frame._jdf.queryExecution().analyzed().treeString(True, False, 1 << 20, False, False)
