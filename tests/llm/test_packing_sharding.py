@@ -40,13 +40,39 @@ def test_fullest_is_the_best_subset(counts, room):
     assert sum(n * k for n, k in used.items()) == best and all(0 < k <= counts[n] for n, k in used.items())
 
 
+def by_definition(rows):
+    """Where the plan's rows put pieces of one length: ranks from the first one on go to the bins from the first one on, so many per bin."""
+
+    def place(lengths, ranks):
+        out = []
+        for n, r in zip(lengths.tolist(), ranks.tolist(), strict=True):
+            _, at, first, k, offset = max(x for x in rows if x[0] == n and x[1] <= r)
+            out.append((first + (r - at) // k, offset + (r - at) % k * n))
+        return tuple(np.array(x) for x in zip(*out, strict=True))
+
+    return place
+
+
+def test_placed_equals_the_plan(spark):
+    histogram = {2048: 3, 1500: 7, 700: 11, 548: 5, 300: 40, 31: 9, 1: 2}
+    rows, _ = packing.plan(histogram)
+    pieces = [(n, r, "x", 7) for n, k in histogram.items() for r in range(k)]
+    got = packing.placed(spark.createDataFrame(pieces, "length long, rank long, bin string, other int"), rows).collect()
+    where, offset = by_definition(rows)(np.array([p[0] for p in pieces]), np.array([p[1] for p in pieces]))
+    key = lambda n: sorted((r["sequence_id"], r["offset"]) for r in got if r["length"] == n)
+    for n in histogram:
+        assert key(n) == sorted((int(w), int(o)) for w, o, p in zip(where, offset, pieces, strict=True) if p[0] == n)
+    assert all(r["bin"] == "x" and r["other"] == 7 for r in got)
+
+
+
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 200), min_size=1, max_size=40))
 @settings(max_examples=50, deadline=None)
 def test_plan_places_every_piece_once(histogram):
     import numpy as np
 
     rows, bins = packing.plan(histogram, 64)
-    place, taken = packing.place(rows), {}
+    place, taken = by_definition(rows), {}
     for n, k in histogram.items():
         where, offset = place(np.full(k, n), np.arange(k))
         for w, o in zip(where.tolist(), offset.tolist(), strict=True):

@@ -22,7 +22,7 @@ import os
 import re
 import string
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
@@ -32,7 +32,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ._common import materialize, slices
 
@@ -277,17 +276,14 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tupl
     return rows, bins
 
 
-def place(rows: list[tuple[int, int, int, int, int]]) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """From lengths and ranks to sequence ids and offsets."""
-    table = np.array(sorted(rows), np.int64).reshape(-1, 5)
-    key = (table[:, 0] << 48) + table[:, 1]
-
-    def found(length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        row = table[np.searchsorted(key, (length << 48) + rank, "right") - 1]
-        past = rank - row[:, 1]
-        return row[:, 2] + past // row[:, 3], row[:, 4] + past % row[:, 3] * length
-
-    return found
+def placed(some: DataFrame, rows: list[tuple[int, int, int, int, int]]) -> DataFrame:
+    """Pieces (length, rank over all pieces of that length) with sequence_id and offset, by the plan's rows: a list for each length, broadcast."""
+    known = some.sparkSession.createDataFrame(rows, "length long, at long, bin long, k long, offset long")
+    known = known.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("at", "bin", "k", "offset"))).alias("_rows"))
+    some = some.join(F.broadcast(known), "length")  # a row for each length, so at most ``capacity``
+    some = some.withColumn("_row", F.element_at(F.filter("_rows", lambda r: r["at"] <= F.col("rank")), -1)).withColumn("_past", F.col("rank") - F.col("_row.at"))
+    offset = F.col("_row.offset") + F.col("_past") % F.col("_row.k") * F.col("length")
+    return some.withColumns({"sequence_id": F.col("_row.bin") + F.expr("_past div _row.k"), "offset": offset}).drop("_rows", "_row", "_past", "rank")
 
 
 def digests(some: DataFrame) -> DataFrame:
@@ -303,15 +299,9 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     rows, _ = plan(histogram, capacity)
 
-    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = place(rows)
-        for b in batches:
-            sequence, offset = found(b.column("length").to_numpy(), b.column("rank").to_numpy() + b.column("first").to_numpy())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(sequence), pa.array(offset)], [*kept, "sequence_id", "offset"])
-
+    some = cut_pieces.join(first, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("first")).drop("part", "first")
     kept = [c for c in cut_pieces.columns if c not in ("part", "rank")]
-    schema = StructType([cut_pieces.schema[c] for c in kept]).add("sequence_id", "long").add("offset", "long")
-    return cut_pieces.join(first, ["length", "part"]).mapInArrow(locate, schema)
+    return placed(some, rows).select(*kept, "sequence_id", "offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
