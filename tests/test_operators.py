@@ -327,3 +327,28 @@ def test_many_terms_are_joined(spark, monkeypatch):
     few = sorted(map(tuple, R.scores(R.index(items, ["id"]), q, ["id"]).collect()))
     monkeypatch.setattr(R, "TERMS_PUSHED", 3)
     assert few == sorted(map(tuple, R.scores(R.index(items, ["id"]), q, ["id"]).collect()))
+
+
+@pytest.mark.parametrize("q", [0.0, 0.5, 0.95, 1.0])
+def test_quantiles_of_hot_groups_are_exact(spark, q):
+    import random
+
+    rng = random.Random(q)
+    groups = {"hot": [rng.expovariate(1) ** 3 for _ in range(30_000)], "ties": [float(rng.randrange(3)) for _ in range(5000)], "one": [7.0] * 4000, "few": [3.0, 1.0, 2.0], "single": [5.0], "signs": [rng.gauss(0, 1) for _ in range(2500)]}
+    frame = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs] + [("few", None), ("none", None)], "g string, v double")
+    got = {r["g"]: r["x"] for r in P.floor_quantile(frame, ["g"], "v", q, "x", most=100).collect()}
+    assert got == {g: sorted(vs)[min(len(vs) - 1, int((len(vs) - 1) * q))] for g, vs in groups.items()}
+
+
+def test_bootstrap_of_many_units_in_chunks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    deltas = rng.normal(0.3, 1.0, 3000)
+    pairs = spark.createDataFrame([("a", int(i), float(d)) for i, d in enumerate(deltas)] + [("b", 1, 2.0), ("b", 2, 2.0)], "run string, unit long, delta double")
+    got = {r["run"]: r for r in P.bootstrap(pairs, "run", "unit", "delta", resamples=800, chunk=500, tasks=4).collect()}
+    half = 1.96 * deltas.std() / np.sqrt(len(deltas))
+    assert got["a"]["n_units"] == 3000 and abs(got["a"]["low"] - (deltas.mean() - half)) < 0.25 * half and abs(got["a"]["high"] - (deltas.mean() + half)) < 0.25 * half
+    assert (got["b"]["low"], got["b"]["high"], got["b"]["delta"]) == (2.0, 2.0, 2.0)
+    again = {r["run"]: r for r in P.bootstrap(pairs.repartition(7), "run", "unit", "delta", resamples=800, chunk=500, tasks=4).collect()}
+    assert again["a"]["low"] == pytest.approx(got["a"]["low"], abs=1e-12)
