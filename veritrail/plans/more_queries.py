@@ -71,6 +71,48 @@ def _(t: Tables) -> DataFrame:
     return Y.target_violations(x, "o_orderkey").select("o_orderkey", F.array_join("violations", ",").alias("v"))
 
 
+@query("f13_submission_violations", """
+SELECT event_id, concat_ws(',', CASE WHEN event_type = 'view' AND value < 20 THEN 'citations' END, CASE WHEN event_type = 'click' AND user_id % 3 = 0 THEN 'decision' END, CASE WHEN event_type = 'purchase' AND user_id % 4 = 1 THEN 'number' END, CASE WHEN event_type IN ('click', 'purchase') AND user_id % 5 = 2 THEN 'prose' END) AS v
+FROM events WHERE event_type = 'view' AND value < 20 OR event_type = 'click' AND user_id % 3 = 0 OR event_type = 'purchase' AND user_id % 4 = 1 OR event_type IN ('click', 'purchase') AND user_id % 5 = 2
+""")
+def _(t: Tables) -> DataFrame:
+    """Events as submissions: purchases are numbers, clicks decisions, all others texts."""
+    c = F.col
+    kind = F.when(c("event_type") == "purchase", "numeric").when(c("event_type") == "click", "boolean").otherwise("text")
+    prose = F.when(kind == "text", c("props")).otherwise(F.when(c("user_id") % 5 == 2, "so it is").otherwise(""))
+    cited = F.struct(F.concat(F.lit("r"), c("user_id").cast("string")).alias("receipt_id"), c("event_type").alias("document_id"), F.when((c("event_type") == "view") & (c("value") < 20), 0).otherwise(1).alias("page"))
+    x = t.events.select("event_id", kind.alias("answer_type"), F.round("value", 2).cast("decimal(18,2)").cast("string").alias("value"), F.lit("USD").alias("unit"), F.when(c("user_id") % 4 == 1, "some").otherwise("ones").alias("scale"),
+                        F.when(c("user_id") % 3 == 0, "maybe").otherwise("no").alias("decision"), prose.alias("answer_text"), F.array(cited).alias("citations"))
+    return Y.submission_violations(x, "event_id").select("event_id", F.array_join("violations", ",").alias("v"))
+
+
+@query("f13_rubric_violations", """
+WITH c AS (SELECT l_orderkey, l_linenumber % 2 = 0 AS semantic, (l_partkey % 5)::VARCHAR AS id, CASE WHEN l_quantity < 3 THEN '' ELSE l_shipdate::VARCHAR END AS expected FROM lineitem),
+g AS (SELECT l_orderkey, count(*) FILTER (NOT semantic) AS n, count(*) FILTER (semantic) AS s, count(DISTINCT id) FILTER (NOT semantic) AS dn, count(DISTINCT id) FILTER (semantic) AS ds, bool_and(expected <> '') AS given FROM c GROUP BY 1),
+m AS (SELECT *, CASE l_orderkey % 4 WHEN 0 THEN 'numeric' WHEN 1 THEN 'semantic' WHEN 2 THEN 'mixed' ELSE 'both' END AS mode FROM g),
+v AS (SELECT l_orderkey, concat_ws(',', CASE WHEN NOT given THEN 'expected' END, CASE WHEN mode = 'both' THEN 'mode' END, CASE WHEN (n > 0) <> (mode <> 'semantic') THEN 'numeric' END, CASE WHEN (s > 0) <> (mode <> 'numeric') THEN 'semantic' END, CASE WHEN dn < n OR ds < s THEN 'unique' END) AS v FROM m)
+SELECT * FROM v WHERE v <> ''
+""")
+def _(t: Tables) -> DataFrame:
+    """Orders as rubrics: their lines are numeric or semantic claims."""
+    c = F.col
+    claim = F.struct((c("l_partkey") % 5).cast("string").alias("id"), F.when(c("l_quantity") < 3, "").otherwise(c("l_shipdate").cast("string")).alias("expected"))
+    some = lambda which, name: F.collect_list(F.when(which, claim)).alias(name)  # noqa: E731  the lines of one order
+    x = t.lineitem.groupBy("l_orderkey").agg(some(c("l_linenumber") % 2 == 1, "numeric"), some(c("l_linenumber") % 2 == 0, "semantic"))
+    mode = F.when(c("l_orderkey") % 4 == 0, "numeric").when(c("l_orderkey") % 4 == 1, "semantic").when(c("l_orderkey") % 4 == 2, "mixed").otherwise("both")
+    return Y.rubric_violations(x.withColumn("mode", mode), "l_orderkey").select("l_orderkey", F.array_join("violations", ",").alias("v"))
+
+
+@query("a05_eval_summary", """
+SELECT role, count(*) AS n, count(*) FILTER (turn > 1) AS finished, count(*) FILTER (length(text) > 200) AS correct, count(*) FILTER (turn > 1 AND length(text) > 200) AS grounded,
+  round(count(*) FILTER (turn > 1) / count(*), 6) AS finished_rate, round(count(*) FILTER (length(text) > 200) / count(*), 6) AS correct_rate, round(count(*) FILTER (turn > 1 AND length(text) > 200) / count(*), 6) AS grounded_rate FROM conversations GROUP BY 1
+""")
+def _(t: Tables) -> DataFrame:
+    late, long = F.col("turn") > 1, F.length("text") > 200
+    out = P.eval_summary(t.conversations, ["role"], late, long, late & long)
+    return out.withColumns({c: F.round(c, 6) for c in out.columns if c.endswith("_rate")})
+
+
 @query("k07_derivation_check", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_discount > 0.045")
 def _(t: Tables) -> DataFrame:
     s = lambda c: F.col(c).cast("decimal(18,2)").cast("string")
@@ -240,17 +282,16 @@ def _(t: Tables) -> DataFrame:
 @query("p30_submission_text", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN concat_ws(' ', CAST(user_id AS VARCHAR), 'USD', 'million') WHEN 1 THEN 'yes' ELSE event_type END AS answer FROM events")
 def _(t: Tables) -> DataFrame:
     i = F.col("event_id") % 3
-    parts = F.concat_ws(" ", *[F.when(F.trim(c) != "", c) for c in (F.col("user_id").cast("string"), F.lit("USD"), F.lit("million"))])
-    return t.events.select("event_id", F.when(i == 0, parts).when(i == 1, "yes").otherwise(F.col("event_type")).alias("answer"))
+    kind = F.when(i == 0, "numeric").when(i == 1, "boolean").otherwise("text")
+    return t.events.select("event_id", Y.submission_text(kind, F.col("user_id").cast("string"), F.lit("USD"), F.lit("million"), F.lit("yes"), F.col("event_type")).alias("answer"))
 
 
 @query("k16_reward_audit", """
 SELECT user_id, count(*) FILTER (value < 5 AND event_id % 2 = 0) AS zero_to_positive, count(*) FILTER (event_id % 2 = 0) AS positive, count(*) AS n FROM events GROUP BY 1
 """)
 def _(t: Tables) -> DataFrame:
-    new, old = F.col("event_id") % 2 == 0, F.col("value") >= 5
-    n = lambda c: F.count(F.when(c, 1))
-    return t.events.groupBy("user_id").agg(n(new & ~old).alias("zero_to_positive"), n(new).alias("positive"), F.count("*").alias("n"))
+    new, old = (F.col("event_id") % 2 == 0).cast("int"), (F.col("value") >= 5).cast("int")
+    return P.reward_audit(t.events, ["user_id"], old, new).select("user_id", "zero_to_positive", "positive", "n")
 
 
 @query("w09_tie_broken_advantages", """

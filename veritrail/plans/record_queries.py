@@ -600,7 +600,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("a17_length_summary", "SELECT lang, min(n_chars) AS least, max(n_chars) AS most, round(avg(n_chars), 6) AS mean, count(DISTINCT source) AS sources FROM documents GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    return t.documents.groupBy("lang").agg(F.min("n_chars").alias("least"), F.max("n_chars").alias("most"), F.round(F.avg("n_chars"), 6).alias("mean"), F.count_distinct("source").alias("sources"))
+    return P.length_summary(t.documents, ["lang"], "n_chars", "source").select("lang", "least", "most", F.round("mean", 6).alias("mean"), F.col("questions").alias("sources"))
 
 
 @query("a18_corpus_digest")
@@ -608,9 +608,12 @@ def _(t: Tables) -> DataFrame:
     return P.corpus_digest(t.documents, ["doc_id"], ["doc_id", "text"])
 
 
-@query("a19_best_of_n", "SELECT user_id, max(value) AS best, count(*) AS tries, max(value) >= 50 AS solved FROM events GROUP BY 1")
+@query("a19_best_of_n", """
+WITH s AS (SELECT user_id, min(event_id) FILTER (value >= 50) AS stop FROM events GROUP BY 1)
+SELECT e.user_id, max(value) AS best, count(*) AS tries, max(value) >= 50 AS solved FROM events e JOIN s ON s.user_id = e.user_id WHERE stop IS NULL OR event_id <= stop GROUP BY 1
+""")
 def _(t: Tables) -> DataFrame:
-    return t.events.groupBy("user_id").agg(F.max("value").alias("best"), F.count("*").alias("tries"), (F.max("value") >= 50).alias("solved"))
+    return P.best_of_n(t.events, "user_id", "value", "event_id", 50.0)
 
 
 @query("o02_set_overlap", "WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'O') SELECT count(a.k) AS n_a, count(b.k) AS n_b, count(*) FILTER (a.k = b.k) AS common, count(*) FILTER (b.k IS NULL) AS only_a, count(*) FILTER (a.k IS NULL) AS only_b FROM a FULL JOIN b ON a.k = b.k")
