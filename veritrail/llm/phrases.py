@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from ._common import discard, if_small, materialize, slices
 
 LEAST, LONGEST, SHOWN = 100, 5, 2000
+#: Parts of a language's phrases that are ranked by themselves first.
+PARTS = 64
 #: Positions of a block beyond one document.
 BLOCK = 1 << 21
 #: Ends of pieces. Each is replaced by a full stop of its own, which no word holds.
@@ -171,8 +173,10 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     """lang, rank, phrase, a, l, r, n, score: each language's best phrases by score, frequency, phrase (in byte order), as many as are shown."""
     totals, phrases = mined(docs, text, lang, least, longest, block)
     found = scored(totals, phrases).join(widest(phrases).select("lang", "phrase"), ["lang", "phrase"])
-    w = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= shown)
+    # What is not among the best of its part of a language is not among the best of the language, so no task ranks all phrases of one.
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    best = lambda rows, *by: rows.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= shown)
+    ranked = best(best(found.withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))), "lang", "_part"), "lang")
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score", "cut")
 
 
