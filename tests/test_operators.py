@@ -16,7 +16,6 @@ from veritrail.operators import scoring as S
 from veritrail.operators import targets as Y
 from veritrail.operators import traces as V
 from veritrail.sources import readers, writers
-from veritrail.sources import workspace as K
 from veritrail.streaming import episodes
 
 
