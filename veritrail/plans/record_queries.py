@@ -643,7 +643,7 @@ SELECT episode_id, coalesce((SELECT count(*) FROM d WHERE d.episode_id = e.episo
 
 def episode_events(t: Tables) -> DataFrame:
     kind = F.when(F.col("event_type") == "click", "deliver").when(F.col("event_type") == "view", "cite").when(F.col("event_type") == "purchase", "finish").otherwise("other")
-    return t.events.select(F.col("user_id").alias("episode_id"), F.col("event_id").alias("turn"), kind.alias("kind"), F.col("props").alias("receipt"))
+    return t.events.select(F.col("user_id").alias("episode_id"), F.col("event_id").alias("turn"), kind.alias("kind"), F.col("props").alias("receipt"), F.col("ts").cast("timestamp").alias("at"))
 
 
 @query("st1_episode_state", EPISODES_SQL)
