@@ -287,11 +287,11 @@ sc AS (SELECT question_id, query_id, p.doc_id, p.chunk, round(sum(times * ln((n
 """
 
 
-def _index(t: Tables) -> R.Index:
+def passage_index(t: Tables) -> R.Index:
     return R.written_index(t.documents, "passages", passages_of, ["doc_id", "chunk"])
 
 
-def _questions(t: Tables) -> DataFrame:
+def questions(t: Tables) -> DataFrame:
     half = F.floor((F.size("k") + 1) / 2).cast("int")
     parts = F.slice("k", F.lit(1), half), F.slice("k", half + 1, F.size("k"))
     each = F.explode(F.array(*[F.struct((F.col("item_id") * 2 + i).alias("query_id"), F.array_join(p, " ").alias("query")) for i, p in enumerate(parts)])).alias("q")
@@ -300,7 +300,7 @@ def _questions(t: Tables) -> DataFrame:
 
 @query("r01_bm25_statistics", f"WITH {INDEX_SQL} SELECT term, df, (SELECT n FROM n) AS n, round((SELECT avgdl FROM n), 6) AS avgdl FROM f")
 def _(t: Tables) -> DataFrame:
-    ix = _index(t)
+    ix = passage_index(t)
     return ix.df.crossJoin(F.broadcast(ix.totals)).select("term", "df", "n", F.round("avgdl", 6).alias("avgdl"))
 
 
@@ -309,7 +309,7 @@ WITH {INDEX_SQL}, {QUERIES_SQL}, r AS (SELECT *, CAST(row_number() OVER (PARTITI
 SELECT query_id, rank, doc_id, chunk, round(score, 5) AS score FROM r WHERE rank <= 5
 """)
 def _(t: Tables) -> DataFrame:
-    ranked = R.ranked(_index(t), _questions(t), ["doc_id", "chunk"], 5)
+    ranked = R.ranked(passage_index(t), questions(t), ["doc_id", "chunk"], 5)
     return ranked.select("query_id", "rank", "doc_id", "chunk", F.round("score", 5).alias("score"))
 
 
@@ -324,7 +324,7 @@ SELECT question_id, rank, doc_id, chunk, score FROM o WHERE rank <= 3
 
 @query("r03_search_prose", PROSE_SQL)
 def search_prose(t: Tables) -> DataFrame:
-    return R.search_prose(_index(t), _questions(t), ["doc_id", "chunk"], 3).select("question_id", "rank", "doc_id", "chunk", "score")
+    return R.search_prose(passage_index(t), questions(t), ["doc_id", "chunk"], 3).select("question_id", "rank", "doc_id", "chunk", "score")
 
 
 KIND_SQL = "CASE lang WHEN 'en' THEN 'operations' WHEN 'fr' THEN 'cashflow' WHEN 'de' THEN 'balance' ELSE 'equity' END"
@@ -346,7 +346,7 @@ tb AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score
 def _table_search(t: Tables, k: int) -> DataFrame:
     kind = F.when(F.col("lang") == "en", "operations").when(F.col("lang") == "fr", "cashflow").when(F.col("lang") == "de", "balance").otherwise("equity")
     ix = R.written_index(t.documents, "tables", lambda d: d.select("doc_id", "text", kind.alias("statement_kind")), ["doc_id"])
-    asked = _questions(t).withColumn("query", F.concat("query", F.when(F.col("query_id") % 2 == 0, F.lit(" income statement")).otherwise(F.lit(" balance sheet"))))
+    asked = questions(t).withColumn("query", F.concat("query", F.when(F.col("query_id") % 2 == 0, F.lit(" income statement")).otherwise(F.lit(" balance sheet"))))
     return R.search_tables(ix, asked, ["doc_id"], k)
 
 
