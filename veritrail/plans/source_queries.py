@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import quotes as Q
 from ..operators import retrieval as R
 from ..operators import trigrams as G
-from ..sources import jsonl
+from ..sources import jsonl, verdicts
 from ..sources.workspace import shared_dir
 from . import text_queries  # noqa: F401  its SQL is used here
 from .registry import ORACLES, Tables, query
@@ -54,3 +55,26 @@ def _(t: Tables) -> DataFrame:
     quotes = t.benchmark.where(F.length("text") > 0).select("item_id", "text", F.explode(parts).alias("part"))
     quotes = quotes.select("item_id", "part", F.substring(F.col("text"), F.col("part") * 60 + 1, F.lit(40)).alias("quote"))
     return Q.occurrences(quotes, t.documents, ["item_id", "part"], ["doc_id"])
+
+
+def _judge(text: str, attempt: int) -> str:
+    """A client by the first hexadecimal digit of the text's digest: refused, answering at the attempt of that number, always down, or answering at once."""
+    digit = int(hashlib.sha256(text.encode()).hexdigest()[0], 16)
+    if digit == 0:
+        raise verdicts.Refused("no")
+    if digit == 4 or (digit < 4 and attempt < digit):
+        raise TimeoutError("down")
+    return str(len(text))
+
+
+@query("s15_asked_verdicts", """
+WITH c AS (SELECT conv_id, turn, text, role, strpos('0123456789abcdef', substr(sha256(text), 1, 1)) - 1 AS h FROM conversations),
+u AS (SELECT DISTINCT text FROM c WHERE role = 'user' AND h NOT IN (0, 4))
+SELECT conv_id, turn, CASE WHEN h NOT IN (0, 4) THEN CAST(length(text) AS VARCHAR) END AS verdict, CAST(CASE WHEN u.text IS NOT NULL THEN 0 WHEN h IN (2, 3) THEN h WHEN h = 4 THEN 3 WHEN h IS NOT NULL THEN 1 END AS INTEGER) AS attempts, CASE h WHEN 0 THEN 'Refused: no' WHEN 4 THEN 'TimeoutError: down' END AS error
+FROM c LEFT JOIN u USING (text)
+""")
+def _(t: Tables) -> DataFrame:
+    """All turns asked over a store that has the users' turns from a run before."""
+    store, turns = f"{shared_dir(t.spark)}/verdicts-{uuid.uuid4().hex}", t.conversations.select("conv_id", "turn", "role", "text")
+    verdicts.ask(turns.where("role = 'user'"), "text", _judge, store, "stub", waits=(0, 0))
+    return verdicts.ask(turns, "text", _judge, store, "stub", waits=(0, 0)).drop("role", "text")
