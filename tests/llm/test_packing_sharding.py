@@ -157,6 +157,15 @@ def test_shards_repeat_and_mix(spark, tmp_path):
     assert len(files) == 8 * 14 and all(r["lo"] == r["first"] and r["hi"] - r["lo"] + 1 == r["n"] and r["slots"] == sorted(r["slots"]) for r in files)
 
 
+def test_waves_change_nothing(spark, tmp_path):
+    docs = odd_docs(spark).unionByName(spark.range(900).selectExpr("id AS doc_id", "repeat('x', int(id % 50)) AS text", "'s' AS shard", "'t' AS slot", "'r' AS record", "'l' AS length"))
+    docs.write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    rows = lambda out: sorted((str(r["record"]), r["shard"], r["slot"], r["first"]) for r in out.collect())
+    one = rows(sharding.shuffle_shards(docs, 3, seed=9, bucket_rows=40))  # 23 buckets
+    assert one == rows(sharding.shuffle_shards(docs, 3, seed=9, bucket_rows=40, partitions=10)) == rows(sharding.shuffle_shards(docs, 3, seed=9, bucket_rows=40, partitions=1))
+
+
 def test_starts_over_groups(spark):
     rows = [(b, (b * 7) % 5 + 1) for b in range(0, 50) if b % 9]
     got = {r["bucket"]: r["first"] for r in sharding.starts(spark.createDataFrame(rows, "bucket long, rows long"), group=4).collect()}

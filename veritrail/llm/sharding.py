@@ -5,8 +5,10 @@ so neither a hot key nor repeated rows make a large bucket. Pass 2 shuffles each
 deals the buckets' concatenation out: global position p goes to shard p mod n, slot p div n. Shard sizes in rows therefore differ by
 one at most, and the slots of a shard have no gap.
 
-The buckets' positions are added up in two steps, group by group, and each bucket has a partition of its own. Shards are written bucket by bucket,
-so no task holds a whole shard.
+The buckets' positions are added up in two steps, group by group, and each bucket has a partition of its own. No shuffle has more than ``PARTITIONS``
+partitions: where there are more buckets, records are scattered in two levels, first to waves of so many buckets each, which are written apart, and
+then each wave to its buckets. A bucket is shuffled by the seed of its own number, so the result is the same however many waves there are. Shards are
+written bucket by bucket, so no task holds a whole shard.
 
 Nulls anywhere, very long texts (a bucket has at least one record), repeated rows and extra columns pass through unchanged: the record is carried as one struct, so no column name can
 clash. An empty table gives an empty result. Map columns are allowed.
@@ -15,6 +17,7 @@ clash. An empty table gives an empty result. Map columns are allowed.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,9 +27,10 @@ from ._common import materialize
 
 BUCKET_BYTES = 64 << 20
 BUCKET_ROWS = 1 << 14
-#: Up to so many buckets, their first positions and their partitions' keys (16 bytes each) are broadcast. Beyond it, positions are joined by a
-#: shuffle, and buckets are hashed to partitions, so that a few may share one.
-BROADCAST_BUCKETS = 1 << 20
+#: Partitions of a shuffle at most; as many buckets are a wave. Keys and first positions of a wave's buckets (16 bytes each) are broadcast.
+PARTITIONS = 1 << 15
+#: Parts of a wave, each written by one task; together no more partitions than ``PARTITIONS``.
+WAVE_PARTS = 1 << 12
 
 
 def scatter(records: DataFrame, size: Column, seed: int, bucket_bytes: int, bucket_rows: int) -> tuple[DataFrame, int]:
@@ -56,26 +60,37 @@ def own_partitions(spark: SparkSession, buckets: int) -> DataFrame:
     return keys.groupBy("bucket").agg(F.min("key").alias("key"))  # hardly ever lacks one; its bucket then shares a partition
 
 
-def shuffle_shards(records: DataFrame, shards: int, seed: int = 17, size: Column | None = None, bucket_bytes: int = BUCKET_BYTES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def _shuffled(dealt: DataFrame, first: DataFrame, lowest: int, buckets: int, seed: int) -> DataFrame:
+    """first, at, r of the records of as many buckets from the lowest on, each bucket in a partition of its own."""
+    by_number = lambda a, b: F.when(a["n"] < b["n"], -1).when(a["n"] > b["n"], 1).otherwise(0)
+    # A partition for each bucket, and an order within it, make the seeded shuffle the same when a task runs again; Spark adds the partition's number to the seed.
+    dealt = dealt.withColumn("bucket", F.col("bucket") - lowest).join(F.broadcast(own_partitions(dealt.sparkSession, buckets)), "bucket", "left")
+    dealt = dealt.select(F.coalesce("key", -1 - F.col("bucket")).alias("key"), "bucket", F.struct("n", "record").alias("r"))
+    whole = dealt.repartition(buckets, "key").groupBy("key", "bucket").agg(F.collect_list("r").alias("rs"))
+    whole = whole.select((F.col("bucket") + lowest).alias("bucket"), F.shuffle(F.array_sort("rs", by_number), seed + lowest).alias("rs"))
+    return whole.join(F.broadcast(first), "bucket").select("first", F.posexplode("rs").alias("at", "r"))
+
+
+def shuffle_shards(records: DataFrame, shards: int, seed: int = 17, size: Column | None = None, bucket_bytes: int = BUCKET_BYTES, bucket_rows: int = BUCKET_ROWS, partitions: int = PARTITIONS) -> DataFrame:
     """Columns record (a struct of all input columns), shard int, slot long, first long (the bucket's first slot in the shard).
 
-    size: bytes of a record, used to size the buckets (1 where null); the same seed and input layout give the same result.
+    size: bytes of a record, used to size the buckets (1 where null); partitions: of a shuffle at most. The same seed and input layout give the same result, whatever the partitions.
     """
     if shards < 1:
         raise ValueError("shards must be positive")
     size = F.lit(1) if size is None else F.coalesce(size, F.lit(1))
     dealt, buckets = scatter(records, size, seed, bucket_bytes, bucket_rows)
     first = starts(dealt.groupBy("bucket").agg(F.count("*").alias("rows")))
-    by_number = lambda a, b: F.when(a["n"] < b["n"], -1).when(a["n"] > b["n"], 1).otherwise(0)
-    # A partition for each bucket, and an order within it, make the seeded shuffle the same when a task runs again.
-    if buckets <= BROADCAST_BUCKETS:
-        dealt = dealt.join(F.broadcast(own_partitions(records.sparkSession, buckets)), "bucket", "left")
+    if buckets <= partitions:
+        out = _shuffled(dealt, first, 0, buckets, seed)
     else:
-        dealt = dealt.withColumn("key", F.lit(None).cast("long"))
-    dealt = dealt.select(F.coalesce("key", -1 - F.col("bucket")).alias("key"), "bucket", F.struct("n", "record").alias("r"))
-    whole = dealt.repartition(buckets, "key").groupBy("key", "bucket").agg(F.collect_list("r").alias("rs"))
-    whole = whole.select("bucket", F.shuffle(F.array_sort("rs", by_number), seed).alias("rs"))
-    out = whole.join(F.broadcast(first) if buckets <= BROADCAST_BUCKETS else first, "bucket").select("first", F.posexplode("rs").alias("at", "r"))
+        waves = -(-buckets // partitions)
+        parts = min(partitions, waves * WAVE_PARTS)  # at 100 TB, 3 GB each, which pass through
+        wave, part = F.floor(F.col("bucket") / partitions).alias("wave"), F.pmod(F.xxhash64(F.lit(seed + 1), "n"), F.lit(WAVE_PARTS))
+        dealt = materialize(dealt.select("*", wave).repartition(parts, "wave", part), "waves", "wave")
+        first = materialize(first.select("*", wave), "starts", "wave")
+        of = lambda frame, w: frame.where(F.col("wave") == w).drop("wave")  # noqa: E731  one folder
+        out = reduce(DataFrame.unionByName, [_shuffled(of(dealt, w), of(first, w), w * partitions, min(partitions, buckets - w * partitions), seed) for w in range(waves)])
     place = F.col("first") + F.col("at")
     part = F.ceil((F.col("first") - F.pmod(place, F.lit(shards))) / shards).cast("long")  # the bucket's first slot in this record's shard
     return out.select(F.col("r.record").alias("record"), F.pmod(place, F.lit(shards)).cast("int").alias("shard"), F.floor(place / shards).cast("long").alias("slot"), part.alias("first"))
