@@ -44,3 +44,13 @@ def test_read_equals_read(spark):
     want = R.read(p, q).where("error IS NULL").select("i", "page_read", "from", "to", "text", "next_start")
     got = spark.sql("SELECT w.i, r.* FROM wanted AS w, LATERAL read_it(w.document_id, w.page, w.start) AS r")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_requests_meet_pages_by_keys(spark):
+    """A read that is asked for by columns pairs no request with all pages."""
+    p = spark.createDataFrame([(str(i), 1, "x" * i) for i in range(50)], "document_id string, page int, text string")
+    tables.register_read(spark, p, "read_keyed")
+    spark.range(50).createOrReplaceTempView("many")
+    got = spark.sql("SELECT m.id, r.* FROM many AS m, LATERAL read_keyed(CAST(m.id AS STRING), -1, CAST(m.id * 7 AS INT)) AS r")
+    assert "NestedLoop" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "CartesianProduct" not in plan
+    assert got.count() == 50

@@ -63,7 +63,9 @@ def register_read(spark: SparkSession, pages: DataFrame, name: str = "read_page"
     field = Ty.StructField
     kept = pages.schema
     document = kept["document_id"].dataType.simpleString()
-    found = f"SELECT p.page, p.text, least(length(p.text), greatest(0, coalesce(start_at, 0))) AS low FROM {name}_pages AS p WHERE p.document_id = document AND p.asked = greatest(number, 0)"
+    # The arguments become a row of their own, joined by columns: a condition that names them beside the pages would have Spark pair every request with every page.
+    call = "SELECT document AS _document, CAST(greatest(number, 0) AS BIGINT) AS _number, greatest(0, coalesce(start_at, 0)) AS _start"
+    found = f"SELECT p.page, p.text, least(length(p.text), c._start) AS low FROM ({call}) AS c JOIN {name}_pages AS p ON p.document_id = c._document AND p.asked = c._number"
     high = f"least(length(text), low + {T.READ_LIMIT})"
     returned = [kept["page"], field("from", Ty.IntegerType()), field("to", Ty.IntegerType()), field("text", Ty.StringType()), field("next_start", Ty.IntegerType())]
     body = f"SELECT page, low, {high}, substring(text, low + 1, {T.READ_LIMIT}), CASE WHEN low + {T.READ_LIMIT} < length(text) THEN low + {T.READ_LIMIT} END FROM ({found})"
