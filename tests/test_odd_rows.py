@@ -55,3 +55,19 @@ def test_m09_prices_that_round_in_two_ways(compared):
     table = lines(prices * 2, [1.0] * 2 * len(prices), [1] * len(prices) + [3] * len(prices))
     assert compared("m09_quote_has_value", lineitem=table) == 2 * len(prices)
     assert compared("m09_quote_has_value", lineitem=lines([1.0], [1.0]) | {"l_linenumber": pa.array([None], pa.int32())}) == 1
+
+
+def test_k03_lines_of_one_number(compared):
+    """The order in which lines of the same number come must not matter; nor may odd prices."""
+    n = 400
+    prices = [round(1000 + (i * 7919 % 9973) / 7, 2) for i in range(n)] + [0.0, None, float("nan"), -3.5]
+    quantities = [1.0 + i % 50 for i in range(n)] + [0.0, 2.0, None, 4.0]
+    keys = [i % 20 for i in range(n)] + [100, 101, 102, 103]
+    assert compared("k03_scored_demonstrations", lineitem=lines(prices, quantities, keys=keys)) == 24
+
+
+def test_k03_takes_one_line(spark, tmp_path):
+    """The plan picks by values alone: no aggregate that depends on the order of rows."""
+    pq.write_table(pa.table(lines([1.0, 2.0], [1.0, 2.0], keys=[1, 1])), f"{tmp_path}/lineitem.parquet")
+    plan = QUERIES["k03_scored_demonstrations"](spark, str(tmp_path))._jdf.queryExecution().analyzed().toString()
+    assert "min_by" not in plan and "first(" not in plan
