@@ -123,3 +123,11 @@ def test_chunks(spark):
 
 def test_folded_leaves():
     assert C.with_leaves({"B": [" X  y ", 1, None, {2: "Z"}]}, C.folded) == {"B": ["x y", 1, None, {"2": "z"}]}
+
+
+def test_expressions_of_many_rows_are_parsed_once(monkeypatch):
+    calls, parse = [], X.ast.parse
+    monkeypatch.setattr(X.ast, "parse", lambda *a, **k: calls.append(a) or parse(*a, **k))
+    got = [X.calculate_decimal("p_once / q_once", {"p_once": str(i), "q_once": "4"}) for i in range(50)]
+    assert got == [str(X.Decimal(i) / 4) for i in range(50)] and len(calls) == 1
+    assert X.calculate_decimal("p_once / q_once", {"p_once": "1"}) is X.calculate_decimal("p_once /", {"p_once": "1"}) is None
