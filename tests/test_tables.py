@@ -54,3 +54,16 @@ def test_requests_meet_pages_by_keys(spark):
     got = spark.sql("SELECT m.id, r.* FROM many AS m, LATERAL read_keyed(CAST(m.id AS STRING), -1, CAST(m.id * 7 AS INT)) AS r")
     assert "NestedLoop" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "CartesianProduct" not in plan
     assert got.count() == 50
+
+
+def test_no_pairs_of_queries_and_items_are_shuffled(spark, items, tmp_path):
+    items.repartition(3).write.parquet(str(tmp_path / "d"))
+    keys = ["id", "part"]
+    tables.register_search(spark, R.written_index(spark.read.parquet(str(tmp_path / "d")), "parts", lambda d: d, keys), keys, "search_parts")
+    spark.createDataFrame([(i, f"w{i} w{i + 1} w{i + 2}") for i in range(30)], "query_id int, query string").createOrReplaceTempView("asked_parts")
+    got = spark.sql("SELECT query_id, b.* FROM asked_parts, LATERAL search_parts(query, 2) AS b")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_k0" not in plan and "SortMergeJoin [term" not in plan
+    # Between the sums and the ranking of a query, only the best of each part go on.
+    above = plan[: plan.index("partial_sum")]
+    assert above.count("Exchange hashpartitioning(query") == 1 and "Filter (_n#" in above[above.index("Exchange hashpartitioning(query") :]

@@ -17,6 +17,9 @@ from .retrieval import K1, B
 
 NAME = r"[A-Za-z_]\w*"
 
+#: Items of a written index whose scores for all queries of a call a task holds at once.
+ITEMS_HELD = 1024
+
 
 def _literal(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -30,9 +33,16 @@ def _define(spark: SparkSession, name: str, arguments: str, returned: list[Ty.St
 def register_search(spark: SparkSession, ix: Index, keys: list[str], name: str = "bm25") -> None:
     """name(query, k): rank, the item keys and score (five places) of the k best items of an index, as ``retrieval.ranked`` has them.
 
-    Of a written index the blocks are joined and opened after the join. The views {name}_blocks, {name}_df and {name}_totals belong to the function.
+    Items are dealt to parts, and what is shuffled are their postings, once (of a written index, its blocks by ranges of items). The weights of a call's
+    distinct queries are broadcast; a part sums the scores of its items and passes on the k best of each query, so pairs of queries and items are
+    never shuffled. The views {name}_blocks, {name}_df and {name}_totals belong to the function.
     """
-    hits = ix.blocks.select("term", "hits") if ix.blocks is not None else ix.postings
+    if ix.blocks is not None:
+        parts = -(-max(ix.totals.first()["n"], 1) // ITEMS_HELD)
+        hits = ix.blocks.select(F.pmod(F.xxhash64("segment", "range"), F.lit(parts)).alias("_p"), "term", "hits").repartition(parts, "_p")
+    else:
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        hits = ix.postings.withColumn("_p", F.pmod(F.xxhash64(*keys), F.lit(parts))).repartition(parts, "_p")
     for part, frame in (("blocks", hits), ("df", ix.df), ("totals", ix.totals)):
         frame.createOrReplaceTempView(f"{name}_{part}")
     of = lambda c: f"h.`{c}`" if ix.blocks is not None else f"b.`{c}`"
@@ -42,9 +52,10 @@ def register_search(spark: SparkSession, ix: Index, keys: list[str], name: str =
     weights = f"SELECT term, times * ln((n - df + 0.5D) / (df + 0.5D) + 1.0D) AS weight, greatest(avgdl, 1.0D) AS avgdl FROM ({terms}) JOIN {name}_df USING (term) CROSS JOIN {name}_totals"
     part = f"w.weight * ({of('tf')} * {K1 + 1}D / ({of('tf')} + {K1}D * ({1 - B}D + {B}D * (greatest({of('dl')}, 1) / w.avgdl))))"
     items = ", ".join(f"{of(k)} AS _k{i}" for i, k in enumerate(keys))
-    found = f"SELECT {items}, {part} AS _part FROM ({weights}) AS w JOIN {name}_blocks AS b ON w.term = b.term{opened}"
-    scored = f"SELECT {order}, round(sum(_part), 9) AS score FROM ({found}) GROUP BY {order}"
-    ranked = f"SELECT row_number() OVER (ORDER BY score DESC, {order}) AS rank, {order}, score FROM ({scored}) WHERE score > 0"
+    found = f"SELECT /*+ BROADCAST(w) */ b._p, {items}, {part} AS _part FROM ({weights}) AS w JOIN {name}_blocks AS b ON w.term = b.term{opened}"
+    scored = f"SELECT _p, {order}, round(sum(_part), 9) AS score FROM ({found}) GROUP BY _p, {order}"
+    some = f"SELECT row_number() OVER (PARTITION BY _p ORDER BY score DESC, {order}) AS _n, {order}, score FROM ({scored}) WHERE score > 0"
+    ranked = f"SELECT row_number() OVER (ORDER BY score DESC, {order}) AS rank, {order}, score FROM ({some}) WHERE _n <= k"
     whole = ix.items.schema
     returned = [Ty.StructField("rank", Ty.IntegerType()), *(whole[k] for k in keys), Ty.StructField("score", Ty.DoubleType())]
     _define(spark, name, "query STRING, k INT", returned, f"SELECT rank, {order}, round(score, 5) FROM ({ranked}) WHERE rank <= k")
