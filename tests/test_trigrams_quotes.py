@@ -79,6 +79,20 @@ def test_quotes_equal_trying_every_place(spark, seed):
     assert sorted(map(tuple, frame.collect())) == sorted(want)
 
 
+@pytest.mark.parametrize("held", [0, 1 << 16])
+def test_few_and_many_quotes_find_the_same(spark, monkeypatch, held):
+    """Few quotes are met where the pages lie: no text and no sample is shuffled. A key that stands for several quotes or pages meets each."""
+    monkeypatch.setattr(Q, "QUOTES_HELD", held)
+    pages = [(1, "x", "one and two é😀, one"), (1, "x", "two"), (None, "y", "one"), (2, "x", None), (3, "x", "one " * 60)]
+    quotes = [(1, "one"), (1, "two"), (2, "é😀"), (3, "e"), (4, "one one one one one one one one one one one"), (5, ""), (6, None)]
+    p, q = spark.createDataFrame(pages, "p int, s string, text string"), spark.createDataFrame(quotes, "n int, quote string")
+    found = Q.occurrences(q, p.where("p IS NOT NULL"), ["n"], ["p", "s"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    want = {(n, k, s, i) for n, w in quotes for k, s, t in pages for i in range(len(t or "")) if k and w and t.startswith(w, i)}
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert ("Join" in plan) == (held == 0) and (not held or plan.count("Exchange") == 1)
+
+
 def test_keys_must_differ(spark):
     one = spark.createDataFrame([(1, "x", "x")], "k int, quote string, text string")
     with pytest.raises(ValueError):
