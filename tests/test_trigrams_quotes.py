@@ -59,6 +59,34 @@ def test_candidates_lose_no_match(spark, tmp_path):
     assert G.candidates(index, keys, ["x"]) is None
 
 
+@pytest.mark.parametrize("taken", [1, 2, 5, 1 << 20])
+def test_sequences_of_a_text_taken_in_parts(monkeypatch, taken):
+    monkeypatch.setattr(G, "TAKEN", taken)
+    for t in ["", "ab", "aBcABC", "é日本x😀😀😀\n", "aaaaaa", "The thE Z[@`{ the"]:
+        assert sorted(G._texts(G._codes(t))) == G.grams_of(t.translate(G._FOLD))
+
+
+@pytest.mark.parametrize("held", [1, 30, 1 << 20])
+def test_lists_of_pages(spark, held):
+    """A row for each sequence of a block, not of a page; nulls among keys, and places that change within a task."""
+    rows = [("b", i // 50, i if i % 7 else None, f"p{i}", "abc " * (i % 3 + 1) + str(i)) for i in range(100)]
+    lists = G._listed(spark.createDataFrame(rows, "build string, segment int, doc_id int, page string, text string").coalesce(1), ["doc_id", "page"], "text", held)
+    got = [(r["segment"], r["gram"], d, p) for r in lists.collect() for d, p in zip(r["doc_id"], r["page"], strict=True)]
+    assert sorted(got, key=str) == sorted([(s, g, d, p) for _, s, d, p, t in rows for g in G.grams_of(t)], key=str)
+    assert held < 1 << 20 or lists.groupBy("segment", "gram").count().where("count > 1").count() == 0
+
+
+def test_index_and_search_shuffle_no_texts(spark, tmp_path):
+    rows = [(i, 1, f"page {i} of the same words, " * 20) for i in range(300)]
+    spark.createDataFrame(rows, "doc_id int, page int, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    source, keys = spark.read.parquet(str(tmp_path / "d")), ["doc_id", "page"]
+    index = G.written_grams(source, "few", lambda d: d, keys)
+    assert index.count() < 3000  # a row for each page and sequence were over 9000
+    joined = source.join(G.candidates(index, keys, ["page 29[0-9]"]), keys, "left_semi")
+    assert "Exchange hashpartitioning" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == sum("page 29" in t for *_, t in rows)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_quotes_equal_trying_every_place(spark, seed):
     rng = random.Random(seed)

@@ -3,24 +3,32 @@
 A pattern's required text is read from its parsed form: literal runs, of which all are needed in a sequence and one of several in an alternation;
 what may be absent, and classes of characters, require nothing. Runs shorter than three characters require nothing either, and a pattern without any
 leaves all pages. Case is folded for A to Z on both sides, as patterns ignore case there. A page that is kept need not match: grep decides.
+
+The index has one row for each sequence of a block of pages that lie together, with the keys of the pages that hold it. A task makes the blocks of what it
+reads, so neither texts nor their sequences are shuffled.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 from re import _constants as C
 from re import _parser
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..sources.workspace import SEGMENTS, append, plan_digest, read_segments, segmented, shared_dir
+from ..sources.workspace import SEGMENTS, append, plan_digest, read_segments, segmented, shared_dir, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _FOLD = str.maketrans(UPPER, LOWER)
+#: Characters of a text that are taken at once, and sequences after which a block of pages is full.
+TAKEN, HELD = 1 << 20, 1 << 20
 
 #: What a pattern requires: ("all" or "any", parts), or a text; None: nothing.
 Need = tuple[str, list] | str | None
@@ -93,24 +101,78 @@ def _holds(need: Need, have: Column) -> Column:
     return reduce((lambda a, b: a & b) if need[0] == "all" else (lambda a, b: a | b), [_holds(p, have) for p in need[1]])
 
 
+def _codes(text: str) -> np.ndarray:
+    """The distinct three-character sequences of a text, A to Z folded, as numbers of three times 21 bits, in order."""
+    found = np.zeros(0, np.int64)
+    for i in range(0, len(text) - 2, TAKEN):
+        c = np.frombuffer(text[i : i + TAKEN + 2].encode("utf-32-le"), "<u4").astype(np.int64)
+        c += 32 * ((c >= ord("A")) & (c <= ord("Z")))
+        found = np.union1d(found, c[:-2] << 42 | c[1:-1] << 21 | c[2:])
+    return found
+
+
+def _texts(codes: np.ndarray) -> list[str]:
+    whole = np.stack([codes >> 42, codes >> 21 & 0x1FFFFF, codes & 0x1FFFFF], 1).astype("<u4").tobytes().decode("utf-32-le")
+    return [whole[i : i + 3] for i in range(0, len(whole), 3)]
+
+
+def _listed(rows: DataFrame, keys: list[str], text: str, held: int = HELD) -> DataFrame:
+    """build, segment, gram, and of each key a list: those of a block's pages that hold it, in the order of the pages."""
+    given = Ty.StructType([rows.schema["build"], rows.schema["segment"], Ty.StructField("gram", Ty.StringType()), *(Ty.StructField(k, Ty.ArrayType(rows.schema[k].dataType)) for k in keys)])
+    schema = to_arrow_schema(given)
+
+    def block(place: tuple, pages: list[pa.RecordBatch], codes: list[np.ndarray]) -> pa.RecordBatch:
+        page, every = np.repeat(np.arange(len(codes)), list(map(len, codes))), np.concatenate(codes)
+        by = np.argsort(every, kind="stable")
+        page, every = pa.array(page[by]), every[by]
+        first = np.flatnonzero(np.r_[len(every) > 0, every[1:] != every[:-1]])
+        ends = pa.array(np.append(first, len(every)).astype(np.int32))
+        of_pages = pa.Table.from_batches(pages).combine_chunks()
+        lists = [pa.ListArray.from_arrays(ends, of_pages.column(k).combine_chunks().take(page).cast(schema.field(k).type.value_type), type=schema.field(k).type) for k in keys]
+        same = [pa.array([v] * len(first), f.type) for v, f in zip(place, list(schema)[:2], strict=True)]
+        return pa.RecordBatch.from_arrays([*same, pa.array(_texts(every[first]), pa.string()), *lists], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, pages, codes, size = None, [], [], 0
+        for b in batches:
+            of_keys, low = b.select(keys), 0
+            places = list(zip(b.column("build").to_pylist(), b.column("segment").to_pylist(), strict=True))
+            for i, t in enumerate(b.column(b.num_columns - 1).cast(pa.binary())):
+                if codes and (size >= held or places[i] != place):
+                    yield block(place, [*pages, of_keys.slice(low, i - low)], codes)
+                    pages, codes, size, low = [], [], 0, i
+                place = places[i]
+                codes.append(_codes(t.as_py().decode("utf-8", "replace")))
+                size += len(codes[-1])
+            pages.append(of_keys.slice(low))
+        if codes:
+            yield block(place, pages, codes)
+
+    return rows.select("build", "segment", *keys, text).mapInArrow(run, given)
+
+
 def written_grams(source: DataFrame, name: str, build: Callable[[DataFrame], DataFrame], keys: list[str], text: str = "text", segments: int = SEGMENTS) -> DataFrame:
-    """gram and keys of the pages that build() makes of the source's rows, in order of grams; only segments with new or changed files are built."""
+    """gram, and lists of the keys of the pages that build() makes of the source's rows and that hold it; only segments with new or changed files are built."""
     spark, pages = source.sparkSession, build(source)
-    root = f"{shared_dir(spark)}/grams-{name}-{plan_digest(pages, '1', text, *keys, str(segments))}"
+    root = f"{shared_dir(spark)}/grams-{name}-{plan_digest(pages, '2', text, *keys, str(segments))}"
 
     def write(rows: DataFrame) -> None:
-        found = rows.where(F.length(text) > 2).select("build", "segment", *keys, F.explode(grams(F.col(text))).alias("gram"))
-        append(found.repartitionByRange("build", "segment", "gram", *keys).sortWithinPartitions("build", "segment", "gram", *keys), root, "grams")
+        # In order of grams within a task, so that a search skips most of what it wrote.
+        append(_listed(rows.where(F.length(text) > 2), keys, text).sortWithinPartitions("build", "segment", "gram"), root, "grams")
 
     used, _ = segmented(source, root, build, write, segments=segments)
-    schema = Ty.StructType([Ty.StructField("gram", Ty.StringType()), *(pages.schema[k] for k in keys)])
+    schema = Ty.StructType([Ty.StructField("gram", Ty.StringType()), *(Ty.StructField(k, Ty.ArrayType(pages.schema[k].dataType)) for k in keys)])
     return read_segments(spark, root, "grams", used, schema).drop("segment")
 
 
 def candidates(index: DataFrame, keys: list[str], patterns: list[str]) -> DataFrame | None:
-    """Keys of the pages that can match; None if the patterns require nothing. Only grams of the patterns are read."""
+    """Keys of the pages that can match; None if the patterns require nothing. Only grams of the patterns are read.
+
+    They are written, so that Spark knows how few they are: a join with them need not shuffle the pages' texts.
+    """
     need = required(patterns)
     if need is None:
         return None
-    hits = index.where(F.col("gram").isin(sorted(_needed(need)))).groupBy(*keys).agg(F.collect_set("gram").alias("_have"))  # no more than the patterns have
-    return hits.where(_holds(need, F.col("_have"))).select(*keys)
+    hits = index.where(F.col("gram").isin(sorted(_needed(need)))).select("gram", F.explode(F.arrays_zip(*keys)).alias("_page"))
+    hits = hits.groupBy(*[F.col("_page")[k].alias(k) for k in keys]).agg(F.collect_set("gram").alias("_have"))  # no more than the patterns have
+    return written(hits.where(_holds(need, F.col("_have"))).select(*keys), "candidates")
