@@ -1,7 +1,9 @@
 """Edge cases of operators on literal frames."""
 
 import json
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,6 +99,18 @@ def test_trim_observation_cuts_no_more_than_it_must():
     assert V.trim_observation({"hits": [], "n": 1}, 4000) == dump({"hits": [], "n": 1, "observation": {"raw_chars": 17, "truncated": False}})
 
 
+def test_observations_of_a_batch_are_decoded_one_by_one(spark):
+    texts = pa.array([json.dumps({"text": "y" * 200_000, "start": 0}), None, "no json", "[1]", *[json.dumps({"text": "z" * 200_000})] * 100])
+    tracemalloc.start()
+    got = V._trimmed(texts, 500).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4_000_000 < texts.nbytes and max(map(len, got)) <= 500
+    assert [json.loads(x).get("content") for x in got[1:4]] == ["", "no json", "[1]"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts.to_pylist()[:5])], "i int, t string").select("i", V.bounded_observation(F.col("t"), 500).alias("o"))
+    assert [r["o"] for r in frame.orderBy("i").collect()] == got[:5]
+
+
 def test_advantages(spark):
     x = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 2.0), ("b", 2.0), ("c", None), ("c", 1.0)], "g string, r double")
     got = {(r["g"], r["r"]): r["advantage"] for r in G.advantages(x, "g", "r").collect()}

@@ -6,7 +6,7 @@ import json
 from bisect import bisect_right
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -175,18 +175,24 @@ def trim_observation(payload, cap: int) -> str:
     return _json(_with_texts(out, fits)) if fits >= 0 else _json({"error": "Observation metadata exceeds the budget.", "observation": note})
 
 
+def _trimmed(texts: pa.Array, cap: int) -> pa.Array:
+    """Only one text at a time is decoded and parsed, so a batch costs its bytes and what is left of each text."""
+
+    def one(t):
+        try:
+            return trim_observation(json.loads(t), cap)
+        except (TypeError, ValueError):
+            return trim_observation(t or "", cap)
+
+    return pa.array((one(t.as_py()) for t in texts), pa.string(), size=len(texts))
+
+
 def bounded_observation(payload: Column, cap: int = OBSERVATION_CAP) -> Column:
     """trim_observation of a JSON text; a structure of unknown shape has no built-in form."""
 
-    @F.pandas_udf(Ty.StringType())
-    def run(texts: pd.Series) -> pd.Series:
-        def one(t):
-            try:
-                return trim_observation(json.loads(t), cap)
-            except (TypeError, ValueError):
-                return trim_observation(t or "", cap)
-
-        return texts.map(one)
+    @F.arrow_udf(Ty.StringType())
+    def run(texts: pa.Array) -> pa.Array:
+        return _trimmed(texts, cap)
 
     return run(payload)
 
