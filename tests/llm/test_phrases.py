@@ -56,6 +56,26 @@ def test_joined_where_nothing_is_broadcast(spark, monkeypatch):
     assert sorted(tuple(r) for r in got) == brute(docs, 6, 5)
 
 
+def test_a_block_is_a_row_of_frequent_lists(spark, monkeypatch):
+    """Rows grow with the blocks, not with the phrases of each; no list of a rare phrase is written, and none is shuffled."""
+    tables = []
+    monkeypatch.setattr(P, "materialize", lambda df, tag, *by, **o: tables.append((tag, got := _common.materialize(df, tag, *by, **o))) or got)
+    monkeypatch.setattr(P, "discard", lambda table: None)
+    docs = [("x", "a b c " * 5 + f"odd{i} rare{i}") for i in range(40)]
+    P.mined(spark.createDataFrame(docs, "lang string, text string").coalesce(2), least=100)
+    lists = [t.selectExpr("count(*)", "sum(size(positions))").first() for tag, t in tables if tag == "lists"]
+    assert [tuple(r) for r in lists] == [(2, 600), (2, 560), (2, 520), (2, 480)]
+    assert {tag for tag, _ in tables} == {"postings", "totals", "frequent", "lists", "phrases"}
+
+
+@pytest.mark.parametrize("longest", [1, 2, 3])
+def test_phrases_up_to_a_length(spark, longest):
+    docs = [("x", "a b c d e f")] * 6
+    phrases = P.mined(spark.createDataFrame(docs, "lang string, text string"), least=6, longest=longest)[1]
+    want = [("abcdef"[i : i + k], k, 6) for k in range(1, longest + 1) for i in range(7 - k)]
+    assert sorted((r["phrase"].replace(" ", ""), r["words"], r["f"]) for r in phrases.collect()) == sorted(want)
+
+
 def test_scores_are_exact(spark):
     a, n = 3 * 10**12 + 1, 9 * 10**14 + 7
     totals = spark.createDataFrame([("x", n)], "lang string, n long")

@@ -32,15 +32,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
-def materialize(df: DataFrame, tag: str, *by: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, *by: str, **options: object) -> DataFrame:
     """df written once to the shared folder and read back: lineage is cut, and lost executors lose nothing.
 
     by: columns whose values get folders of their own, so that a filter on them reads no others. The files stay, as lazy results read them,
-    until ``release`` or the end of ``scratch``.
+    until ``release`` or the end of ``scratch``. options: of the writer.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/veritrail-{tag}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*by).parquet(path)
+    df.write.options(**options).partitionBy(*by).parquet(path)
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -95,9 +95,14 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS, size: int
 BROADCAST_BYTES = 16 << 20
 
 
+def is_small(frame: DataFrame, size: Column) -> bool:
+    """Whether the sizes of a written table's rows sum to few enough bytes for a broadcast."""
+    return (frame.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES
+
+
 def if_small(frame: DataFrame, size: Column) -> DataFrame:
-    """A written table, marked for broadcast if its rows' sizes sum to few bytes."""
-    return F.broadcast(frame) if (frame.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else frame
+    """A written table, marked for broadcast if it is small."""
+    return F.broadcast(frame) if is_small(frame, size) else frame
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
