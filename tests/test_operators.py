@@ -365,3 +365,29 @@ def test_bootstrap_of_many_units_in_chunks(spark):
     assert (got["b"]["low"], got["b"]["high"], got["b"]["delta"]) == (2.0, 2.0, 2.0)
     again = {r["run"]: r for r in P.bootstrap(pairs.repartition(7), "run", "unit", "delta", resamples=800, chunk=500, tasks=4).collect()}
     assert again["a"]["low"] == pytest.approx(got["a"]["low"], abs=1e-12)
+
+
+def test_calculations_of_several_receipts_and_of_one(spark):
+    """Operands of one receipt, of two, of none that is there, and receipts that came twice; the first operand's error counts, and no row is lost or doubled."""
+    op = lambda n, r, quote="x in 2020: 5", value="5": (n, r, quote, "x", "2020", value, "USD", "m")
+    kind = "episode_id string, calc_id string, turn int, expression string, operands array<struct<name:string,receipt_id:string,quote:string,metric:string,period:string,value:string,unit:string,scale:string>>"
+    one, two = "a + 1", "a + b"
+    made = [("e", "c1", 3, one, [op("a", "r1")]), ("e", "c2", 3, two, [op("a", "r1"), op("b", "r2")]), ("e", "c3", 3, two, [op("a", "r1"), op("b", "r9")]), ("e", "c4", 3, two, [op("a", "r1", value="6"), op("b", "r9")]), ("e", "c5", 1, one, [op("a", "r1")]),
+            ("e", "c6", 3, one, [op("a", None)]), ("e", "c7", 3, one, None), ("e", "c8", 3, two, [op("a", "r1"), op("a", "r1")]), ("f", "c1", 3, one, [op("a", "r1")]), ("e", "c9", 3, two, [op("a", "r1", "x in 2020: 50", "50"), op("b", "r1", "x in 2020: (5)", "5")]), ("e", "c10", 3, one, [op("a", "r3")])]
+    receipts = [("e", r, tool, "x in 2020: 5", 1) for r, tool in (("r1", "read"), ("r1", "read"), ("r2", "read"), ("r3", "bm25_search"))]
+    out = O.calculated(spark.createDataFrame(made, kind), spark.createDataFrame(receipts, "episode_id string, receipt_id string, tool string, text string, delivered_turn int"))
+    got = sorted((r["episode_id"], r["calc_id"], r["error"], r["value"], r["provenance_valid"]) for r in out.collect())
+    late = "not_delivered"
+    assert got == sorted([("e", "c1", None, "6", True), ("e", "c2", None, "10", True), ("e", "c3", late, None, False), ("e", "c4", "value_not_in_quote", None, False), ("e", "c5", late, None, False), ("e", "c6", late, None, False),
+                          ("e", "c7", "expression", None, False), ("e", "c8", "expression", None, False), ("f", "c1", late, None, False), ("e", "c9", late, None, False), ("e", "c10", late, None, False)])
+
+
+def test_texts_of_receipts_are_not_moved_twice(spark):
+    """A derived answer is held against places alone: the receipts that it is given need no text."""
+    made, receipts = _frames(spark, _calculation())
+    span = "array<struct<document_id:string,page:int,quote:string>>"
+    wanted = [("p", "1234.50", "$", "millions", "REVENUE", "2020", [("d", 1, "Revenue in 2020: 1,234.50")]), ("q", "-34.50", "usd", "m", "costs", "2020", [("d", 2, "(34.5)")])]
+    targets = spark.createDataFrame([("q", "USD", "million", 1, "(p + q) / 2", wanted)], f"question_id string, unit string, scale string, precision int, expression string, operands array<struct<name:string,value:string,unit:string,scale:string,metric:string,period:string,support:{span}>>")
+    submissions = spark.createDataFrame([("e", "q", "c1", 5, "600", "USD", "million")], "episode_id string, question_id string, calc_id string, turn int, value string, unit string, scale string")
+    visible = spark.createDataFrame([("e", "r1"), ("e", "r2")], "episode_id string, receipt_id string")
+    assert O.grounded(submissions, targets, O.calculated(made, receipts), visible, receipts.drop("text")).first()["derivation_grounded"]
