@@ -86,3 +86,9 @@ def test_k03_takes_one_line(spark, tmp_path):
     pq.write_table(pa.table(lines([1.0, 2.0], [1.0, 2.0], keys=[1, 1])), f"{tmp_path}/lineitem.parquet")
     plan = QUERIES["k03_scored_demonstrations"](spark, str(tmp_path))._jdf.queryExecution().analyzed().toString()
     assert "min_by" not in plan and "first(" not in plan
+
+
+def test_k03_reads_its_lines_once(spark, tmp_path):
+    """Pages, traces and targets are made of one written table, not of the lines again."""
+    pq.write_table(pa.table(lines([10.0, 2.0], [1.0, 2.0])), f"{tmp_path}/lineitem.parquet")
+    assert not [f for f in QUERIES["k03_scored_demonstrations"](spark, str(tmp_path)).inputFiles() if "lineitem" in f]
